@@ -1,15 +1,23 @@
 """Dependency graphs as edge tables, many graphs at once.
 
 Nodes are rows (workflow_id, step_id). An edge (workflow_id, src, dst) says that
-step ``dst`` depends on step ``src``. Iterative operators work on all graphs
-together: one Spark job per wave, whose state is written to the shared folder.
-Each round joins only the steps that have just finished, and the edge table is
-rewritten whenever less than half of it is still in play, so the work over all
-rounds stays near the size of the input.
+step ``dst`` depends on step ``src``.
+
+Ordering a graph takes one of two ways, by its counted size. Graphs of up to
+``SMALL_GRAPH_ROWS`` nodes and edges are packed by hash into buckets of many
+graphs and peeled there in numpy: one shuffle, whatever their depth. Larger
+graphs are peeled by Spark, all together, one job per wave, with the state written
+to the shared folder. Each of those rounds joins only the steps that have just
+finished, and the edge table is rewritten whenever less than half of it is still
+in play, so the work over all rounds stays near the size of the input.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +27,8 @@ from heddlework.functions.templates import explode_references
 from heddlework.session import Staging
 
 G = "workflow_id"
+SMALL_GRAPH_ROWS = 200_000
+_BUCKET_ROWS = 100_000
 
 
 # --- tables and lookups ------------------------------------------------------
@@ -74,18 +84,99 @@ def ready_steps(nodes: DataFrame, edges: DataFrame, completed: DataFrame) -> Dat
 # --- waves and order ---------------------------------------------------------
 
 
+def execution_order(
+    nodes: DataFrame, edges: DataFrame, small_rows: int = SMALL_GRAPH_ROWS, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Wave and position of every step that can run.
+
+    ``wave`` counts from 0 and is the longest way from a root. ``position`` is
+    the place, from 1, in a first-in-first-out topological order whose ties go
+    by id: inside a wave, steps follow the last of their dependencies, then id.
+    Steps on or behind a cycle or an undefined dependency have no row.
+    """
+    stage = Staging(nodes.sparkSession, "order")
+    rows = stage.put(
+        nodes.select(G, F.lit(None).cast("string").alias("src"), F.col("step_id").alias("dst")).unionByName(
+            edges.select(G, "src", "dst")
+        ),
+        "rows",
+    )
+    sizes = rows.groupBy(G).agg(F.count(F.lit(1)).alias("n"))
+    large, seen = stage.put_measured(
+        sizes.withColumn("large", F.col("n") > small_rows),
+        "sizes",
+        ("large",),
+        n_rows=F.sum("n"),
+        n_large=F.count_if("large"),
+    )
+    if not seen["n_large"]:
+        return _order_small(rows, seen["n_rows"])
+    large = large.filter("large").select(G)
+    few, many = rows.join(large, G, "left_anti"), rows.join(large, G, "left_semi")
+    big_nodes = many.filter("src is null").select(G, F.col("dst").alias("step_id"))
+    ordered = _order_large(big_nodes, many.filter("src is not null"), hot_rows)
+    return ordered.unionByName(_order_small(few, seen["n_rows"]))
+
+
+def _order_small(rows: DataFrame, n_rows: int) -> DataFrame:
+    buckets = max(1, math.ceil(n_rows / _BUCKET_ROWS))
+    packed = rows.withColumn("bucket", F.pmod(F.xxhash64(G), F.lit(buckets)))
+    fields = f"{G} string, step_id string, wave int, position long"
+    return packed.groupBy("bucket").applyInPandas(_peel_bucket, fields)
+
+
+def _peel_bucket(rows: pd.DataFrame) -> pd.DataFrame:
+    """Waves and positions of all graphs of a bucket at once."""
+    is_node = rows["src"].isna()
+    names = rows.loc[is_node, [G, "dst"]].drop_duplicates().sort_values([G, "dst"], ignore_index=True)
+    code = pd.MultiIndex.from_frame(names)
+    links = rows.loc[~is_node]
+    src = code.get_indexer(pd.MultiIndex.from_frame(links[[G, "src"]]))
+    dst = code.get_indexer(pd.MultiIndex.from_frame(links[[G, "dst"]]))
+    need = np.bincount(dst, minlength=len(names))  # an undefined dependency is never met
+    by_src = np.argsort(src, kind="stable")
+    src, dst = src[by_src], dst[by_src]
+    begin = np.searchsorted(src, np.arange(len(names)))
+    fan = np.searchsorted(src, np.arange(len(names)), side="right") - begin
+
+    wave = np.full(len(names), -1)
+    place = np.zeros(len(names), dtype=np.int64)
+    front, depth, placed = np.flatnonzero(need == 0), 0, 0
+    last = np.zeros(len(names), dtype=np.int64)
+    while front.size:
+        front = front[np.lexsort((front, last[front]))]
+        wave[front] = depth
+        place[front] = placed + np.arange(front.size)
+        placed, depth = placed + front.size, depth + 1
+        out = np.repeat(begin[front] - np.cumsum(fan[front]) + fan[front], fan[front]) + np.arange(fan[front].sum())
+        freed = dst[out]
+        np.subtract.at(need, freed, 1)
+        np.maximum.at(last, freed, np.repeat(place[front], fan[front]))
+        front = np.unique(freed[need[freed] == 0])
+    done = names.assign(wave=wave.astype(np.int32), place=place)[wave >= 0].sort_values("place")
+    done["position"] = done.groupby(G).cumcount() + 1
+    return done.rename(columns={"dst": "step_id"})[[G, "step_id", "wave", "position"]]
+
+
+def _order_large(nodes: DataFrame, edges: DataFrame, hot_rows: int) -> DataFrame:
+    hot = has_hot_group(nodes, [G], hot_rows)
+    taken = _peel(nodes, edges, hot)
+    placed = positions_within(taken, [G], ["wave", "last_pos", "step_id"], "position", hot=hot)
+    return placed.select(G, "step_id", "wave", "position")
+
+
 def _front(state: DataFrame, hot: bool) -> DataFrame:
     return positions_within(state, [G], ["last_pos", "step_id"], "wave_pos", hot=hot)
 
 
-def _peel(nodes: DataFrame, edges: DataFrame, hot: bool, label: str = "waves") -> DataFrame:
+def _peel(nodes: DataFrame, edges: DataFrame, hot: bool) -> DataFrame:
     """Take away steps without open dependencies, round by round.
 
     Returns (workflow_id, step_id, wave, last_pos) for the steps that could be
     taken; ``last_pos`` is the largest position, within the wave before, among
     the step's dependencies.
     """
-    stage = Staging(nodes.sparkSession, label)
+    stage = Staging(nodes.sparkSession, "waves")
     edges = stage.put(edges, "edges-0")
     degree = edges.groupBy(G, F.col("dst").alias("step_id")).agg(F.count(F.lit(1)).alias("open"))
     state = nodes.join(degree, [G, "step_id"], "left").select(
@@ -137,20 +228,6 @@ def _peel(nodes: DataFrame, edges: DataFrame, hot: bool, label: str = "waves") -
     return taken.select(G, "step_id", "wave", "last_pos")
 
 
-def execution_order(nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Wave and position of every step that can run.
-
-    ``wave`` counts from 0 and is the longest way from a root. ``position`` is
-    the place, from 1, in a first-in-first-out topological order whose ties go
-    by id: inside a wave, steps follow the last of their dependencies, then id.
-    Steps on or behind a cycle or an undefined dependency have no row.
-    """
-    hot = has_hot_group(nodes, [G], hot_rows)
-    taken = _peel(nodes, edges, hot)
-    placed = positions_within(taken, [G], ["wave", "last_pos", "step_id"], "position", hot=hot)
-    return placed.select(G, "step_id", "wave", "position")
-
-
 def wave_pages(order: DataFrame, page_rows: int = PAGE_ROWS, **kw) -> DataFrame:
     """Sorted step ids per wave as arrays; a wide wave takes several pages."""
     pages = paged(order.select(G, "wave", "step_id"), [G, "wave"], ["step_id"], page_rows, **kw)
@@ -179,12 +256,10 @@ def proper_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("src") != F.col("dst")).join(known, [G, "src"], "left_semi").select(G, "src", "dst")
 
 
-def reaching_cycle(nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def reaching_cycle(nodes: DataFrame, edges: DataFrame, **sizes: int) -> DataFrame:
     """Steps from which some cycle can be reached (the cycle's own steps included)."""
     backwards = edges.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    hot = has_hot_group(nodes, [G], hot_rows)
-    peeled = _peel(nodes, backwards, hot, "sinks")
-    return nodes.join(peeled, [G, "step_id"], "left_anti")
+    return unordered_steps(nodes, execution_order(nodes, backwards, **sizes))
 
 
 def _between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -192,16 +267,15 @@ def _between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(src, [G, "src"], "left_semi").join(dst, [G, "dst"], "left_semi").select(G, "src", "dst")
 
 
-def cycle_core(nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def cycle_core(nodes: DataFrame, edges: DataFrame, **sizes: int) -> DataFrame:
     """Steps on a cycle or on a way from one cycle to another."""
     stage = Staging(nodes.sparkSession, "core")
     proper = stage.put(proper_edges(nodes, edges), "edges")
-    rest = stage.put(reaching_cycle(nodes, proper, hot_rows), "rest")
-    peeled = _peel(rest, _between(proper, rest), has_hot_group(rest, [G], hot_rows), "core-waves")
-    return rest.join(peeled, [G, "step_id"], "left_anti")
+    rest = stage.put(reaching_cycle(nodes, proper, **sizes), "rest")
+    return unordered_steps(rest, execution_order(rest, _between(proper, rest), **sizes))
 
 
-def first_cycle(nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def first_cycle(nodes: DataFrame, edges: DataFrame, **sizes: int) -> DataFrame:
     """The cycle a sorted depth-first search meets first, one per cyclic graph.
 
     Such a search only ever comes back from steps that reach no cycle. So it goes
@@ -214,7 +288,7 @@ def first_cycle(nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) ->
     """
     stage = Staging(nodes.sparkSession, "cycle")
     proper = stage.put(proper_edges(nodes, edges), "edges")
-    rest = stage.put(reaching_cycle(nodes, proper, hot_rows), "rest")
+    rest = stage.put(reaching_cycle(nodes, proper, **sizes), "rest")
     jump = stage.put(
         _between(proper, rest).groupBy(G, F.col("src").alias("step_id")).agg(F.min("dst").alias("next")), "jump-0"
     )
@@ -259,13 +333,13 @@ def transitive_dependencies(edges: DataFrame) -> DataFrame:
     fields = T.StructType(start.schema.fields)
     rounds = ["round=0"]
     while seen["n"]:
-        known = stage.scan(fields, *rounds)
+        known = stage.scan(fields, *rounds).drop("round")
         onward = known.select(G, F.col("ancestor").alias("step_id"), F.col("step_id").alias("far"))
         longer = fresh.join(onward, [G, "step_id"]).select(G, "ancestor", F.col("far").alias("step_id")).distinct()
         found = longer.join(known, [G, "ancestor", "step_id"], "left_anti")
         rounds.append(f"round={len(rounds)}")
         fresh, seen = stage.put_measured(found, rounds[-1], n=F.count(F.lit(1)))
-    return stage.scan(fields, *rounds)
+    return stage.scan(fields, *rounds).drop("round")
 
 
 def blocked_steps(failed: DataFrame, closure: DataFrame) -> DataFrame:
@@ -291,7 +365,7 @@ def undeclared_references(steps: DataFrame, closure: DataFrame, text: str = "inp
 # --- report ----------------------------------------------------------------------
 
 
-def validation_report(steps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def validation_report(steps: DataFrame, **sizes: int) -> DataFrame:
     """One row per graph: counts, whether it is valid and the first kind of error.
 
     Order and waves of valid graphs come from ``execution_order`` and its pages.
@@ -299,7 +373,7 @@ def validation_report(steps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     nodes, edges = graph_nodes(steps), graph_edges(steps)
     stage = Staging(steps.sparkSession, "report")
     nodes, edges = stage.put(nodes, "nodes"), stage.put(edges, "edges")
-    order = execution_order(nodes, edges, hot_rows)
+    order = stage.put(execution_order(nodes, edges, **sizes), "order")
 
     def per_graph(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(G).agg(F.count(F.lit(1)).alias(name))
@@ -309,7 +383,7 @@ def validation_report(steps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         per_graph(duplicate_steps(steps), "n_duplicate"),
         per_graph(undefined_dependencies(nodes, edges), "n_undefined"),
         per_graph(self_dependencies(edges), "n_self"),
-        per_graph(_cyclic(nodes, edges, order, hot_rows), "n_cyclic"),
+        per_graph(_cyclic(nodes, edges, order, sizes), "n_cyclic"),
     ]
     report = per_graph(steps, "step_count")
     for count in counts:
@@ -323,8 +397,8 @@ def validation_report(steps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return report.withColumn("error_type", kind).withColumn("valid", F.col("error_type").isNull())
 
 
-def _cyclic(nodes, edges, order, hot_rows):
+def _cyclic(nodes, edges, order, sizes):
     """Steps that reach a cycle, looked for only in graphs that could not be ordered."""
     stuck = unordered_steps(nodes, order).select(G).distinct()
     some, links = nodes.join(stuck, G, "left_semi"), edges.join(stuck, G, "left_semi")
-    return reaching_cycle(some, proper_edges(some, links), hot_rows)
+    return reaching_cycle(some, proper_edges(some, links), **sizes)

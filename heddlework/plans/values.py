@@ -307,18 +307,27 @@ def filter_rows(spark, folder):
 @query(
     "filter_structs",
     """
-    SELECT o_orderkey, count(l_orderkey) FILTER (l_returnflag IS NOT DISTINCT FROM 'R') AS n_kept, count(*) AS n_items
-    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey
+    SELECT l_orderkey, l_linenumber, l_partkey,
+           CASE WHEN l_returnflag = 'R' THEN 'flag' ELSE '' END ||
+           CASE WHEN l_returnflag = 'R' AND l_linestatus = 'R' THEN ',' ELSE '' END ||
+           CASE WHEN l_linestatus = 'R' THEN 'status' ELSE '' END AS kept,
+           CASE WHEN l_linestatus = 'O' THEN 'status' ELSE '' END AS unset
+    FROM lineitem
     """,
 )
 def filter_structs(spark, folder):
-    # An order's lines are a handful, so nesting them is bounded by the data model.
-    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
-        F.collect_list(F.struct("l_linenumber", "l_returnflag")).alias("items")
+    items = F.array(
+        F.struct(F.lit("flag").alias("name"), F.col("l_returnflag").alias("value")),
+        F.struct(F.lit("status").alias("name"), F.nullif("l_linestatus", F.lit("O")).alias("value")),
+        F.lit(None),
+    )
+
+    def names(value):
+        return joined(F.transform(P.filter_structs(items, "value", value), lambda item: item["name"]))
+
+    return table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", names("R").alias("kept"), names(F.lit(None).cast("string")).alias("unset")
     )
-    o = table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    kept = P.filter_structs(F.col("items"), "l_returnflag", "R")
-    return o.select("o_orderkey", F.size(kept).cast("long").alias("n_kept"), F.size("items").cast("long").alias("n_items"))
 
 
 @query(
