@@ -1,0 +1,166 @@
+"""Queries on waits and callbacks, and on arriving rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from heddlework.operators.waits import match_waits, waits_from_steps
+from heddlework.plans.catalog import micros, query, table
+from heddlework.plans.runs import _CACHED_SQL, _LOG_SQL, _square, shape_log, shape_requests
+from heddlework.session import Staging
+from heddlework.streaming.cached import CachedBatches
+from heddlework.streaming.runstate import live_runs
+from heddlework.streaming.waits import STATE_STORE, WaitBatches, match_stream, tagged
+
+# A signup waits for a purchase of the same user, for as many hours as its k says.
+_WAIT_SQL = """
+WITH w AS (SELECT event_id, user_id, ts AS began, ts + to_hours(CAST(props->>'$.k' AS INTEGER)) AS ends FROM events WHERE event_type = 'signup'),
+c AS (SELECT event_id, user_id, ts, props FROM events WHERE event_type = 'purchase'),
+owned AS (
+  SELECT c.event_id, c.user_id, c.ts, c.props, w.event_id AS wait_id, w.ends
+  FROM c LEFT JOIN w ON w.user_id = c.user_id AND w.began <= c.ts
+  QUALIFY row_number() OVER (PARTITION BY c.event_id ORDER BY w.began DESC NULLS LAST, w.event_id DESC) = 1),
+won AS (SELECT * FROM owned WHERE ts <= ends QUALIFY row_number() OVER (PARTITION BY wait_id ORDER BY ts, event_id) = 1)
+"""
+
+
+def _name(column: str):
+    return F.lpad(F.col(column).cast("string"), 12, "0")
+
+
+def _waits(events):
+    hours = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
+    return events.filter("event_type = 'signup'").select(
+        _name("event_id").alias("wait_id"), F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"),
+        F.lit("s").alias("step_id"), F.col("ts").alias("started_at"), (hours * 3600).alias("timeout_seconds"),
+    )
+
+
+def _callbacks(events):
+    return events.filter("event_type = 'purchase'").select(
+        _name("event_id").alias("callback_id"), F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"),
+        F.lit("s").alias("step_id"), "ts", F.col("props").alias("payload"),
+    )
+
+
+@query(
+    "wait_match",
+    _WAIT_SQL + """SELECT lpad(CAST(w.event_id AS VARCHAR), 12, '0') AS wait_id, 'run_' || w.user_id AS run_id,
+    CASE WHEN won.event_id IS NOT NULL THEN 'COMPLETED' ELSE 'FAILED' END AS outcome,
+    lpad(CAST(won.event_id AS VARCHAR), 12, '0') AS callback_id, won.props AS outputs, epoch_us(won.ts) AS callback_us
+    FROM w LEFT JOIN won ON won.wait_id = w.event_id""",
+)
+def wait_match(spark, folder):
+    e = table(spark, folder, "events")
+    matched = match_waits(_waits(e), _callbacks(e)).waits
+    return matched.select("wait_id", "run_id", "outcome", "callback_id", "outputs", micros("callback_ts").alias("callback_us"))
+
+
+@query(
+    "wait_rejects",
+    _WAIT_SQL + "SELECT lpad(CAST(c.event_id AS VARCHAR), 12, '0') AS callback_id, 'run_' || c.user_id AS run_id FROM c ANTI JOIN won ON won.event_id = c.event_id",
+)
+def wait_rejects(spark, folder):
+    e = table(spark, folder, "events")
+    return match_waits(_waits(e), _callbacks(e)).rejected.select("callback_id", "run_id")
+
+
+@query(
+    "wait_steps",
+    """SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS wait_id, 'run_' || user_id AS run_id, 300 AS timeout_seconds
+    FROM events WHERE event_type = 'signup'""",
+)
+def wait_steps(spark, folder):
+    kind = F.col("event_type")
+    flag = F.when(kind == "signup", '{"wait_for_webhook": true}').when(kind == "view", '{"wait_for_webhook": "true"}')
+    flag = flag.when(kind == "click", '{"wait_for_webhook": 1}').otherwise("{}")
+    steps = table(spark, folder, "events").select(
+        _name("event_id").alias("id"), F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"),
+        F.lit("s").alias("step_id"), flag.alias("resolved_inputs"), F.col("ts").alias("started_at"), F.lit(300).alias("timeout_seconds"),
+    )
+    return waits_from_steps(steps).select("wait_id", "run_id", "timeout_seconds")
+
+
+# --- streams ------------------------------------------------------------------------
+
+
+def stream_events(spark, folder):
+    """The event table read as a stream, in UTC instants."""
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    # A glob, because a stream takes a plain path for a folder and the table may be one file.
+    rows = spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run(writer, stage, name):
+    writer.option("checkpointLocation", f"{stage.root}/{name}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+# What the watermark has passed: everything up to the newest event less the delay.
+_STREAM_SQL = _WAIT_SQL + """, mark AS (SELECT epoch_ms(epoch_ms(max(ts)) - {delay}) AS at FROM events WHERE event_type IN ('signup', 'purchase'))
+SELECT 'run_' || w.user_id AS run_id, 'FAILED' AS outcome, lpad(CAST(w.event_id AS VARCHAR), 12, '0') AS row_id, CAST(NULL AS VARCHAR) AS payload
+FROM w ANTI JOIN won ON won.wait_id = w.event_id, mark WHERE w.ends <= mark.at
+UNION ALL
+SELECT 'run_' || c.user_id, CASE WHEN won.event_id IS NOT NULL THEN 'COMPLETED' ELSE 'REJECTED' END, lpad(CAST(c.event_id AS VARCHAR), 12, '0'), c.props
+FROM c LEFT JOIN won ON won.event_id = c.event_id, mark WHERE c.ts <= mark.at
+"""
+
+
+def _shown(outcomes):
+    row = F.coalesce("callback_id", "wait_id").alias("row_id")
+    return outcomes.select("run_id", "outcome", row, "payload")
+
+
+@query("wait_stream", _STREAM_SQL.format(delay=3_600_000))
+def wait_stream(spark, folder):
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+    e = stream_events(spark, folder)
+    matched = match_stream(_waits(e), _callbacks(e), "1 hour")
+    stage = Staging(spark, "wait-stream")
+    _run(matched.writeStream.format("parquet").option("path", f"{stage.root}/out"), stage, "out")
+    return _shown(spark.read.schema(matched.schema).parquet(f"{stage.root}/out"))
+
+
+@query("wait_batches", _STREAM_SQL.replace("epoch_ms(epoch_ms(max(ts)) - {delay})", "max(ts) - to_hours(1)"))
+def wait_batches(spark, folder):
+    e = stream_events(spark, folder)
+    stage = Staging(spark, "wait-batches")
+    sink = WaitBatches(stage.root, delay_seconds=3600)
+    _run(tagged(_waits(e), _callbacks(e)).writeStream.foreachBatch(sink), stage, "sink")
+    return _shown(sink.outcomes(spark))
+
+
+@query(
+    "live_runs",
+    _LOG_SQL + """SELECT run_id, arg_max(status, (created_at, id)) AS status,
+    epoch_us(min(created_at) FILTER (status = 'RUNNING')) AS started_us,
+    epoch_us(max(created_at) FILTER (status IN ('COMPLETED', 'FAILED'))) AS completed_us FROM sr GROUP BY run_id""",
+)
+def live_run_state(spark, folder):
+    log = shape_log(stream_events(spark, folder))
+    events = log.select(
+        F.col("id").alias("event_id"), "run_id", F.col("created_at").alias("ts"), "status", "outputs",
+        F.col("error_trace").alias("error_message"),
+    )
+    stage = Staging(spark, "live")
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{stage.root}/state/batch={batch_id}")
+
+    state = live_runs(events)
+    _run(state.writeStream.outputMode("update").foreachBatch(keep), stage, "state")
+    fields = T.StructType([*state.schema.fields, T.StructField("batch", T.IntegerType())])
+    rows = spark.read.schema(fields).option("basePath", f"{stage.root}/state").parquet(f"{stage.root}/state/batch=*")
+    newest = rows.groupBy("run_id").agg(F.max_by(F.struct("status", "started_at", "completed_at"), F.col("batch")).alias("s"))
+    return newest.select("run_id", "s.status", micros("s.started_at").alias("started_us"), micros("s.completed_at").alias("completed_us"))
+
+
+@query("cached_batches", _CACHED_SQL.replace("old AS (SELECT", "old AS (SELECT * FROM (SELECT").replace(
+    "completed_at DESC, id DESC) = 1)", "completed_at DESC, id DESC) = 1) WHERE FALSE)"))
+def cached_batches(spark, folder):
+    stage = Staging(spark, "cached")
+    sink = CachedBatches(f"{stage.root}/log", _square, "use_cache")
+    _run(shape_requests(stream_events(spark, folder)).writeStream.foreachBatch(sink), stage, "log")
+    return sink.log(spark).select(F.col("id").cast("long").alias("event_id"), "input_hash", "cached", "outputs")

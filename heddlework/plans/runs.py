@@ -218,7 +218,10 @@ step AS (SELECT DISTINCT workflow_id, step_id FROM sr UNION SELECT DISTINCT work
 
 def step_log(spark, folder):
     """Step runs in the shape of the log table, with the workflow alongside."""
-    e = table(spark, folder, "events")
+    return shape_log(table(spark, folder, "events"))
+
+
+def shape_log(e):
     status = F.coalesce(*[F.when(F.col("event_type") == kind, s) for kind, s in STATUS.items()])
     v = F.try_parse_json("props")
     k = F.try_variant_get(v, "$.k", "int")
@@ -281,7 +284,10 @@ def _square(missing):
 
 
 def requests(spark, folder):
-    e = table(spark, folder, "events")
+    return shape_requests(table(spark, folder, "events"))
+
+
+def shape_requests(e):
     action = F.when(F.col("event_type") == "view", "click").otherwise(F.col("event_type"))
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
     return e.select(
