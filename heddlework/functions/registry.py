@@ -77,29 +77,28 @@ def apply_provider(df: DataFrame, provider: Callable, outputs: T.StructType, err
     """Add columns a caller's batch function works out.
 
     ``provider`` takes a pandas DataFrame and returns one with the ``outputs``
-    columns in the same row order. A batch that fails is tried row by row, so only
-    the bad rows carry an error text and the job goes on.
+    columns in the same row order. A batch that fails is halved until the failing
+    rows stand alone, so only they carry an error text and the job goes on.
     """
     schema = T.StructType([*df.schema.fields, *outputs.fields, T.StructField(error, T.StringType())])
     names = outputs.fieldNames()
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        answer = provider(rows)[names].reset_index(drop=True)
-        return pd.concat([rows.reset_index(drop=True), answer], axis=1).assign(**{error: None})
-
-    def each(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for at in range(len(rows)):
-            row = rows.iloc[at : at + 1]
-            try:
-                yield one(row)
-            except Exception as problem:  # the row is kept with its error
-                yield row.reset_index(drop=True).assign(**dict.fromkeys(names), **{error: str(problem)})
+    def answers(rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list]]:
+        try:
+            yield provider(rows)[names], [None] * len(rows)
+        except Exception as problem:
+            if len(rows) == 1:
+                yield pd.DataFrame([[None] * len(names)], columns=names), [str(problem)]
+                return
+            middle = len(rows) // 2
+            yield from answers(rows.iloc[:middle])
+            yield from answers(rows.iloc[middle:])
 
     def batches(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in pieces:
-            try:
-                yield one(rows)
-            except Exception:
-                yield from each(rows)
+            found = list(answers(rows))
+            made = {name: [v for part, _ in found for v in part[name].tolist()] for name in names}
+            errors = [text for _, texts in found for text in texts]
+            yield rows.reset_index(drop=True).assign(**made, **{error: errors})
 
     return df.mapInPandas(batches, schema)

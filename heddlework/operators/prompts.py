@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from heddlework.functions.binding import bind
 from heddlework.operators.requests import stripped
 
 # Fixed values.
@@ -105,8 +106,12 @@ def fill_from_schema(value: Column, schema: dict) -> Column:
     if not added:
         return value
     pairs = [part for name, text in added.items() for part in (F.lit(name), F.parse_json(F.lit(text)))]
-    lacking = F.map_filter(F.create_map(*pairs), lambda name, _: ~F.map_contains_key(held, name))
-    return F.when(held.isNull(), value).otherwise(F.to_variant_object(F.map_concat(held, lacking)))
+    fillers = F.create_map(*pairs)
+
+    def complete(known: Column) -> Column:
+        return F.map_concat(known, F.map_filter(fillers, lambda name, _: ~F.map_contains_key(known, name)))
+
+    return F.coalesce(F.to_variant_object(bind(held, complete)), value)
 
 
 def first_answer(candidates: dict[str, Column], fallback: Column, warning: Column) -> Column:

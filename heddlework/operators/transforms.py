@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heddlework.functions.binding import bind
+
 
 # --- select -----------------------------------------------------------------
 
@@ -70,24 +72,39 @@ def filter_items(items: Column, key: str, value: Column) -> Column:
     if not key:
         return items
     listed = F.try_variant_get(items, "$", "array<variant>")
-    wanted = comparable(value)
-    kept = F.filter(listed, lambda x: _is_object(x) & (comparable(_member(x, key)) == wanted))
+
+    def keep(given: Column) -> Column:
+        seen = F.transform(
+            given["listed"], lambda x: F.struct(x.alias("item"), F.to_json(_member(x, key)).alias("text"))
+        )
+        equal = F.filter(
+            seen,
+            lambda s: F.when(s["text"].isNotNull(), comparable(s["text"]) == given["wanted"]).otherwise(
+                (given["wanted"] == "null") & _is_object(s["item"])
+            ),
+        )
+        return F.transform(equal, lambda s: s["item"])
+
+    wanted = bind(F.coalesce(F.to_json(value), F.lit("null")), comparable)
+    kept = bind(F.struct(listed.alias("listed"), wanted.alias("wanted")), keep)
     return F.when(listed.isNotNull(), F.to_variant_object(kept)).otherwise(items)
 
 
-def comparable(value: Column) -> Column:
-    """A text that is equal for VARIANT values that count as equal."""
-    kind = F.schema_of_variant(value)
-    text = value.cast("string")
-    real = F.try_variant_get(value, "$", "double")
-    whole = (real == F.floor(real)) & (F.abs(real) < 1e15)
+def comparable(text: Column) -> Column:
+    """A text that is equal for JSON texts whose values count as equal.
+
+    Booleans are 1 and 0, and a floating-point number prints as the whole or
+    decimal number it equals. A text keeps its quotes, so it never meets a number.
+    """
+    number = text.rlike("^-?[0-9]")
+    plain = F.regexp_replace(text, r"\.0$", "")
+    exponent = F.try_to_number(F.format_string("%.10f", text.try_cast("double")), F.lit("S9999999999999999999999999999.9999999999"))
     return (
-        F.when(value.isNull() | F.is_variant_null(value), "null")
-        .when(kind == "STRING", F.concat(F.lit("s:"), text))
-        .when(kind == "BOOLEAN", F.when(text == "true", "n:1").otherwise("n:0"))
-        .when((kind == "DOUBLE") & whole, F.concat(F.lit("n:"), real.cast("long").cast("string")))
-        .when((kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"), F.concat(F.lit("n:"), text))
-        .otherwise(F.to_json(value))
+        F.when(text == "true", "1")
+        .when(text == "false", "0")
+        .when(number & text.contains("E"), F.coalesce(F.regexp_replace(exponent.cast("string"), r"\.?0+$", ""), text))
+        .when(number, plain)
+        .otherwise(text)
     )
 
 
@@ -137,16 +154,19 @@ def merge_document(document: Column) -> Column:
     later ones win. The result is VARIANT; NULL where the text is no JSON object.
     """
     whole = F.try_variant_get(F.try_parse_json(document), "$", "map<string,variant>")
+    nothing = F.create_map().cast("map<string,variant>")
 
-    def spread(key: Column) -> Column:
-        value = whole[key]
-        inner = F.try_variant_get(value, "$", "map<string,variant>")
-        return F.coalesce(inner, F.create_map(key, value))
+    def spread(value: Column, key: Column) -> Column:
+        return F.coalesce(F.try_variant_get(value, "$", "map<string,variant>"), F.create_map(key, value))
 
-    parts = F.transform(F.json_object_keys(document), spread)
-    nothing = F.create_map().cast("map<string,variant>")
-    merged = F.aggregate(parts, nothing, _later_wins)
-    return F.when(whole.isNotNull(), F.to_variant_object(merged))
+    def add(held: Column, key: Column) -> Column:
+        part = bind(held["whole"][key], lambda value: spread(value, key))
+        merged = bind(part, lambda later: _later_wins(held["merged"], later))
+        return F.struct(merged.alias("merged"), held["whole"].alias("whole"))
+
+    start = F.struct(nothing.alias("merged"), whole.alias("whole"))
+    merged = F.aggregate(F.json_object_keys(document), start, add, lambda held: held["merged"])
+    return F.to_variant_object(merged)
 
 
 def merge_rows(df: DataFrame, group: list[str], position: str, key: str, value: str) -> DataFrame:

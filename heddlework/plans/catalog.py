@@ -26,9 +26,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table with its timestamps read as UTC instants."""
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A table with its timestamps read as UTC instants.
+
+    ``spread`` is for work that is heavy per row: a table of fewer file splits
+    than cores is dealt out to all of them. Large tables are left as they are.
+    """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
     plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({name: F.col(name).cast("timestamp") for name in plain})
 
