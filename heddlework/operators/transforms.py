@@ -87,7 +87,7 @@ def filter_items(items: Column, key: str, value: Column) -> Column:
 
     wanted = bind(F.coalesce(F.to_json(value), F.lit("null")), comparable)
     kept = bind(F.struct(listed.alias("listed"), wanted.alias("wanted")), keep)
-    return F.when(listed.isNotNull(), F.to_variant_object(kept)).otherwise(items)
+    return F.coalesce(F.to_variant_object(kept), items)
 
 
 def comparable(text: Column) -> Column:
@@ -96,14 +96,13 @@ def comparable(text: Column) -> Column:
     Booleans are 1 and 0, and a floating-point number prints as the whole or
     decimal number it equals. A text keeps its quotes, so it never meets a number.
     """
-    number = text.rlike("^-?[0-9]")
-    plain = F.regexp_replace(text, r"\.0$", "")
-    exponent = F.try_to_number(F.format_string("%.10f", text.try_cast("double")), F.lit("S9999999999999999999999999999.9999999999"))
+    real = text.contains("E") | text.endswith(".0")
+    exact = F.format_string("%.10f", text.try_cast("double"))
     return (
-        F.when(text == "true", "1")
+        F.when(text.startswith('"'), text)
+        .when(text == "true", "1")
         .when(text == "false", "0")
-        .when(number & text.contains("E"), F.coalesce(F.regexp_replace(exponent.cast("string"), r"\.?0+$", ""), text))
-        .when(number, plain)
+        .when(real & text.rlike("^-?[0-9]"), F.regexp_replace(exact, r"\.?0+$", ""))
         .otherwise(text)
     )
 

@@ -22,7 +22,7 @@ from heddlework.plans.catalog import query, table
     """,
 )
 def expression_column(spark, folder):
-    rows = table(spark, folder, "lineitem")
+    rows = table(spark, folder, "lineitem", spread=True)
     rows = with_expression(rows, "tripled", "ignored", code="cast(l_quantity as bigint) * 3")
     rows = with_expression(rows, "n_flags", "cast(length(concat(l_returnflag, l_linestatus)) as bigint)")
     rows = with_expression(rows, "at_least_ten", "cast(array_max(array(l_quantity, 10D)) as bigint)")
@@ -61,7 +61,7 @@ def _bare():
 )
 def bound_functions(spark, folder):
     """One function per way of binding: by name, whole row, inputs, inputs and context, bare."""
-    rows = table(spark, folder, "lineitem").withColumn("run_id", F.concat(F.lit("run_"), F.col("l_orderkey").cast("string")))
+    rows = table(spark, folder, "lineitem", spread=True).withColumn("run_id", F.concat(F.lit("run_"), F.col("l_orderkey").cast("string")))
     known = FunctionRegistry(spark)
     made = {
         "discounted": (_discounted, "long", ["l_extendedprice", "l_discount", "l_tax"]),
@@ -92,7 +92,7 @@ def _score(rows: pd.DataFrame) -> pd.DataFrame:
     """,
 )
 def provider_rows(spark, folder):
-    rows = table(spark, folder, "part").select("p_partkey", "p_size")
+    rows = table(spark, folder, "part", spread=True).select("p_partkey", "p_size")
     return apply_provider(rows, _score, T.StructType([T.StructField("score", T.DoubleType())]))
 
 
@@ -112,7 +112,7 @@ def parse_actions(spark, folder):
         F.when(kind == 0, F.concat(F.lit("post  "), "url")).when(kind == 1, F.concat(F.lit(" DELETE\t"), "url", F.lit(" ")))
         .when(kind == 2, F.concat(F.lit("\n"), "url")).otherwise(F.concat(F.lit("fetch "), "url"))
     )
-    return table(spark, folder, "pages").select("page_id", N.parse_action(action).alias("a")).select("page_id", "a.*")
+    return table(spark, folder, "pages", spread=True).select("page_id", N.parse_action(action).alias("a")).select("page_id", "a.*")
 
 
 @query(
@@ -146,7 +146,7 @@ def build_requests(spark, folder):
         .otherwise(text('{"params":{"page":2},"left":1}'))
     )
     verb = F.when(kind == 2, "PUT ").when(kind == 3, "PATCH ").when(kind == 4, "DELETE ").otherwise("GET ")
-    rows = table(spark, folder, "pages").select(
+    rows = table(spark, folder, "pages", spread=True).select(
         "page_id", F.concat(verb, "url").alias("action"), inputs.alias("inputs"), F.lit(300).alias("timeout_seconds")
     )
     return N.build_requests(rows, "action", "inputs").drop("action", "inputs", "timeout_seconds")
@@ -160,7 +160,7 @@ WITH e AS (SELECT event_id, props, props->>'$.k' AS k, event_type, 'http://s/' |
 
 
 def _responses(spark, folder):
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     kind = F.col("event_type")
     return e.select(
         "event_id",
@@ -225,7 +225,7 @@ def assemble_prompts(spark, folder):
         temperature=F.when(turn == 2, 0.1),
         output_schema=F.when(turn == 0, '{"type":"object"}').when(turn == 1, "true"),
     )
-    rows = table(spark, folder, "conversations").select("conv_id", "turn", made.alias("p"))
+    rows = table(spark, folder, "conversations", spread=True).select("conv_id", "turn", made.alias("p"))
     return rows.select(
         "conv_id", "turn", "p.model", F.col("p.messages")[0]["content"].alias("system_text"),
         F.col("p.messages")[1]["content"].alias("user_text"), F.size("p.messages").alias("n_messages"),
@@ -244,7 +244,7 @@ def assemble_prompts(spark, folder):
     """,
 )
 def prompt_profile(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", L.prompt_profile(F.col("text")).alias("p")).select("doc_id", "p.*")
+    return table(spark, folder, "documents", spread=True).select("doc_id", L.prompt_profile(F.col("text")).alias("p")).select("doc_id", "p.*")
 
 
 _ANSWER_SQL = """
@@ -267,7 +267,7 @@ def _answers(spark, folder):
         .when(kind == "signup", 'broken ```json {"k": } ``` end')
         .otherwise(F.concat(F.lit("no json "), F.col("event_id").cast("string")))
     )
-    return table(spark, folder, "events").select("event_id", "event_type", text.alias("text"))
+    return table(spark, folder, "events", spread=True).select("event_id", "event_type", text.alias("text"))
 
 
 @query("json_from_text", _ANSWER_SQL + "SELECT event_id, parsed FROM a")
@@ -303,7 +303,7 @@ def fill_from_schema(spark, folder):
     kinds = {"k": "string", "label": "string", "tags": "array", "n": "integer", "r": "number", "done": "boolean", "info": "object", "odd": "date"}
     schema = {"properties": {**{name: {"type": kind} for name, kind in kinds.items()}, "untyped": {}}}
     filled = L.fill_from_schema(F.try_parse_json("props"), schema)
-    return table(spark, folder, "events").select("event_id", F.to_json(filled).alias("filled"))
+    return table(spark, folder, "events", spread=True).select("event_id", F.to_json(filled).alias("filled"))
 
 
 @query(
@@ -321,5 +321,5 @@ def first_answer(spark, folder):
     provider = F.try_parse_json(F.when(kind.isin("click", "purchase"), "1"))
     fallback = F.parse_json(F.lit('"none"'))
     best = L.first_answer({"given": given, "provider": provider}, fallback, F.lit("nobody answered"))
-    rows = table(spark, folder, "events").select("event_id", best.alias("a"))
+    rows = table(spark, folder, "events", spread=True).select("event_id", best.alias("a"))
     return rows.select("event_id", "a.source", F.to_json("a.answer").alias("answer"), "a.warning")

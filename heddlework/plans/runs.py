@@ -29,7 +29,7 @@ WITH d AS (
 
 def definition_texts(spark, folder):
     """Orders with a definition text each; some lack fields, break rules or are no JSON."""
-    o = table(spark, folder, "orders")
+    o = table(spark, folder, "orders", spread=True)
     k = F.col("o_orderkey")
 
     def every(n: int, at: int):
@@ -218,7 +218,7 @@ step AS (SELECT DISTINCT workflow_id, step_id FROM sr UNION SELECT DISTINCT work
 
 def step_log(spark, folder):
     """Step runs in the shape of the log table, with the workflow alongside."""
-    return shape_log(table(spark, folder, "events"))
+    return shape_log(table(spark, folder, "events", spread=True))
 
 
 def shape_log(e):
@@ -284,7 +284,7 @@ def _square(missing):
 
 
 def requests(spark, folder):
-    return shape_requests(table(spark, folder, "events"))
+    return shape_requests(table(spark, folder, "events", spread=True))
 
 
 def shape_requests(e):

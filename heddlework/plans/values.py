@@ -24,7 +24,7 @@ _DOC_SQL = "CAST(props->>'$.k' AS INTEGER)"
 
 
 def nested_events(spark, folder):
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     text = F.concat(
         F.lit('{"user":{"id":'), F.col("user_id").cast("string"),
         F.lit('},"items":['), F.col("props"), F.lit(',{"type":"'), F.col("event_type"),
@@ -152,7 +152,7 @@ def resolve_split(spark, folder):
 
 
 def _customers(spark, folder):
-    c, n = table(spark, folder, "customer"), table(spark, folder, "nation")
+    c, n = table(spark, folder, "customer", spread=True), table(spark, folder, "nation")
     both = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     about = F.struct(
         F.col("c_name").alias("name"), F.col("c_custkey").alias("key"),
@@ -244,7 +244,7 @@ def render_template_column(spark, folder):
     """,
 )
 def extract_references(spark, folder):
-    p = table(spark, folder, "part")
+    p = table(spark, folder, "part", spread=True)
     text = F.concat(
         F.lit("use ${part_"), F.col("p_size").cast("string"), F.lit(".output.items[0]} and ${workflow.input."),
         F.lower("p_type"), F.lit("} or ${workflow.input} not ${x.y.z} ${a.output['k']}"),
@@ -268,7 +268,7 @@ def select_fields(spark, folder):
     """,
 )
 def select_keys(spark, folder):
-    o = table(spark, folder, "orders")
+    o = table(spark, folder, "orders", spread=True)
     held = F.create_map(
         F.lit("key"), F.col("o_orderkey").cast("string"), F.lit("status"), F.nullif("o_orderstatus", F.lit("P")),
         F.lit("priority"), F.col("o_orderpriority"),
@@ -287,7 +287,7 @@ def select_keys(spark, folder):
     """,
 )
 def select_json(spark, folder):
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     text = F.concat(
         F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"more":{"a":1},"note":null,"type":"'), F.col("event_type"), F.lit('"}')
     )
@@ -325,7 +325,7 @@ def filter_structs(spark, folder):
     def names(value):
         return joined(F.transform(P.filter_structs(items, "value", value), lambda item: item["name"]))
 
-    return table(spark, folder, "lineitem").select(
+    return table(spark, folder, "lineitem", spread=True).select(
         "l_orderkey", "l_linenumber", "l_partkey", names("R").alias("kept"), names(F.lit(None).cast("string")).alias("unset")
     )
 
@@ -343,7 +343,7 @@ def filter_structs(spark, folder):
     """,
 )
 def filter_items(spark, folder):
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     k = F.get_json_object("props", "$.k")
     text = F.concat(
         F.lit('[{"at":1,"k":'), k, F.lit('},{"at":2,"k":'), k, F.lit('.0},{"at":3,"k":"'), k, F.lit('"},{"at":4},7,"x",null,[1]]')
@@ -389,7 +389,7 @@ def merge_document(spark, folder):
         F.lit('{"zz":'), F.col("props"), F.lit(',"n":0,"list":[1,{"x":2}],"body":{"user":'), F.col("user_id").cast("string"),
         F.lit(',"n":'), F.col("event_id").cast("string"), F.lit('},"k":"'), F.col("event_type"), F.lit('"}'),
     )
-    return table(spark, folder, "events").select("event_id", F.to_json(P.merge_document(text)).alias("merged"))
+    return table(spark, folder, "events", spread=True).select("event_id", F.to_json(P.merge_document(text)).alias("merged"))
 
 
 @query(
@@ -435,7 +435,7 @@ def passthrough(spark, folder):
     """,
 )
 def fingerprint(spark, folder):
-    o = table(spark, folder, "orders")
+    o = table(spark, folder, "orders", spread=True)
     s, p, c = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_custkey").cast("string")
     one = F.concat(F.lit('{"z":{"s":"'), s, F.lit('","p":"'), p, F.lit('"},"a":['), c, F.lit("]}"))
     two = F.concat(F.lit('{ "a" : [ '), c, F.lit('.0 ], "z": {"p":"'), p, F.lit('", "s":"'), s, F.lit('"}}'))
@@ -452,5 +452,5 @@ def fingerprint(spark, folder):
     """,
 )
 def row_fingerprint(spark, folder):
-    o = table(spark, folder, "orders").withColumn("status", F.nullif("o_orderstatus", F.lit("P")))
+    o = table(spark, folder, "orders", spread=True).withColumn("status", F.nullif("o_orderstatus", F.lit("P")))
     return o.select("o_orderkey", row_key(o, F.lit("row"), ["status", "o_custkey"]).alias("row_hash"))
