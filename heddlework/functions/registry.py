@@ -67,10 +67,10 @@ def _series_call(fn: Callable, names: list[str]) -> Callable:
 
 
 def _vectorised(fn: Callable, returns: T.DataType | str):
-    def run(*columns):
+    def run(*columns: pd.Series) -> pd.Series:
         return fn(*columns)
 
-    return F.pandas_udf(run, returnType=returns, functionType=F.PandasUDFType.SCALAR)
+    return F.pandas_udf(run, returnType=returns)
 
 
 def apply_provider(df: DataFrame, provider: Callable, outputs: T.StructType, error: str = "error") -> DataFrame:
