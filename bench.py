@@ -2,7 +2,8 @@
 
 ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the cores. Each query runs twice
 into a sink that reads every row and column; the second run counts, the first is
-reported as ``cold``.
+reported as ``cold``. ``rows_per_sec`` is the rows of the query's main table over
+its time.
 """
 
 from __future__ import annotations
@@ -14,6 +15,13 @@ import time
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 
+MAIN_TABLE = {
+    "render_template": "customer", "render_template_column": "customer", "extract_references": "part",
+    "merge_maps": "orders", "fingerprint": "orders", "graph_order": "part", "graph_closure": "part",
+    "graph_first_cycle": "part", "graph_validation_report": "part", "definition_steps": "orders",
+    "validate_steps": "orders", "bound_functions": "lineitem", "build_requests": "pages", "prompt_profile": "documents",
+}
+
 HEADLINES = (
     "typed_event_flow path_extract path_column resolve_errors render_template render_template_column "
     "extract_references select_json filter_items merge_maps merge_document merge_rows fingerprint "
@@ -49,6 +57,8 @@ def main() -> None:
     for name in chosen:
         cold[name] = seconds(name)
         warm[name] = seconds(name)
+    tables = {name: MAIN_TABLE.get(name, "events") for name in chosen}
+    sizes = {t: spark.read.parquet(f"{FOLDER}/{t}.parquet").count() for t in set(tables.values())}
     spark.stop()
     print(
         json.dumps(
@@ -60,6 +70,7 @@ def main() -> None:
                 "sf": os.path.basename(FOLDER.rstrip("/")).removeprefix("sf"),
                 "cpus": int(CPUS),
                 "cold": cold,
+                "rows_per_sec": {name: round(sizes[tables[name]] / warm[name]) for name in chosen},
             }
         )
     )

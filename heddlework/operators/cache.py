@@ -9,24 +9,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddlework.functions.fingerprint import input_key
+from heddlework.session import Staging
 from heddlework.sources.logs import new_step_runs
 
 
-def newest_completed(step_runs: DataFrame, key: str = "input_hash") -> DataFrame:
+def newest_completed(
+    step_runs: DataFrame, key: str = "input_hash", columns: list[str] | None = None
+) -> DataFrame:
     """Per key the COMPLETED row that ended last; equal times go to the larger id.
 
     ``max_by`` keeps one row per key on the map side, so a key that holds a large
-    part of the log sends one row per task through the shuffle.
+    part of the log sends one row per task through the shuffle. Only ``columns``
+    (all by default) are read beside the key and the ranking.
     """
     done = step_runs.filter((F.col("status") == "COMPLETED") & F.col(key).isNotNull())
+    kept = [name for name in columns or done.columns if name != key]
     rank = F.struct("completed_at", "id")
-    return done.groupBy(key).agg(F.max_by(F.struct(*done.columns), rank).alias("_s")).select("_s.*")
+    return done.groupBy(key).agg(F.max_by(F.struct(*kept), rank).alias("_s")).select(key, "_s.*")
 
 
 @dataclass(frozen=True)
 class CachedStep:
     """``results``: the requests with ``outputs`` and ``cached``.
-    ``computed``: what the caller's function had to work out, one row per key."""
+    ``computed``: what the caller's function has worked out, one row per key."""
 
     results: DataFrame
     computed: DataFrame
@@ -56,8 +61,11 @@ def cached_step(
 
     Requests meet the log only after both are down to one row per key, so equal
     requests cannot blow the join up. The join back has one row per key on its
-    right side; its left side may be skewed, which AQE splits.
+    right side; its left side may be skewed, which AQE splits. What is to be
+    computed and its results are written to the shared folder, so the log is read
+    once and ``compute`` runs once, however often the results are used.
     """
+    stage = Staging(requests.sparkSession, "cached-step")
     keyed = with_input_key(requests)
     flag = F.coalesce(F.col(use_cache), F.lit(False)) if use_cache else F.lit(True)
     asked = keyed.groupBy("input_hash").agg(
@@ -65,10 +73,10 @@ def cached_step(
         F.min("resolved_inputs").alias("resolved_inputs"),
         F.bool_or(~flag).alias("_must"),
     )
-    kept = newest_completed(step_runs).select("input_hash", F.struct("outputs").alias("_old"))
-    looked_up = asked.join(kept, "input_hash", "left")
+    kept = newest_completed(step_runs, columns=["outputs"]).select("input_hash", F.struct("outputs").alias("_old"))
+    looked_up = stage.put(asked.join(kept, "input_hash", "left"), "keys")
     missing = looked_up.filter(F.col("_old").isNull() | F.col("_must"))
-    computed = compute(missing.select("input_hash", "action", "resolved_inputs"))
+    computed = stage.put(compute(missing.select("input_hash", "action", "resolved_inputs")), "computed")
     fresh = computed.select("input_hash", F.col("outputs").alias("_new"))
     answers = looked_up.join(fresh, "input_hash", "left").select("input_hash", "_old", "_new")
     hit = flag & F.col("_old").isNotNull()

@@ -324,22 +324,30 @@ def first_cycle(nodes: DataFrame, edges: DataFrame, **sizes: int) -> DataFrame:
 def transitive_dependencies(edges: DataFrame) -> DataFrame:
     """All pairs (workflow_id, ancestor, step_id) where the step depends on the ancestor.
 
-    Ways up to length 2^k are known after k rounds: the pairs new in the last
-    round are extended by all known pairs. Ends on cyclic graphs as well.
+    Each round doubles the distance that is known. A shortest way of up to twice
+    ``reach`` steps passes a step at distance ``reach`` exactly, so only the pairs
+    at that distance are joined with the known pairs. Ends on cyclic graphs too.
     """
     stage = Staging(edges.sparkSession, "reach")
-    start = edges.select(G, F.col("src").alias("ancestor"), F.col("dst").alias("step_id")).distinct()
-    fresh, seen = stage.put_measured(start, "round=0", n=F.count(F.lit(1)))
+    one = F.lit(1).cast("long")
+    start = edges.select(G, F.col("src").alias("ancestor"), F.col("dst").alias("step_id"), one.alias("distance")).distinct()
     fields = T.StructType(start.schema.fields)
-    rounds = ["round=0"]
-    while seen["n"]:
+    fresh, seen = stage.put_measured(start, "round=0", n_far=F.count(F.lit(1)))
+    rounds, reach = ["round=0"], 1
+    while seen["n_far"]:
         known = stage.scan(fields, *rounds).drop("round")
-        onward = known.select(G, F.col("ancestor").alias("step_id"), F.col("step_id").alias("far"))
-        longer = fresh.join(onward, [G, "step_id"]).select(G, "ancestor", F.col("far").alias("step_id")).distinct()
+        onward = known.select(G, F.col("ancestor").alias("step_id"), F.col("step_id").alias("end"), F.col("distance").alias("more"))
+        longer = (
+            fresh.filter(F.col("distance") == reach)
+            .join(onward, [G, "step_id"])
+            .groupBy(G, "ancestor", F.col("end").alias("step_id"))
+            .agg(F.min(F.col("distance") + F.col("more")).alias("distance"))
+        )
         found = longer.join(known, [G, "ancestor", "step_id"], "left_anti")
+        reach *= 2
         rounds.append(f"round={len(rounds)}")
-        fresh, seen = stage.put_measured(found, rounds[-1], n=F.count(F.lit(1)))
-    return stage.scan(fields, *rounds).drop("round")
+        fresh, seen = stage.put_measured(found, rounds[-1], n_far=F.count_if(F.col("distance") == reach))
+    return stage.scan(fields, *rounds).select(G, "ancestor", "step_id")
 
 
 def blocked_steps(failed: DataFrame, closure: DataFrame) -> DataFrame:
@@ -370,9 +378,9 @@ def validation_report(steps: DataFrame, **sizes: int) -> DataFrame:
 
     Order and waves of valid graphs come from ``execution_order`` and its pages.
     """
-    nodes, edges = graph_nodes(steps), graph_edges(steps)
     stage = Staging(steps.sparkSession, "report")
-    nodes, edges = stage.put(nodes, "nodes"), stage.put(edges, "edges")
+    defined = stage.put(steps.groupBy(G, "step_id").agg(F.count(F.lit(1)).alias("n_defined")), "defined")
+    nodes, edges = defined.select(G, "step_id"), stage.put(graph_edges(steps), "edges")
     order = stage.put(execution_order(nodes, edges, **sizes), "order")
 
     def per_graph(df: DataFrame, name: str) -> DataFrame:
@@ -380,12 +388,13 @@ def validation_report(steps: DataFrame, **sizes: int) -> DataFrame:
 
     counts = [
         order.groupBy(G).agg(F.count(F.lit(1)).alias("n_ordered"), (F.max("wave") + 1).cast("long").alias("n_waves")),
-        per_graph(duplicate_steps(steps), "n_duplicate"),
         per_graph(undefined_dependencies(nodes, edges), "n_undefined"),
         per_graph(self_dependencies(edges), "n_self"),
         per_graph(_cyclic(nodes, edges, order, sizes), "n_cyclic"),
     ]
-    report = per_graph(steps, "step_count")
+    report = defined.groupBy(G).agg(
+        F.sum("n_defined").alias("step_count"), F.count_if(F.col("n_defined") > 1).alias("n_duplicate")
+    )
     for count in counts:
         report = report.join(count, G, "left")
     report = report.na.fill(0)

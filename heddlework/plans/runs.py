@@ -262,7 +262,7 @@ def _declared(log):
     """,
 )
 def cache_newest(spark, folder):
-    return cache.newest_completed(step_log(spark, folder)).select("input_hash", "id", "outputs")
+    return cache.newest_completed(step_log(spark, folder), columns=["id", "outputs"])
 
 
 # Requests are the views, clicks and errors of later events; the log holds purchases
@@ -359,7 +359,7 @@ def new_step_runs(spark, folder):
     _LOG_SQL + "SELECT run_id, step_id, id, status FROM sr QUALIFY row_number() OVER (PARTITION BY run_id, step_id ORDER BY created_at DESC, id DESC) = 1",
 )
 def newest_step_runs(spark, folder):
-    return logs.newest_step_runs(step_log(spark, folder)).select("run_id", "step_id", "id", "status")
+    return logs.newest_step_runs(step_log(spark, folder), ["id", "status"])
 
 
 @query(
@@ -480,7 +480,7 @@ def run_outcome(spark, folder):
     log = step_log(spark, folder)
     runs = _runs(log).withColumn("error_message", F.lit(None).cast("string"))
     steps = _declared(log).filter("step_id <> 'never'")
-    return runlog.run_outcome(runs, steps, logs.newest_step_runs(log.drop("workflow_id")))
+    return runlog.run_outcome(runs, steps, logs.newest_step_runs(log, ["status", "completed_at", "error_trace"]))
 
 
 @query(
@@ -520,7 +520,7 @@ def overlap_counts(spark, folder):
 def overlap_pairs(spark, folder):
     log = step_log(spark, folder)
     pairs = _runs(log).select("run_id", F.lit("s1").alias("step_a"), F.lit("s2").alias("step_b"))
-    return runlog.overlaps(pairs, logs.newest_step_runs(log))
+    return runlog.overlaps(pairs, logs.newest_step_runs(log, ["started_at", "completed_at"]))
 
 
 @query(
@@ -537,7 +537,7 @@ def barrier_violations(spark, folder):
     edges = log.select("workflow_id").distinct().select("workflow_id", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("i")).select(
         "workflow_id", F.concat(F.lit("s"), F.floor(i / 2).cast("string")).alias("src"), F.concat(F.lit("s"), i.cast("string")).alias("dst")
     )
-    return runlog.barrier_violations(_runs(log), edges, logs.newest_step_runs(log.drop("workflow_id")))
+    return runlog.barrier_violations(_runs(log), edges, logs.newest_step_runs(log, ["started_at", "completed_at"]))
 
 
 @query(

@@ -55,7 +55,7 @@ def typed_event_flow(spark, folder):
         input_key(F.col("event_type"), v).alias("input_hash"),
         render("user ${user.output.user_id} bought at k=${workflow.input.k}", scope).alias("label"),
     )
-    newest = newest_completed(keyed)
+    newest = newest_completed(keyed, columns=["id", "user_id", "completed_at", "k", "label"])
     return newest.select("input_hash", F.col("id").alias("event_id"), "user_id", "k", micros("completed_at").alias("ts_us"), "label")
 
 

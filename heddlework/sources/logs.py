@@ -74,10 +74,14 @@ def find_step_run(step_runs: DataFrame, run_id: str, step_id: str) -> DataFrame:
     return newest_step_runs(rows)
 
 
-def newest_step_runs(step_runs: DataFrame) -> DataFrame:
-    """The newest row per run and step; a resumed step has an older failed row."""
-    newest = F.max_by(F.struct(*step_runs.columns), F.struct("created_at", "id"))
-    return step_runs.groupBy("run_id", "step_id").agg(newest.alias("_s")).select("_s.*")
+def newest_step_runs(step_runs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The newest row per run and step; a resumed step has an older failed row.
+
+    Only ``columns`` (all by default) are read beside the key and the ranking.
+    """
+    kept = [name for name in columns or step_runs.columns if name not in ("run_id", "step_id")]
+    newest = F.max_by(F.struct(*kept), F.struct("created_at", "id"))
+    return step_runs.groupBy("run_id", "step_id").agg(newest.alias("_s")).select("run_id", "step_id", "_s.*")
 
 
 def repeated_step_runs(step_runs: DataFrame) -> DataFrame:

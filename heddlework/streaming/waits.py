@@ -181,7 +181,8 @@ class WaitBatches:
             kept = spark.read.schema(fresh.schema).parquet(self._path("state", batch_id - 1))
             rows = kept.unionByName(fresh)
             clock = spark.read.schema("at timestamp").parquet(self._path("clock", batch_id - 1)).first()[0]
-        rows = Staging(spark, "waits").put(rows, "rows")
+        stage = Staging(spark, "waits")
+        rows = stage.put(rows, "rows")
         newest = F.max("at").alias("at")
         clock_now = rows.agg(newest if clock is None else F.greatest(newest, F.lit(clock)).alias("at"))
         clock_now.write.mode("overwrite").parquet(self._path("clock", batch_id))
@@ -195,7 +196,8 @@ class WaitBatches:
             F.col("row_id").alias("callback_id"), *KEY, F.col("at").alias("ts"), "payload"
         )
         matches = match_waits(waits, callbacks, as_of=now, **self.options)
-        settled = matches.waits.join(waits.select("wait_id", "done"), "wait_id")
+        # Four reads below share one match.
+        settled = stage.put(matches.waits.join(waits.select("wait_id", "done"), "wait_id"), "settled")
         closed = settled.filter((F.col("outcome") != "WAITING_WEBHOOK") & ~F.col("done"))
         empty = F.lit(None).cast("string")
         ended = F.when(F.col("outcome") == "COMPLETED", F.col("callback_ts")).otherwise(F.col("deadline"))
