@@ -6,7 +6,8 @@ first (a map-side combined count over the key columns). Where no group passes
 ``hot_rows`` they use an ordinary window. Otherwise the rows are range
 partitioned by group and order, which cuts a large group into slices of
 near-equal size; each slice is scanned on its own and then shifted by the totals
-of the slices before it.
+of the slices before it. Only the columns the scan needs take that way; the others
+are joined back on group and order, whose values are unique.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql.window import Window as W
 
 from heddlework.session import Staging
 
-HOT_ROWS = 4_000_000
+HOT_ROWS = 2_000_000
 PAGE_ROWS = 1_000
 
 
@@ -36,17 +37,27 @@ def scan_within(
     lasts: dict[str, Column] | None = None,
     hot_rows: int = HOT_ROWS,
     hot: bool | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Add running sums (``totals``) and last non-null values (``lasts``).
 
     ``order`` must be unique within a group. The current row is included.
+    ``keep`` names the columns wanted beside ``keys`` and ``order``; all by default.
     """
     totals, lasts = totals or {}, lasts or {}
+    placed = [*keys, *order]
+    spare = [name for name in (df.columns if keep is None else keep) if name not in placed]
     if hot is None:
         hot = has_hot_group(df, keys, hot_rows)
     if not hot:
-        return _scan(df, keys, order, totals, lasts)
-    return _scan_slices(df, keys, order, totals, lasts)
+        return _scan(df, keys, order, totals, lasts).select(*placed, *spare, *totals, *lasts)
+    scanned = _scan_slices(df, keys, order, totals, lasts)
+    if not spare:
+        return scanned
+    renamed = scanned.select(*[F.col(n).alias(f"_p{i}") for i, n in enumerate(placed)], *totals, *lasts)
+    same = [F.col(n).eqNullSafe(F.col(f"_p{i}")) for i, n in enumerate(placed)]
+    rows = df.select(*placed, *spare)
+    return rows.join(renamed, reduce(lambda a, b: a & b, same)).select(*placed, *spare, *totals, *lasts)
 
 
 def positions_within(
@@ -76,9 +87,14 @@ def _scan(df, keys, order, totals, lasts):
 def _scan_slices(df, keys, order, totals, lasts):
     spark = df.sparkSession
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    needed = df.select(
+        *keys, *order, *[expr.alias(f"_v_{out}") for out, expr in {**totals, **lasts}.items()]
+    )
+    totals = {out: F.col(f"_v_{out}") for out in totals}
+    lasts = {out: F.col(f"_v_{out}") for out in lasts}
     # Slice numbers must not change between the two reads below, hence the written table.
     sliced = Staging(spark, "slices").put(
-        df.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id()),
+        needed.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id()),
         "rows",
     )
     local = _scan(sliced, [*keys, "_slice"], order, totals, lasts)
@@ -100,4 +116,4 @@ def _scan_slices(df, keys, order, totals, lasts):
     joined = local.join(carried, reduce(lambda a, b: a & b, same, F.col("_slice") == F.col("_s")), "left")
     summed = {out: F.col(out) + F.coalesce(F.col(f"_c_{out}"), F.lit(0)) for out in totals}
     kept = {out: F.coalesce(F.col(out), F.col(f"_c_{out}")) for out in lasts}
-    return joined.select(*df.columns, *[expr.alias(out) for out, expr in {**summed, **kept}.items()])
+    return joined.select(*keys, *order, *[expr.alias(out) for out, expr in {**summed, **kept}.items()])

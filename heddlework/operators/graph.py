@@ -166,7 +166,7 @@ def _order_large(nodes: DataFrame, edges: DataFrame, hot_rows: int) -> DataFrame
 
 
 def _front(state: DataFrame, hot: bool) -> DataFrame:
-    return positions_within(state, [G], ["last_pos", "step_id"], "wave_pos", hot=hot)
+    return positions_within(state, [G], ["last_pos", "step_id"], "wave_pos", hot=hot, keep=[])
 
 
 def _peel(nodes: DataFrame, edges: DataFrame, hot: bool) -> DataFrame:

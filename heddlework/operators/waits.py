@@ -59,7 +59,7 @@ def match_waits(
         allowMissingColumns=True,
     )
     scanned = scan_within(
-        marks, KEY, ["at", "kind", "row_id"], lasts={"newest": F.col("opened")}, hot_rows=hot_rows
+        marks, KEY, ["at", "kind", "row_id"], lasts={"newest": F.col("opened")}, hot_rows=hot_rows, keep=[]
     )
     taken = (F.col("at") <= F.col("newest.deadline")) & ~F.col("newest.done")
     in_time = scanned.filter((F.col("kind") == 1) & taken)

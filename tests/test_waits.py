@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -91,7 +92,9 @@ def write_files(folder, rows, n, key):
     size = -(-len(rows) // n)
     for i in range(n):
         lines = [json.dumps(r, default=str) for r in rows[i * size : (i + 1) * size]]
-        (folder / f"part-{i}.json").write_text("\n".join(lines))
+        path = folder / f"part-{i}.json"
+        path.write_text("\n".join(lines))
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))  # read in this order
 
 
 @pytest.fixture()
