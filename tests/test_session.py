@@ -6,27 +6,31 @@ from pyspark.sql import functions as F
 from heddlework.session import Staging, shared_folder
 
 
-def test_shared_folder_follows_the_setting(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "/shared/place/")
-    assert shared_folder(spark) == "/shared/place"
-    spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
-    assert shared_folder(spark)
+class Fake:
+    """A session that knows its master and two places for the folder."""
+
+    def __init__(self, master, setting=None, held=None):
+        self.master, self.setting, self.held = master, setting, held
+        self.conf = self.sparkContext = self
 
+    def get(self, key, default):
+        return self.setting or default
 
-def test_a_cluster_without_shared_folder_is_refused():
-    class Conf:
-        def get(self, key, default):
-            return default
+    def getCheckpointDir(self):
+        return self.held
 
-    class Context:
-        master = "yarn"
+    def setCheckpointDir(self, folder):
+        self.held = f"file:{folder}"
 
-    class Session:
-        conf, sparkContext = Conf(), Context()
 
+def test_shared_folder(spark):
+    assert shared_folder(Fake("yarn", "/shared/place/")) == "/shared/place"
+    assert shared_folder(Fake("yarn", held="hdfs:/held/x")) == "hdfs:/held/x"
+    fallback = Fake("local[2]")
+    assert shared_folder(fallback) == shared_folder(fallback) and "heddlework-" in fallback.held
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_folder(Session())
+        shared_folder(Fake("yarn"))
+    assert shared_folder(spark)
 
 
 def test_staged_tables(spark):
