@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
@@ -24,13 +26,30 @@ def build_session(app: str = "heddlework", master: str | None = None, **extra: s
         builder = builder.master(master)
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in extra.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def apply_settings(spark: SparkSession) -> None:
     """Set the same options on a session somebody else has built."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = f"{tempfile.mkdtemp(prefix='heddlework-')}/{package.name}"
+    context.addPyFile(shutil.make_archive(archive, "zip", package.parent, package.name))
+    _shipped.add(context.applicationId)
 
 
 def shared_folder(spark: SparkSession) -> str:

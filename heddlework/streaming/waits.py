@@ -7,9 +7,11 @@ still arrive, so the order in which files come in does not matter.
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_right
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -148,6 +150,8 @@ def match_stream(waits: DataFrame, callbacks: DataFrame, delay: str = "10 minute
     dropped by the watermark. One key is handled by one task; where a key may be
     very large use ``WaitBatches``.
     """
+    # The driver-side state worker does not see shipped packages.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = tagged(waits, callbacks).withWatermark("at", delay).withColumn("at_us", F.unix_micros("at"))
     matched = rows.groupBy(*KEY).transformWithStateInPandas(
         WaitProcessor(), outputStructType=OUTCOMES, outputMode="append", timeMode="eventTime"
