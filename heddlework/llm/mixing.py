@@ -9,7 +9,9 @@ odds p / (1 - p), documents are ranked by u / (1 - u) over those odds and taken
 until the words left for the source are used up, so the size of a sample is fixed in words.
 
 p is f for a document that fits into the words left and 0 for one that does not. Where the next
-document no longer fits, the draw goes on among those that still fit: ``FILLS`` rounds.
+document no longer fits, the draw goes on among those that still fit: ``FILLS`` rounds. Of an
+f over one half the documents that stay out are drawn, with odds turned round, as the smaller
+rest can be met more closely.
 
 u is a hash of id, size and seed, so reruns agree. Ranks are cut into ``BINS`` equal bins of
 u; sizes are summed by bin before the shuffle, and only the documents of the one bin in which
@@ -115,10 +117,15 @@ def draw(sized: DataFrame, stage, seed: str = SEED) -> DataFrame:
     rows = rows.withColumn("certain", copies.cast("bigint"))
     left = F.col("target") - F.col("certain") * F.col("source_size")
     rows = rows.withColumns({
-        "u": uniform(F.col("doc_id"), F.col("size"), seed), "left": left, "whole_left": left,
-        "fraction": F.when(F.col("source_size") > 0, left / F.col("source_size")).otherwise(F.lit(0.0)),
-        "extra": F.lit(False),
+        "left": left, "fraction": F.when(F.col("source_size") > 0, left / F.col("source_size")).otherwise(F.lit(0.0))
     })
+    # Of a fraction over one half the smaller rest is drawn: those that stay out, from the far end.
+    out, u = F.col("fraction") > 0.5, uniform(F.col("doc_id"), F.col("size"), seed)
+    rows = rows.withColumns({
+        "stay_out": out, "u": F.when(out, 1 - u).otherwise(u), "extra": F.lit(False),
+        "whole_left": F.when(out, F.col("source_size") - F.col("left")).otherwise(F.col("left")),
+        "fraction": F.when(out, 1 - F.col("fraction")).otherwise(F.col("fraction")),
+    }).withColumn("left", F.col("whole_left"))
     for k in range(FILLS):
         if k:
             used = rows.where("extra").groupBy("source").agg(F.sum("size").alias("used"))
@@ -126,9 +133,9 @@ def draw(sized: DataFrame, stage, seed: str = SEED) -> DataFrame:
             rows = rows.join(used, F.col("source").eqNullSafe(F.col("u_source")), "left")
             rows = rows.withColumn("left", F.col("whole_left") - F.coalesce(F.col("used"), F.lit(0))).drop("u_source", "used")
         rows = stage.put(_draw(rows, stage, f"round-{k}"), f"round-{k}")
-    copies = F.col("certain") + F.col("extra").cast("bigint")
+    copies = F.col("certain") + (F.col("extra") != F.col("stay_out")).cast("bigint")
     return rows.withColumns({"copies": copies, "taken": copies * F.col("size")}).drop(
-        "certain", "u", "left", "whole_left", "fraction", "extra"
+        "certain", "u", "left", "whole_left", "fraction", "extra", "stay_out"
     )
 
 
