@@ -2,9 +2,13 @@
 
 A document is the set of its distinct word n-grams as 64-bit hashes. Documents of equal sets
 are one class (equal 128-bit digests). All sets are put in one global order, n-grams seen in
-many documents last. Two sets that link share an n-gram among the first
-n - ceil(PERCENT n / 100) + 1 of each, so classes that share such an n-gram form a group, and
-groups of the same members are one group. In a group the sets are stored in a trie, in an
+many documents last. With p = n - ceil(PERCENT n / 100) + 1, two sets that link share at least
+l n-grams of the first p + l - 1 of each; l is about half of p. So a class stays in the search
+only while enough n-grams of its head are in other heads too, which drops documents that have
+nothing but a passage in common. The others form a group for each shared n-gram. Groups that
+hang together by members are one family; a family of at most ``PART_TOKENS`` n-grams is
+searched at once, so that each of its sets goes to one task only, and of a larger one every
+group is searched on its own. In a group the sets are stored in a trie, in an
 order that puts what the group shares first. The trie is walked once for a block of sets:
 sets under one node share the overlap counted so far, and a subtree is left as soon as what
 remains of its sets and of the block's cannot bring the overlap up to the threshold.
@@ -35,8 +39,12 @@ from heddlework.llm.components import components
 
 N = 4
 PERCENT = 85
-FREQUENT = 65_536
+FREQUENT = 262_144
+COUNTED_TOKENS = 4_000_000
+"""n-grams that a task counts together."""
+AT_LEAST = 3
 PART_TOKENS = 2_000_000
+BUCKET_TOKENS = 250_000
 BLOCK_CELLS = 32_000_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -59,13 +67,18 @@ def shingles(text: bytes, n: int = N) -> np.ndarray:
     return np.unique(out)
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n + (-percent * n // 100) + 1
+def needed(n: int, percent: int = PERCENT) -> int:
+    """l, the number of n-grams that heads of linked sets share at least; never smaller for a larger set."""
+    return 1 + (n + (-percent * n // 100) + 1) // 2
+
+
+def head_length(n: int, percent: int = PERCENT) -> int:
+    return min(n, n + (-percent * n // 100) + needed(n, percent))
 
 
 def first_of(tokens: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The prefix in global order: n-grams that are not in ``known`` by hash, then those by rank."""
-    want = prefix_length(len(tokens), percent) if len(tokens) else 0
+    """The head in global order: n-grams that are not in ``known`` by hash, then those by rank."""
+    want = head_length(len(tokens), percent) if len(tokens) else 0
     if not len(known):
         return tokens[:want]
     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
@@ -77,30 +90,123 @@ def first_of(tokens: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: i
     return np.concatenate([rare, rest])[:want]
 
 
-def frequent_ngrams(docs: DataFrame, stage, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams met at least twice among the documents of a batch, most frequent kept; with ranks."""
+OUTLINE = "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, node bigint, token bigint, times bigint"
 
-    def count(batches):
-        for batch in batches:
-            sets = [shingles(t, n) for t in batch.column(0).to_pylist()]
-            found, times = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
-            often = times > 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found[often].view(np.int64)), pa.array(times[often])], names=["token", "n"]
-            )
 
-    counted = docs.select(text_bytes("text")).mapInArrow(count, "token bigint, n bigint")
-    total = stage.put(counted.groupBy("token").agg(F.sum("n").alias("n")), "frequent")
+def outlines(source: DataFrame, n: int = N) -> DataFrame:
+    """A row for each document, and rows (token, times) of what a task met several times."""
+
+    def often(sets):
+        found, times = np.unique(np.concatenate(sets), return_counts=True)
+        for k in np.flatnonzero(times >= AT_LEAST):
+            yield None, None, None, None, None, int(found[k : k + 1].view(np.int64)[0]), int(times[k])
+
+    def run(rows):
+        sets, held = [], 0
+        for row in rows:
+            tokens = shingles(row["bytes"], n)
+            digest = set_digest(tokens) if len(tokens) else None
+            yield row["doc_id"], row["text_hash"], len(tokens), digest, node_of(digest), None, None
+            sets.append(tokens)
+            held += len(tokens)
+            if held > COUNTED_TOKENS:
+                yield from often(sets)
+                sets, held = [], 0
+        if sets:
+            yield from often(sets)
+
+    return map_rows(source, run, OUTLINE)
+
+
+def frequent_ngrams(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that tasks met most often, sorted, with their ranks: at most ``FREQUENT``."""
+    total = counts.groupBy("token").agg(F.sum("times").alias("n"))
     top = total.orderBy(F.col("n").desc(), "token").limit(FREQUENT).toArrow()
     tokens = top["token"].to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], np.argsort(np.argsort(top["n"].to_numpy()[order], kind="stable"), kind="stable")
 
 
+def shared_heads(source: DataFrame, known, rank, buckets: int, n: int, percent: int) -> DataFrame:
+    """(token, node): n-grams of heads that at least two classes have.
+
+    Heads travel as packed arrays, one for each task and bucket of n-grams.
+    """
+
+    def deal(batches):
+        tokens, nodes, held = [], [], 0
+
+        def packed():
+            token, node = np.concatenate(tokens), np.concatenate(nodes)
+            bucket = (token % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, token, node = bucket[order], token[order], node[order]
+            heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            ends = np.append(heads[1:], len(bucket))
+            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket[heads]), cut(token), cut(node)], names=["bucket", "tokens", "nodes"]
+            )
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = shingles(text, n)
+                if len(found):
+                    head = first_of(found, known, rank, percent)
+                    tokens.append(head)
+                    nodes.append(np.full(len(head), node_of(set_digest(found))))
+                    held += len(head)
+            if held > COUNTED_TOKENS // 4:
+                yield packed()
+                tokens, nodes, held = [], [], 0
+        if held:
+            yield packed()
+
+    def meet(batches):
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for _, group in groupby(rows, key=lambda r: r["bucket"]):
+            token, node = [], []
+            for row in group:
+                token.append(np.frombuffer(row["tokens"], dtype=np.int64))
+                node.append(np.frombuffer(row["nodes"], dtype=np.int64))
+            token, node = np.concatenate(token), np.concatenate(node)
+            order = np.lexsort((node, token))
+            token, node = token[order], node[order]
+            same = token[1:] == token[:-1]
+            fresh = np.concatenate([[True], ~(same & (node[1:] == node[:-1]))])  # copies of a class
+            token, node = token[fresh], node[fresh]
+            same = token[1:] == token[:-1]
+            several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            yield pa.RecordBatch.from_arrays([pa.array(token[several]), pa.array(node[several])], names=["token", "node"])
+
+    blocks = source.select("bytes").mapInArrow(deal, "bucket bigint, tokens binary, nodes binary")
+    dealt = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(meet, "token bigint, node bigint")
+
+
+def peel(members: DataFrame, needs: DataFrame, stage) -> DataFrame:
+    """Members without classes that share too little, until a round drops less than a tenth."""
+    rows, k = members.select("token", "node"), 0
+    while True:
+        k += 1
+        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("has"))
+        enough = counts.join(needs, "node").where("has >= need").select("node")
+        left = rows.select("token", "node").join(stage.put(enough, f"enough-{k}"), "node")
+        several = left.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+        before = rows.count()
+        rows = stage.put(left.join(several.select("token", "least"), "token").select("token", "node", "least"), f"members-{k}")
+        if rows.count() >= 0.9 * before:
+            return rows
+
+
 def set_digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def node_of(digest: bytes | None) -> int | None:
+    return None if digest is None else int.from_bytes(digest[:8], "little", signed=True)
+
+
 class Trie:
     """Sets of local token numbers in lexicographic order; a node is a range of them at a depth."""
 
@@ -189,52 +295,54 @@ def jaccard_classes(docs: DataFrame, stage, n: int = N, percent: int = PERCENT)
     Documents of one ``root`` are one component; it is null for empty sets.
     """
     source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text_bytes("text").alias("bytes"))
-    known, rank = frequent_ngrams(docs, stage, n)
-
-    def outline(rows):
-        for row in rows:
-            tokens = shingles(row["bytes"], n)
-            head = first_of(tokens, known, rank, percent).view(np.int64)
-            yield row["doc_id"], row["text_hash"], len(tokens), set_digest(tokens) if len(tokens) else None, head.tolist()
-
-    schema = "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, head array<bigint>"
-    rows = stage.put(map_rows(source, outline, schema).withColumn("row", F.monotonically_increasing_id()), "outlines")
-    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"))
+    seen = stage.put(outlines(source, n), "outlines")
+    rows = seen.where("n_shingles IS NOT NULL").drop("token", "times")
+    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(
+        F.first("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id")
+    )
     classes = stage.put(classes, "classes")
-    heads = rows.join(classes.select("node"), F.col("row") == F.col("node"))
-    heads = heads.select("node", "n_shingles", F.explode("head").alias("token"))
-
-    mark = F.shiftrightunsigned(F.xxhash64("node"), 20)
-    groups = heads.groupBy("token").agg(
-        F.count(F.lit(1)).alias("members"), F.sum(mark).alias("mark"), F.min("node").alias("least"), F.sum("n_shingles").alias("tokens")
+    size = classes.agg(F.count(F.lit(1)), F.countDistinct("node"), F.sum("n_shingles")).first()
+    if size[0] != size[1]:
+        raise ArithmeticError("two different sets have the same 64-bit name")
+    known, rank = frequent_ngrams(seen.where("token IS NOT NULL").select("token", "times"))
+    buckets = 1 + int(size[2] or 0) * head_length(1000, percent) // 1000 // BUCKET_TOKENS
+    members = stage.put(shared_heads(source, known, rank, buckets, n, percent), "shared")
+    smallest = F.ceil(F.col("n_shingles") * percent / 100)  # of what may link with the class
+    needs = classes.select("node", smallest.alias("k")).select(
+        "node", (1 + F.floor((F.col("k") - F.ceil(F.col("k") * percent / 100) + 1) / 2)).alias("need")
     )
-    groups = groups.where("members > 1").groupBy("members", "mark", "least").agg(
-        F.min("token").alias("token"), F.max("tokens").alias("tokens")
+    members = peel(members, needs, stage)
+    families = components(members.select("least", "node"), stage, "least", "node", "-family")
+    families = families.select(F.col("node").alias("relative"), F.col("root").alias("family"))
+    nodes = classes.join(families, F.col("node") == F.col("relative")).select("node", "doc_id", "n_shingles", "family")
+    nodes = stage.put(nodes, "nodes")
+    sizes = nodes.groupBy("family").agg((F.sum("n_shingles") <= PART_TOKENS).alias("whole"))
+    nodes = stage.put(nodes.join(sizes, "family").select("node", "doc_id", "n_shingles", "family", "whole"), "relatives")
+
+    at_once = nodes.where("whole").select(F.col("family").alias("token"), F.lit(-1).alias("x"), F.lit(-1).alias("y"), "node")
+    apart = members.select("token", "node").join(nodes.where("NOT whole").select("node", "n_shingles"), "node")
+    parts = apart.groupBy("token").agg(F.expr(f"1 + sum(n_shingles) DIV {PART_TOKENS}").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1),
+        lambda k: F.struct(F.least(k, part).cast("int").alias("x"), F.greatest(k, part).cast("int").alias("y")),
     )
-    groups = stage.put(groups.select("token", F.expr(f"1 + tokens DIV {PART_TOKENS}").alias("parts")), "groups")
-    members = stage.put(heads.join(groups, "token").select("token", "parts", "node"), "members")
+    apart = apart.join(parts, "token").withColumn("place", F.explode(pairs)).select("token", "place.x", "place.y", "node")
+    placed = stage.put(at_once.unionByName(apart), "placed").withColumnRenamed("node", "placed")
 
-    wanted = rows.join(members.select("node").distinct(), F.col("row") == F.col("node"))
-    wanted = stage.put(wanted.select("node", "doc_id", "digest"), "wanted")
-    ids = wanted.select("doc_id").distinct().withColumnRenamed("doc_id", "id")
+    ids = nodes.select("doc_id").distinct().withColumnRenamed("doc_id", "id")
     texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("bytes")
 
     def whole(batches):
         for batch in batches:
-            sets = [shingles(t, n) for t in batch.column(0).to_pylist()]
+            sets = [s for s in (shingles(t, n) for t in batch.column(0).to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(map(set_digest, sets), pa.binary()), pa.array((s.tobytes() for s in sets), pa.binary())],
-                names=["digest", "set"],
+                [pa.array((node_of(set_digest(s)) for s in sets), pa.int64()), pa.array((s.tobytes() for s in sets), pa.binary())],
+                names=["node", "set"],
             )
 
-    sets = texts.mapInArrow(whole, "digest binary, set binary")
-    sets = sets.join(wanted.select("digest", "node"), "digest").select("node", "set").dropDuplicates(["node"])
-    sets = stage.put(sets, "sets").withColumnRenamed("node", "set_node")
-
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda k: F.struct(F.least(k, part).alias("x"), F.greatest(k, part).alias("y")))
-    placed = members.withColumn("place", F.explode(pairs)).select("token", "place.x", "place.y", "node")
-    placed = placed.join(sets, F.col("node") == F.col("set_node")).select("token", "x", "y", "node", "set")
+    sets = texts.mapInArrow(whole, "node bigint, set binary").dropDuplicates(["node"])
+    placed = sets.join(placed, F.col("node") == F.col("placed")).select("token", "x", "y", "node", "set")
     dealt = placed.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
 
     def search(rows):
@@ -247,10 +355,10 @@ def jaccard_classes(docs: DataFrame, stage, n: int = N, percent: int = PERCENT)
                 yield from forest(nodes, Trie(found).links(percent))
 
     links = map_rows(dealt, search, "a bigint, b bigint")
-    roots = components(links, stage).select(F.col("node").alias("linked"), "root")
+    roots = components(links, stage, name="-link").select(F.col("node").alias("linked"), "root")
     named = classes.join(roots, F.col("node") == F.col("linked"), "left")
     named = stage.put(named.select(F.col("digest").alias("of"), F.coalesce("root", "node").alias("root")), "named")
-    return rows.join(named, F.col("digest") == F.col("of"), "left").select("doc_id", "text_hash", "n_shingles", "digest", "root", "row")
+    return rows.join(named, F.col("digest") == F.col("of"), "left").select("doc_id", "text_hash", "n_shingles", "digest", "root")
 
 
 def jaccard_join(docs: DataFrame, stage, n: int = N, percent: int = PERCENT) -> DataFrame:
