@@ -6,18 +6,19 @@ many documents last. With p = n - ceil(PERCENT n / 100) + 1, two sets that link
 l n-grams of the first p + l - 1 of each; l is about half of p. So a class stays in the search
 only while enough n-grams of its head are in other heads too, which drops documents that have
 nothing but a passage in common. The others form a group for each shared n-gram. Groups that
-hang together by members are one family; a family of at most ``PART_TOKENS`` n-grams is
-searched at once, so that each of its sets goes to one task only, and of a larger one every
-group is searched on its own. In a group the sets are stored in a trie, in an
-order that puts what the group shares first. The trie is walked once for a block of sets:
-sets under one node share the overlap counted so far, and a subtree is left as soon as what
-remains of its sets and of the block's cannot bring the overlap up to the threshold.
+hang together by members are one family, which is searched as one or group by group, whichever
+sends fewer copies of its sets.
+
+In a search the sets are stored in a trie, in an order that puts what they share first. The
+trie is walked once for a block of sets: sets under one node share the overlap counted so far,
+and a subtree is left as soon as what remains of its sets and of the block's cannot bring the
+overlap up to the threshold.
 
 The order needs only to be the same for all documents, so the table of frequent n-grams may
-have a fixed size (``FREQUENT``): it is broadcast, and it changes cost, never a result. A
-group of more than ``PART_TOKENS`` n-grams is dealt out as pairs of parts over many tasks.
-Each task gives a spanning forest of the links it found, never all pairs; components of these
-links are the components of all links.
+have a fixed size (``FREQUENT``): it is broadcast, and it changes cost, never a result. More
+than ``PART_TOKENS`` n-grams are dealt out as pairs of parts over many tasks. Each task gives
+a spanning forest of the links it found, never all pairs; components of these links are the
+components of all links.
 
 Null texts are empty; documents without words have an empty set and link with nothing. Rows
 that repeat are copies of one class. Null ids take part; a component's id is its smallest
@@ -289,6 +290,34 @@ def forest(nodes: list[int], links) -> list[tuple[int, int]]:
     return out
 
 
+def places(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(of, key, x, y, node): the searches that each class takes part in.
+
+    A family, and a group, of more than ``PART_TOKENS`` n-grams is cut into parts by a hash, and
+    every pair of parts is a search. A family is searched as one or group by group, whichever
+    sends fewer copies of its sets.
+    """
+    tokens = F.sum("n_shingles").alias("tokens")
+    own = members.select("token", "node").join(nodes.select("node", "n_shingles", "family"), "node")
+    groups = own.groupBy("family", "token").agg(tokens, F.count(F.lit(1)).alias("n"))
+    groups = groups.withColumn("parts", F.expr(f"1 + tokens DIV {PART_TOKENS}"))
+    apart = groups.groupBy("family").agg(F.sum(F.col("n") * F.col("parts")).alias("sent_apart"))
+    families = nodes.groupBy("family").agg(tokens, F.count(F.lit(1)).alias("n"))
+    families = families.withColumn("parts", F.expr(f"1 + tokens DIV {PART_TOKENS}")).join(apart, "family")
+    families = families.withColumn("at_once", F.col("n") * F.col("parts") <= F.col("sent_apart"))
+    one = nodes.join(families.where("at_once").select("family", "parts"), "family")
+    one = one.select(F.lit("family").alias("of"), F.col("family").alias("key"), "parts", "node")
+    many = own.join(groups.select("token", "parts"), "token").join(families.where("NOT at_once").select("family"), "family")
+    many = many.select(F.lit("group").alias("of"), F.col("token").alias("key"), "parts", "node")
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1),
+        lambda k: F.struct(F.least(k, part).alias("x"), F.greatest(k, part).alias("y")),
+    )
+    dealt = one.unionByName(many).withColumn("place", F.explode(pairs))
+    return dealt.select("of", "key", "place.x", "place.y", "node")
+
+
 def jaccard_classes(docs: DataFrame, stage, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, digest, root: one row for each document.
 
@@ -316,19 +345,7 @@ def jaccard_classes(docs: DataFrame, stage, n: int = N, percent: int = PERCENT)
     families = families.select(F.col("node").alias("relative"), F.col("root").alias("family"))
     nodes = classes.join(families, F.col("node") == F.col("relative")).select("node", "doc_id", "n_shingles", "family")
     nodes = stage.put(nodes, "nodes")
-    sizes = nodes.groupBy("family").agg((F.sum("n_shingles") <= PART_TOKENS).alias("whole"))
-    nodes = stage.put(nodes.join(sizes, "family").select("node", "doc_id", "n_shingles", "family", "whole"), "relatives")
-
-    at_once = nodes.where("whole").select(F.col("family").alias("token"), F.lit(-1).alias("x"), F.lit(-1).alias("y"), "node")
-    apart = members.select("token", "node").join(nodes.where("NOT whole").select("node", "n_shingles"), "node")
-    parts = apart.groupBy("token").agg(F.expr(f"1 + sum(n_shingles) DIV {PART_TOKENS}").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    pairs = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1),
-        lambda k: F.struct(F.least(k, part).cast("int").alias("x"), F.greatest(k, part).cast("int").alias("y")),
-    )
-    apart = apart.join(parts, "token").withColumn("place", F.explode(pairs)).select("token", "place.x", "place.y", "node")
-    placed = stage.put(at_once.unionByName(apart), "placed").withColumnRenamed("node", "placed")
+    placed = stage.put(places(members, nodes), "placed").withColumnRenamed("node", "placed")
 
     ids = nodes.select("doc_id").distinct().withColumnRenamed("doc_id", "id")
     texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("bytes")
@@ -342,11 +359,12 @@ def jaccard_classes(docs: DataFrame, stage, n: int = N, percent: int = PERCENT)
             )
 
     sets = texts.mapInArrow(whole, "node bigint, set binary").dropDuplicates(["node"])
-    placed = sets.join(placed, F.col("node") == F.col("placed")).select("token", "x", "y", "node", "set")
-    dealt = placed.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    placed = sets.join(placed, F.col("node") == F.col("placed")).select("of", "key", "x", "y", "node", "set")
+    search_key = ["of", "key", "x", "y"]
+    dealt = placed.repartition(*search_key).sortWithinPartitions(*search_key)
 
     def search(rows):
-        for _, group in groupby(rows, key=lambda r: (r["token"], r["x"], r["y"])):
+        for _, group in groupby(rows, key=lambda r: (r["of"], r["key"], r["x"], r["y"])):
             nodes, found = [], []
             for row in group:
                 nodes.append(row["node"])
