@@ -46,7 +46,9 @@ COUNTED_TOKENS = 4_000_000
 AT_LEAST = 3
 PART_TOKENS = 2_000_000
 BUCKET_TOKENS = 250_000
-BLOCK_CELLS = 32_000_000
+BLOCK_CELLS = 8_000_000
+FIRST_BLOCK = 64
+FILTER_BITS = 24
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -223,21 +225,43 @@ class Trie:
         self.sizes = np.array([len(s) for s in self.sets])
         self.n_tokens = len(found)
 
-    def links(self, percent: int = PERCENT):
-        """Pairs (i, j) of given positions whose sets link."""
-        step = max(1, min(len(self.sets), BLOCK_CELLS // max(1, self.n_tokens)))
-        for low in range(0, len(self.sets), step):
-            yield from self._walk(low, min(low + step, len(self.sets)), percent)
-
-    def _walk(self, low: int, high: int, percent: int):
-        queries, sizes = self.sets[low:high], self.sizes[low:high]
-        has = np.zeros((self.n_tokens, high - low), dtype=np.uint8)
-        for k, q in enumerate(queries):
-            has[q, k] = 1
-        # Pairs are met once: the later set of a pair walks, so only sets before ``high`` matter.
-        stack = [(0, high, 0, np.arange(high - low), np.zeros(high - low, dtype=np.int64))]
+    def forest(self, percent: int = PERCENT) -> list[tuple[int, int]]:
+        """Links (i, j) of given positions that join all that link, and no more than that needs.
+
+        Blocks of sets walk the trie. Sets of the largest component so far need no walk of their
+        own: what may still join it walks itself.
+        """
+        n = len(self.sets)
+        label, out = np.arange(n), []
+        walked = np.zeros(n, dtype=bool)
+        step = max(1, BLOCK_CELLS // max(1, self.n_tokens))
+        block = np.unique(np.linspace(0, n - 1, min(n, step, FIRST_BLOCK)).astype(np.int64))
+        while len(block):
+            for i, j in self._walk(block, label, percent):
+                if label[i] != label[j]:
+                    label[label == label[i]] = label[j]
+                    out.append((self.at[i], self.at[j]))
+            walked[block] = True
+            largest = np.bincount(label, minlength=n).argmax()
+            block = np.flatnonzero(~walked & (label != largest))[:step]
+        return out
+
+    def _walk(self, block: np.ndarray, label: np.ndarray, percent: int):
+        """Pairs of a set of the block and another that link and are not one component yet."""
+        sizes = self.sizes[block]
+        has = np.zeros((self.n_tokens, len(block)), dtype=np.uint8)
+        for k, i in enumerate(block):
+            has[self.sets[i], k] = 1
+        own_label, all_labels = label[block], label.copy()
+        changes = np.concatenate([[0], np.cumsum(all_labels[1:] != all_labels[:-1])])
+        stack = [(0, len(self.sets), 0, np.arange(len(block)), np.zeros(len(block), dtype=np.int64))]
         while stack:
             a, b, depth, alive, overlap = stack.pop()
+            if changes[a] == changes[b - 1]:  # one component: its own members look elsewhere
+                other = own_label[alive] != all_labels[a]
+                alive, overlap = alive[other], overlap[other]
+            if not len(alive):
+                continue
             first, last = self.sets[a], self.sets[b - 1]
             until = _common(first, last, depth) if b - a > 1 else len(first)
             if until > depth:
@@ -245,14 +269,14 @@ class Trie:
             own = sizes[alive]
             small, large = self.sizes[a:b].min(), self.sizes[a:b].max()
             most = overlap + np.minimum(large - until, own - overlap)
-            keep = ((100 + percent) * most >= percent * (own + small)) & (low + alive > a)
+            keep = (100 + percent) * most >= percent * (own + small)
             alive, overlap = alive[keep], overlap[keep]
             if not len(alive):
                 continue
             if b - a == 1:
                 union = sizes[alive] + len(first) - overlap
                 for k in alive[100 * overlap >= percent * union]:
-                    yield self.at[a], self.at[low + int(k)]
+                    yield int(block[k]), a
                 continue
             start = a
             while start < b and len(self.sets[start]) == until:  # the shortest of the range end at this node
@@ -271,23 +295,24 @@ def _common(x: np.ndarray, y: np.ndarray, depth: int) -> int:
     return depth + int(differ[0]) if len(differ) else n
 
 
-def forest(nodes: list[int], links) -> list[tuple[int, int]]:
-    """Those links that join what earlier ones have not joined."""
-    up = list(range(len(nodes)))
+def bit_of(ids: pa.Array) -> np.ndarray:
+    values = ids.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.uint64)
+    return ((values * _MULTIPLIER) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
 
-    def top(i):
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+def bit_map(ids: DataFrame) -> np.ndarray:
+    """Which of 2^``FILTER_BITS`` places the ids fall on; a few packed maps reach the driver."""
+
+    def mark(batches):
+        out = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            out[bit_of(batch.column(0))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()])], names=["bits"])
 
-    out = []
-    for i, j in links:
-        x, y = top(i), top(j)
-        if x != y:
-            up[x] = y
-            out.append((nodes[i], nodes[j]))
-    return out
+    out = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    for row in ids.coalesce(4).mapInArrow(mark, "bits binary").collect():
+        out |= np.frombuffer(row["bits"], dtype=np.uint8)
+    return np.unpackbits(out).astype(bool)
 
 
 def places(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -347,18 +372,20 @@ def jaccard_classes(docs: DataFrame, stage, n: int = N, percent: int = PERCENT)
     nodes = stage.put(nodes, "nodes")
     placed = stage.put(places(members, nodes), "placed").withColumnRenamed("node", "placed")
 
-    ids = nodes.select("doc_id").distinct().withColumnRenamed("doc_id", "id")
-    texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("bytes")
+    # A bit map of fixed size drops most texts that no search asks for; the join drops the rest.
+    wanted = bit_map(nodes.select("doc_id"))
 
     def whole(batches):
         for batch in batches:
-            sets = [s for s in (shingles(t, n) for t in batch.column(0).to_pylist()) if len(s)]
+            asked = wanted[bit_of(batch.column(0))]
+            texts = batch.column(1).filter(pa.array(asked)).to_pylist()
+            sets = [s for s in (shingles(t, n) for t in texts) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array((node_of(set_digest(s)) for s in sets), pa.int64()), pa.array((s.tobytes() for s in sets), pa.binary())],
                 names=["node", "set"],
             )
 
-    sets = texts.mapInArrow(whole, "node bigint, set binary").dropDuplicates(["node"])
+    sets = source.select("doc_id", "bytes").mapInArrow(whole, "node bigint, set binary").dropDuplicates(["node"])
     placed = sets.join(placed, F.col("node") == F.col("placed")).select("of", "key", "x", "y", "node", "set")
     search_key = ["of", "key", "x", "y"]
     dealt = placed.repartition(*search_key).sortWithinPartitions(*search_key)
@@ -370,7 +397,7 @@ def jaccard_classes(docs: DataFrame, stage, n: int = N, percent: int = PERCENT)
                 nodes.append(row["node"])
                 found.append(np.frombuffer(row["set"], dtype=np.uint64))
             if len(nodes) > 1:
-                yield from forest(nodes, Trie(found).links(percent))
+                yield from ((nodes[i], nodes[j]) for i, j in Trie(found).forest(percent))
 
     links = map_rows(dealt, search, "a bigint, b bigint")
     roots = components(links, stage, name="-link").select(F.col("node").alias("linked"), "root")
