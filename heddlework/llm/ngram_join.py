@@ -9,8 +9,8 @@ nothing but a passage in common. The others form a group for each shared n-gram.
 hang together by members are one family, which is searched as one or group by group, whichever
 sends fewer copies of its sets.
 
-In a search the sets are stored in a trie, in an order that puts what they share first. The
-trie is walked once for a block of sets: sets under one node share the overlap counted so far,
+In a search the sets are stored in a trie, in an order that puts what they share first, without
+what only one of them has and without sets that have too much of that. The trie is walked once for a block of sets: sets under one node share the overlap counted so far,
 and a subtree is left as soon as what remains of its sets and of the block's cannot bring the
 overlap up to the threshold.
 
@@ -46,7 +46,7 @@ COUNTED_TOKENS = 4_000_000
 AT_LEAST = 3
 PART_TOKENS = 2_000_000
 BUCKET_TOKENS = 250_000
-BLOCK_CELLS = 8_000_000
+BLOCK_CELLS, BLOCK_SETS = 32_000_000, 512
 FIRST_BLOCK = 64
 FILTER_BITS = 24
 
@@ -213,19 +213,31 @@ def node_of(digest: bytes | None) -> int | None:
 class Trie:
     """Sets of local token numbers in lexicographic order; a node is a range of them at a depth."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        tokens = np.concatenate(sets)
-        found, inverse, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        found, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        sizes = np.array([len(s) for s in sets])
+        of = np.repeat(np.arange(len(sets)), sizes)
+        # An n-gram of one set only adds to no overlap; a set with too few others has no link.
+        alive = np.ones(len(sets), dtype=bool)
+        while True:
+            times = np.bincount(inverse[alive[of]], minlength=len(found))
+            shared = np.bincount(of[times[inverse] > 1], minlength=len(sets))
+            still = alive & (100 * shared >= percent * sizes)
+            if (still == alive).all():
+                break
+            alive = still
         rank = np.empty(len(found), dtype=np.int64)
         rank[np.lexsort((found, -times))] = np.arange(len(found))
-        cuts = np.cumsum([len(s) for s in sets])[:-1]
-        local = [np.sort(s) for s in np.split(rank[inverse], cuts)]
-        self.at = sorted(range(len(sets)), key=lambda i: local[i].astype(">i8").tobytes())
+        use = alive[of] & (times[inverse] > 1)
+        cuts = np.cumsum(np.bincount(of[use], minlength=len(sets)))[:-1]
+        local = [np.sort(s) for s in np.split(rank[inverse[use]], cuts)]
+        self.at = sorted(np.flatnonzero(alive).tolist(), key=lambda i: local[i].astype(">i8").tobytes())
         self.sets = [local[i] for i in self.at]
-        self.sizes = np.array([len(s) for s in self.sets])
-        self.n_tokens = len(found)
+        self.sizes = sizes[self.at]
+        self.shared = np.array([len(s) for s in self.sets], dtype=np.int64)
+        self.n_tokens, self.percent = int((times > 1).sum()), percent
 
-    def forest(self, percent: int = PERCENT) -> list[tuple[int, int]]:
+    def forest(self) -> list[tuple[int, int]]:
         """Links (i, j) of given positions that join all that link, and no more than that needs.
 
         Blocks of sets walk the trie. Sets of the largest component so far need no walk of their
@@ -233,25 +245,35 @@ class Trie:
         """
         n = len(self.sets)
         label, out = np.arange(n), []
+        if n < 2:
+            return out
         walked = np.zeros(n, dtype=bool)
-        step = max(1, BLOCK_CELLS // max(1, self.n_tokens))
-        block = np.unique(np.linspace(0, n - 1, min(n, step, FIRST_BLOCK)).astype(np.int64))
+        block = self._cut(np.unique(np.linspace(0, n - 1, min(n, FIRST_BLOCK)).astype(np.int64)))
         while len(block):
-            for i, j in self._walk(block, label, percent):
+            for i, j in self._walk(block, label):
                 if label[i] != label[j]:
                     label[label == label[i]] = label[j]
                     out.append((self.at[i], self.at[j]))
             walked[block] = True
             largest = np.bincount(label, minlength=n).argmax()
-            block = np.flatnonzero(~walked & (label != largest))[:step]
+            block = self._cut(np.flatnonzero(~walked & (label != largest))[:BLOCK_SETS])
         return out
 
-    def _walk(self, block: np.ndarray, label: np.ndarray, percent: int):
+    def _cut(self, block: np.ndarray) -> np.ndarray:
+        """As much of a block as keeps its table of n-grams by sets within ``BLOCK_CELLS``."""
+        cells = np.cumsum(self.sizes[block]) * np.arange(1, len(block) + 1)
+        return block[: max(1, int((cells <= BLOCK_CELLS).sum()))]
+
+    def _walk(self, block: np.ndarray, label: np.ndarray):
         """Pairs of a set of the block and another that link and are not one component yet."""
-        sizes = self.sizes[block]
-        has = np.zeros((self.n_tokens, len(block)), dtype=np.uint8)
+        sizes, shared, percent = self.sizes[block], self.shared[block], self.percent
+        # A row for each n-gram of the block; others add to no overlap.
+        tokens = np.unique(np.concatenate([self.sets[i] for i in block]))
+        row_of = np.full(self.n_tokens, -1, dtype=np.int32)
+        row_of[tokens] = np.arange(len(tokens))
+        has = np.zeros((len(tokens), len(block)), dtype=np.uint8)
         for k, i in enumerate(block):
-            has[self.sets[i], k] = 1
+            has[row_of[self.sets[i]], k] = 1
         own_label, all_labels = label[block], label.copy()
         changes = np.concatenate([[0], np.cumsum(all_labels[1:] != all_labels[:-1])])
         stack = [(0, len(self.sets), 0, np.arange(len(block)), np.zeros(len(block), dtype=np.int64))]
@@ -264,17 +286,19 @@ class Trie:
                 continue
             first, last = self.sets[a], self.sets[b - 1]
             until = _common(first, last, depth) if b - a > 1 else len(first)
-            if until > depth:
-                overlap = overlap + has[np.ix_(first[depth:until], alive)].sum(axis=0, dtype=np.int64)
+            rows = row_of[first[depth:until]]
+            rows = rows[rows >= 0]
+            if len(rows):
+                overlap = overlap + has[np.ix_(rows, alive)].sum(axis=0, dtype=np.int64)
             own = sizes[alive]
-            small, large = self.sizes[a:b].min(), self.sizes[a:b].max()
-            most = overlap + np.minimum(large - until, own - overlap)
+            small, large = self.sizes[a:b].min(), self.shared[a:b].max()
+            most = overlap + np.minimum(large - until, shared[alive] - overlap)
             keep = (100 + percent) * most >= percent * (own + small)
             alive, overlap = alive[keep], overlap[keep]
             if not len(alive):
                 continue
             if b - a == 1:
-                union = sizes[alive] + len(first) - overlap
+                union = sizes[alive] + self.sizes[a] - overlap
                 for k in alive[100 * overlap >= percent * union]:
                     yield int(block[k]), a
                 continue
@@ -397,7 +421,7 @@ def jaccard_classes(docs: DataFrame, stage, n: int = N, percent: int = PERCENT)
                 nodes.append(row["node"])
                 found.append(np.frombuffer(row["set"], dtype=np.uint64))
             if len(nodes) > 1:
-                yield from ((nodes[i], nodes[j]) for i, j in Trie(found).forest(percent))
+                yield from ((nodes[i], nodes[j]) for i, j in Trie(found, percent).forest())
 
     links = map_rows(dealt, search, "a bigint, b bigint")
     roots = components(links, stage, name="-link").select(F.col("node").alias("linked"), "root")
