@@ -36,7 +36,7 @@ SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "
 
 SAMPLE = 20_000
 MAX_TERMS = 2_000
-MIN_SUPPORT, MIN_PRECISION = 5, 0.9
+MIN_SUPPORT, MIN_PRECISION = 4, 0.9
 STEM = (4, 5, 6)
 WINDOW = 60
 COUNTED = 8
