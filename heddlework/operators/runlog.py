@@ -126,19 +126,22 @@ def display_status(runs: DataFrame, steps: DataFrame, step_runs: DataFrame) -> D
 def run_outcome(runs: DataFrame, steps: DataFrame, step_runs: DataFrame) -> DataFrame:
     """COMPLETED when every declared step is; FAILED with the step that failed first.
 
+    Steps are compared by id, so a completed step that is not declared counts for nothing.
+
     ``runs``: run_id, workflow_id, error_message. ``step_runs``: the newest row
     per run and step. A run whose error names no step row (its inputs could not be
     filled) is FAILED with that error.
     """
-    declared = steps.groupBy("workflow_id").agg(F.count_distinct("step_id").alias("n_declared"))
+    declared = runs.select("run_id", "workflow_id").join(steps.select("workflow_id", "step_id"), "workflow_id")
+    done_steps = step_runs.where(F.col("status") == "COMPLETED").select("run_id", "step_id")
+    missing = declared.join(done_steps, ["run_id", "step_id"], "left_anti")
+    missing = missing.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_missing"))
     failed = F.col("status") == "FAILED"
     first = F.min(F.when(failed, F.struct("completed_at", "step_id", "error_trace")))
-    seen = step_runs.groupBy("run_id").agg(
-        F.count_if(F.col("status") == "COMPLETED").alias("n_done"), first.alias("_f")
-    )
-    joined = runs.join(declared, "workflow_id", "left").join(seen, "run_id", "left")
+    seen = step_runs.groupBy("run_id").agg(first.alias("_f"))
+    joined = runs.join(missing, "run_id", "left").join(seen, "run_id", "left")
     broken = F.col("_f").isNotNull() | F.col("error_message").isNotNull()
-    done = F.coalesce("n_done", F.lit(0)) >= F.coalesce("n_declared", F.lit(0))
+    done = F.col("n_missing").isNull()
     error = F.when(
         F.col("_f").isNotNull(),
         F.concat(

@@ -44,14 +44,27 @@ def select_json(source: Column, fields: list[str]) -> Column:
 def filter_rows(df: DataFrame, key: str, value) -> DataFrame:
     """Rows whose ``key`` equals ``value``; null equals null.
 
-    No key leaves the table as it is. A column the table lacks reads as null.
+    Numbers and booleans compare by value, and a text never equals either: the
+    types decide, so no value is cast to a text or from one. No key leaves the
+    table as it is. A column the table lacks reads as null.
     """
     if not key:
         return df
     wanted = value if isinstance(value, Column) else F.lit(value)
     if key not in df.columns:
         return df.filter(wanted.isNull())
-    return df.filter(F.col(key).eqNullSafe(wanted))
+    given = F.col(f"`{key}`")
+    kinds = [f.dataType for f in df.select(given, wanted).schema.fields]
+    booleans = [isinstance(k, T.BooleanType) for k in kinds]
+    numbers = [isinstance(k, T.NumericType) or b for k, b in zip(kinds, booleans, strict=True)]
+    texts = [isinstance(k, (T.StringType, T.VarcharType, T.CharType)) for k in kinds]
+    if any(isinstance(k, T.NullType) for k in kinds):
+        return df.filter(given.isNull() & wanted.isNull())
+    if numbers[0] != numbers[1] or texts[0] != texts[1]:
+        return df.filter(given.isNull() & wanted.isNull())
+    if booleans[0] != booleans[1]:
+        given, wanted = (c.cast("int") if b else c for c, b in zip((given, wanted), booleans, strict=True))
+    return df.filter(given.eqNullSafe(wanted))
 
 
 def filter_structs(items: Column, key: str, value) -> Column:
@@ -93,17 +106,23 @@ def filter_items(items: Column, key: str, value: Column) -> Column:
 def comparable(text: Column) -> Column:
     """A text that is equal for JSON texts whose values count as equal.
 
-    Booleans are 1 and 0, and a floating-point number prints as the whole or
-    decimal number it equals. A text keeps its quotes, so it never meets a number.
+    Booleans are 1 and 0. A number becomes its significant digits and a power of
+    ten, exactly and at any size. A text keeps its quotes, so it never meets a number.
     """
-    real = text.contains("E") | text.endswith(".0")
-    exact = F.format_string("%.10f", text.try_cast("double"))
+    whole = F.regexp_extract(text, r"^-?([0-9]+)", 1)
+    part = F.regexp_extract(text, r"\.([0-9]+)", 1)
+    power = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    digits = F.regexp_replace(F.concat(whole, part), "^0+", "")
+    short = F.regexp_replace(digits, "0+$", "")
+    power = power - F.length(part) + F.length(digits) - F.length(short)
+    sign = F.when(text.startswith("-"), "-").otherwise("")
     return (
         F.when(text.startswith('"'), text)
-        .when(text == "true", "1")
+        .when(text == "true", "1e0")
         .when(text == "false", "0")
-        .when(real & text.rlike("^-?[0-9]"), F.regexp_replace(exact, r"\.?0+$", ""))
-        .otherwise(text)
+        .when(~text.rlike("^-?[0-9]"), text)
+        .when(short == "", "0")
+        .otherwise(F.concat(sign, short, F.lit("e"), power.cast("string")))
     )
 
 
