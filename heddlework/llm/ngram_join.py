@@ -53,21 +53,79 @@ FILTER_BITS = 24
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spread every bit over the others, in place."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+PIECE, LONG_WORD = 1 << 18, 1 << 16
+"""Bytes hashed at a time, and the longest word of the polynomial hash; longer ones take xxh3."""
+
+_OF_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
+_POWERS = np.full(PIECE + LONG_WORD + 1, 0xD6E8FEB86659FD93, dtype=np.uint64)
+_POWERS[0] = 1
+_POWERS = np.multiply.accumulate(_POWERS)
+_IS_WORD = np.ones(256, dtype=bool)
+_IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+
+
+def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each data[start:end], from running sums over all of ``data``."""
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    terms = _OF_BYTE.take(data)
+    terms *= _POWERS[: len(data)]
+    np.cumsum(terms, out=sums[1:])
+    words = sums.take(ends)
+    words -= sums.take(starts)
+    words *= _POWERS.take(len(_POWERS) - 1 - starts)
+    return _mix(words)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word in order; a word has one hash wherever it stands."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = _IS_WORD.take(data)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if len(data) <= LONG_WORD:
+        return _hash_words(data, starts, ends)
+    out = np.empty(len(starts), dtype=np.uint64)
+    long = ends - starts > LONG_WORD
+    for k in np.flatnonzero(long):
+        out[k] = xxhash.xxh3_64_intdigest(text[starts[k] : ends[k]])
+    at, starts, ends = np.flatnonzero(~long), starts[~long], ends[~long]
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + PIECE, PIECE))
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        if i < j:
+            first = starts[i]
+            out[at[i:j]] = _hash_words(data[first : ends[j - 1]], starts[i:j] - first, ends[i:j] - first)
+    return out
+
+
 def shingles(text: bytes, n: int = N) -> np.ndarray:
     """Distinct n-grams of lower-cased words as sorted 64-bit hashes."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    if len(words) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b"\0".join(words), len(words))], dtype=np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    out = hashes[: len(words) - n + 1].copy()
+    text = text.lower()
+    hashes = word_hashes(text)
+    if not len(hashes):
+        return hashes
+    if len(hashes) < n:
+        return np.array([xxhash.xxh3_64_intdigest(b"\0".join(text.split()), len(hashes))], dtype=np.uint64)
+    size = len(hashes) - n + 1
+    out = hashes[:size].copy()
     for k in range(1, n):
         out *= _MULTIPLIER
-        out += hashes[k : len(words) - n + 1 + k]
-    out ^= out >> np.uint64(29)
-    out *= _MULTIPLIER
-    return np.unique(out)
+        out += hashes[k : size + k]
+    out = _mix(out)
+    out.sort()
+    fresh = np.ones(size, dtype=bool)
+    np.not_equal(out[1:], out[:-1], out=fresh[1:])
+    return out[fresh]
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
