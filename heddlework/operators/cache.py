@@ -31,10 +31,12 @@ def newest_completed(
 @dataclass(frozen=True)
 class CachedStep:
     """``results``: the requests with ``outputs`` and ``cached``.
-    ``computed``: what the caller's function has worked out, one row per key."""
+    ``computed``: what the caller's function has worked out, one row per key.
+    ``rejects``: requests without a key, with a ``reason``; neither computed nor logged."""
 
     results: DataFrame
     computed: DataFrame
+    rejects: DataFrame
 
     def log_rows(self) -> DataFrame:
         """Step-run rows to append: all COMPLETED, with the ``cached`` flag."""
@@ -64,9 +66,15 @@ def cached_step(
     right side; its left side may be skewed, which AQE splits. What is to be
     computed and its results are written to the shared folder, so the log is read
     once and ``compute`` runs once, however often the results are used.
+
+    Inputs that are missing, no JSON or repeat a key have no key. These requests
+    leave before the grouping, so that they never count as equal to each other.
     """
     stage = Staging(requests.sparkSession, "cached-step")
-    keyed = with_input_key(requests)
+    every = with_input_key(requests)
+    reason = F.when(F.col("resolved_inputs").isNull(), "missing_inputs").otherwise("unreadable_inputs")
+    rejects = every.filter(F.col("input_hash").isNull()).drop("input_hash").withColumn("reason", reason)
+    keyed = every.filter(F.col("input_hash").isNotNull())
     flag = F.coalesce(F.col(use_cache), F.lit(False)) if use_cache else F.lit(True)
     asked = keyed.groupBy("input_hash").agg(
         F.min("action").alias("action"),
@@ -86,7 +94,7 @@ def cached_step(
         .withColumn("cached", hit)
         .drop("_old", "_new")
     )
-    return CachedStep(results, computed)
+    return CachedStep(results, computed, rejects)
 
 
 def completed_outputs(step_runs: DataFrame) -> DataFrame:

@@ -68,11 +68,29 @@ def filter_rows(df: DataFrame, key: str, value) -> DataFrame:
 
 
 def filter_structs(items: Column, key: str, value) -> Column:
-    """The same over an array of structs; null items drop."""
+    """The same over an array of structs; null items drop.
+
+    Both sides are compared as JSON values, so a column of any type may meet a
+    value of any other without a cast that fails.
+    """
     if not key:
         return items
-    wanted = value if isinstance(value, Column) else F.lit(value)
-    return F.filter(items, lambda item: item.isNotNull() & item[key].eqNullSafe(wanted))
+    value = value if isinstance(value, Column) else F.lit(value)
+
+    def keep(given: Column) -> Column:
+        seen = F.transform(
+            given["items"], lambda item: F.struct(item.alias("item"), _printed(item[key]).alias("text"))
+        )
+        equal = F.filter(seen, lambda s: s["item"].isNotNull() & (comparable(s["text"]) == given["wanted"]))
+        return F.transform(equal, lambda s: s["item"])
+
+    return bind(F.struct(items.alias("items"), bind(_printed(value), comparable).alias("wanted")), keep)
+
+
+def _printed(value: Column) -> Column:
+    """A typed value as JSON text; ``null`` for a null."""
+    text = F.to_json(F.struct(value.alias("v")))
+    return F.when(value.isNull(), "null").otherwise(F.substr(text, F.lit(6), F.length(text) - 6))
 
 
 def filter_items(items: Column, key: str, value: Column) -> Column:

@@ -45,15 +45,15 @@ def definition_step(steps: DataFrame, step_id: str) -> DataFrame:
 
 
 def upsert_definitions(kept: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Newest version and text per workflow, with the earliest creation time."""
-    rows = kept.unionByName(incoming)
-    newest = F.max_by(F.struct("version", "definition_json"), F.col("updated_at"))
-    merged = rows.groupBy("workflow_id").agg(
-        newest.alias("_d"),
-        F.min("created_at").alias("created_at"),
-        F.max("updated_at").alias("updated_at"),
-    )
-    return merged.select("workflow_id", "_d.version", "_d.definition_json", "created_at", "updated_at")
+    """The row updated last per workflow, with the earliest creation time.
+
+    At equal times an incoming row wins over a kept one, then the larger version and
+    text, so that a rerun gives the same rows.
+    """
+    sides = kept.withColumn("_new", F.lit(False)).unionByName(incoming.withColumn("_new", F.lit(True)))
+    rank = F.struct("updated_at", "_new", "version", "definition_json")
+    merged = sides.groupBy("workflow_id").agg(F.max(rank).alias("_d"), F.min("created_at").alias("created_at"))
+    return merged.select("workflow_id", "_d.version", "_d.definition_json", "created_at", "_d.updated_at")
 
 
 def save_definitions(df: DataFrame, root: str) -> str:
@@ -64,11 +64,21 @@ def save_definitions(df: DataFrame, root: str) -> str:
 
 
 def load_definitions(spark: SparkSession, root: str) -> DataFrame:
-    """The newest snapshot. Only partition directories are listed to find it."""
-    fields = [*S.WORKFLOW_DEFINITIONS.fields, T.StructField("snapshot", T.LongType())]
-    everything = spark.read.schema(T.StructType(fields)).parquet(root)
-    newest = everything.agg(F.max("snapshot")).first()[0]
-    return everything.filter(F.col("snapshot") == F.lit(newest)).drop("snapshot")
+    """The newest complete snapshot; no rows where there is none.
+
+    The folder is listed through the file system that Spark itself would use. A
+    snapshot counts once its ``_SUCCESS`` file is there, so one that is still being
+    written, or whose writer failed, is passed over; no data file is opened.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = path(root)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    listed = [status.getPath() for status in files.listStatus(folder)] if files.exists(folder) else []
+    snapshots = sorted((p for p in listed if p.getName().startswith("snapshot=")), key=lambda p: p.getName())
+    for snapshot in reversed(snapshots):
+        if files.exists(path(snapshot, "_SUCCESS")):
+            return spark.read.schema(S.WORKFLOW_DEFINITIONS).parquet(snapshot.toString())
+    return spark.createDataFrame([], S.WORKFLOW_DEFINITIONS)
 
 
 def find_definition(definitions: DataFrame, workflow_id: str) -> DataFrame:

@@ -15,6 +15,7 @@ class CachedBatches:
 
     The log is a folder per batch id. A repeated batch reads only the batches
     before it and replaces its own folder, so it writes the same rows again.
+    Requests without a content key go to the folder ``<root>-rejects``.
     Requests need ``id``, ``run_id``, ``step_id`` and ``created_at`` beside action
     and inputs.
     """
@@ -33,6 +34,7 @@ class CachedBatches:
         known = self.log(spark, batch_id) if batch_id else spark.createDataFrame([], S.STEP_RUNS)
         step = cached_step(batch, known, self.compute, self.use_cache)
         step.log_rows().write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
+        step.rejects.write.mode("overwrite").parquet(f"{self.root}-rejects/batch={batch_id}")
 
 
 def _ddl() -> str:

@@ -71,6 +71,22 @@ def test_upsert_keeps_creation_time(spark, tmp_path):
     assert {(r.workflow_id, r.found) for r in D.find_definitions(wanted, D.load_definitions(spark, root)).collect()} == {("w", True), ("none", False)}
 
 
+def test_upsert_at_equal_times_and_unfinished_snapshots(spark, tmp_path):
+    def rows(*data):
+        return spark.createDataFrame(list(data), S.WORKFLOW_DEFINITIONS)
+
+    root = str(tmp_path / "store")
+    assert D.load_definitions(spark, root).count() == 0
+    merged = D.upsert_definitions(rows(("w", "9", "{}", at(0), at(5))), rows(("w", "1", "[]", at(3), at(5))))
+    assert [(r.version, r.created_at) for r in merged.collect()] == [("1", at(0))]
+    done = D.save_definitions(merged, root)
+    broken = D.save_definitions(rows(("x", "1", "{}", at(0), at(0))), root)
+    (tmp_path / "store" / broken.rsplit("/", 1)[1] / "_SUCCESS").unlink()
+    read = D.load_definitions(spark, root)
+    assert [r.workflow_id for r in read.collect()] == ["w"]
+    assert all(done.rsplit("/", 1)[1] in name for name in read.inputFiles())
+
+
 def test_log_append_and_pruned_read(spark, tmp_path):
     path = str(tmp_path / "log")
     base = spark.createDataFrame([("1", "r", "a", "RUNNING", at(0)), ("2", "r", "b", "COMPLETED", at(86400)), ("3", "r", "c", "PENDING", at(86400))],
@@ -122,6 +138,17 @@ def test_equal_requests_are_computed_once_and_flag_rules(spark):
     assert got == {"0": ("old", True), "1": ("new", False), "2": ("new", False)} and counts == [1]
 
 
+def test_requests_without_a_key_are_set_aside(spark):
+    texts = ['{"n": 1}', "{oops", '{"n": 1, "n": 2}', None, '{"n": 1}']
+    rows = [(str(i), "r", "s", "a", text, at(i)) for i, text in enumerate(texts)]
+    request = spark.createDataFrame(rows, "id string, run_id string, step_id string, action string, resolved_inputs string, created_at timestamp")
+    step = cache.cached_step(request, spark.createDataFrame([], S.STEP_RUNS), lambda m: m.select("input_hash", F.lit("new").alias("outputs")))
+    assert {(r.id, r.outputs) for r in step.results.collect()} == {("0", "new"), ("4", "new")}
+    assert step.computed.count() == 1 and {r.id for r in step.log_rows().collect()} == {"0", "4"}
+    assert {(r.id, r.reason) for r in step.rejects.collect()} == {
+        ("1", "unreadable_inputs"), ("2", "unreadable_inputs"), ("3", "missing_inputs")}
+
+
 def test_resume_skips_what_is_done(spark):
     log = step_rows(spark, [("1", "r", "first", "COMPLETED", 0, 1, "one"), ("2", "r", "second", "FAILED", 1, 2, None), ("3", "r", "first", "COMPLETED", 5, 6, "again")])
     runs = spark.createDataFrame([("r", "w")], "run_id string, workflow_id string")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddlework.operators.runlog import run_outcome
-from heddlework.operators.transforms import filter_items, filter_rows
+from heddlework.operators.transforms import filter_items, filter_rows, filter_structs
 
 
 @pytest.mark.parametrize(
@@ -42,3 +42,16 @@ def test_an_undeclared_step_completes_no_run(spark):
     log = spark.createDataFrame([(r, s, "COMPLETED", 1, None) for r, s in seen], "run_id string, step_id string, status string, completed_at int, error_trace string")
     out = {r.run_id: r.outcome for r in run_outcome(runs, steps, log).collect()}
     assert out == {"r1": "RUNNING", "r2": "COMPLETED"}
+
+
+@pytest.mark.parametrize(
+    ("kind", "value", "n"),
+    [("int", "5", 0), ("int", "abc", 0), ("int", 5, 1), ("int", 5.0, 1), ("string", 5, 0), ("string", "5", 1),
+     ("decimal(20,12)", 5, 1), ("double", 5, 1), ("int", None, 1), ("boolean", 1, 1)],
+)
+def test_structs_compare_by_type(spark, kind, value, n):
+    df = spark.createDataFrame([(["5", "7", None],)], "k array<string>")
+    made = F.transform("k", lambda k: F.struct(F.when(k != "7", k).cast(kind).alias("a")) if kind != "boolean" else F.struct((k == "5").alias("a")))
+    items = F.filter(F.array_append(made, F.lit(None)), lambda x: x.isNull() | x["a"].isNotNull() | F.lit(value is None))
+    kept = df.select(filter_structs(items, "a", value).alias("o")).first().o
+    assert len(kept) == (2 if value is None else n) and all(x is not None for x in kept)
