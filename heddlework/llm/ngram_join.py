@@ -158,9 +158,16 @@ def outlines(source: DataFrame, n: int = N) -> DataFrame:
     """A row for each document, and rows (token, times) of what a task met several times."""
 
     def often(sets):
-        found, times = np.unique(np.concatenate(sets), return_counts=True)
-        for k in np.flatnonzero(times >= AT_LEAST):
-            yield None, None, None, None, None, int(found[k : k + 1].view(np.int64)[0]), int(times[k])
+        # Sorted in place: one copy of the n-grams, whatever their number.
+        tokens = np.concatenate(sets)
+        sets.clear()
+        tokens.sort()
+        starts = np.flatnonzero(tokens[AT_LEAST - 1 :] == tokens[: 1 - AT_LEAST])
+        starts = starts[(starts == 0) | (tokens[starts - 1] != tokens[starts])]
+        found = tokens[starts]
+        times = np.searchsorted(tokens, found, side="right") - starts
+        for token, n in zip(found.view(np.int64).tolist(), times.tolist(), strict=True):
+            yield None, None, None, None, None, token, n
 
     def run(rows):
         sets, held = [], 0
