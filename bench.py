@@ -19,7 +19,7 @@ MAIN_TABLE = {
     "render_template": "customer", "render_template_column": "customer", "extract_references": "part",
     "merge_maps": "orders", "fingerprint": "orders", "graph_order": "part", "graph_closure": "part",
     "graph_first_cycle": "part", "graph_validation_report": "part", "definition_steps": "orders",
-    "validate_steps": "orders", "bound_functions": "lineitem", "build_requests": "pages", "prompt_profile": "documents",
+    "validate_steps": "orders", "bound_functions": "lineitem", "build_requests": "pages",
 }
 
 HEADLINES = (
@@ -27,8 +27,9 @@ HEADLINES = (
     "extract_references select_json filter_items merge_maps merge_document merge_rows fingerprint "
     "cached_step cache_newest graph_order graph_closure graph_first_cycle graph_validation_report "
     "definition_steps validate_steps run_report fold_step_runs display_status overlap_counts "
-    "barrier_violations bound_functions json_from_text fill_from_schema build_requests prompt_profile "
-    "wait_match wait_batches"
+    "barrier_violations bound_functions json_from_text build_requests "
+    "wait_match wait_batches wait_stream cached_batches live_runs graph_blocked graph_chains "
+    "graph_undeclared_references"
 ).split()
 
 

@@ -8,16 +8,17 @@ higher-order function in the row. Neither starts Python workers.
 from __future__ import annotations
 
 import re
-from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from heddlework.functions.binding import bind
+
 # Fixed value: a bracketed segment, with or without quotes.
 BRACKET_SEGMENT = r"\[['\"]?([^'\"\]]+)['\"]?\]"
 
-_MAX_ALTERNATIVES = 16
 _MAX_INDEX = 2**31 - 1
+"""An array holds no more; larger digits name keys only."""
 
 NULL_IN_PATH = "null_in_path"
 KEY_MISSING = "key_missing"
@@ -39,42 +40,62 @@ def segments_col(path: Column) -> Column:
 
 
 def _as_key(segment: str) -> str:
-    if '"' not in segment:
-        return f'["{segment}"]'
-    if "'" in segment:
-        raise ValueError(f"a path segment cannot hold both kinds of quote: {segment}")
-    return f"['{segment}']"
+    return f"['{segment}']" if '"' in segment else f'["{segment}"]'
+
+
+def _both_quotes(segment: str) -> bool:
+    return '"' in segment and "'" in segment
 
 
-def _is_index(segment: str) -> bool:
-    return segment.isascii() and segment.isdigit() and int(segment) <= _MAX_INDEX
+def _is_digits(segment: str) -> bool:
+    return segment.isascii() and segment.isdigit()
 
 
 def _walk(value: Column, parts: list[str], to: str) -> Column:
-    if not parts:
+    """Names in a row are one path. Digits may name a key or an index: the value is an object
+    or an array, so at most one of the two paths from there finds something."""
+    runs: list[list[str]] = [[]]
+    for part in parts:
+        if _both_quotes(part) or (_is_digits(part) and any(map(_ambiguous, runs[-1]))) or _both_quotes((runs[-1] or [""])[0]):
+            runs.append([])
+        runs[-1].append(part)
+    for run in runs[:-1]:
+        value = _one_run(value, run, "variant")
+    return _one_run(value, runs[-1], to)
+
+
+def _ambiguous(segment: str) -> bool:
+    return _is_digits(segment) and int(segment) <= _MAX_INDEX
+
+
+def _one_run(value: Column, run: list[str], to: str) -> Column:
+    if not run:
         return value if to == "variant" else F.try_variant_get(value, "$", to)
-    # Digits may name a key or an index. The value is an object or an array, so
-    # at most one of the alternatives finds something.
-    choices = [[_as_key(p)] + ([f"[{int(p)}]"] if _is_index(p) else []) for p in parts]
-    if 2 ** sum(len(c) - 1 for c in choices) <= _MAX_ALTERNATIVES:
-        found = [F.try_variant_get(value, "$" + "".join(steps), to) for steps in product(*choices)]
-        return found[0] if len(found) == 1 else F.coalesce(*found)
-    found = _walk_col(value, F.array(*[F.lit(p) for p in parts]))
-    return found if to == "variant" else F.try_variant_get(found, "$", to)
+    if _both_quotes(run[0]):
+        held = F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(run[0]))
+        return held if to == "variant" else F.try_variant_get(held, "$", to)
+    by_key = "$" + "".join(map(_as_key, run))
+    if not any(map(_ambiguous, run)):
+        return F.try_variant_get(value, by_key, to)
+    by_index = "$" + "".join(f"[{int(p)}]" if _ambiguous(p) else _as_key(p) for p in run)
+    return bind(value, lambda v: F.coalesce(F.try_variant_get(v, by_key, to), F.try_variant_get(v, by_index, to)))
 
 
 def _walk_col(value: Column, parts: Column) -> Column:
-    def step(held: Column, part: Column) -> Column:
-        double, single = part.contains('"'), part.contains("'")
-        key = F.when(~double, F.concat(F.lit('$["'), part, F.lit('"]'))).when(
-            ~single, F.concat(F.lit("$['"), part, F.lit("']"))
-        )
-        by_key = F.try_variant_get(held, F.coalesce(key, F.lit('$[""]')), "variant")
-        index = F.concat(F.lit("$["), F.when(part.rlike("^[0-9]{1,9}$"), part).otherwise("0"), F.lit("]"))
-        by_index = F.when(part.rlike("^[0-9]{1,9}$"), F.try_variant_get(held, index, "variant"))
-        return F.coalesce(F.when(key.isNotNull(), by_key), by_index)
-
-    return F.aggregate(parts, value, step)
+    return F.aggregate(parts, value, _step)
+
+
+def _step(held: Column, part: Column) -> Column:
+    """One segment on; the same rules as for a constant path."""
+    double, single = part.contains('"'), part.contains("'")
+    path = F.when(double, F.concat(F.lit("$['"), part, F.lit("']"))).otherwise(F.concat(F.lit('$["'), part, F.lit('"]')))
+    both = double & single
+    by_key = F.when(both, F.try_element_at(F.try_variant_get(held, "$", "map<string,variant>"), part)).otherwise(
+        F.try_variant_get(held, F.when(both, F.lit("$")).otherwise(path), "variant")
+    )
+    digits = F.when(part.rlike("^[0-9]+$"), part.try_cast("int"))
+    index = F.concat(F.lit("$["), F.coalesce(digits, F.lit(0)).cast("string"), F.lit("]"))
+    return F.coalesce(by_key, F.when(digits.isNotNull(), F.try_variant_get(held, index, "variant")))
 
 
 def extract(value: Column, path: str | Column | None, to: str = "variant") -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CONTEXT_COLUMNS = ("run_id", "workflow_id", "step_id")
-_BY_POSITION = (inspect.Parameter.POSITIONAL_ONLY, inspect.Parameter.POSITIONAL_OR_KEYWORD)
+ROW, CONTEXT = "the whole row", "the context of the row"
+IN_PLACE = None
+
+
+@dataclass(frozen=True)
+class Binding:
+    """A function and where each of its parameters gets its value.
+
+    ``sources`` maps a parameter, or ``IN_PLACE`` for a value passed by position, to
+    ``ROW``, ``CONTEXT`` or a set with the name of one column.
+    """
+
+    fn: Callable
+    returns: T.DataType | str
+    sources: dict
+
+    @classmethod
+    def of(cls, fn: Callable, returns: T.DataType | str) -> Binding:
+        signature = inspect.signature(fn)
+        named = signature.parameters.keys()
+        special = {"inputs": ROW, "context": CONTEXT}
+        if "inputs" in named:
+            return cls(fn, returns, {p: source for p, source in special.items() if p in named})
+        if len(named) == 1 and _takes_by_position(signature):
+            return cls(fn, returns, {IN_PLACE: ROW})
+        return cls(fn, returns, {p: {p} for p in named})
+
+    def column(self, inputs: DataFrame) -> Column:
+        """The function over the table; parameters without a column keep their defaults."""
+        about = [c for c in inputs.columns if c in CONTEXT_COLUMNS]
+        data = [c for c in inputs.columns if c not in about] or inputs.columns
+        structs = {ROW: F.struct(*data), CONTEXT: F.struct(*about)}
+        given = {}
+        for parameter, source in self.sources.items():
+            if isinstance(source, str):
+                given[parameter] = structs[source]
+            else:
+                given |= {parameter: F.col(f"`{c}`") for c in source if c in inputs.columns}
+        if not given:
+            return _vectorised(_repeated(self.fn), self.returns)(F.struct(inputs.columns[0]))
+        return _vectorised(_calling(self.fn, list(given)), self.returns)(*given.values())
 
 
 class FunctionRegistry:
@@ -23,13 +64,19 @@ class FunctionRegistry:
 
     def __init__(self, spark: SparkSession):
         self._spark = spark
-        self._known: dict[str, tuple[Callable, T.DataType | str]] = {}
+        self._known: dict[str, Binding] = {}
 
     def register(self, name: str, fn: Callable, returns: T.DataType | str) -> None:
-        self._known[name] = (fn, returns)
-        params = inspect.signature(fn).parameters
-        if params and "inputs" not in params:
-            self._spark.udf.register(name, _vectorised(_series_call(fn, list(params)), returns))
+        """How the function is called is worked out here, once.
+
+        No parameters: called bare. ``inputs`` (and ``context``), or one
+        positional parameter: gets all columns as a pandas DataFrame. Otherwise
+        parameters are matched with columns by name and other columns dropped.
+        """
+        self._known[name] = Binding.of(fn, returns)
+        columns = list(inspect.signature(fn).parameters)
+        if columns and "inputs" not in columns:
+            self._spark.udf.register(name, _vectorised(_calling(fn, columns), returns))
 
     def unregister(self, name: str) -> None:
         if self._known.pop(name, None):
@@ -39,31 +86,29 @@ class FunctionRegistry:
         return sorted(self._known)
 
     def column(self, name: str, inputs: DataFrame) -> Column:
-        """The function applied to a table's columns.
+        """The named function applied to a table's columns."""
+        return self._known[name].column(inputs)
 
-        No parameters: called bare. ``inputs`` (and ``context``), or one
-        positional parameter: gets all columns as a pandas DataFrame. Otherwise
-        parameters are matched with columns by name and other columns dropped.
-        """
-        fn, returns = self._known[name]
-        params = inspect.signature(fn).parameters
-        names = [c for c in inputs.columns if c not in CONTEXT_COLUMNS] or inputs.columns
-        whole = F.struct(*names)
-        if not params:
-            return _vectorised(lambda rows: pd.Series([fn()] * len(rows)), returns)(F.struct(inputs.columns[0]))
-        if "inputs" in params and "context" in params:
-            context = F.struct(*[c for c in CONTEXT_COLUMNS if c in inputs.columns])
-            return _vectorised(lambda rows, about: fn(inputs=rows, context=about), returns)(whole, context)
-        if "inputs" in params:
-            return _vectorised(lambda rows: fn(inputs=rows), returns)(whole)
-        if len(params) == 1 and next(iter(params.values())).kind in _BY_POSITION:
-            return _vectorised(fn, returns)(whole)
-        bound = [p for p in params if p in inputs.columns]
-        return _vectorised(_series_call(fn, bound), returns)(*bound)
-
-
-def _series_call(fn: Callable, names: list[str]) -> Callable:
-    return lambda *columns: fn(**dict(zip(names, columns)))
+
+def _takes_by_position(signature: inspect.Signature) -> bool:
+    try:
+        signature.bind(ROW)
+    except TypeError:
+        return False
+    return True
+
+
+def _calling(fn: Callable, parameters: list[str | None]) -> Callable:
+    def call(*columns):
+        given = dict(zip(parameters, columns, strict=True))
+        in_place = [given.pop(IN_PLACE)] if IN_PLACE in given else []
+        return fn(*in_place, **given)
+
+    return call
+
+
+def _repeated(fn: Callable) -> Callable:
+    return lambda rows: pd.Series([fn()] * len(rows))
 
 
 def _vectorised(fn: Callable, returns: T.DataType | str):
@@ -78,7 +123,10 @@ def apply_provider(df: DataFrame, provider: Callable, outputs: T.StructType, err
 
     ``provider`` takes a pandas DataFrame and returns one with the ``outputs``
     columns in the same row order. A batch that fails is halved until the failing
-    rows stand alone, so only they carry an error text and the job goes on.
+    rows stand alone, so only they carry an error text and the job goes on. Good rows
+    beside a failing one are thereby given to ``provider`` again, up to log2(batch)
+    times; a provider whose calls cost something answers every row itself, with its
+    own error column, and does not raise.
     """
     schema = T.StructType([*df.schema.fields, *outputs.fields, T.StructField(error, T.StringType())])
     names = outputs.fieldNames()

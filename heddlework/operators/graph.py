@@ -15,6 +15,7 @@ in play, so the work over all rounds stays near the size of the input.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -92,13 +93,14 @@ def execution_order(
     ``wave`` counts from 0 and is the longest way from a root. ``position`` is
     the place, from 1, in a first-in-first-out topological order whose ties go
     by id: inside a wave, steps follow the last of their dependencies, then id.
-    Steps on or behind a cycle or an undefined dependency have no row.
+    Steps on or behind a cycle or an undefined dependency have no row. An edge to
+    an undefined step counts for nothing; rows without a graph or step id take no part.
     """
     stage = Staging(nodes.sparkSession, "order")
     rows = stage.put(
         nodes.select(G, F.lit(None).cast("string").alias("src"), F.col("step_id").alias("dst")).unionByName(
-            edges.select(G, "src", "dst")
-        ),
+            edges.select(G, "src", "dst").filter("src is not null")
+        ).filter(f"{G} is not null and dst is not null"),
         "rows",
     )
     sizes = rows.groupBy(G).agg(F.count(F.lit(1)).alias("n"))
@@ -119,7 +121,8 @@ def execution_order(
 
 
 def _order_small(rows: DataFrame, n_rows: int) -> DataFrame:
-    buckets = max(1, math.ceil(n_rows / _BUCKET_ROWS))
+    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(slots, math.ceil(n_rows / _BUCKET_ROWS))
     packed = rows.withColumn("bucket", F.pmod(F.xxhash64(G), F.lit(buckets)))
     fields = f"{G} string, step_id string, wave int, position long"
     return packed.groupBy("bucket").applyInPandas(_peel_bucket, fields)
@@ -133,6 +136,7 @@ def _peel_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     links = rows.loc[~is_node]
     src = code.get_indexer(pd.MultiIndex.from_frame(links[[G, "src"]]))
     dst = code.get_indexer(pd.MultiIndex.from_frame(links[[G, "dst"]]))
+    src, dst = src[dst >= 0], dst[dst >= 0]
     need = np.bincount(dst, minlength=len(names))  # an undefined dependency is never met
     by_src = np.argsort(src, kind="stable")
     src, dst = src[by_src], dst[by_src]
@@ -293,20 +297,25 @@ def first_cycle(nodes: DataFrame, edges: DataFrame, **sizes: int) -> DataFrame:
         _between(proper, rest).groupBy(G, F.col("src").alias("step_id")).agg(F.min("dst").alias("next")), "jump-0"
     )
     walk = rest.groupBy(G).agg(F.min("step_id").alias("step_id")).withColumn("at", F.lit(0).cast("long"))
-    walk, length, k = stage.put(walk, "walk-0"), 1, 0
+    walk, length, k, closed = stage.put(walk, "walk-0"), 1, 0, []
     while True:
         k += 1
         onward = walk.join(jump, [G, "step_id"]).select(
             G, F.col("next").alias("step_id"), (F.col("at") + F.lit(length)).alias("at")
         )
-        walk = stage.put(walk.select(G, "step_id", "at").unionByName(onward), f"walk-{k}")
+        grown = stage.put(walk.select(G, "step_id", "at").unionByName(onward), f"walk-{k}")
         length *= 2
-        met = walk.groupBy(G, "step_id").agg(F.count(F.lit(1)).alias("n"))
-        open_graphs = met.groupBy(G).agg(F.max("n").alias("n")).filter("n = 1")
+        met = grown.groupBy(G, "step_id").agg(F.count(F.lit(1)).alias("n"))
+        open_graphs = stage.put(met.groupBy(G).agg(F.max("n").alias("n")).filter("n = 1").select(G), f"open-{k}")
+        # Graphs whose walk has met itself are set aside and double no further.
+        closed.append(grown.join(open_graphs, G, "left_anti"))
+        walk = grown.join(open_graphs, G, "left_semi")
         if open_graphs.isEmpty():
             break
+        jump = jump.join(open_graphs, G, "left_semi")
         twice = jump.select(G, F.col("step_id").alias("next"), F.col("next").alias("after"))
         jump = stage.put(jump.join(twice, [G, "next"]).select(G, "step_id", F.col("after").alias("next")), f"jump-{k}")
+    walk = reduce(DataFrame.unionByName, closed)
     # The walk enters the cycle at the earliest step met twice.
     visits = walk.groupBy(G, "step_id").agg(
         F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n")
@@ -350,24 +359,57 @@ def transitive_dependencies(edges: DataFrame) -> DataFrame:
     return stage.scan(fields, *rounds).select(G, "ancestor", "step_id")
 
 
-def blocked_steps(failed: DataFrame, closure: DataFrame) -> DataFrame:
+def reached_from(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(workflow_id, step_id, at): all steps ``at`` that can be reached from a seed step.
+
+    ``seeds``: workflow_id, step_id. Only what the seeds reach is found, a round per
+    step of distance; each round joins the steps just reached. Ends on cyclic graphs
+    too; a seed on a cycle reaches itself.
+    """
+    stage = Staging(edges.sparkSession, "seeded")
+    links = stage.put(edges.select(G, F.col("src").alias("at"), F.col("dst").alias("onto")).distinct(), "links")
+    start = seeds.select(G, "step_id", F.col("step_id").alias("at")).distinct()
+    fields = T.StructType(start.schema.fields)
+
+    def onward(front: DataFrame) -> DataFrame:
+        return front.join(links, [G, "at"]).select(G, "step_id", F.col("onto").alias("at")).distinct()
+
+    rounds, n_rows = [], F.count(F.lit(1))
+    fresh, seen = stage.put_measured(onward(start), "round=0", n=n_rows)
+    rounds.append("round=0")
+    while seen["n"]:
+        known = stage.scan(fields, *rounds).select(G, "step_id", "at")
+        rounds.append(f"round={len(rounds)}")
+        found = onward(fresh).join(known, [G, "step_id", "at"], "left_anti")
+        fresh, seen = stage.put_measured(found, rounds[-1], n=n_rows)
+    return stage.scan(fields, *rounds).select(G, "step_id", "at")
+
+
+def blocked_steps(failed: DataFrame, edges: DataFrame) -> DataFrame:
     """Steps that cannot start because a step they depend on failed.
 
-    ``failed``: run_id, workflow_id, step_id. The closure is that of the
-    definitions, so it is found once however many runs there are.
+    ``failed``: run_id, workflow_id, step_id. What a failed step blocks is found once
+    per definition, however many runs there are; steps that never fail cost nothing.
     """
-    down = closure.withColumnRenamed("step_id", "blocked")
-    hit = failed.withColumnRenamed("step_id", "ancestor").join(down, [G, "ancestor"])
-    return hit.select("run_id", G, F.col("blocked").alias("step_id")).distinct()
+    down = reached_from(failed.select(G, "step_id"), edges)
+    return failed.join(down, [G, "step_id"]).select("run_id", G, F.col("at").alias("step_id")).distinct()
+
 
+def undeclared_references(steps: DataFrame, edges: DataFrame, text: str = "inputs") -> DataFrame:
+    """References to steps that are no (transitive) dependency, so may not be done yet.
 
-def undeclared_references(steps: DataFrame, closure: DataFrame, text: str = "inputs") -> DataFrame:
-    """References to steps that are no (transitive) dependency, so may not be done yet."""
+    Only steps that name something beyond their direct dependencies are followed back.
+    """
     refs = explode_references(steps.select(G, "step_id", text), text).filter(
         (F.col("source") != "workflow") & (F.col("kind") == "output")
     )
     asked = refs.select(G, "step_id", F.col("source").alias("ancestor")).distinct()
-    return asked.join(closure, [G, "ancestor", "step_id"], "left_anti").select(G, "step_id", "ancestor")
+    direct = edges.select(G, F.col("src").alias("ancestor"), F.col("dst").alias("step_id"))
+    asked = asked.join(direct, [G, "ancestor", "step_id"], "left_anti")
+    asked = Staging(steps.sparkSession, "asked").put(asked, "references")
+    backwards = edges.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    up = reached_from(asked, backwards).withColumnRenamed("at", "ancestor")
+    return asked.join(up, [G, "ancestor", "step_id"], "left_anti").select(G, "step_id", "ancestor")
 
 
 # --- report ----------------------------------------------------------------------

@@ -7,23 +7,12 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from heddlework.functions.binding import bind
-from heddlework.operators.requests import stripped
-
 # Fixed values.
 DEFAULT_SYSTEM = "You are an expert AI orchestrator."
 DEFAULT_MODEL = "gpt-4o"
 DEFAULT_TEMPERATURE = 0.7
 SCHEMA_SUFFIX = "\n\nFormat your response strictly as valid JSON matching schema: "
 FENCED_JSON = r"(?sU)```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```"
-FILLERS = {
-    "string": lambda name: f"Synthesized {name}",
-    "array": lambda name: [f"Synthesized item for {name}"],
-    "number": lambda name: 100,
-    "integer": lambda name: 100,
-    "boolean": lambda name: True,
-    "object": lambda name: {"status": "ok"},
-}
 
 
 def assemble_prompt(
@@ -79,41 +68,6 @@ def wrap_tool_answer(text: Column, tool: Column) -> Column:
     return F.coalesce(json_from_text(text), F.to_variant_object(plain))
 
 
-def prompt_profile(prompt: Column) -> Column:
-    """Length, trimmed heads and keyword flags of a prompt."""
-    lowered = F.lower(prompt)
-    return F.struct(
-        F.length(prompt).cast("long").alias("prompt_length"),
-        stripped(F.substring(prompt, 1, 120)).alias("head_120"),
-        stripped(F.substring(prompt, 1, 80)).alias("head_80"),
-        lowered.contains("trends").alias("mentions_trends"),
-        (lowered.contains("headline") | lowered.contains("news")).alias("mentions_news"),
-    )
-
-
-def fill_from_schema(value: Column, schema: dict) -> Column:
-    """Add what a declared schema names and the VARIANT object lacks; VARIANT.
-
-    A property without type counts as text, one of an unknown type is skipped.
-    The schema is read once on the driver; each row only tests for the keys.
-    """
-    held = F.try_variant_get(value, "$", "map<string,variant>")
-    added = {}
-    for name, details in schema.get("properties", {}).items():
-        filler = FILLERS.get(details.get("type", "string"))
-        if filler:
-            added[name] = json.dumps(filler(name))
-    if not added:
-        return value
-    pairs = [part for name, text in added.items() for part in (F.lit(name), F.parse_json(F.lit(text)))]
-    fillers = F.create_map(*pairs)
-
-    def complete(known: Column) -> Column:
-        return F.map_concat(known, F.map_filter(fillers, lambda name, _: ~F.map_contains_key(known, name)))
-
-    return F.coalesce(F.to_variant_object(bind(held, complete)), value)
-
-
 def first_answer(candidates: dict[str, Column], fallback: Column, warning: Column) -> Column:
     """The first candidate present in a row, else the fallback with a warning.
 

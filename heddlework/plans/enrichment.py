@@ -233,20 +233,6 @@ def assemble_prompts(spark, folder):
     )
 
 
-@query(
-    "prompt_profile",
-    r"""
-    SELECT doc_id, length(text) AS prompt_length,
-           regexp_replace(regexp_replace(substr(text, 1, 120), '^[\s\p{Z}\x{1c}-\x{1f}\x{85}]+', ''), '[\s\p{Z}\x{1c}-\x{1f}\x{85}]+$', '') AS head_120,
-           regexp_replace(regexp_replace(substr(text, 1, 80), '^[\s\p{Z}\x{1c}-\x{1f}\x{85}]+', ''), '[\s\p{Z}\x{1c}-\x{1f}\x{85}]+$', '') AS head_80,
-           contains(lower(text), 'trends') AS mentions_trends, contains(lower(text), 'headline') OR contains(lower(text), 'news') AS mentions_news
-    FROM documents
-    """,
-)
-def prompt_profile(spark, folder):
-    return table(spark, folder, "documents", spread=True).select("doc_id", L.prompt_profile(F.col("text")).alias("p")).select("doc_id", "p.*")
-
-
 _ANSWER_SQL = """
 WITH e AS (SELECT event_id, event_type, props, props->>'$.k' AS k,
   CASE event_type WHEN 'click' THEN props
@@ -291,21 +277,6 @@ def wrap_answers(spark, folder):
     )
 
 
-@query(
-    "fill_from_schema",
-    """
-    SELECT event_id, '{"done":true,"info":{"status":"ok"},"k":' || (props->>'$.k') ||
-           ',"label":"Synthesized label","n":100,"r":100,"tags":["Synthesized item for tags"],"untyped":"Synthesized untyped"}' AS filled
-    FROM events
-    """,
-)
-def fill_from_schema(spark, folder):
-    kinds = {"k": "string", "label": "string", "tags": "array", "n": "integer", "r": "number", "done": "boolean", "info": "object", "odd": "date"}
-    schema = {"properties": {**{name: {"type": kind} for name, kind in kinds.items()}, "untyped": {}}}
-    filled = L.fill_from_schema(F.try_parse_json("props"), schema)
-    return table(spark, folder, "events", spread=True).select("event_id", F.to_json(filled).alias("filled"))
-
-
 @query(
     "first_answer",
     """

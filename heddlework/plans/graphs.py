@@ -307,7 +307,7 @@ def graph_blocked(spark, folder):
         F.concat(F.lit("run_"), F.col("p_size").cast("string")).alias("run_id"), F.lit("parts").alias(G),
         F.col("p_partkey").cast("string").alias("step_id"),
     )
-    return Gr.blocked_steps(failed, Gr.transitive_dependencies(_part_graph(spark, folder)[1]))
+    return Gr.blocked_steps(failed, _part_graph(spark, folder)[1])
 
 
 @query(
@@ -327,5 +327,4 @@ def graph_undeclared_references(spark, folder):
         ).alias("inputs"),
     )
     steps = part_steps(spark, folder)
-    closure = Gr.transitive_dependencies(Gr.graph_edges(steps))
-    return Gr.undeclared_references(steps.join(texts, "step_id"), closure)
+    return Gr.undeclared_references(steps.join(texts, "step_id"), Gr.graph_edges(steps))

@@ -117,18 +117,7 @@ def test_prompts(spark):
     assert bare.full_prompt == "Do" + L.SCHEMA_SUFFIX + "[1]" and bare.model == "gpt-4o" and json.loads(bare.response_format) == {"type": "json_object"}
 
 
-def test_profile(spark):
-    text = "  \n" + "Trends: é" + "x" * 200 + " NEWS"
-    got = one(spark, L.prompt_profile(F.lit(text)))[0]
-    assert (got.prompt_length, got.head_120, got.head_80) == (len(text), text[:120].strip(), text[:80].strip())
-    assert got.mentions_trends and got.mentions_news
-
-
-def test_fill_and_first_answer(spark):
-    schema = {"properties": {"a": {"type": "string"}, "n": {"type": "integer"}, "l": {"type": "array"}, "o": {"type": "object"}, "b": {"type": "boolean"}, "u": {}, "odd": {"type": "date"}}}
-    got = one(spark, *[F.to_json(L.fill_from_schema(F.parse_json(F.lit(t)), schema)) for t in ('{"a": null, "x": 1}', "[1]", "{}")])
-    assert json.loads(got[0]) == {"a": None, "x": 1, "n": 100, "l": ["Synthesized item for l"], "o": {"status": "ok"}, "b": True, "u": "Synthesized u"}
-    assert got[1] == "[1]" and json.loads(got[2])["a"] == "Synthesized a"
+def test_first_answer(spark):
     nothing, null = F.lit(None).cast("variant"), F.parse_json(F.lit("null"))
     back = F.parse_json(F.lit("1"))
     first, last = one(spark, L.first_answer({"a": nothing, "b": null}, back, F.lit("w")), L.first_answer({"a": nothing}, back, F.lit("w")))

@@ -187,8 +187,44 @@ def test_pages(spark):
 
 def test_blocked_and_undeclared(spark):
     df = steps(spark, wf=[("a", []), ("b", ["a"]), ("c", ["b"]), ("d", [])])
-    reach = Gr.transitive_dependencies(Gr.graph_edges(df))
+    links = Gr.graph_edges(df)
     failed = spark.createDataFrame([("r1", "wf", "a"), ("r2", "wf", "b"), ("r3", "wf", "d")], "run_id string, workflow_id string, step_id string")
-    assert {(r.run_id, r.step_id) for r in Gr.blocked_steps(failed, reach).collect()} == {("r1", "b"), ("r1", "c"), ("r2", "c")}
+    assert {(r.run_id, r.step_id) for r in Gr.blocked_steps(failed, links).collect()} == {("r1", "b"), ("r1", "c"), ("r2", "c")}
     texts = df.withColumn("inputs", F.when(F.col("step_id") == "c", '{"x":"${a.output.v} ${d.output} ${workflow.input.q} ${c.output}"}').otherwise("{}"))
-    assert {(r.step_id, r.ancestor) for r in Gr.undeclared_references(texts, reach).collect()} == {("c", "d"), ("c", "c")}
+    assert {(r.step_id, r.ancestor) for r in Gr.undeclared_references(texts, links).collect()} == {("c", "d"), ("c", "c")}
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_edges_to_unknown_steps_and_missing_ids(spark, sizes):
+    nodes = spark.createDataFrame([("g", "a"), ("g", "b"), (None, "x"), ("g", None)], "workflow_id string, step_id string")
+    edges = spark.createDataFrame(
+        [("g", "a", "b"), ("g", "a", "nowhere"), (None, "x", "y"), ("g", None, "b")], "workflow_id string, src string, dst string"
+    )
+    got = [(r.workflow_id, r.step_id, r.wave, r.position) for r in Gr.execution_order(nodes, edges, **sizes).collect()]
+    assert sorted(got) == [("g", "a", 0, 1), ("g", "b", 1, 2)]
+
+
+def test_short_cycles_do_not_double_with_a_long_one(spark, monkeypatch):
+    graphs = {f"g{i}": [("a", ["b"]), ("b", ["a"])] for i in range(20)}
+    graphs["long"] = [(f"s{i:02d}", [f"s{(i - 1) % 40:02d}"]) for i in range(40)]
+    rows, put = [], Gr.Staging.put
+
+    def counted(self, df, name, *rest):
+        out = put(self, df, name, *rest)
+        if name.startswith("walk-"):
+            rows.append(out.filter("workflow_id <> 'long'").count())
+        return out
+
+    monkeypatch.setattr(Gr.Staging, "put", counted)
+    found = Gr.first_cycle(*parts(steps(spark, **graphs))).groupBy("workflow_id").count().collect()
+    assert {r.workflow_id: r["count"] for r in found} == {g: len(d) + 1 for g, d in graphs.items()}
+    assert max(rows) <= 20 * 4 and rows[-1] == 0
+
+
+def test_seeded_reach_is_the_closure_of_the_seeds(spark):
+    graphs = random_graphs(random.Random(8), 40, cyclic=True)
+    nodes, edges = parts(steps(spark, **graphs))
+    seeds = nodes.filter("step_id in ('n0', 'n3')")
+    got = {(r.workflow_id, r.step_id, r.at) for r in Gr.reached_from(seeds, edges).collect()}
+    want = {(g, a, z) for g, defs in graphs.items() for a, z in closure(defs) if a in ("n0", "n3")}
+    assert got == want
