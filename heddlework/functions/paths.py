@@ -116,17 +116,29 @@ def path_error(value: Column, path: str | None) -> Column:
     reached = [_walk(value, parts[:i], "variant") for i in range(len(parts) + 1)]
     found = F.when(reached[0].isNull(), NO_SOURCE)
     for part, held, after in zip(parts, reached, reached[1:]):
-        found = found.when(after.isNull(), _blocked(held, part))
+        found = found.when(after.isNull(), _blocked(held, F.lit(part)))
     return F.when(reached[-1].isNull(), found)
 
 
-def _blocked(held: Column, part: str) -> Column:
+def follow(value: Column, path: Column) -> Column:
+    """Struct of ``value`` and ``error`` at a column of paths; exactly one of them is NULL."""
+    start = F.struct(value.alias("value"), F.when(value.isNull(), NO_SOURCE).alias("error"))
+
+    def on(held: Column, part: Column) -> Column:
+        after = _step(held["value"], part)
+        error = F.coalesce(held["error"], F.when(after.isNull(), _blocked(held["value"], part)))
+        return F.struct(after.alias("value"), error.alias("error"))
+
+    return F.aggregate(segments_col(F.coalesce(path, F.lit(""))), start, on)
+
+
+def _blocked(held: Column, part: Column) -> Column:
     kind = F.schema_of_variant(held)
-    numeric = part.isascii() and part.isdigit()
+    numeric = part.rlike("^[0-9]+$")
     return (
         F.when(F.is_variant_null(held), NULL_IN_PATH)
         .when(kind.startswith("OBJECT"), KEY_MISSING)
-        .when(kind.startswith("ARRAY"), INDEX_OUT_OF_RANGE if numeric else INDEX_NOT_NUMERIC)
+        .when(kind.startswith("ARRAY"), F.when(numeric, INDEX_OUT_OF_RANGE).otherwise(INDEX_NOT_NUMERIC))
         .otherwise(UNSUPPORTED_TYPE)
     )
 

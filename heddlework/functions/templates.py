@@ -10,7 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddlework.functions.paths import extract, path_error, text_of
+from heddlework.functions.binding import bind
+from heddlework.functions.paths import extract, follow, path_error, text_of
 
 # Fixed value: source, kind and optional path of a reference.
 REFERENCE = r"\$\{([a-zA-Z0-9_]+)\.(input|output)(?:\.([a-zA-Z0-9_\[\].\-]+))?\}"
@@ -21,6 +22,7 @@ WORKFLOW_OUTPUT = "workflow_output"
 STEP_INPUT = "step_input"
 STEP_NOT_COMPLETE = "step_not_complete"
 STEP_UNKNOWN = "step_unknown"
+NOT_JSON = "not_json"
 
 
 @dataclass(frozen=True)
@@ -170,3 +172,63 @@ def render_column(template: Column, inputs: Column, outputs: Column) -> Column:
     tail = F.slice(literal, F.lit(2), F.greatest(F.size(literal) - 1, F.lit(0)))
     joined = F.array_join(F.zip_with(filled, tail, lambda a, b: F.concat(a, b)), "")
     return F.when(~F.exists(filled, lambda x: x.isNull()), F.concat(F.get(literal, F.lit(0)), joined))
+
+
+_BLANK = r"(?:\s|\\[nrtf])*"
+_REST_OF_KEY = r'[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:'
+#: In JSON text: a text value that is one reference (groups 1-3), or a reference inside one (4-6).
+_IN_JSON = rf'(?<!\\)"{_BLANK}{REFERENCE}{_BLANK}"(?!\s*:)|{REFERENCE}(?!{_REST_OF_KEY})'
+
+
+def _json_references(document: Column) -> Column:
+    groups = [F.regexp_extract_all(document, F.lit(_IN_JSON), F.lit(i)) for i in range(1, 7)]
+    zipped = F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups, 1)])
+    return F.transform(
+        zipped,
+        lambda r: F.struct(
+            (r["g1"] != "").alias("whole"),
+            F.concat(r["g1"], r["g4"]).alias("source"),
+            F.concat(r["g2"], r["g5"]).alias("kind"),
+            F.concat(r["g3"], r["g6"]).alias("path"),
+        ),
+    )
+
+
+def render_documents(document: Column, inputs: Column, outputs: Column, known: frozenset[str] = frozenset()) -> Column:
+    """Fill a column of JSON documents, each row with its own text.
+
+    A struct of ``resolved`` (JSON text in the order of the document) and ``error_codes``
+    (one for each reference that cannot be resolved, in order; ``not_json`` for a text
+    that does not parse). ``resolved`` is NULL where there is an error or no document.
+    A text value that is one reference takes the value's type; keys stay as they are.
+    ``outputs`` is a ``map<string, variant>``. All work happens in the row.
+    """
+
+    def value_of(ref: Column) -> Column:
+        ours, kind = ref["source"] == WORKFLOW, ref["kind"]
+        held = F.when(ours, inputs).otherwise(F.try_element_at(outputs, ref["source"]))
+        declared = F.array_contains(F.array(*map(F.lit, sorted(known))), ref["source"]) if known else F.lit(False)
+        early = F.when(ours & (kind != "input"), WORKFLOW_OUTPUT).when(
+            ~ours & held.isNull(), F.when(declared, STEP_NOT_COMPLETE).otherwise(STEP_UNKNOWN)
+        ).when(~ours & (kind != "output"), STEP_INPUT)
+        return F.struct(follow(held, ref["path"]).alias("at"), early.alias("early"), ref["whole"].alias("whole"))
+
+    def shown(got: Column) -> Column:
+        value = got["at"]["value"]
+        inside = F.to_json(text_of(value).cast("variant"))
+        text = F.when(got["whole"], F.to_json(value)).otherwise(F.substr(inside, F.lit(2), F.length(inside) - 2))
+        return F.struct(text.alias("text"), F.coalesce(got["early"], got["at"]["error"]).alias("code"))
+
+    filled = F.transform(_json_references(document), lambda ref: bind(value_of(ref), shown))
+    literal = F.split(document, _IN_JSON, -1)
+
+    def result(parts: Column) -> Column:
+        tail = F.slice(literal, F.lit(2), F.greatest(F.size(literal) - 1, F.lit(0)))
+        joined = F.array_join(F.zip_with(parts, tail, lambda a, b: F.concat(a["text"], b)), "")
+        codes = F.array_compact(F.transform(parts, lambda p: p["code"]))
+        codes = F.when(F.try_parse_json(document).isNull(), F.array(F.lit(NOT_JSON))).otherwise(codes)
+        codes = F.when(document.isNull(), F.array().cast("array<string>")).otherwise(codes)
+        whole = F.concat(F.get(literal, F.lit(0)), joined)
+        return F.struct(F.when(F.size(codes) == 0, whole).alias("resolved"), codes.alias("error_codes"))
+
+    return bind(filled, result)

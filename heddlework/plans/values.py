@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from heddlework.functions.fingerprint import input_key, row_key
 from heddlework.functions.paths import extract, path_error, segments_col
+from heddlework.functions.templates import render_documents as fill_documents
 from heddlework.functions.templates import (
     Scope,
     explode_references,
@@ -454,3 +455,30 @@ def fingerprint(spark, folder):
 def row_fingerprint(spark, folder):
     o = table(spark, folder, "orders", spread=True).withColumn("status", F.nullif("o_orderstatus", F.lit("P")))
     return o.select("o_orderkey", row_key(o, F.lit("row"), ["status", "o_custkey"]).alias("row_hash"))
+
+
+_DOCUMENTS = (
+    '{"z":" ${workflow.input.k} ","a":["n ${s.output.name}!",{"o":"${workflow.input.o}"}],"${workflow.input.k}":"kept"}',
+    r'{"b":"${workflow.input.o.b} \"q\" ${workflow.input.k}"}',
+    '{"m":"${workflow.input.missing} ${t.output}","i":"${workflow.output}","s":"${s.output.name.x}"}',
+)
+
+
+@query(
+    "render_documents",
+    r"""
+    SELECT c_custkey, CASE c_nationkey % 3
+             WHEN 0 THEN '{"z":' || c_custkey || ',"a":["n ' || c_name || '!",{"o":{"b":true}}],"${workflow.input.k}":"kept"}'
+             WHEN 1 THEN '{"b":"True \"q\" ' || c_custkey || '"}' END AS resolved,
+           CASE c_nationkey % 3 WHEN 2 THEN 'key_missing,step_unknown,workflow_output,unsupported_type' ELSE '' END AS error_codes
+    FROM customer
+    """,
+)
+def render_documents(spark, folder):
+    c = table(spark, folder, "customer")
+    third = F.col("c_nationkey") % 3
+    document = F.when(third == 0, _DOCUMENTS[0]).when(third == 1, _DOCUMENTS[1]).otherwise(_DOCUMENTS[2])
+    inputs = F.parse_json(F.concat(F.lit('{"k":'), F.col("c_custkey").cast("string"), F.lit(',"o":{"b":true}}')))
+    outputs = F.create_map(F.lit("s"), F.to_variant_object(F.struct(F.col("c_name").alias("name"))))
+    done = c.select("c_custkey", fill_documents(document, inputs, outputs).alias("d"))
+    return done.select("c_custkey", "d.resolved", joined("d.error_codes").alias("error_codes"))
