@@ -12,6 +12,10 @@ from heddlework.llm import mixing, ngram_join, pieces, quality_rules, toxicity
 from heddlework.llm.common import staging
 from heddlework.llm.queries import tokenizer
 
+#: Near copies of the pipeline: sets of five words, similar to 80 percent. The defaults of
+#: ``ngram_join`` are those of query 10 alone.
+COPY_WORDS, COPY_PERCENT = 5, 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -23,7 +27,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs, staging(spark, "pipeline-ngrams"))
+    return ngram_join.one_of_each(docs, staging(spark, "pipeline-ngrams"), n=COPY_WORDS, percent=COPY_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -400,3 +400,26 @@ def test_pipeline_keeps_columns_and_counts(spark):
             assert out.columns == docs.columns and out.count() > 0
         docs = out
     assert sorted(map(repr, docs.collect())) == sorted(map(repr, corpus_pipeline.run(spark, FOLDER).collect()))
+
+
+def test_pipeline_drops_copies_by_five_words_and_80_percent(spark):
+    import corpus_pipeline
+
+    def similarity(a, b, n):
+        x, y = (set(zip(*(t.split()[k:] for k in range(n)), strict=False)) for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    rows, near = [], 0
+    for k in range(12):
+        words = [f"d{k}w{i}" for i in range(100)]
+        other = words.copy()
+        for at in range(10, 10 + 2 * 40, 40):
+            other[at] = f"x{at}"
+        if k % 2:
+            other[70] = "y"  # a third word: below 80 percent
+        rows += [(10 * k, " ".join(words), "en", "a", 1), (10 * k + 1, " ".join(other), "en", "a", 1)]
+        near += 0.8 <= similarity(rows[-2][1], rows[-1][1], 5) < 0.85 and similarity(rows[-2][1], rows[-1][1], 4) < 0.85
+    assert near == 6
+    left = corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, DOCS), FOLDER)
+    want = [r[0] for r in rows if r[0] % 10 == 0 or similarity(r[1], next(x[1] for x in rows if x[0] == r[0] - 1), 5) < 0.8]
+    assert sorted(r.doc_id for r in left.collect()) == sorted(want)
