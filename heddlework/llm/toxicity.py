@@ -10,9 +10,10 @@ Each hit is weighed by its window: between quotation marks, or right behind a wo
 reports speech, it is a quotation, else abuse. A document's score is a logistic model of
 its numbers of exact, misspelled and quoted hits.
 
-The lexicon starts from ``SEEDS`` and takes words and stems that occur in at least
-``MIN_SUPPORT`` toxic training documents and, of all that hold them, at least ``MIN_PRECISION``
-are toxic. Lexicon and weights are fitted on at most ``SAMPLE`` labelled training documents,
+The lexicon starts from ``SEEDS`` and takes all words and stems that occur in enough toxic
+training documents and, of all that hold them, at least ``MIN_PRECISION`` are toxic. Enough is
+``MIN_SUPPORT`` or, where chance terms of so few documents fail on the other half of the
+training documents, the least number that holds there. Lexicon and weights are fitted on at most ``SAMPLE`` labelled training documents,
 chosen by a hash of their id. Labels, language, source and id are never inputs of a score.
 
 Null and empty texts have no hits and get the score of none. Null labels count for nothing;
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,8 +35,8 @@ from heddlework.llm.common import map_rows, per_row
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting", "imbecile", "asshole", "bastard")
 
 SAMPLE = 20_000
-MAX_TERMS = 2_000
 MIN_SUPPORT, MIN_PRECISION = 4, 0.9
+MAX_SUPPORT = 16
 STEM = (4, 5, 6)
 WINDOW = 60
 COUNTED = 8
@@ -240,35 +240,67 @@ def units(text: str):
     return out
 
 
-def learn_lexicon(training: DataFrame) -> tuple[list[str], list[str]]:
-    """Terms and stems of the training documents; both passes add counts before the shuffle."""
+def unit_counts(training: DataFrame) -> DataFrame:
+    """(unit, toxic, clean, halves): documents that hold each unit; counts add up before the shuffle.
 
-    def count(rows, only=None):
-        seen: Counter = Counter()
+    ``halves`` has the toxic and clean documents of each half, in which equal texts fall together.
+    """
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
+
+    def count(rows):
+        seen: dict[str, list[int]] = {}
         for row in rows:
-            found = units(row["text"])
-            seen.update(found if only is None else found & only)
+            at = 2 * row["half"] + (0 if row["toxic"] else 1)
+            for unit in units(row["text"]):
+                seen.setdefault(unit, [0, 0, 0, 0])[at] += 1
             if len(seen) > 500_000:
-                yield from seen.items()
+                yield from ((u, *n) for u, n in seen.items())
                 seen.clear()
-        yield from seen.items()
-
-    def totals(rows: DataFrame, only=None) -> DataFrame:
-        pairs = map_rows(rows.select("text"), lambda it: count(it, only), "unit string, n bigint")
-        return pairs.groupBy("unit").agg(F.sum("n").alias("n"))
-
-    often = totals(training.where("toxic = 1")).where(F.col("n") >= MIN_SUPPORT)
-    toxic = {r["unit"]: r["n"] for r in often.orderBy(F.col("n").desc(), "unit").limit(10 * MAX_TERMS).collect()}
-    wanted = frozenset(toxic) | set(SEEDS)
-    clean = {r["unit"]: r["n"] for r in totals(training.where("toxic = 0"), wanted).collect()}
-    good = {u for u, n in toxic.items() if n / (n + clean.get(u, 0)) >= MIN_PRECISION}
-    words = sorted((u for u in good if not u.endswith("*")), key=lambda u: (-toxic[u], u))[:MAX_TERMS]
-    words += [s for s in SEEDS if s not in toxic and not clean.get(s)]
-    stems: list[str] = []
-    for stem in sorted((u[:-1] for u in good if u.endswith("*")), key=lambda u: (len(u), u)):
-        if not any(stem.startswith(s) for s in stems):
-            stems.append(stem)
-    return sorted(set(words)), stems[:MAX_TERMS]
+        yield from ((u, *n) for u, n in seen.items())
+
+    pairs = map_rows(training.select("text", "toxic", half.alias("half")), count, "unit string, t0 bigint, c0 bigint, t1 bigint, c1 bigint")
+    total = pairs.groupBy("unit").agg(*[F.sum(n).alias(n) for n in ("t0", "c0", "t1", "c1")])
+    return total.withColumns({"toxic": F.col("t0") + F.col("t1"), "clean": F.col("c0") + F.col("c1")})
+
+
+def precise(toxic, clean):
+    return toxic >= MIN_PRECISION * (toxic + clean)
+
+
+def choose_support(counts: DataFrame) -> int:
+    """The least support, from ``MIN_SUPPORT``, whose units stay precise in the half they were not taken from.
+
+    A unit of one half counts for the supports s with s <= its toxic documents < 2 s. Without
+    units that the other half holds too, it is ``MIN_SUPPORT``.
+    """
+    sums = []
+    for s in range(MIN_SUPPORT, MAX_SUPPORT + 1):
+        for n in "tc":
+            both = [
+                F.when((F.col(f"t{a}") >= s) & (F.col(f"t{a}") < 2 * s) & precise(F.col(f"t{a}"), F.col(f"c{a}")), F.col(f"{n}{b}"))
+                for a, b in ((0, 1), (1, 0))
+            ]
+            sums.append(F.sum(sum(F.coalesce(x, F.lit(0)) for x in both)).alias(f"{n}{s}"))
+    found = counts.agg(*sums).first()
+    known = [s for s in range(MIN_SUPPORT, MAX_SUPPORT + 1) if found[f"t{s}"] or found[f"c{s}"]]
+    good = [s for s in known if precise(found[f"t{s}"], found[f"c{s}"])]
+    return good[0] if good else known[-1] if known else MIN_SUPPORT
+
+
+def learn_lexicon(training: DataFrame, stage) -> tuple[list[str], list[str]]:
+    """Terms and stems of the training documents. Only those that pass support and precision reach the driver."""
+    counts = stage.put(unit_counts(training), "units")
+    support = choose_support(counts)
+    good = (F.col("toxic") >= support) & precise(F.col("toxic"), F.col("clean"))
+    rows = counts.where(good | F.col("unit").isin(*SEEDS)).select("unit", "toxic", "clean", good.alias("good")).collect()
+    words = {r["unit"] for r in rows if r["good"] and not r["unit"].endswith("*")}
+    met = {r["unit"] for r in rows if r["toxic"] >= support or r["clean"]}
+    words.update(s for s in SEEDS if s not in met)
+    stems: set[str] = set()
+    for stem in sorted((r["unit"][:-1] for r in rows if r["good"] and r["unit"].endswith("*")), key=lambda u: (len(u), u)):
+        if not any(stem[:n] in stems for n in STEM):
+            stems.add(stem)
+    return sorted(words), sorted(stems)
 
 
 class Model:
@@ -298,7 +330,7 @@ _BUILT: dict = {}
 
 def train(docs: DataFrame, labels: DataFrame, stage) -> Model:
     training = training_rows(docs, labels, stage)
-    model = Model(*learn_lexicon(training))
+    model = Model(*learn_lexicon(training, stage))
     counted = per_row(model.count, "exact int, fuzzy int, quoted int")
     found = training.select(counted("text").alias("c"), "toxic").select(
         *[F.least(F.col(f"c.{n}"), F.lit(COUNTED)).alias(n) for n in ("exact", "fuzzy", "quoted")], "toxic"

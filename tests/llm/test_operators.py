@@ -137,6 +137,25 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
+def test_lexicon_takes_all_precise_terms(spark):
+    """More candidates than any cap on their number, the rare ones the precise ones."""
+    prepare(spark)
+    noise = [" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}noise" for k in range(j, 21_000, 4)) for j in range(4)]
+    rare = "zzrare zzyrare " + " ".join(f"z{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}term" for k in range(2_500))
+    rows = [(f"{text} t{i} {rare if i < 6 else ''}", 1) for i in range(8) for text in noise] + [(f"{text} c{i}", 0) for i in range(8) for text in noise]
+    words, stems = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), staging(spark, "t"))
+    assert set(rare.split()) <= set(words) and not any(w.endswith("noise") for w in words)
+    assert all(any(w.startswith(s) for s in stems) for w in rare.split())
+
+
+def test_support_is_chosen_on_training_rows(spark):
+    counts = "unit string, t0 int, c0 int, t1 int, c1 int"
+    chance = [(f"u{k}", 4, 0, 0, 40) for k in range(20)]
+    assert toxicity.choose_support(spark.createDataFrame([("good", 9, 0, 9, 0), *chance], counts)) == 5
+    assert toxicity.choose_support(spark.createDataFrame([("rare", 4, 0, 4, 0)], counts)) == toxicity.MIN_SUPPORT
+    assert toxicity.choose_support(spark.createDataFrame([], counts)) == toxicity.MIN_SUPPORT
+
+
 # 3
 
 
