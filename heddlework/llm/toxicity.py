@@ -2,9 +2,12 @@
 
 The lexicon is a trie of terms (whole words, and stems that any ending may follow). A word
 runs through the product of the trie with the Levenshtein automaton of its edits: a state is
-a set of (trie node, edits so far), built when first met and then looked up, so a word costs
-one look-up for each character and most words die after a few. Substitutions, insertions,
-deletions and swaps count; the first letter is never edited, short terms and stems allow none.
+a set of (trie node, edits so far), built when first met and then looked up. Substitutions,
+insertions, deletions and swaps count, at the first letter too; short terms and stems allow
+none. Only words run that begin with a stem or have a form in common with a term after as many
+letters are left out of both as edits may be: all words within the edits have one. Signs that
+look like letters belong to a word, in a row and at its ends too; at its ends they are read
+both ways.
 
 Each hit is weighed by its window: between quotation marks, or right behind a word that
 reports speech, it is a quotation, else abuse. A document's score is a logistic model of
@@ -43,7 +46,7 @@ COUNTED = 8
 PREDICT_FROM = 0.7
 TRAIN_MOD, HELD_OUT = 3, 1
 
-WORDS = re.compile(r"\w+(?:[@$!*'’]\w+)*")
+WORDS = re.compile(r"[@$]*\w+(?:(?:[@$]+|[!*'’])\w+)*[@$]*")
 #: Letters that are often written as digits or signs (fixed values).
 LOOKS_LIKE = str.maketrans("01345@$", "oieasas")
 #: Words that report what somebody said (fixed values).
@@ -66,36 +69,50 @@ class Lexicon:
     def __init__(self, words: list[str], stems: list[str] = ()):
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]  # edits that a whole term ending here allows
+        self.most: list[int] = [-1]  # edits that a term ending here or below allows
         self.stem: list[bool] = [False]
         for word in words:
-            self.ends[self._add(word)] = edits_for(word)
+            self.ends[self._add(word, edits_for(word))] = edits_for(word)
         for stem in stems:
-            self.stem[self._add(stem)] = True
+            self.stem[self._add(stem, 0)] = True
+        self.stems, self.stem_sizes = frozenset(stems), sorted({len(s) for s in stems})
+        self.longest = max(map(len, words), default=0) + max(self.most[0], 0)
+        self.forms = frozenset(form for word in words for form in shortened(word, edits_for(word)))
         self._start()
 
-    def _add(self, term: str) -> int:
+    def _add(self, term: str, edits: int) -> int:
         node = 0
+        self.most[0] = max(self.most[0], edits)
         for c in term:
             if c not in self.children[node]:
                 self.children[node][c] = len(self.children)
                 self.children.append({})
                 self.ends.append(-1)
+                self.most.append(-1)
                 self.stem.append(False)
             node = self.children[node][c]
+            self.most[node] = max(self.most[node], edits)
         return node
 
     def _start(self) -> None:
-        self.states: dict[frozenset, int] = {frozenset(): 0, frozenset({(0, 0, "")}): 1}
-        self.members = [frozenset(), frozenset({(0, 0, "")})]
+        first = self._closed({(0, ""): 0})
+        self.states: dict[frozenset, int] = {frozenset(): 0, first: 1}
+        self.members = [frozenset(), first]
         self.moves: list[dict[str, int]] = [{}, {}]
         self.accepts = [NONE, NONE]
         self.seen: set[str] = set()
         self.bad: dict[str, int] = {}
 
+    def may_be(self, word: str) -> bool:
+        """False only for words that no stem begins and no term is within its edits of."""
+        if any(word[:n] in self.stems for n in self.stem_sizes):
+            return True
+        return len(word) <= self.longest and not self.forms.isdisjoint(shortened(word, max(self.most[0], 0)))
+
     def find(self, word: str) -> int:
         """Whether the word is in the lexicon exactly, with edits, or not."""
         if word not in self.seen:
-            found = self._run(plain(word))
+            found = max(self._run(w) if self.may_be(w) else NONE for w in readings(word))
             self.seen.add(word)
             if found:
                 self.bad[word] = found
@@ -122,28 +139,44 @@ class Lexicon:
             state = to
         return self.accepts[state]
 
+    def _closed(self, members: dict[tuple[int, str], int]) -> frozenset:
+        """With the nodes reached by term letters that the word lacks; the fewest edits of each."""
+        todo = list(members)
+        while todo:
+            node, owed = todo.pop()
+            edits = members[node, owed] + 1
+            if owed:
+                continue
+            for below in self.children[node].values():
+                if edits <= self.most[below] and edits < members.get((below, ""), 3):
+                    members[below, ""] = edits
+                    todo.append((below, ""))
+        return frozenset((node, edits, owed) for (node, owed), edits in members.items())
+
     def _move(self, state: int, c: str) -> int:
         """The state after ``c``. A member is (node, edits, letter still owed by a swap)."""
-        out = set()
+        out: dict[tuple[int, str], int] = {}
+
+        def reach(node, edits, owed=""):
+            if edits <= self.most[node] and edits < out.get((node, owed), 3):
+                out[node, owed] = edits
+
         for node, edits, owed in self.members[state]:
             if owed:
                 if c == owed:
-                    out.add((node, edits, ""))
+                    reach(node, edits)
                 continue
             child = self.children[node]
             if c in child:
-                out.add((child[c], edits, ""))
-            if node and edits < 2:
-                out.add((node, edits + 1, ""))
+                reach(child[c], edits)
+            if edits < self.most[node]:
+                reach(node, edits + 1)
                 for a, below in child.items():
                     if a != c:
-                        out.add((below, edits + 1, ""))
-                    skipped = self.children[below].get(c)
-                    if skipped is not None:
-                        out.add((skipped, edits + 1, ""))
-                        if a != c:
-                            out.add((skipped, edits + 1, a))
-        key = frozenset(out)
+                        reach(below, edits + 1)
+                        if c in self.children[below]:
+                            reach(self.children[below][c], edits + 1, a)
+        key = self._closed(out)
         if key not in self.states:
             self.states[key] = len(self.members)
             self.members.append(key)
@@ -160,16 +193,27 @@ class Lexicon:
                 return EXACT + 1
             if self.ends[node] >= edits:
                 best = max(best, FUZZY if edits else EXACT)
-            # A last letter that the word lacks.
-            if edits < 2 and node and any(self.ends[b] >= edits + 1 for b in self.children[node].values()):
-                best = max(best, FUZZY)
         return best
 
 
+def shortened(word: str, n: int) -> set[str]:
+    """The word with at most ``n`` letters left out, wherever."""
+    out = last = {word}
+    for _ in range(n):
+        last = {w[:k] + w[k + 1 :] for w in last for k in range(len(w))}
+        out = out | last
+    return out
+
+
 def plain(word: str) -> str:
     if word.isascii() and word.isalpha():
         return word
-    return word.translate(LOOKS_LIKE) if not word.isdigit() else word
+    return word.translate(LOOKS_LIKE) if not word.strip("@$").isdigit() else word
+
+
+def readings(word: str) -> set[str]:
+    """A word in plain letters; signs at its ends may be letters or not."""
+    return {plain(word), plain(word.strip("@$"))}
 
 
 def hits(text: str, lexicon: Lexicon) -> tuple[int, int, int]:
@@ -233,7 +277,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, stage) -> DataFrame:
 
 def units(text: str):
     """Distinct words and stems (marked by a star) of a text."""
-    words = set(map(plain, WORDS.findall(text.lower())))
+    words = set().union(*map(readings, WORDS.findall(text.lower())))
     out = {w for w in words if len(w) >= 4}
     for n in STEM:
         out |= {w[:n] + "*" for w in words if len(w) >= n}

@@ -122,6 +122,33 @@ def test_automaton_by_brute_force():
         assert lexicon.find(word) == want, word
 
 
+def test_automaton_edits_first_letters_too():
+    terms = ["idiot", "moron", "scum", "worthless"]
+    lexicon = toxicity.Lexicon(terms, ["stup"])
+    r = np.random.default_rng(2)
+    words = ["ldiot", "diot", "omron", "xidiot", "orthles", "wthless", "worthle", "owrthlses"]
+    for term in terms:
+        for _ in range(400):
+            word = list(term)
+            for _ in range(r.integers(0, 4)):
+                k, c = int(r.integers(0, len(word))), str(r.choice(list("idotmrncsupwhle")))
+                word[k : k + int(r.integers(0, 2))] = [[c], [], [c, word[k]], word[k : k + 2][::-1]][r.integers(0, 4)]
+            words.append("".join(word) or "x")
+    kinds = set()
+    for word in words:
+        found = [edit_distance(word, t) for t in terms if edit_distance(word, t) <= toxicity.edits_for(t)]
+        want = toxicity.EXACT if word.startswith("stup") or 0 in found else toxicity.FUZZY if found else toxicity.NONE
+        assert lexicon.find(word) == want, word
+        kinds.add(want)
+    assert len(kinds) == 3
+
+
+def test_signs_that_look_like_letters():
+    lexicon = toxicity.Lexicon(["stupid", "asshole", "idiot"])
+    assert toxicity.hits("$tupid @sshole a$$hole @idiot stupid$ id!ot", lexicon) == (5, 1, 0)
+    assert toxicity.hits("$100 100$ a@b.c $ @ $$", lexicon) == (0, 0, 0)
+
+
 def test_quotation_is_told_from_abuse():
     lexicon = toxicity.Lexicon(["idiot"])
     assert toxicity.hits("You idiot, you idoit.", lexicon) == (1, 1, 0)
