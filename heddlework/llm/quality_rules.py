@@ -4,7 +4,8 @@ Each document gives a few whole-number measures. For every language and source t
 of a measure are kept as a histogram with buckets of at most one sixteenth relative width:
 a sketch that merges by adding counts, in any order, with the same result. A measure's
 threshold is its median plus ``SPREAD`` times the distance from median to upper quartile
-plus a slack, so it moves with what is normal in the group. The thresholds are joined back
+plus a slack, so it moves with what is normal in the group, up to the thresholds of its
+language and of all rows, from the merged sketches. The thresholds are joined back
 and a document goes if it breaks any of them or a base rule.
 
 Null texts are empty; null languages and sources are a group of their own. Empty texts fail.
@@ -102,12 +103,32 @@ def quantiles(sketch: DataFrame, keys: list[str], wanted: dict[str, float]) -> D
     )
 
 
-def thresholds(values: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each group with a map of measure to the largest value that passes."""
+def limits(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, measure, name): the largest value that a group's own quantiles let pass."""
     slack = F.create_map(*[F.lit(x) for k, (_, s) in MEASURES.items() for x in (k, s)])
     cut = F.col("q50") + F.lit(SPREAD) * (F.col("q75") - F.col("q50")) + slack[F.col("measure")]
-    limits = quantiles(sketches(values, keys), keys, {"q50": 0.5, "q75": 0.75}).withColumn("cut", cut.cast("bigint"))
-    return limits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("measure", "cut"))).alias("cuts"))
+    found = quantiles(sketch, keys, {"q50": 0.5, "q75": 0.75})
+    return found.select(*keys, "measure", cut.cast("bigint").alias(name))
+
+
+def thresholds(sketch: DataFrame, bounded: bool = True) -> DataFrame:
+    """One row for each language and source with a map of measure to the largest value that passes.
+
+    A group of which more than a quarter is bad, or of a few rows, sets no limit of use by
+    itself. So with ``bounded`` its limits are at most those of its language and, for shares,
+    which do not depend on the language's words, of all rows; these come from the merged sketch.
+    """
+    keys = ["g_lang", "g_source"]
+    own = limits(sketch, keys, "cut")
+    if bounded:
+        by_lang = limits(merge(sketch, ["g_lang"]), ["g_lang"], "lang_cut")
+        by_lang = by_lang.withColumnsRenamed({"g_lang": "l_lang", "measure": "l_measure"})
+        overall = limits(merge(sketch, []), [], "all_cut").withColumnRenamed("measure", "a_measure")
+        own = own.join(by_lang, _same(own, by_lang, {"g_lang": "l_lang", "measure": "l_measure"}))
+        own = own.join(overall, F.col("measure") == F.col("a_measure"))
+        shares = F.when(F.col("measure") != "word_length", F.col("all_cut"))
+        own = own.withColumn("cut", F.least("cut", "lang_cut", shares))
+    return own.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("measure", "cut"))).alias("cuts"))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -127,19 +148,20 @@ def _same(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:
     return condition
 
 
-def quality_table(docs: DataFrame, stage) -> DataFrame:
+def quality_table(docs: DataFrame, stage, bounded: bool = True) -> DataFrame:
     """doc_id, the counts, base_failed, failed_rules and kept, one row for each document.
 
     The counts are written once; sketch and filter read them without the texts.
     """
     counted = with_counts(docs.select("doc_id", "text", "lang", "source"))
     counts = stage.put(counted.select("doc_id", "lang", "source", "counts.*"), "counts")
-    return judged(counts.withColumn("values", measures()), group_cuts(counts, stage))
+    return judged(counts.withColumn("values", measures()), group_cuts(counts, stage, bounded))
 
 
-def group_cuts(counts: DataFrame, stage) -> DataFrame:
+def group_cuts(counts: DataFrame, stage, bounded: bool = True) -> DataFrame:
     values = counts.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.inline(measures()))
-    return stage.put(thresholds(values, ["g_lang", "g_source"]), "thresholds")
+    sketch = stage.put(sketches(values, ["g_lang", "g_source"]), "sketches")
+    return stage.put(thresholds(sketch, bounded), "thresholds")
 
 
 def judged(rows: DataFrame, cuts: DataFrame) -> DataFrame:

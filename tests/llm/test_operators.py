@@ -199,6 +199,22 @@ def test_quality_filter_agrees_with_the_table(spark, odd):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, v in table.items() if v)
 
 
+def test_bad_shares_of_hot_and_small_groups_go(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    spam = text + " ## ## ## ##" * 10
+    shout = " ".join(f"w{k}!" if k % 3 else f"w{k}" for k in range(80))
+    rows = [(k, text, "en", f"s{k % 4}", 1) for k in range(120)]
+    rows += [(200 + k, spam if k % 10 < 4 else text, "en", "hot", 1) for k in range(80)]
+    rows += [(400 + k, shout, "de", "small", 1) for k in range(2)]
+    docs = spark.createDataFrame(rows, DOCS)
+    bad = {r[0] for r in rows if r[1] != text}
+    for kept in (
+        {r.doc_id for r in quality_rules.quality_filter(docs, staging(spark, "t")).collect()},
+        {r.doc_id for r in quality_rules.quality_table(docs, staging(spark, "t")).where("kept").collect()},
+    ):
+        assert kept == {r[0] for r in rows} - bad
+
+
 # 4
 
 
