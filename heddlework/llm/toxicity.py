@@ -9,8 +9,8 @@ letters are left out of both as edits may be: all words within the edits have on
 look like letters belong to a word, in a row and at its ends too; at its ends they are read
 both ways.
 
-Each hit is weighed by its window: between quotation marks, or right behind a word that
-reports speech, it is a quotation, else abuse. A document's score is a logistic model of
+Each hit is weighed by its context: between quotation marks, paired over the whole text, in a
+quoted line, or right behind a word that reports speech, it is a quotation, else abuse. A document's score is a logistic model of
 its numbers of exact, misspelled and quoted hits.
 
 The lexicon starts from ``SEEDS`` and takes all words and stems that occur in enough toxic
@@ -51,8 +51,11 @@ WORDS = re.compile(r"[@$]*\w+(?:(?:[@$]+|[!*'’])\w+)*[@$]*")
 LOOKS_LIKE = str.maketrans("01345@$", "oieasas")
 #: Words that report what somebody said (fixed values).
 REPORTS = re.compile(r"\b(said|says|called|wrote|quoted?|quoting|word|term|insult|slur)\W*(?:\w+\W+){0,2}$")
-OPENED = re.compile(r"[\"“„«‹][^\"”»›“„«‹]*$")
-CLOSED = re.compile(r"^[^\"“„«‹”»›]*[\"”“»›]")
+#: Quotation marks with what may close them (fixed values).
+CLOSED_BY = {'"': '"', "“": "”\"", "„": "“”\"", "«": "»", "»": "«", "‹": "›", "›": "‹", "'": "'’", "‘": "'’"}
+#: Marks in the order of a text: double ones, single ones at the edge of a word, line ends.
+MARKS = re.compile(r"[\"“”„«»‹›]|(?<!\w)['‘](?=\w)|(?<=[\w.,;!?])['’](?!\w)|\n")
+BLOCK = re.compile(r"^[ \t]*>.*$", re.M)
 
 NONE, FUZZY, EXACT = 0, 1, 2
 
@@ -216,17 +219,46 @@ def readings(word: str) -> set[str]:
     return {plain(word), plain(word.strip("@$"))}
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans between marks that belong together, in one pass, and lines that begin with >.
+
+    A mark inside a quotation of another kind says nothing, an opening one that nothing closes
+    neither. A straight mark right behind a digit opens none; single quotes end with their line.
+    """
+    marks = [(m.start(), m.group()) for m in MARKS.finditer(text)]
+    spans, at = [], 0
+    vain: dict[str, int] = {}  # up to this mark nothing closes the opening one
+    while at < len(marks):
+        start, mark = marks[at]
+        at += 1
+        if mark not in CLOSED_BY or at <= vain.get(mark, 0) or (mark == '"' and text[start - 1 : start].isdigit()):
+            continue
+        if mark in "'‘" and start and text[start - 1].isalnum():
+            continue
+        end = at
+        while end < len(marks) and marks[end][1] not in CLOSED_BY[mark] and not (mark in "'‘" and marks[end][1] == "\n"):
+            end += 1
+        if end < len(marks) and marks[end][1] in CLOSED_BY[mark]:
+            spans.append((start, marks[end][0]))
+            at = end + 1
+        else:
+            vain[mark] = end
+    return sorted(spans + [m.span() for m in BLOCK.finditer(text)])
+
+
 def hits(text: str, lexicon: Lexicon) -> tuple[int, int, int]:
     """Numbers of exact, misspelled and quoted hits."""
     low, find = text.lower(), lexicon.find
     if not lexicon.any_of(set(WORDS.findall(low))):
         return 0, 0, 0
     exact = fuzzy = quoted = 0
+    spans, k, upto = quotations(low), 0, 0
     for m in WORDS.finditer(low):
         kind = find(m.group())
         if kind:
-            before, after = low[max(0, m.start() - WINDOW) : m.start()], low[m.end() : m.end() + WINDOW]
-            if (OPENED.search(before) and CLOSED.match(after)) or REPORTS.search(before):
+            while k < len(spans) and spans[k][0] <= m.start():
+                upto, k = max(upto, spans[k][1]), k + 1
+            if m.start() < upto or REPORTS.search(low[max(0, m.start() - WINDOW) : m.start()]):
                 quoted += 1
             elif kind == EXACT:
                 exact += 1

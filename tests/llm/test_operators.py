@@ -156,6 +156,18 @@ def test_quotation_is_told_from_abuse():
     assert toxicity.hits("", lexicon) == (0, 0, 0)
 
 
+def test_quotations_are_paired_over_the_whole_text():
+    lexicon = toxicity.Lexicon(["idiot"])
+    long = "then " * 60
+    for text in (f'"{long} idiot {long}"', f"„{long} idiot {long}“", f"«{long} idiot {long}»", "so 'you idiot' it read", "> you idiot\nno"):
+        assert toxicity.hits(text, lexicon) == (0, 0, 1), text
+    for text in (
+        '"Hi" you idiot "bye"', f'"{long}" you idiot "{long}"', "don't be an idiot, it's bad", '5" idiot 6"', "“ you idiot", "a > idiot",
+        "the dogs' idiot and the cats' bowl", "'tis an idiot\nof the dogs' own",
+    ):
+        assert toxicity.hits(text, lexicon) == (1, 0, 0), text
+
+
 def test_toxicity_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.1"
     rows = QUERIES["op2_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").collect()
