@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddlework.llm import (
-    chat, licenses, mixing, ngram_join, pieces, quality_classifier, quality_rules, sharding, topk, toxicity,
+    chat, licenses, manifest, mixing, ngram_join, pieces, quality_classifier, quality_rules, sharding, topk, toxicity,
 )
 from heddlework.llm.common import prepare, staging
 
@@ -205,3 +205,72 @@ def piece_table(spark, folder):
 @query("op10_ngram_join")
 def ngram_components(spark, folder):
     return ngram_join.jaccard_join(table(spark, folder, "documents"), staging(spark, "ngrams"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Levels of a source and of the sources that the SQL below spells out.
+_LEVELS, _TOP_LEVELS = 7, 4
+
+
+def _merkle_sql() -> str:
+    def leaf(text: str) -> str:
+        values = [text if name == "text" else f"{name}::VARCHAR" for name in manifest.FIELDS]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
+
+    def level(name: str, k: int, by: str) -> str:
+        return f"""
+{name}{k + 1} AS (
+  SELECT {by}, nth // 16 AS nth, (n + 15) // 16 AS n, sha256(string_agg(digest, '' ORDER BY nth)) AS digest
+  FROM {name}{k} WHERE n > 1 GROUP BY {by}, nth // 16, n),
+{name}s{k} AS (
+  SELECT {by}, nth, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}{k} WHERE n > 1 WINDOW w AS (PARTITION BY {by}, nth // 16 ORDER BY nth)),"""
+
+    def ends(name: str, levels: int, by: str) -> str:
+        return " UNION ALL ".join(f"SELECT {by}, digest FROM {name}{k} WHERE n = 1" for k in range(levels + 1))
+
+    folded, proof, joins = "coalesce(shown, leaf)", [], []
+    steps = [("n", k, f"c.source IS NOT DISTINCT FROM {{}}.source AND c.nth // {16 ** k} = {{}}.nth") for k in range(_LEVELS)]
+    steps += [("t", k, f"o.nth // {16 ** k} = {{}}.nth") for k in range(_TOP_LEVELS)]
+    chain = []
+    for name, k, on in steps:
+        s = f"{name}s{k}"
+        joins.append(f"LEFT JOIN {s} ON " + on.format(s, s))
+        proof.append(f"coalesce({s}.l || {s}.r, '')")
+        chain.append(f"CASE WHEN {s}.nth IS NOT NULL THEN [{s}.l, {s}.r] END")
+    bits = "flatten(list_transform(range(1, length(d) + 1), lambda i: [ord(d[i]), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"""xor(list_reduce(list_prepend(4294967295, {bits}),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+    return f"""
+WITH docs AS (
+  SELECT *, doc_id::VARCHAR AS d FROM documents),
+leaves AS (
+  SELECT doc_id, source, {leaf("text")} AS leaf,
+    CASE WHEN {crc} % 5 = 0 THEN {leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS shown FROM docs),
+c AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nth,
+    count(*) OVER (PARTITION BY source) AS n FROM leaves),
+n0 AS (SELECT source, nth, n, leaf AS digest FROM c),{"".join(level("n", k, "source") for k in range(_LEVELS))}
+subroots AS ({ends("n", _LEVELS, "source")}),
+o AS (
+  SELECT 0 AS one, source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS nth, count(*) OVER () AS n FROM subroots),
+t0 AS (SELECT one, nth, n, digest FROM o),{"".join(level("t", k, "one") for k in range(_TOP_LEVELS))}
+roots AS ({ends("t", _TOP_LEVELS, "one")}),
+proven AS (
+  SELECT doc_id, leaf, shown, o.digest AS subroot, roots.digest AS root, sha256({" || ".join(proof)}) AS proof_sha256,
+    list_filter([{", ".join(chain)}], lambda s: s IS NOT NULL) AS way
+  FROM c JOIN o ON c.source IS NOT DISTINCT FROM o.source CROSS JOIN roots {" ".join(joins)}),
+shut AS (
+  SELECT *, list_reduce(list_prepend(['', {folded}], way), lambda a, s: ['', sha256(s[1] || a[2] || s[2])])[2] AS folded_root FROM proven)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM shut
+"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def merkle_manifest(spark, folder):
+    """All documents proven; where 5 divides crc32(doc_id) the text shown is in lower case."""
+    stage = staging(spark, "manifest")
+    shown = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, manifest.leaf_digest(text=F.translate("text", _UPPER, _LOWER)))
+    built = manifest.build(table(spark, folder, "documents"), stage, presented=shown)
+    return manifest.verified(manifest.prove(built, stage))
