@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddlework.llm import (
-    chat, licenses, manifest, mixing, ngram_join, pieces, quality_classifier, quality_rules, sharding, topk, toxicity,
+    alignment, chat, licenses, manifest, mixing, ngram_join, pieces, quality_classifier, quality_rules, sharding, topk, toxicity,
 )
 from heddlework.llm.common import prepare, staging
 
@@ -207,6 +207,16 @@ def ngram_components(spark, folder):
     return ngram_join.jaccard_join(table(spark, folder, "documents"), staging(spark, "ngrams"))
 
 
+#: The byte-level vocabulary of query 11, beside that of query 9.
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+
+
+@query("op11_alignment")
+def token_alignment(spark, folder):
+    both = alignment.Tokenizers(f"{TOKENIZERS}/{BYTE_VOCABULARY}", f"{TOKENIZERS}/{VOCABULARY}")
+    return alignment.align_documents(table(spark, folder, "documents"), both, staging(spark, "alignment"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Levels of a source and of the sources that the SQL below spells out.
 _LEVELS, _TOP_LEVELS = 7, 4
