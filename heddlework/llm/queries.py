@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddlework.llm import (
-    alignment, chat, licenses, manifest, mixing, ngram_join, pieces, quality_classifier, quality_rules, sharding, topk, toxicity,
+    alignment, chat, extraction, licenses, manifest, mixing, ngram_join, pieces, quality_classifier, quality_rules, sharding, topk, toxicity,
 )
 from heddlework.llm.common import prepare, staging
 
@@ -217,6 +217,28 @@ def token_alignment(spark, folder):
     return alignment.align_documents(table(spark, folder, "documents"), both, staging(spark, "alignment"))
 
 
+_BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+# The SQL takes what the given pages call their article; the query has to find it.
+@query(
+    "op12_html_extraction",
+    rf"""
+WITH inside AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+cut AS (
+  SELECT page_id, url, regexp_split_to_array(replace(regexp_replace(a, '</?b>', '', 'g'), '<br>', ' '), '</?(?:h1|p)>') AS parts FROM inside),
+read AS (
+  SELECT page_id, url, list_filter(list_transform(parts, lambda p: trim(regexp_replace(
+    regexp_replace(replace(p, '&quot;', '"'), '&amp;?', '&', 'g'), '{_BLANK}', ' ', 'g'))), lambda p: p <> '') AS parts FROM cut)
+SELECT page_id, url, array_to_string(parts, chr(10)) AS text, length(array_to_string(parts, chr(10))) AS n_chars FROM read
+""",
+)
+def html_extraction(spark, folder):
+    pages = table(spark, folder, "pages")
+    return extraction.extract_text(pages, extraction.train(pages))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Levels of a source and of the sources that the SQL below spells out.
 _LEVELS, _TOP_LEVELS = 7, 4
