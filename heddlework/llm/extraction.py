@@ -32,8 +32,8 @@ from heddlework.llm.leaf_blocks import Block, leaf_blocks
 
 SAMPLE_PAGES = 300
 """Pages of the table that labels are taken from."""
-LAID_OUT = 2
-"""Layouts for each of them."""
+LAYOUTS = 800
+"""Layouts filled with their texts, in turn."""
 MIN_PAGES = 3
 """Pages that must show a name for it to have a weight."""
 PENALTY = 0.5
@@ -57,9 +57,23 @@ def _bucket(n: int) -> int:
     return n if n < 3 else 3 if n < 6 else 4 if n < 11 else 5 if n < 21 else 6 if n < 51 else 7
 
 
+def _containers(blocks: list[Block]) -> dict[int, str]:
+    """What stands in each container: words, the longest text and the share of links, in steps."""
+    sums: dict[int, list[int]] = {-1: [0, 0, 0, 1]}
+    for b in blocks:
+        held, words = sums.setdefault(b.container, [0, 0, 0, 1]), b.text.count(" ") + 1
+        held[0] += words
+        held[1] = max(held[1], words)
+        held[2] += b.linked
+        held[3] += len(b.text)
+    return {
+        k: f"{min(total.bit_length(), 9)}-{min(most.bit_length(), 6)}-{4 * linked // chars}" for k, (total, most, linked, chars) in sums.items()
+    }
+
+
 def features(blocks: list[Block]) -> list[list[str]]:
     """Names of the features of each block."""
-    shapes = []
+    shapes, held = [], _containers(blocks)
     for b in blocks:
         words = b.text.count(" ") + 1
         links = 0 if not b.linked else 3 if b.linked >= 0.9 * len(b.text) else 2 if 3 * b.linked > len(b.text) else 1
@@ -77,6 +91,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
             f"b{before[0]}w{words}a{after[0]}", f"commas{min(b.text.count(','), 3)}", f"signs{any(c in b.text for c in '|·»›•')}w{words}",
             f"digits{5 * sum(map(str.isdigit, b.text[:200])) > len(b.text[:200])}",
         ]
+        found.append(f"c{held[b.container]}")
+        found.append(f"u{held.get(b.outer, '-')}")
         found.extend(b.around)
         out.append(found)
     return out
@@ -339,7 +355,7 @@ def labelled(html: str) -> list[Block] | None:
     return blocks
 
 
-def training_pages(htmls: list[str], laid_out: int = LAID_OUT) -> list[list[Block]]:
+def training_pages(htmls: list[str], layouts: int = LAYOUTS) -> list[list[Block]]:
     """Labelled blocks of pages and of layouts filled with their texts; fillers where there are none."""
     out, sources = [], []
     for html in htmls:
@@ -350,12 +366,12 @@ def training_pages(htmls: list[str], laid_out: int = LAID_OUT) -> list[list[Bloc
             rest = [b.text for b in blocks if not b.wanted]
             if main:
                 sources.append((main[0][:120], main[1:41] or main, [t for t in rest if len(t) < 40], [t for t in main[1:] + rest if len(t) >= 20]))
-    r = random.Random(0)
+    r, words = random.Random(0), " ".join(FILLER).split()
     for k in range(40):
-        sources.append((FILLER[k % len(FILLER)][:60], [r.choice(FILLER) for _ in range(r.randint(1, 12))], [], []))
-    for k, source in enumerate(sources):
-        for j in range(laid_out):
-            out.append(leaf_blocks(_Layout(k * laid_out + j, *source).html(), mark=MARK))
+        said = [" ".join(r.choices(words, k=r.choice((1, 2, 4, 8, 15, 30, 60)))).capitalize() + r.choice((".", ".", ".", "?", "")) for _ in range(r.randint(3, 12))]
+        sources.append((said[0][:60], said[1:], [], []))
+    for k in range(layouts):
+        out.append(leaf_blocks(_Layout(k, *sources[k % len(sources)]).html(), mark=MARK))
     return out
 
 

@@ -117,4 +117,5 @@ def test_empty_table_is_trained_on_fillers(spark):
     none = spark.createDataFrame([], PAGES)
     trained = extraction.train(none)
     assert extraction.extract_text(none, trained).collect() == []
-    assert [b.text for b in trained.main_blocks(PLAIN)] == WANTED.split("\n")
+    named = PLAIN.replace("<div><h1>", "<article><h1>").replace('words in it.</p></div>', 'words in it.</p></article>')
+    assert [b.text for b in trained.main_blocks(named)] == WANTED.split("\n")
