@@ -1,13 +1,10 @@
 """Running totals, positions and carried values inside groups of any size.
 
 A window over a group is one task's work, so a group that holds a large part of
-the table would run on one executor. These helpers count the rows per group
-first (a map-side combined count over the key columns). Where no group passes
-``hot_rows`` they use an ordinary window. Otherwise the rows are range
-partitioned by group and order, which cuts a large group into slices of
-near-equal size; each slice is scanned on its own and then shifted by the totals
-of the slices before it. Only the columns the scan needs take that way; the others
-are joined back on group and order, whose values are unique.
+the table would run on one executor. Here the rows are range partitioned by group and
+order, which cuts a large group into slices of near-equal size and leaves many small groups
+together in one. Each slice is scanned on its own and then shifted by the totals of
+the slices before it. There is one plan for groups of every size, and no count before it.
 """
 
 from __future__ import annotations
@@ -20,23 +17,15 @@ from pyspark.sql.window import Window as W
 
 from heddlework.session import Staging
 
-HOT_ROWS = 2_000_000
 PAGE_ROWS = 1_000
 
 
-def has_hot_group(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
-    """True when some group holds more than ``hot_rows`` rows."""
-    return not df.groupBy(*keys).count().filter(F.col("count") > hot_rows).isEmpty()
-
-
 def scan_within(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     totals: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
-    hot_rows: int = HOT_ROWS,
-    hot: bool | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Add running sums (``totals``) and last non-null values (``lasts``).
@@ -47,73 +36,58 @@ def scan_within(
     totals, lasts = totals or {}, lasts or {}
     placed = [*keys, *order]
     spare = [name for name in (df.columns if keep is None else keep) if name not in placed]
-    if hot is None:
-        hot = has_hot_group(df, keys, hot_rows)
-    if not hot:
-        return _scan(df, keys, order, totals, lasts).select(*placed, *spare, *totals, *lasts)
-    scanned = _scan_slices(df, keys, order, totals, lasts)
-    if not spare:
-        return scanned
-    renamed = scanned.select(*[F.col(n).alias(f"_p{i}") for i, n in enumerate(placed)], *totals, *lasts)
-    same = [F.col(n).eqNullSafe(F.col(f"_p{i}")) for i, n in enumerate(placed)]
-    rows = df.select(*placed, *spare)
-    return rows.join(renamed, reduce(lambda a, b: a & b, same)).select(*placed, *spare, *totals, *lasts)
-
-
-def positions_within(
-    df: DataFrame, keys: list[str], order: list[str], out: str, hot: bool | None = None, **kw
-) -> DataFrame:
-    """Add the 1-based position of each row in its group as a long column."""
-    return scan_within(df, keys, order, totals={out: F.lit(1).cast("long")}, hot=hot, **kw)
-
-
-def paged(
-    df: DataFrame, keys: list[str], order: list[str], page_rows: int = PAGE_ROWS, **kw
-) -> DataFrame:
-    """Add ``position`` and ``page`` so that a group can be nested page by page."""
-    numbered = positions_within(df, keys, order, "position", **kw)
-    return numbered.withColumn("page", F.floor((F.col("position") - 1) / page_rows).cast("long"))
-
-
-def _scan(df, keys, order, totals, lasts):
-    frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.select(
-        "*",
-        *[F.sum(expr).over(frame).alias(out) for out, expr in totals.items()],
-        *[F.last(expr, ignorenulls=True).over(frame).alias(out) for out, expr in lasts.items()],
-    )
-
-
-def _scan_slices(df, keys, order, totals, lasts):
-    spark = df.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    needed = df.select(
-        *keys, *order, *[expr.alias(f"_v_{out}") for out, expr in {**totals, **lasts}.items()]
-    )
-    totals = {out: F.col(f"_v_{out}") for out in totals}
-    lasts = {out: F.col(f"_v_{out}") for out in lasts}
+    values = {f"_v{i}": expr for i, expr in enumerate([*totals.values(), *lasts.values()])}
     # Slice numbers must not change between the two reads below, hence the written table.
-    sliced = Staging(spark, "slices").put(
-        needed.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id()),
+    sliced = Staging(df.sparkSession, "slices").put(
+        df.select(*placed, *spare, *[expr.alias(name) for name, expr in values.items()])
+        .repartitionByRange(*placed)
+        .withColumn("_slice", F.spark_partition_id()),
         "rows",
     )
-    local = _scan(sliced, [*keys, "_slice"], order, totals, lasts)
+    named = dict(zip([*totals, *lasts], map(F.col, values), strict=True))
+    totals, lasts = {out: named[out] for out in totals}, {out: named[out] for out in lasts}
+    frame = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = sliced.select(
+        *placed, *spare, "_slice",
+        *[F.sum(expr).over(frame).alias(f"_l_{out}") for out, expr in totals.items()],
+        *[F.last(expr, ignorenulls=True).over(frame).alias(f"_l_{out}") for out, expr in lasts.items()],
+    )
     rank = F.struct(*order)
     per_slice = sliced.groupBy(*keys, "_slice").agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(expr).alias(out) for out, expr in totals.items()],
         *[F.max_by(expr, F.when(expr.isNotNull(), rank)).alias(out) for out, expr in lasts.items()],
     )
-    # At most one row per slice and group, so this window stays small for any group.
+    # At most one row per slice and group: a group of any size has no more rows here than there are slices.
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     carried = per_slice.select(
         *[F.col(key).alias(f"_k{i}") for i, key in enumerate(keys)],
         F.col("_slice").alias("_s"),
+        F.count(F.lit(1)).over(before).alias("_before"),
         *[F.sum(out).over(before).alias(f"_c_{out}") for out in totals],
         *[F.last(out, ignorenulls=True).over(before).alias(f"_c_{out}") for out in lasts],
     )
+    # Only groups that began in an earlier slice have anything to add.
+    carried = carried.filter("_before > 0")
     same = [F.col(key).eqNullSafe(F.col(f"_k{i}")) for i, key in enumerate(keys)]
     joined = local.join(carried, reduce(lambda a, b: a & b, same, F.col("_slice") == F.col("_s")), "left")
-    summed = {out: F.col(out) + F.coalesce(F.col(f"_c_{out}"), F.lit(0)) for out in totals}
-    kept = {out: F.coalesce(F.col(out), F.col(f"_c_{out}")) for out in lasts}
-    return joined.select(*keys, *order, *[expr.alias(out) for out, expr in {**summed, **kept}.items()])
+    summed = {out: F.col(f"_l_{out}") + F.coalesce(F.col(f"_c_{out}"), F.lit(0)) for out in totals}
+    kept = {out: F.coalesce(F.col(f"_l_{out}"), F.col(f"_c_{out}")) for out in lasts}
+    return joined.select(*placed, *spare, *[expr.alias(out) for out, expr in {**summed, **kept}.items()])
+
+
+def positions_within(df: DataFrame, keys: list[str], order: list[str], out: str, **kw) -> DataFrame:
+    """Add the 1-based position of each row in its group as a long column."""
+    return scan_within(df, keys, order, totals={out: F.lit(1).cast("long")}, **kw)
+
+
+def paged(df: DataFrame, keys: list[str], order: list[str], page_rows: int = PAGE_ROWS, **kw) -> DataFrame:
+    """Add ``position`` and ``page`` so that a group can be nested page by page."""
+    numbered = positions_within(df, keys, order, "position", **kw)
+    return numbered.withColumn("page", F.floor((F.col("position") - 1) / page_rows).cast("long"))
+
+
+def ranked(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Add numbers that follow ``order`` over the whole table, with gaps. Write the table before it is read twice."""
+    cut = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut.withColumn(out, F.monotonically_increasing_id())

@@ -3,33 +3,26 @@
 Nodes are rows (workflow_id, step_id). An edge (workflow_id, src, dst) says that
 step ``dst`` depends on step ``src``.
 
-Ordering a graph takes one of two ways, by its counted size. Graphs of up to
-``SMALL_GRAPH_ROWS`` nodes and edges are packed by hash into buckets of many
-graphs and peeled there in numpy: one shuffle, whatever their depth. Larger
-graphs are peeled by Spark, all together, one job per wave, with the state written
-to the shared folder. Each of those rounds joins only the steps that have just
-finished, and the edge table is rewritten whenever less than half of it is still
-in play, so the work over all rounds stays near the size of the input.
+Waves, cycles and reachability run as rounds of joins over all graphs together; one graph may
+hold all rows, and no group holds a graph. A step with a single open dependency passes what it needs
+on to that one's own, so the way a round covers doubles along unbranched stretches, and a
+chain takes as many rounds as the logarithm of its length. Rounds write what has changed
+to the shared folder; the driver sees counts.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddlework.functions.ordering import HOT_ROWS, PAGE_ROWS, has_hot_group, paged, positions_within
+from heddlework.functions.ordering import PAGE_ROWS, paged, positions_within, ranked, scan_within
 from heddlework.functions.templates import explode_references
 from heddlework.session import Staging
 
 G = "workflow_id"
-SMALL_GRAPH_ROWS = 200_000
-_BUCKET_ROWS = 100_000
 
 
 # --- tables and lookups ------------------------------------------------------
@@ -85,156 +78,134 @@ def ready_steps(nodes: DataFrame, edges: DataFrame, completed: DataFrame) -> Dat
 # --- waves and order ---------------------------------------------------------
 
 
-def execution_order(
-    nodes: DataFrame, edges: DataFrame, small_rows: int = SMALL_GRAPH_ROWS, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Wave and position of every step that can run.
+def _known(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with both ids, and the different edges into them."""
+    nodes = nodes.filter(f"{G} is not null and step_id is not null").select(G, "step_id").distinct()
+    links = edges.filter("src is not null").select(G, "src", "dst").distinct()
+    return nodes, links.join(nodes.withColumnRenamed("step_id", "dst"), [G, "dst"], "left_semi").select(G, "src", "dst")
 
-    ``wave`` counts from 0 and is the longest way from a root. ``position`` is
-    the place, from 1, in a first-in-first-out topological order whose ties go
-    by id: inside a wave, steps follow the last of their dependencies, then id.
-    Steps on or behind a cycle or an undefined dependency have no row. An edge to
-    an undefined step counts for nothing; rows without a graph or step id take no part.
-    """
-    stage = Staging(nodes.sparkSession, "order")
-    rows = stage.put(
-        nodes.select(G, F.lit(None).cast("string").alias("src"), F.col("step_id").alias("dst")).unionByName(
-            edges.select(G, "src", "dst").filter("src is not null")
-        ).filter(f"{G} is not null and dst is not null"),
-        "rows",
-    )
-    sizes = rows.groupBy(G).agg(F.count(F.lit(1)).alias("n"))
-    large, seen = stage.put_measured(
-        sizes.withColumn("large", F.col("n") > small_rows),
-        "sizes",
-        ("large",),
-        n_rows=F.sum("n"),
-        n_large=F.count_if("large"),
-    )
-    if not seen["n_large"]:
-        return _order_small(rows, seen["n_rows"])
-    large = large.filter("large").select(G)
-    few, many = rows.join(large, G, "left_anti"), rows.join(large, G, "left_semi")
-    big_nodes = many.filter("src is null").select(G, F.col("dst").alias("step_id"))
-    ordered = _order_large(big_nodes, many.filter("src is not null"), hot_rows)
-    return ordered.unionByName(_order_small(few, seen["n_rows"]))
-
-
-def _order_small(rows: DataFrame, n_rows: int) -> DataFrame:
-    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(slots, math.ceil(n_rows / _BUCKET_ROWS))
-    packed = rows.withColumn("bucket", F.pmod(F.xxhash64(G), F.lit(buckets)))
-    fields = f"{G} string, step_id string, wave int, position long"
-    return packed.groupBy("bucket").applyInPandas(_peel_bucket, fields)
-
-
-def _peel_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    """Waves and positions of all graphs of a bucket at once."""
-    is_node = rows["src"].isna()
-    names = rows.loc[is_node, [G, "dst"]].drop_duplicates().sort_values([G, "dst"], ignore_index=True)
-    code = pd.MultiIndex.from_frame(names)
-    links = rows.loc[~is_node]
-    src = code.get_indexer(pd.MultiIndex.from_frame(links[[G, "src"]]))
-    dst = code.get_indexer(pd.MultiIndex.from_frame(links[[G, "dst"]]))
-    src, dst = src[dst >= 0], dst[dst >= 0]
-    need = np.bincount(dst, minlength=len(names))  # an undefined dependency is never met
-    by_src = np.argsort(src, kind="stable")
-    src, dst = src[by_src], dst[by_src]
-    begin = np.searchsorted(src, np.arange(len(names)))
-    fan = np.searchsorted(src, np.arange(len(names)), side="right") - begin
-
-    wave = np.full(len(names), -1)
-    place = np.zeros(len(names), dtype=np.int64)
-    front, depth, placed = np.flatnonzero(need == 0), 0, 0
-    last = np.zeros(len(names), dtype=np.int64)
-    while front.size:
-        front = front[np.lexsort((front, last[front]))]
-        wave[front] = depth
-        place[front] = placed + np.arange(front.size)
-        placed, depth = placed + front.size, depth + 1
-        out = np.repeat(begin[front] - np.cumsum(fan[front]) + fan[front], fan[front]) + np.arange(fan[front].sum())
-        freed = dst[out]
-        np.subtract.at(need, freed, 1)
-        np.maximum.at(last, freed, np.repeat(place[front], fan[front]))
-        front = np.unique(freed[need[freed] == 0])
-    done = names.assign(wave=wave.astype(np.int32), place=place)[wave >= 0].sort_values("place")
-    done["position"] = done.groupby(G).cumcount() + 1
-    return done.rename(columns={"dst": "step_id"})[[G, "step_id", "wave", "position"]]
-
-
-def _order_large(nodes: DataFrame, edges: DataFrame, hot_rows: int) -> DataFrame:
-    hot = has_hot_group(nodes, [G], hot_rows)
-    taken = _peel(nodes, edges, hot)
-    placed = positions_within(taken, [G], ["wave", "last_pos", "step_id"], "position", hot=hot)
-    return placed.select(G, "step_id", "wave", "position")
-
-
-def _front(state: DataFrame, hot: bool) -> DataFrame:
-    return positions_within(state, [G], ["last_pos", "step_id"], "wave_pos", hot=hot, keep=[])
-
-
-def _peel(nodes: DataFrame, edges: DataFrame, hot: bool) -> DataFrame:
-    """Take away steps without open dependencies, round by round.
-
-    Returns (workflow_id, step_id, wave, last_pos) for the steps that could be
-    taken; ``last_pos`` is the largest position, within the wave before, among
-    the step's dependencies.
+
+def execution_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """workflow_id, step_id and wave of every step that can run.
+
+    ``wave`` counts from 0 and is the longest way from a root. Steps on or behind a cycle or an
+    undefined dependency have no row. An edge to an undefined step counts for nothing; rows
+    without a graph or step id take no part.
+
+    A row (src, dst, n) says that dst comes at least n waves after src, without src that its wave is n
+    at least. Each round settles the steps without open dependencies. A row from a settled
+    step becomes a number; a row from a step with one open dependency goes over to that
+    dependency. Every round settles some step as long as any can run.
     """
     stage = Staging(nodes.sparkSession, "waves")
-    edges = stage.put(edges, "edges-0")
-    degree = edges.groupBy(G, F.col("dst").alias("step_id")).agg(F.count(F.lit(1)).alias("open"))
-    state = nodes.join(degree, [G, "step_id"], "left").select(
-        G, "step_id", F.coalesce("open", F.lit(0)).cast("long").alias("open"), F.lit(0).cast("long").alias("last_pos")
+    nodes, links = _known(nodes, edges)
+    none, zero, one = F.lit(None).cast("string"), F.lit(0).cast("long"), F.lit(1).cast("long")
+    start = nodes.select(G, none.alias("src"), F.col("step_id").alias("dst"), zero.alias("n")).unionByName(
+        links.select(G, "src", "dst", one.alias("n"))
     )
-    waves, held = [], None
+    rows, seen = stage.put_measured(start, "rows-0", n=F.count(F.lit(1)))
+    most = F.lit(seen["n"]).cast("long")  # a longer way runs round a cycle
+    open_ = F.col("src").isNotNull()
+    fields, rounds = None, []
     while True:
-        name = f"wave={len(waves)}"
-        current, seen = stage.put_measured(
-            state.withColumn("ready", F.col("open") == 0),
-            name,
-            ("ready",),
-            n_ready=F.count_if(F.col("open") == 0),
-            n_rest=F.count_if(F.col("open") > 0),
-            n_edges=F.sum("open"),
+        state = rows.groupBy(G, F.col("dst").alias("step_id")).agg(
+            F.count("src").alias("n_open"), F.max("src").alias("via"), F.max(F.when(open_, F.col("n"))).alias("more"),
+            F.max(F.when(~open_, F.col("n"))).alias("least"),
         )
-        waves.append(name)
-        if seen["n_ready"] == 0 or seen["n_rest"] == 0:
-            break
-        held = seen["n_edges"] if held is None else held
-        if seen["n_edges"] < held / 2:
-            # Edges that leave finished steps are of no more use.
-            alive = current.select(G, F.col("step_id").alias("src"))
-            edges = stage.put(edges.join(alive, [G, "src"], "left_semi"), f"edges-{len(waves)}")
-            held = seen["n_edges"]
-        front = _front(current.filter("ready"), hot).select(G, F.col("step_id").alias("src"), "wave_pos")
-        freed = (
-            edges.join(front, [G, "src"])
-            .groupBy(G, F.col("dst").alias("step_id"))
-            .agg(F.count(F.lit(1)).alias("n_freed"), F.max("wave_pos").alias("at"))
+        name = f"round={len(rounds)}"
+        state, seen = stage.put_measured(
+            state.withColumn("settled", F.col("n_open") == 0), name, ("settled",),
+            n_settled=F.count_if(F.col("n_open") == 0), n_rest=F.count_if(F.col("n_open") > 0),
         )
-        state = (
-            current.filter(~F.col("ready"))
-            .join(freed, [G, "step_id"], "left")
-            .select(
-                G,
-                "step_id",
-                (F.col("open") - F.coalesce("n_freed", F.lit(0))).alias("open"),
-                F.coalesce("at", F.lit(0)).cast("long").alias("last_pos"),
-            )
+        fields = fields or T.StructType([f for f in state.schema.fields if f.name != "settled"] + [T.StructField("settled", T.BooleanType())])
+        rounds.append(name)
+        if not seen["n_settled"] or not seen["n_rest"]:
+            break
+        # A row must not go over to a step that is settled just now: that one is never met again.
+        settled = state.filter("settled").select(G, F.col("step_id").alias("via"), F.col("least").alias("via_wave"))
+        source = state.drop("settled").withColumnRenamed("step_id", "src").join(settled, [G, "via"], "left")
+        far, sum_ = lambda a: F.least(a, most), F.col("n") + F.col("least")
+        row = lambda src, n: F.struct(src.alias("src"), n.alias("n"))
+        passed = F.when(F.col("n_open") == 0, F.array(row(none, sum_))).when(
+            F.col("via_wave").isNotNull() & (F.col("n_open") == 1), F.array(row(none, F.greatest(sum_, F.col("n") + F.col("more") + F.col("via_wave"))))
+        ).when(
+            F.col("n_open") == 1, F.array(row(F.col("via"), far(F.col("n") + F.col("more"))), row(none, far(sum_)))
+        ).otherwise(F.array(row(F.col("src"), F.col("n"))))
+        moved = rows.filter(open_).join(source, [G, "src"], "left").select(G, "dst", F.explode(passed).alias("r"))
+        held = state.filter("not settled").select(G, none.alias("src"), F.col("step_id").alias("dst"), F.col("least").alias("n"))
+        both = moved.select(G, "r.src", "dst", "r.n").unionByName(held)
+        rows = stage.put(both.groupBy(G, "src", "dst").agg(F.max("n").alias("n")), f"rows-{len(rounds)}")
+    done = stage.scan(fields, *rounds).filter("settled")
+    return done.select(G, "step_id", F.col("least").cast("int").alias("wave"))
+
+
+def execution_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """As ``execution_waves``, with the position of each step.
+
+    ``position`` is the place, from 1, in a first-in-first-out topological order whose ties go
+    by id: inside a wave, steps follow the last of their dependencies, then id. Only dependencies
+    of the wave before matter. Waves in which a step has several of these begin a stretch:
+    its first wave is ranked by the ranks before it. In the rest of a stretch each step has one
+    such dependency, and ranks come by doubling: the order by the last 2k ids on the way is
+    the order by the rank k steps up and the own rank.
+    """
+    stage = Staging(nodes.sparkSession, "order")
+    nodes, links = _known(nodes, edges)
+    waves = stage.put(execution_waves(nodes, links), "waves")
+    above = waves.select(G, F.col("step_id").alias("src"), (F.col("wave") + 1).alias("wave"))
+    tight = links.join(waves.withColumnRenamed("step_id", "dst"), [G, "dst"]).join(above, [G, "src", "wave"])
+    tight = stage.put(tight.select(G, "src", "dst", "wave"), "tight-edges")
+    several = tight.groupBy(G, F.col("dst").alias("step_id")).agg(F.count(F.lit(1)).alias("n_up"), F.max("src").alias("up"))
+    placed = waves.join(several, [G, "step_id"], "left")
+    first = ((F.col("wave") == 0) | F.max(F.coalesce("n_up", F.lit(0)) > 1)).alias("first")
+    starts = stage.put(placed.groupBy("wave").agg(first), "starts").withColumn("all", F.lit(0))
+    stretch = scan_within(starts, ["all"], ["wave"], totals={"stretch": F.col("first").cast("long")}).drop("all")
+    stretch = stage.put(stretch, "stretches")
+    placed = stage.put(placed.join(stretch, "wave"), "placed", ("stretch",))
+    tight = stage.put(tight.join(stretch.filter("first"), "wave"), "tight", ("stretch",))
+
+    parts, before = [], None
+    for r in stretch.groupBy("stretch").agg(F.count_if(~F.col("first")).alias("n_more")).orderBy("stretch").collect():
+        here = placed.filter(F.col("stretch") == r.stretch)
+        heads = here.filter("first").select(G, "step_id", "wave")
+        if before is None:
+            heads = ranked(heads, ["step_id"], "rank")
+        else:
+            last = tight.filter(F.col("stretch") == r.stretch).join(before, [G, "src"]).groupBy(G, F.col("dst").alias("step_id"))
+            heads = ranked(heads.join(last.agg(F.max("rank").alias("at")), [G, "step_id"]), ["at", "step_id"], "rank")
+        heads = stage.put(heads.select(G, "step_id", "wave", "rank"), f"heads-{r.stretch}")
+        done = heads
+        if r.n_more:
+            rest = here.filter("not first").select(G, "step_id", "wave", "up")
+            done = _rank_stretch(heads, rest, stage, str(r.stretch))
+        parts.append(done)
+        before = done.select(G, F.col("step_id").alias("src"), "rank")
+    out = reduce(DataFrame.unionByName, parts or [waves.withColumn("rank", F.lit(0).cast("long"))])
+    return positions_within(out, [G], ["wave", "rank"], "position").select(G, "step_id", "wave", "position")
+
+
+def _rank_stretch(heads: DataFrame, rest: DataFrame, stage: Staging, name: str) -> DataFrame:
+    """Ranks of steps that follow one dependency each (``up``), down from ranked ones."""
+    settled = [heads]
+    moving, k = stage.put(ranked(rest, ["step_id"], "rank"), f"moving-{name}-0"), 0
+    while True:
+        known = reduce(DataFrame.unionByName, [s.withColumn("up", F.lit(None).cast("string")) for s in settled], moving)
+        known = known.select(G, F.col("step_id").alias("up"), F.col("rank").alias("above"), F.col("up").alias("next"))
+        joined = ranked(moving.join(known, [G, "up"]), ["above", "rank"], "new_rank")
+        k += 1
+        moved, seen = stage.put_measured(
+            joined.select(G, "step_id", "wave", F.col("next").alias("up"), F.col("new_rank").alias("rank")), f"moving-{name}-{k}",
+            n_moving=F.count("up"),
         )
-    fields = [
-        *nodes.select(G, "step_id").schema.fields,
-        T.StructField("last_pos", T.LongType()),
-        T.StructField("ready", T.BooleanType()),
-        T.StructField("wave", T.IntegerType()),
-    ]
-    taken = stage.scan(T.StructType(fields), *waves).filter("ready")
-    return taken.select(G, "step_id", "wave", "last_pos")
+        settled.append(moved.filter("up is null").drop("up"))
+        moving = moved.filter("up is not null")
+        if not seen["n_moving"]:
+            return reduce(DataFrame.unionByName, settled)
 
 
-def wave_pages(order: DataFrame, page_rows: int = PAGE_ROWS, **kw) -> DataFrame:
+def wave_pages(order: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """Sorted step ids per wave as arrays; a wide wave takes several pages."""
-    pages = paged(order.select(G, "wave", "step_id"), [G, "wave"], ["step_id"], page_rows, **kw)
+    pages = paged(order.select(G, "wave", "step_id"), [G, "wave"], ["step_id"], page_rows)
     return pages.groupBy(G, "wave", "page").agg(F.sort_array(F.collect_list("step_id")).alias("steps"))
 
 
@@ -260,10 +231,10 @@ def proper_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("src") != F.col("dst")).join(known, [G, "src"], "left_semi").select(G, "src", "dst")
 
 
-def reaching_cycle(nodes: DataFrame, edges: DataFrame, **sizes: int) -> DataFrame:
+def reaching_cycle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Steps from which some cycle can be reached (the cycle's own steps included)."""
     backwards = edges.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return unordered_steps(nodes, execution_order(nodes, backwards, **sizes))
+    return unordered_steps(nodes, execution_waves(nodes, backwards))
 
 
 def _between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -271,15 +242,15 @@ def _between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(src, [G, "src"], "left_semi").join(dst, [G, "dst"], "left_semi").select(G, "src", "dst")
 
 
-def cycle_core(nodes: DataFrame, edges: DataFrame, **sizes: int) -> DataFrame:
+def cycle_core(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Steps on a cycle or on a way from one cycle to another."""
     stage = Staging(nodes.sparkSession, "core")
     proper = stage.put(proper_edges(nodes, edges), "edges")
-    rest = stage.put(reaching_cycle(nodes, proper, **sizes), "rest")
-    return unordered_steps(rest, execution_order(rest, _between(proper, rest), **sizes))
+    rest = stage.put(reaching_cycle(nodes, proper), "rest")
+    return unordered_steps(rest, execution_waves(rest, _between(proper, rest)))
 
 
-def first_cycle(nodes: DataFrame, edges: DataFrame, **sizes: int) -> DataFrame:
+def first_cycle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The cycle a sorted depth-first search meets first, one per cyclic graph.
 
     Such a search only ever comes back from steps that reach no cycle. So it goes
@@ -292,7 +263,7 @@ def first_cycle(nodes: DataFrame, edges: DataFrame, **sizes: int) -> DataFrame:
     """
     stage = Staging(nodes.sparkSession, "cycle")
     proper = stage.put(proper_edges(nodes, edges), "edges")
-    rest = stage.put(reaching_cycle(nodes, proper, **sizes), "rest")
+    rest = stage.put(reaching_cycle(nodes, proper), "rest")
     jump = stage.put(
         _between(proper, rest).groupBy(G, F.col("src").alias("step_id")).agg(F.min("dst").alias("next")), "jump-0"
     )
@@ -415,7 +386,7 @@ def undeclared_references(steps: DataFrame, edges: DataFrame, text: str = "input
 # --- report ----------------------------------------------------------------------
 
 
-def validation_report(steps: DataFrame, **sizes: int) -> DataFrame:
+def validation_report(steps: DataFrame) -> DataFrame:
     """One row per graph: counts, whether it is valid and the first kind of error.
 
     Order and waves of valid graphs come from ``execution_order`` and its pages.
@@ -423,7 +394,7 @@ def validation_report(steps: DataFrame, **sizes: int) -> DataFrame:
     stage = Staging(steps.sparkSession, "report")
     defined = stage.put(steps.groupBy(G, "step_id").agg(F.count(F.lit(1)).alias("n_defined")), "defined")
     nodes, edges = defined.select(G, "step_id"), stage.put(graph_edges(steps), "edges")
-    order = stage.put(execution_order(nodes, edges, **sizes), "order")
+    order = stage.put(execution_waves(nodes, edges), "waves")
 
     def per_graph(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(G).agg(F.count(F.lit(1)).alias(name))
@@ -432,7 +403,7 @@ def validation_report(steps: DataFrame, **sizes: int) -> DataFrame:
         order.groupBy(G).agg(F.count(F.lit(1)).alias("n_ordered"), (F.max("wave") + 1).cast("long").alias("n_waves")),
         per_graph(undefined_dependencies(nodes, edges), "n_undefined"),
         per_graph(self_dependencies(edges), "n_self"),
-        per_graph(_cyclic(nodes, edges, order, sizes), "n_cyclic"),
+        per_graph(_cyclic(nodes, edges, order), "n_cyclic"),
     ]
     report = defined.groupBy(G).agg(
         F.sum("n_defined").alias("step_count"), F.count_if(F.col("n_defined") > 1).alias("n_duplicate")
@@ -448,8 +419,8 @@ def validation_report(steps: DataFrame, **sizes: int) -> DataFrame:
     return report.withColumn("error_type", kind).withColumn("valid", F.col("error_type").isNull())
 
 
-def _cyclic(nodes, edges, order, sizes):
+def _cyclic(nodes, edges, order):
     """Steps that reach a cycle, looked for only in graphs that could not be ordered."""
     stuck = unordered_steps(nodes, order).select(G).distinct()
     some, links = nodes.join(stuck, G, "left_semi"), edges.join(stuck, G, "left_semi")
-    return reaching_cycle(some, proper_edges(some, links), **sizes)
+    return reaching_cycle(some, proper_edges(some, links))

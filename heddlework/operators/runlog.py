@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddlework import schemas as S
-from heddlework.functions.ordering import HOT_ROWS, PAGE_ROWS, paged, scan_within
+from heddlework.functions.ordering import PAGE_ROWS, paged, scan_within
 
 STEP_REPORT_FIELDS = (
     "id",
@@ -72,16 +72,14 @@ def iso_text(column: str) -> Column:
     return F.concat(whole, F.when(fraction != ".000000", fraction).otherwise(""), F.lit("+00:00"))
 
 
-def run_report(
-    runs: DataFrame, step_runs: DataFrame, page_rows: int = PAGE_ROWS, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def run_report(runs: DataFrame, step_runs: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """Runs with their step runs nested in creation order.
 
     A run of up to ``page_rows`` steps is one row (page 0). A longer one takes
     further rows with the same run columns, so no row or task has to hold a whole
     run. A run without steps has one row with an empty array.
     """
-    numbered = paged(step_runs, ["run_id"], ["created_at", "id"], page_rows, hot_rows=hot_rows)
+    numbered = paged(step_runs, ["run_id"], ["created_at", "id"], page_rows)
     shown = [iso_text(f).alias(f) if f in _TIMES else F.col(f) for f in STEP_REPORT_FIELDS]
     nested = (
         numbered.groupBy("run_id", "page")
@@ -95,13 +93,13 @@ def run_report(
     )
 
 
-def run_outputs(step_runs: DataFrame, page_rows: int = PAGE_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def run_outputs(step_runs: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """Per run a map from step id to its last COMPLETED output, page by page."""
     done = step_runs.filter(F.col("status") == "COMPLETED")
     last = done.groupBy("run_id", "step_id").agg(
         F.max_by(F.struct("outputs"), F.struct("created_at", "id")).alias("_o")
     )
-    numbered = paged(last, ["run_id"], ["step_id"], page_rows, hot_rows=hot_rows)
+    numbered = paged(last, ["run_id"], ["step_id"], page_rows)
     entry = F.struct("step_id", F.col("_o.outputs"))
     return numbered.groupBy("run_id", "page").agg(
         F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("outputs")
@@ -176,7 +174,7 @@ def cancel_siblings(step_runs: DataFrame) -> DataFrame:
 # --- audits ---------------------------------------------------------------------
 
 
-def overlap_counts(step_runs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def overlap_counts(step_runs: DataFrame) -> DataFrame:
     """For each finished step the number of other steps of its run it overlapped.
 
     Two steps overlap when each starts before the other ends. Counting needs no
@@ -201,7 +199,7 @@ def overlap_counts(step_runs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             "points": (kind == 1).cast("long"),
             "begun": (kind == 2).cast("long"),
         },
-        hot_rows=hot_rows,
+        keep=[],
     )
     share = (
         F.when(kind == 0, F.col("begun") + F.col("points") - 1)

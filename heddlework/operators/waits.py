@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddlework.functions.ordering import HOT_ROWS, scan_within
+from heddlework.functions.ordering import scan_within
 from heddlework.schemas import DEFAULT_TIMEOUT_SECONDS
 
 KEY = ["run_id", "step_id"]
@@ -28,9 +28,7 @@ def waits_from_steps(step_runs: DataFrame) -> DataFrame:
     return waiting.select(F.col("id").alias("wait_id"), *KEY, "started_at", "timeout_seconds")
 
 
-def match_waits(
-    waits: DataFrame, callbacks: DataFrame, as_of=None, hot_rows: int = HOT_ROWS
-) -> Matches:
+def match_waits(waits: DataFrame, callbacks: DataFrame, as_of=None) -> Matches:
     """First callback inside a wait's time completes it; every other is rejected.
 
     ``waits``: wait_id, run_id, step_id, started_at, timeout_seconds.
@@ -58,9 +56,7 @@ def match_waits(
         callbacks.select(*KEY, F.col("ts").alias("at"), F.lit(1).alias("kind"), F.col("callback_id").alias("row_id")),
         allowMissingColumns=True,
     )
-    scanned = scan_within(
-        marks, KEY, ["at", "kind", "row_id"], lasts={"newest": F.col("opened")}, hot_rows=hot_rows, keep=[]
-    )
+    scanned = scan_within(marks, KEY, ["at", "kind", "row_id"], lasts={"newest": F.col("opened")}, keep=[])
     taken = (F.col("at") <= F.col("newest.deadline")) & ~F.col("newest.done")
     in_time = scanned.filter((F.col("kind") == 1) & taken)
     winners = in_time.groupBy(F.col("newest.wait_id").alias("wait_id")).agg(

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from heddlework.operators import graph as Gr
 
-SIZES = [{}, {"small_rows": 0}, {"small_rows": 0, "hot_rows": 5}]
-
 
 def steps(spark, **graphs):
     rows = [(g, s, list(deps)) for g, defs in graphs.items() for s, deps in defs]
@@ -20,9 +18,9 @@ def parts(df):
     return Gr.graph_nodes(df), Gr.graph_edges(df)
 
 
-def ordered(df, **sizes):
+def ordered(df):
     out = {}
-    for r in sorted(Gr.execution_order(*parts(df), **sizes).collect(), key=lambda r: r.position):
+    for r in sorted(Gr.execution_order(*parts(df)).collect(), key=lambda r: r.position):
         waves, order = out.setdefault(r.workflow_id, ({}, []))
         waves.setdefault(r.wave, []).append(r.step_id)
         order.append(r.step_id)
@@ -41,9 +39,8 @@ FIXTURES = {
 }
 
 
-@pytest.mark.parametrize("sizes", SIZES)
-def test_fixture_orders(spark, sizes):
-    got = ordered(steps(spark, **FIXTURES), **sizes)
+def test_fixture_orders(spark):
+    got = ordered(steps(spark, **FIXTURES))
     assert got["linear"] == ([["step_1"], ["step_2"], ["step_3"]], ["step_1", "step_2", "step_3"])
     assert got["diamond"] == ([["start"], ["branch_a", "branch_b"], ["join"]], ["start", "branch_a", "branch_b", "join"])
     assert got["two_roots"][0] == [["root_1", "root_2"], ["join"]]
@@ -122,18 +119,16 @@ def random_graphs(rng, n, cyclic):
     return graphs
 
 
-@pytest.mark.parametrize("sizes, n", [({}, 400), ({"small_rows": 20}, 60), ({"small_rows": 0, "hot_rows": 8}, 60)])
-def test_random_orders(spark, sizes, n):
-    graphs = random_graphs(random.Random(5), n, cyclic=False)
-    got = ordered(steps(spark, **graphs), **sizes)
+def test_random_orders(spark):
+    graphs = random_graphs(random.Random(5), 400, cyclic=False)
+    got = ordered(steps(spark, **graphs))
     assert {g: order for g, (_, order) in got.items()} == {g: fifo(defs) for g, defs in graphs.items()}
 
 
-@pytest.mark.parametrize("sizes, n", [({}, 200), ({"small_rows": 0}, 40)])
-def test_first_cycle_is_the_depth_first_one(spark, sizes, n):
-    graphs = random_graphs(random.Random(6), n, cyclic=True)
+def test_first_cycle_is_the_depth_first_one(spark):
+    graphs = random_graphs(random.Random(6), 200, cyclic=True)
     got = {}
-    for r in sorted(Gr.first_cycle(*parts(steps(spark, **graphs)), **sizes).collect(), key=lambda r: r.seq):
+    for r in sorted(Gr.first_cycle(*parts(steps(spark, **graphs))).collect(), key=lambda r: r.seq):
         got.setdefault(r.workflow_id, []).append(r.step_id)
     want = {g: depth_first_cycle(defs) for g, defs in graphs.items()}
     assert got == {g: c for g, c in want.items() if c}
@@ -170,10 +165,33 @@ def test_random_closures_and_core(spark):
     assert core == expect
 
 
-def test_long_chain_takes_one_pass(spark):
-    chain = [("c00000", [])] + [(f"c{i:05d}", [f"c{i - 1:05d}"]) for i in range(1, 3000)]
+def counted_puts(monkeypatch):
+    """Names of the tables staged from here on."""
+    names, put = [], Gr.Staging.put
+
+    def counted(self, df, name, *rest):
+        names.append(name)
+        return put(self, df, name, *rest)
+
+    monkeypatch.setattr(Gr.Staging, "put", counted)
+    return names
+
+
+def test_long_chain_takes_logarithmic_rounds(spark, monkeypatch):
+    names = counted_puts(monkeypatch)
+    chain = [("c00000", [])] + [(f"c{i:05d}", [f"c{i - 1:05d}", "c00000"]) for i in range(1, 5000)]
     waves, order = ordered(steps(spark, chain=chain))["chain"]
-    assert order == sorted(order) and len(waves) == 3000
+    assert order == sorted(order) and len(waves) == 5000
+    assert sum(n.startswith("round=") for n in names) <= 15 and sum(n.startswith("moving-") for n in names) <= 15
+
+
+def test_wide_and_deep_graph_in_one_stretch_or_many(spark):
+    rng = random.Random(11)
+    defs = [("r0", []), ("r1", [])]
+    for i in range(2, 120):
+        names = [d for d, _ in defs]
+        defs.append((f"v{rng.randrange(10**6):06d}", sorted({rng.choice(names[-3:]), rng.choice(names[-6:])})))
+    assert ordered(steps(spark, deep=defs))["deep"][1] == fifo(defs)
 
 
 def test_pages(spark):
@@ -194,13 +212,12 @@ def test_blocked_and_undeclared(spark):
     assert {(r.step_id, r.ancestor) for r in Gr.undeclared_references(texts, links).collect()} == {("c", "d"), ("c", "c")}
 
 
-@pytest.mark.parametrize("sizes", SIZES)
-def test_edges_to_unknown_steps_and_missing_ids(spark, sizes):
+def test_edges_to_unknown_steps_and_missing_ids(spark):
     nodes = spark.createDataFrame([("g", "a"), ("g", "b"), (None, "x"), ("g", None)], "workflow_id string, step_id string")
     edges = spark.createDataFrame(
         [("g", "a", "b"), ("g", "a", "nowhere"), (None, "x", "y"), ("g", None, "b")], "workflow_id string, src string, dst string"
     )
-    got = [(r.workflow_id, r.step_id, r.wave, r.position) for r in Gr.execution_order(nodes, edges, **sizes).collect()]
+    got = [(r.workflow_id, r.step_id, r.wave, r.position) for r in Gr.execution_order(nodes, edges).collect()]
     assert sorted(got) == [("g", "a", 0, 1), ("g", "b", 1, 2)]
 
 

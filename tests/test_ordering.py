@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from heddlework.functions.ordering import has_hot_group, paged, positions_within, scan_within
+from heddlework.functions.ordering import paged, positions_within, ranked, scan_within
 
 
 def rows(spark):
@@ -17,10 +17,16 @@ def rows(spark):
     return data, spark.createDataFrame(data, "id int, g string, at int, n int, mark string").repartition(5)
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 10])
-def test_scan_matches_brute_force(spark, hot_rows):
+@pytest.mark.parametrize("slices", [1, 8, 40])
+def test_scan_matches_brute_force(spark, slices):
     data, df = rows(spark)
-    got = scan_within(df, ["g"], ["at", "id"], {"total": F.col("n")}, {"held": F.col("mark")}, hot_rows=hot_rows).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", slices)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = scan_within(df, ["g"], ["at", "id"], {"total": F.col("n")}, {"held": F.col("mark")}).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     want, state = {}, {}
     for i, g, _, n, mark in sorted(data, key=lambda r: (r[2], r[0])):
         total, held = state.get(g, (0, None))
@@ -30,14 +36,16 @@ def test_scan_matches_brute_force(spark, hot_rows):
 
 
 def test_positions_and_pages(spark):
-    _, df = rows(spark)
-    plain = positions_within(df, ["g"], ["at", "id"], "p", hot=False)
-    sliced = positions_within(df, ["g"], ["at", "id"], "p", hot=True)
-    assert plain.exceptAll(sliced).count() == 0 and sliced.count() == 3000
-    pages = paged(df, ["g"], ["at", "id"], 100, hot=True).groupBy("g", "page").count()
+    data, df = rows(spark)
+    got = {(r.g, r.p): r.id for r in positions_within(df, ["g"], ["at", "id"], "p").collect()}
+    for g in {r[1] for r in data}:
+        mine = [r[0] for r in sorted(data, key=lambda r: (r[2], r[0])) if r[1] == g]
+        assert [got[g, k + 1] for k in range(len(mine))] == mine
+    pages = paged(df, ["g"], ["at", "id"], 100).groupBy("g", "page").count()
     assert pages.agg(F.max("count")).first()[0] == 100
 
 
-def test_hot_group_is_counted(spark):
-    _, df = rows(spark)
-    assert has_hot_group(df, ["g"], 100) and not has_hot_group(df, ["g"], 10_000)
+def test_ranks_follow_the_order(spark):
+    data, df = rows(spark)
+    got = [r.id for r in sorted(ranked(df, ["at", "id"], "rank").collect(), key=lambda r: r["rank"])]
+    assert got == [r[0] for r in sorted(data, key=lambda r: (r[2], r[0]))]

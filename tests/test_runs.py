@@ -188,9 +188,8 @@ def test_random_overlaps(spark):
     rng = random.Random(2)
     rows = [(f"{i:04d}", rng.choice("rrrq"), "s", "COMPLETED", a := rng.randrange(300), a + rng.choice([0, 1, 5, 30]), None) for i in range(500)]
     want = {r[0]: sum(r[1] == o[1] and r[0] != o[0] and r[4] < o[5] and o[4] < r[5] for o in rows) for r in rows}
-    for hot_rows in (10**9, 50):
-        got = {r.id: r.n_overlaps for r in runlog.overlap_counts(step_rows(spark, rows), hot_rows=hot_rows).collect()}
-        assert got == want
+    got = {r.id: r.n_overlaps for r in runlog.overlap_counts(step_rows(spark, rows)).collect()}
+    assert got == want
 
 
 def test_failing_branch(spark):
@@ -210,10 +209,9 @@ def test_failing_branch(spark):
 
 def test_report_nests_page_by_page(spark):
     runs = spark.createDataFrame([("r", "w", "COMPLETED", None, None, None, at(0), at(0), None), ("none", "w", "PENDING", None, None, None, at(0), None, None)], S.WORKFLOW_RUNS)
-    for hot_rows in (10**9, 1):
-        got = {(r.id, r.page): r for r in runlog.run_report(runs, hybrid(spark), page_rows=2, hot_rows=hot_rows).collect()}
-        assert [s.step_id for s in got[("r", 0)].step_runs] == ["trends", "news"] and [s.step_id for s in got[("r", 1)].step_runs] == ["join"]
-        assert got[("none", 0)].step_runs == [] and got[("r", 0)].created_at == "2024-05-01T12:00:00+00:00"
+    got = {(r.id, r.page): r for r in runlog.run_report(runs, hybrid(spark), page_rows=2).collect()}
+    assert [s.step_id for s in got[("r", 0)].step_runs] == ["trends", "news"] and [s.step_id for s in got[("r", 1)].step_runs] == ["join"]
+    assert got[("none", 0)].step_runs == [] and got[("r", 0)].created_at == "2024-05-01T12:00:00+00:00"
     outputs = {r.page: r.outputs for r in runlog.run_outputs(hybrid(spark), page_rows=2).collect()}
     assert outputs == {0: {"join": '"x"', "news": '{"count":2}'}, 1: {"trends": '{"volume":5}'}}
 

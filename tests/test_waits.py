@@ -67,10 +67,9 @@ def brute(waits, calls):
     return {w[0]: ("COMPLETED", *done[w[0]]) if w[0] in done else ("FAILED", None, None) for w in waits}, rejected
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 20])
-def test_random_cases(spark, hot_rows):
+def test_random_cases(spark):
     waits, calls = random_case(1)
-    assert outcomes(match_waits(*tables(spark, waits, calls), hot_rows=hot_rows)) == brute(waits, calls)
+    assert outcomes(match_waits(*tables(spark, waits, calls))) == brute(waits, calls)
 
 
 def test_open_waits_and_waiting_steps(spark):
@@ -127,10 +126,9 @@ def test_stateful_stream(spark, files, tmp_path):
     assert shown(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 20])
-def test_batch_sink_stream(spark, files, tmp_path, hot_rows):
+def test_batch_sink_stream(spark, files, tmp_path):
     streams, want = files
-    sink = WaitBatches(str(tmp_path / "state"), delay_seconds=1800, hot_rows=hot_rows)
+    sink = WaitBatches(str(tmp_path / "state"), delay_seconds=1800)
     finish(tagged(*streams).writeStream.foreachBatch(sink), tmp_path / "ck")
     assert shown(sink.outcomes(spark).collect()) == sorted(want)
 
