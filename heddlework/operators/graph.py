@@ -250,6 +250,75 @@ def cycle_core(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return unordered_steps(rest, execution_waves(rest, _between(proper, rest)))
 
 
+def cycle_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """workflow_id, step_id and component of every step on a cycle; steps on one cycle share it.
+
+    A component is named by its smallest step. Steps that no cycle reaches, or that reach none,
+    are trimmed away first. Then each step is coloured by the smallest step that reaches it; the
+    steps of a colour that reach the step it is named by are its component. They are set
+    aside, and the rest is coloured anew. Steps between two cycles end up alone and have no row;
+    a dependency on itself is no cycle here (``self_dependencies``).
+    """
+    stage = Staging(nodes.sparkSession, "components")
+    core = stage.put(cycle_core(nodes, edges), "core")
+    links = stage.put(_between(proper_edges(core, edges), core).distinct(), "links")
+    parts, k = [], 0
+    while not core.isEmpty():
+        coloured = _least_reaching(core.select(G, "step_id", F.col("step_id").alias("own")), links, stage, f"colour-{k}")
+        colour = coloured.select(G, "step_id", F.col("least").alias("component"))
+        src, dst = colour.withColumnsRenamed({"step_id": "src", "component": "c"}), colour.withColumnsRenamed({"step_id": "dst", "component": "d"})
+        inside = links.join(src, [G, "src"]).join(dst, [G, "dst"]).filter("c = d")
+        backwards = stage.put(inside.select(G, F.col("dst").alias("src"), F.col("src").alias("dst")), f"backwards-{k}")
+        named = colour.select(G, "step_id", F.when(F.col("step_id") == F.col("component"), 0).otherwise(1).alias("own"))
+        back = _least_reaching(named, backwards, stage, f"back-{k}").filter("least = 0").select(G, "step_id")
+        parts.append(stage.put(colour.join(back, [G, "step_id"]), f"found-{k}"))
+        core = stage.put(core.join(back, [G, "step_id"], "left_anti"), f"core-{k}")
+        links = stage.put(_between(links, core), f"links-{k}")
+        k += 1
+    if not parts:
+        return core.withColumn("component", F.col("step_id"))
+    found = reduce(DataFrame.unionByName, parts)
+    several = found.groupBy(G, "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return found.join(several, [G, "component"]).select(G, "step_id", "component")
+
+
+def _least_reaching(nodes: DataFrame, links: DataFrame, stage: Staging, name: str) -> DataFrame:
+    """workflow_id, step_id, least: the smallest ``own`` of the steps that reach a step, itself included.
+
+    Values are pulled over the links. A link from a step with one link of its own goes over to
+    that one's source and carries the least value on the way, so unbranched stretches and plain
+    rings take as many rounds as the logarithm of their length. Ends when no value changes.
+    """
+    kind = nodes.schema["own"].dataType
+    none, blank = F.lit(None).cast("string"), F.lit(None).cast(kind)
+    open_ = F.col("src").isNotNull()
+    start = nodes.select(G, none.alias("src"), F.col("step_id").alias("dst"), F.col("own").alias("m"), F.lit(True).alias("old"))
+    rows = start.unionByName(links.select(G, "src", "dst", blank.alias("m"), F.lit(False).alias("old")))
+    rows, k = stage.put(rows, f"{name}-rows-0"), 0
+    while True:
+        state = rows.groupBy(G, F.col("dst").alias("step_id")).agg(
+            F.count("src").alias("n_open"), F.max("src").alias("via"), F.min(F.when(open_, F.col("m"))).alias("passed"),
+            F.min(F.when(~open_, F.col("m"))).alias("least"), F.min(F.when(F.col("old"), F.col("m"))).alias("before"),
+        )
+        state, seen = stage.put_measured(
+            state, f"{name}-state-{k}", n_changed=F.count_if(F.col("least") < F.col("before")), n_linked=F.count_if(F.col("n_open") > 0)
+        )
+        if not seen["n_linked"] or (k and not seen["n_changed"]):
+            return state.select(G, "step_id", "least")
+        source = state.select(G, F.col("step_id").alias("src"), "n_open", "via", "passed", "least")
+        row = lambda src, m, old: F.struct(src.alias("src"), m.alias("m"), F.lit(old).alias("old"))
+        pulled = row(none, F.least("m", "least"), False)
+        onward = F.when(F.col("n_open") == 0, F.array(pulled)).when(
+            F.col("n_open") == 1, F.array(pulled, row(F.col("via"), F.least("m", "least", "passed"), False))
+        ).otherwise(F.array(pulled, row(F.col("src"), F.col("m"), False)))
+        moved = rows.filter(open_).join(source, [G, "src"]).select(G, "dst", F.explode(onward).alias("r"))
+        held = state.select(G, none.alias("src"), F.col("step_id").alias("dst"), F.col("least").alias("m"), F.lit(True).alias("old"))
+        # A link of a step to itself has told all it knows.
+        both = moved.select(G, "r.src", "dst", "r.m", "r.old").filter("src is null or src <> dst").unionByName(held)
+        k += 1
+        rows = stage.put(both.groupBy(G, "src", "dst", "old").agg(F.min("m").alias("m")), f"{name}-rows-{k}")
+
+
 def first_cycle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The cycle a sorted depth-first search meets first, one per cyclic graph.
 

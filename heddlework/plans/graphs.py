@@ -174,7 +174,7 @@ def graph_order(spark, folder):
     """,
 )
 def graph_wave_pages(spark, folder):
-    order = Gr.execution_order(*_part_graph(spark, folder))
+    order = Gr.execution_waves(*_part_graph(spark, folder))
     return Gr.wave_pages(order, page_rows=100).withColumn("steps", joined("steps"))
 
 
@@ -240,6 +240,17 @@ def graph_cycle_core(spark, folder):
     return Gr.cycle_core(*_brand_graphs(spark, folder))
 
 
+@query(
+    "graph_components",
+    BRAND_SQL + """SELECT r.workflow_id, r.a AS step_id, min(least(r.a, r.z)) AS component FROM reach r
+    SEMI JOIN reach b ON r.workflow_id = b.workflow_id AND r.a = b.z AND r.z = b.a
+    WHERE r.a IN (SELECT step_id FROM looped l WHERE l.workflow_id = r.workflow_id) GROUP BY r.workflow_id, r.a
+    """,
+)
+def graph_components(spark, folder):
+    return Gr.cycle_components(*_brand_graphs(spark, folder))
+
+
 @query(
     "graph_first_cycle",
     BRAND_SQL + """, live AS (

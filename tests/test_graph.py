@@ -165,6 +165,22 @@ def test_random_closures_and_core(spark):
     assert core == expect
 
 
+def test_components_are_those_of_the_closure(spark):
+    graphs = random_graphs(random.Random(9), 80, cyclic=True)
+    # Two rings joined by a way, a ring of 100 steps, and a ring with a chord.
+    graphs["joined"] = [("a", ["b"]), ("b", ["a"]), ("m", ["a"]), ("n", ["m"]), ("x", ["n", "z"]), ("y", ["x"]), ("z", ["y"]), ("tail", ["z"])]
+    graphs["ring"] = [(f"s{i:03d}", [f"s{(i - 1) % 100:03d}"]) for i in range(100)]
+    graphs["chord"] = [(f"s{i:02d}", [f"s{(i - 1) % 30:02d}", *(["s04"] if i == 20 else [])]) for i in range(30)]
+    got = {(r.workflow_id, r.step_id): r.component for r in Gr.cycle_components(*parts(steps(spark, **graphs))).collect()}
+    want = {}
+    for g, defs in graphs.items():
+        pairs = closure(defs)
+        for a, z in pairs:
+            if a != z and (z, a) in pairs:
+                want[g, a] = min(want.get((g, a), a), z)
+    assert got == want and len({c for (g, _), c in got.items() if g == "joined"}) == 2
+
+
 def counted_puts(monkeypatch):
     """Names of the tables staged from here on."""
     names, put = [], Gr.Staging.put
