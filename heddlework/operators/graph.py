@@ -399,29 +399,60 @@ def transitive_dependencies(edges: DataFrame) -> DataFrame:
     return stage.scan(fields, *rounds).select(G, "ancestor", "step_id")
 
 
+def _doubled(hops: DataFrame, stage: Staging, name: str) -> list[DataFrame]:
+    """Tables (workflow_id, step_id, up) of 1, 2, 4, ... steps along ``hops``, which leads from a step to one other.
+
+    Ends where no way is that long, or where it must have gone round a ring.
+    """
+    table, seen = stage.put_measured(hops, f"{name}-0", n=F.count(F.lit(1)))
+    tables, most, n = [], seen["n"], seen["n"]
+    while n and 2 ** len(tables) <= most:
+        tables.append(table)
+        above = table.select(G, F.col("step_id").alias("up"), F.col("up").alias("top"))
+        longer = table.join(above, [G, "up"]).select(G, "step_id", F.col("top").alias("up"))
+        table, seen = stage.put_measured(longer, f"{name}-{len(tables)}", n=F.count(F.lit(1)))
+        n = seen["n"]
+    return tables
+
+
 def reached_from(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(workflow_id, step_id, at): all steps ``at`` that can be reached from a seed step.
 
-    ``seeds``: workflow_id, step_id. Only what the seeds reach is found, a round per
-    step of distance; each round joins the steps just reached. Ends on cyclic graphs
-    too; a seed on a cycle reaches itself.
+    ``seeds``: workflow_id, step_id. Steps with one dependency form trees; all that hangs below a
+    step in its tree is found by doubling, what is less than 2k below and then what is k times 2 further
+    down. Rounds only lead from trees into steps with several dependencies. Ends on cyclic graphs too; a seed
+    on a cycle reaches itself.
     """
     stage = Staging(edges.sparkSession, "seeded")
     links = stage.put(edges.select(G, F.col("src").alias("at"), F.col("dst").alias("onto")).distinct(), "links")
+    degree = links.groupBy(G, "onto").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("up"))
+    degree = stage.put(degree, "degree")
+    trees = _doubled(degree.filter("n = 1").select(G, F.col("onto").alias("step_id"), "up"), stage, "below")
+    branches = links.join(degree.filter("n > 1").select(G, "onto"), [G, "onto"], "left_semi")
+    branches = stage.put(branches, "branches")
     start = seeds.select(G, "step_id", F.col("step_id").alias("at")).distinct()
-    fields = T.StructType(start.schema.fields)
-
-    def onward(front: DataFrame) -> DataFrame:
-        return front.join(links, [G, "at"]).select(G, "step_id", F.col("onto").alias("at")).distinct()
-
-    rounds, n_rows = [], F.count(F.lit(1))
-    fresh, seen = stage.put_measured(onward(start), "round=0", n=n_rows)
-    rounds.append("round=0")
-    while seen["n"]:
-        known = stage.scan(fields, *rounds).select(G, "step_id", "at")
+    fields, rounds, links_to = T.StructType(start.schema.fields), [], links
+    fresh = start
+    while True:
+        front = fresh.join(links_to, [G, "at"]).select(G, "step_id", F.col("onto").alias("at")).distinct()
+        if rounds:
+            known = stage.scan(fields, *rounds).select(G, "step_id", "at")
+            front = front.join(known, [G, "step_id", "at"], "left_anti")
+        name = f"front={len(rounds)}"
+        front, seen = stage.put_measured(front, f"{name}-0", n=F.count(F.lit(1)))
+        if not seen["n"]:
+            break
+        for k, table in enumerate(trees):
+            below = table.select(G, F.col("up").alias("at"), F.col("step_id").alias("under"))
+            down = front.join(below, [G, "at"]).select(G, "step_id", F.col("under").alias("at"))
+            front = stage.put(front.unionByName(down).distinct(), f"{name}-{k + 1}")
+        if rounds:
+            front = front.join(known, [G, "step_id", "at"], "left_anti")
         rounds.append(f"round={len(rounds)}")
-        found = onward(fresh).join(known, [G, "step_id", "at"], "left_anti")
-        fresh, seen = stage.put_measured(found, rounds[-1], n=n_rows)
+        fresh = stage.put(front, rounds[-1])
+        links_to = branches
+    if not rounds:
+        return start.limit(0)
     return stage.scan(fields, *rounds).select(G, "step_id", "at")
 
 
@@ -435,10 +466,77 @@ def blocked_steps(failed: DataFrame, edges: DataFrame) -> DataFrame:
     return failed.join(down, [G, "step_id"]).select("run_id", G, F.col("at").alias("step_id")).distinct()
 
 
+def reaching_pairs(asked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those of the asked pairs (workflow_id, ancestor, step_id) whose step depends on the ancestor at any distance.
+
+    Every step that can run has two labels: its wave, and a place in a forest in which it hangs below
+    one of its dependencies of the wave before. An ancestor of no earlier wave is none. One that is met by going up
+    in the forest by the difference of the waves is one, which takes as many joins as that difference has binary
+    digits. Pairs that this leaves open are searched upwards, past steps with one dependency at once, and only
+    as far as the ancestor's wave. Steps on or behind a cycle have no labels; their pairs are followed back.
+    """
+    stage = Staging(nodes.sparkSession, "reaching")
+    nodes, links = _known(nodes, edges)
+    links = stage.put(links, "links")
+    waves = stage.put(execution_waves(nodes, links), "waves")
+    asked = asked.select(G, "ancestor", "step_id").distinct()
+    labelled = asked.join(waves, [G, "step_id"], "left")
+    earlier = waves.select(G, F.col("step_id").alias("ancestor"), F.col("wave").alias("a_wave"))
+    open_ = labelled.filter("wave is not null").join(earlier, [G, "ancestor"]).filter("a_wave < wave")
+    open_ = stage.put(open_.select(G, "ancestor", "step_id", "a_wave", F.col("step_id").alias("at"), "wave"), "asked")
+    unlabelled = stage.put(labelled.filter("wave is null").select(G, "ancestor", "step_id"), "unlabelled")
+
+    into = links.join(waves.withColumnRenamed("step_id", "dst"), [G, "dst"])
+    above = waves.select(G, F.col("step_id").alias("src"), F.col("wave").alias("src_wave"))
+    into = stage.put(into.join(above, [G, "src"]), "into")
+    by_step = into.groupBy(G, F.col("dst").alias("step_id")).agg(
+        F.max(F.when(F.col("src_wave") == F.col("wave") - 1, F.col("src"))).alias("up"), F.count(F.lit(1)).alias("n")
+    )
+    by_step = stage.put(by_step, "by-step")
+    forest = _doubled(by_step.select(G, "step_id", "up"), stage, "forest")
+    single = _doubled(by_step.filter("n = 1").select(G, "step_id", "up"), stage, "single")
+
+    def climbed(df: DataFrame) -> DataFrame:
+        """With ``top``, where the forest leads from ``at`` to in the ancestor's wave."""
+        df = df.withColumns({"top": F.col("at"), "more": F.col("wave") - F.col("a_wave")})
+        for k, table in enumerate(forest):
+            up = table.select(G, F.col("step_id").alias("top"), F.col("up").alias("next"))
+            df = df.join(up, [G, "top"], "left")
+            digit = F.col("more").bitwiseAND(F.lit(1 << k)) > 0
+            df = df.withColumn("top", F.when(digit, F.col("next")).otherwise(F.col("top"))).drop("next")
+        return df.drop("more")
+
+    def unbranched(df: DataFrame) -> DataFrame:
+        """With ``at`` moved up to the first step with several dependencies, or none."""
+        for table in reversed(single):
+            up = table.select(G, F.col("step_id").alias("at"), F.col("up").alias("next"))
+            df = df.join(up, [G, "at"], "left").withColumn("at", F.coalesce("next", "at")).drop("next")
+        return df
+
+    pair, found, k = [G, "ancestor", "step_id"], [], 0
+    while True:
+        tested, seen = stage.put_measured(
+            climbed(open_).withColumn("met", F.col("top") == F.col("ancestor")), f"tested-{k}", n=F.count(F.lit(1)), n_met=F.count_if("met")
+        )
+        if not seen["n"]:
+            break
+        met = tested.filter("met").select(*pair).distinct()
+        found.append(met)
+        left = tested.filter("not met").join(met, pair, "left_anti").select(*pair, "a_wave", "at")
+        higher = unbranched(left).distinct().join(into.select(G, F.col("dst").alias("at"), "src", "src_wave"), [G, "at"])
+        k += 1
+        open_ = higher.filter("src_wave >= a_wave").select(*pair, "a_wave", F.col("src").alias("at"), F.col("src_wave").alias("wave")).distinct()
+    if not unlabelled.isEmpty():
+        backwards = links.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"))
+        up = reached_from(unlabelled, backwards).withColumnRenamed("at", "ancestor")
+        found.append(unlabelled.join(up, pair, "left_semi"))
+    return reduce(DataFrame.unionByName, found, unlabelled.limit(0)).distinct()
+
+
 def undeclared_references(steps: DataFrame, edges: DataFrame, text: str = "inputs") -> DataFrame:
     """References to steps that are no (transitive) dependency, so may not be done yet.
 
-    Only steps that name something beyond their direct dependencies are followed back.
+    Only steps that name something beyond their direct dependencies are looked into.
     """
     refs = explode_references(steps.select(G, "step_id", text), text).filter(
         (F.col("source") != "workflow") & (F.col("kind") == "output")
@@ -447,9 +545,8 @@ def undeclared_references(steps: DataFrame, edges: DataFrame, text: str = "input
     direct = edges.select(G, F.col("src").alias("ancestor"), F.col("dst").alias("step_id"))
     asked = asked.join(direct, [G, "ancestor", "step_id"], "left_anti")
     asked = Staging(steps.sparkSession, "asked").put(asked, "references")
-    backwards = edges.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    up = reached_from(asked, backwards).withColumnRenamed("at", "ancestor")
-    return asked.join(up, [G, "ancestor", "step_id"], "left_anti").select(G, "step_id", "ancestor")
+    met = reaching_pairs(asked, graph_nodes(steps), edges)
+    return asked.join(met, [G, "ancestor", "step_id"], "left_anti").select(G, "step_id", "ancestor")
 
 
 # --- report ----------------------------------------------------------------------

@@ -261,3 +261,23 @@ def test_seeded_reach_is_the_closure_of_the_seeds(spark):
     got = {(r.workflow_id, r.step_id, r.at) for r in Gr.reached_from(seeds, edges).collect()}
     want = {(g, a, z) for g, defs in graphs.items() for a, z in closure(defs) if a in ("n0", "n3")}
     assert got == want
+
+
+def test_asked_pairs_are_those_of_the_closure(spark):
+    graphs = random_graphs(random.Random(10), 60, cyclic=False) | {f"c{g}": d for g, d in random_graphs(random.Random(12), 20, cyclic=True).items()}
+    nodes, edges = parts(steps(spark, **graphs))
+    every = [(g, a, z) for g, defs in graphs.items() for a, _ in defs for z, _ in defs] + [("g0", "nobody", "n0"), ("g0", "n0", "nobody")]
+    asked = spark.createDataFrame(every, "workflow_id string, ancestor string, step_id string")
+    got = {(r.workflow_id, r.ancestor, r.step_id) for r in Gr.reaching_pairs(asked, nodes, edges).collect()}
+    assert got == {(g, a, z) for g, defs in graphs.items() for a, z in closure(defs)}
+
+
+def test_reach_in_long_chains_takes_logarithmic_rounds(spark, monkeypatch):
+    chain = [("c0000", [])] + [(f"c{i:04d}", [f"c{i - 1:04d}"]) for i in range(1, 2000)]
+    nodes, edges = parts(steps(spark, chain=chain, other=[("x", [])]))
+    pairs = [("chain", "c0000", "c1999"), ("chain", "c0700", "c0701"), ("chain", "c0701", "c0700"), ("chain", "x", "c0005")]
+    asked = spark.createDataFrame(pairs, "workflow_id string, ancestor string, step_id string")
+    names = counted_puts(monkeypatch)
+    assert {(r.ancestor, r.step_id) for r in Gr.reaching_pairs(asked, nodes, edges).collect()} == {("c0000", "c1999"), ("c0700", "c0701")}
+    assert Gr.reached_from(nodes.filter("step_id = 'c0010'"), edges).count() == 1989
+    assert len(names) < 120
