@@ -13,6 +13,7 @@ A null text is empty. An empty text has no words, no labels and score 0.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -196,10 +197,13 @@ class Automaton:
                         best = (first, covered - lost)
                 chains.append((end, at, best[0], best[1] + size))
             closed: list[tuple[str, int, int, float]] = []
+            taken: list[tuple[int, int]] = []  # spans of this template, in order; none overlap
             for end, _, first, covered in sorted(chains, key=lambda c: (-c[3], c[2], c[0])):
                 if covered < MIN_COVER * self.tokens[name]:
                     break
-                if all(end < a or first > b for _, a, b, _ in closed):
+                k = bisect_left(taken, (first,))
+                if (k == 0 or taken[k - 1][1] < first) and (k == len(taken) or end < taken[k][0]):
+                    taken.insert(k, (first, end))
                     closed.append((name, first, end, min(1.0, covered / self.tokens[name])))
             out += closed
         return sorted(out, key=lambda s: (s[1], s[0]))
