@@ -138,17 +138,15 @@ def shards(spark, folder):
     "op6_topk",
     f"""
 WITH v AS (
-  SELECT vec_id, min(w) AS w FROM (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS w FROM embeddings
-    WHERE vec_id IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
-  GROUP BY vec_id),
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id,
     list_sum(list_transform(range(1, least(len(q.w), len(c.w)) + 1), lambda i: q.w[i] * c.w[i]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % {topk.QUERY_EVERY} = 0 AND q.vec_id <> c.vec_id),
+  FROM v q JOIN v c ON q.vec_id % {topk.QUERY_EVERY} = 0 AND q.r <> c.r),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS "rank" FROM scored)
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS "rank" FROM scored)
 SELECT query_id, "rank", vec_id, score FROM ranked WHERE "rank" <= {topk.K}
 """,
 )

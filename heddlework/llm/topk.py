@@ -5,8 +5,9 @@ for each component (term) the positions and weights of the candidates that have
 is a sparse row of terms; each of its terms scatters weight times posting into a dense row of
 scores. The k best of a row are selected by partition, and the selections of blocks merge.
 
-All queries meet all candidates, in blocks dealt over the cluster; nothing is skipped. Rows of
-one vec_id count as one vector, the smallest. Vectors that are null or empty or hold a null or
+All queries meet all candidates, in blocks dealt over the cluster; nothing is skipped. Every row is
+a candidate of every query but its own row, whatever its vec_id; rows of one vec_id that are queries are
+queries of their own, each with its ranks. Vectors that are null or empty or hold a null or
 non-finite component, and null ids, take no part. A component that one vector lacks counts as
 0. Weights must stay below 2^31 in size. Extra columns are ignored.
 """
@@ -27,30 +28,31 @@ CANDIDATE_BLOCK = 4096
 
 
 def weights(df: DataFrame) -> DataFrame:
-    """vec_id and its whole weights."""
+    """row, vec_id and its whole weights; ``row`` tells rows of one vec_id apart once it is written."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = df.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).where(sound)
-    whole = usable.select("vec_id", F.transform(x, lambda v: F.floor(v * SCALE)).alias("weights"))
-    return whole.groupBy("vec_id").agg(F.min("weights").alias("weights"))
+    whole = F.transform(x, lambda v: F.floor(v * SCALE)).alias("weights")
+    return usable.select(F.monotonically_increasing_id().alias("row"), "vec_id", whole)
 
 
 def _blocks(df: DataFrame, size: int) -> DataFrame:
-    """Rows packed into blocks of at most ``size``: ids and weights as plain arrays."""
+    """Rows packed into blocks of at most ``size``: rows, ids and weights as plain arrays."""
 
     def pack(rows):
-        ids, flat, widths = [], [], []
+        places, ids, flat, widths = [], [], [], []
         for row in rows:
+            places.append(row["row"])
             ids.append(row["vec_id"])
             flat += row["weights"]
             widths.append(len(row["weights"]))
             if len(ids) == size:
-                yield ids, flat, widths
-                ids, flat, widths = [], [], []
+                yield places, ids, flat, widths
+                places, ids, flat, widths = [], [], [], []
         if ids:
-            yield ids, flat, widths
+            yield places, ids, flat, widths
 
-    return map_rows(df, pack, "ids array<bigint>, flat array<bigint>, widths array<int>")
+    return map_rows(df, pack, "rows array<bigint>, ids array<bigint>, flat array<bigint>, widths array<int>")
 
 
 def dense(flat, widths) -> np.ndarray:
@@ -102,7 +104,7 @@ def top_k(df: DataFrame, stage, k: int = K, every: int = QUERY_EVERY) -> DataFra
     if not n_blocks:
         return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     left = queries.join(names, "block").select(
-        "no", F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.col("widths").alias("q_widths")
+        "no", F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.col("widths").alias("q_widths")
     )
     candidates = stage.put(_blocks(vectors, CANDIDATE_BLOCK), "candidates")
     right = candidates.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
@@ -111,14 +113,15 @@ def top_k(df: DataFrame, stage, k: int = K, every: int = QUERY_EVERY) -> DataFra
     def search(rows):
         for row in rows:
             postings = Postings(row["ids"], row["flat"], row["widths"])
-            for query_id, query in zip(row["q_ids"], dense(row["q_flat"], row["q_widths"]), strict=True):
+            places = np.asarray(row["rows"])
+            for place, query_id, query in zip(row["q_rows"], row["q_ids"], dense(row["q_flat"], row["q_widths"]), strict=True):
                 scores = postings.scores(query)
-                own = postings.ids != query_id
-                for vec_id, score in zip(*(x.tolist() for x in select(postings.ids[own], scores[own], k)), strict=True):
-                    yield query_id, vec_id, score
+                others = places != place
+                for vec_id, score in zip(*(x.tolist() for x in select(postings.ids[others], scores[others], k)), strict=True):
+                    yield place, query_id, vec_id, score
 
-    found = map_rows(met, search, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = map_rows(met, search, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")

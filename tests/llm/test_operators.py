@@ -274,10 +274,18 @@ def test_search_on_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (20, [1.0]), (1, [0.5, -0.25, 9.0]), (2, None), (3, [nan]), (4, [inf]), (5, [None]), (6, []), (None, [1.0]), (1, [0.5, -0.25, 9.0]), (7, [1.0, 2.0]), (8, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "1 AS score", "2 AS ids")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, staging(spark, "t")).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 7, 20480), (0, 2, 8, 20480), (0, 3, 20, 4096), (0, 4, 1, 0), (20, 1, 0, 4096), (20, 2, 7, 4096), (20, 3, 8, 4096), (20, 4, 1, 2048)]
+    assert got == [(0, 1, 7, 20480), (0, 2, 8, 20480), (0, 3, 20, 4096), (0, 4, 1, 0), (0, 5, 1, 0), (20, 1, 0, 4096), (20, 2, 7, 4096), (20, 3, 8, 4096), (20, 4, 1, 2048), (20, 5, 1, 2048)]
     assert topk.top_k(df.limit(0), staging(spark, "t")).count() == 0
 
 
+def test_rows_of_one_vec_id_are_candidates_of_each_other(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 2.0]), (3, [1.0, 1.0]), (3, [-1.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, staging(spark, "t")).collect())
+    one, two = [(3, 4096), (20, 0), (3, -4096)], [(3, 32768), (3, 8192), (20, 0)]
+    assert got == sorted((20, k + 1, *x) for part in (one, two) for k, x in enumerate(part))
+
+
 # 7
 
 
