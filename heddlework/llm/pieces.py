@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from heapq import heapify, heappop, heappush
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +34,12 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 CHUNK = 400_000
 """Characters indexed at a time."""
-REMEMBERED = 700_000
-"""Units whose pieces a worker keeps from batch to batch."""
+REMEMBERED = 40_000_000
+"""Bytes of units and their pieces that a worker keeps from batch to batch."""
+ENTRY = 240
+"""Bytes of a remembered unit beside its characters and pieces."""
+LONG = 300
+"""Longer units are joined by a queue of edges, shorter ones side by side."""
 
 
 class Vocabulary:
@@ -89,6 +94,7 @@ class Matcher:
         first = np.concatenate([[0], np.flatnonzero(np.diff(ordered)) + 1])
         self.rank[order] = np.repeat(first, np.diff(np.append(first, len(order))))
         self.remembered: dict[str, bytes] = {}
+        self.held = 0
         # For decoding: a byte piece is its byte, a control piece nothing.
         self.bytes = [p.replace(SPACE, " ").encode() for p in v.pieces]
         for i in set(range(len(v.pieces))) - set(v.normal):
@@ -133,8 +139,14 @@ class Matcher:
     def _merge(self, table, inside, unit_of):
         """Join neighbours by the best edge of each unit until no unit has one."""
         at = np.flatnonzero(inside)
-        size = np.ones(len(at), dtype=np.int64)
         done_at, done_size = [], []
+        lengths = np.bincount(unit_of[at]) if len(at) else np.zeros(0, dtype=np.int64)
+        for unit in np.flatnonzero(lengths > LONG).tolist():
+            starts, taken = self._merge_long(table, at[np.searchsorted(unit_of[at], unit) :][: lengths[unit]])
+            done_at.append(starts)
+            done_size.append(taken)
+        at = at[lengths[unit_of[at]] <= LONG]
+        size = np.ones(len(at), dtype=np.int64)
         longest = self.v.longest
         while len(at):
             unit = unit_of[at]
@@ -158,6 +170,40 @@ class Matcher:
         order = np.argsort(at, kind="stable")
         return at[order], size[order]
 
+    def _merge_long(self, table, at):
+        """As ``_merge`` for one unit: its edges wait in a queue by score and place, so a long unit takes n log n steps."""
+        first, n, longest = int(at[0]), len(at), self.v.longest
+        size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = self.rank
+
+        def edge(k):
+            """Offers the edge from place k over itself and the next."""
+            to = after[k]
+            if to < n and size[k] + size[to] <= longest:
+                piece = table[first + k, size[k] + size[to]]
+                if piece >= 0:
+                    heappush(queue, (int(rank[piece]), k, size[k], size[to]))
+
+        pair = table[at[:-1], 2] if longest > 1 else np.full(n - 1, -1)
+        found = np.flatnonzero(pair >= 0)
+        queue = list(zip(rank[pair[found]].tolist(), found.tolist(), [1] * len(found), [1] * len(found), strict=True))
+        heapify(queue)
+        while queue:
+            _, k, left, right = heappop(queue)
+            to = after[k]
+            if size[k] != left or to >= n or size[to] != right:
+                continue
+            size[k], size[to] = left + right, 0
+            after[k] = after[to]
+            if after[k] < n:
+                before[after[k]] = k
+            edge(k)
+            if before[k] >= 0:
+                edge(before[k])
+        size = np.array(size, dtype=np.int64)
+        kept = np.flatnonzero(size)
+        return at[kept], size[kept]
+
     def _best_path(self, table, inside, unit_of):
         """Relax the edges in order of position, all units side by side."""
         n = len(inside)
@@ -219,8 +265,9 @@ class Matcher:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.units(t) if t else [] for t in texts]
-        if len(self.remembered) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.remembered.clear()
+            self.held = 0
         known = self.remembered
         fresh = list({u for units in split for u in units if u not in known})
         low = 0
@@ -229,7 +276,9 @@ class Matcher:
             while high < len(fresh) and (high == low or chars + len(fresh[high]) < CHUNK):
                 chars += len(fresh[high]) + 1
                 high += 1
-            known.update(zip(fresh[low:high], self.segment(fresh[low:high]), strict=True))
+            for unit, ids in zip(fresh[low:high], self.segment(fresh[low:high]), strict=True):
+                known[unit] = ids
+                self.held += len(unit) + len(ids) + ENTRY
             low = high
         return [np.frombuffer(b"".join([known[u] for u in units]), dtype=np.int32) for units in split]
 
