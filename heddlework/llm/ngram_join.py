@@ -309,7 +309,7 @@ class Trie:
         own: what may still join it walks itself.
         """
         n = len(self.sets)
-        label, out = np.arange(n), []
+        label, members, out = np.arange(n), {k: [k] for k in range(n)}, []
         if n < 2:
             return out
         walked = np.zeros(n, dtype=bool)
@@ -317,7 +317,9 @@ class Trie:
         while len(block):
             for i, j in self._walk(block, label):
                 if label[i] != label[j]:
-                    label[label == label[i]] = label[j]
+                    small, large = sorted((int(label[i]), int(label[j])), key=lambda k: len(members[k]))
+                    label[members[small]] = large
+                    members[large] += members.pop(small)
                     out.append((self.at[i], self.at[j]))
             walked[block] = True
             largest = np.bincount(label, minlength=n).argmax()
