@@ -46,7 +46,8 @@ COUNTED = 8
 PREDICT_FROM = 0.7
 TRAIN_MOD, HELD_OUT = 3, 1
 
-WORDS = re.compile(r"[@$]*\w+(?:(?:[@$]+|[!*'’])\w+)*[@$]*")
+#: Words; one does not begin inside a row of signs, so a long row of them is tried once.
+WORDS = re.compile(r"(?<![@$])[@$]*\w+(?:(?:[@$]+|[!*'’])\w+)*[@$]*")
 #: Letters that are often written as digits or signs (fixed values).
 LOOKS_LIKE = str.maketrans("01345@$", "oieasas")
 #: Words that report what somebody said (fixed values).
@@ -67,7 +68,8 @@ def edits_for(term: str) -> int:
 class Lexicon:
     """A trie of terms and stems with its product automaton, built state by state."""
 
-    MAX_STATES, MAX_SEEN = 100_000, 600_000
+    #: What a worker keeps from batch to batch: some 20 MB of states and words.
+    MAX_STATES, MAX_SEEN = 10_000, 100_000
 
     def __init__(self, words: list[str], stems: list[str] = ()):
         self.children: list[dict[str, int]] = [{}]
@@ -78,9 +80,6 @@ class Lexicon:
             self.ends[self._add(word, edits_for(word))] = edits_for(word)
         for stem in stems:
             self.stem[self._add(stem, 0)] = True
-        self.stems, self.stem_sizes = frozenset(stems), sorted({len(s) for s in stems})
-        self.longest = max(map(len, words), default=0) + max(self.most[0], 0)
-        self.forms = frozenset(form for word in words for form in shortened(word, edits_for(word)))
         self._start()
 
     def _add(self, term: str, edits: int) -> int:
@@ -106,16 +105,10 @@ class Lexicon:
         self.seen: set[str] = set()
         self.bad: dict[str, int] = {}
 
-    def may_be(self, word: str) -> bool:
-        """False only for words that no stem begins and no term is within its edits of."""
-        if any(word[:n] in self.stems for n in self.stem_sizes):
-            return True
-        return len(word) <= self.longest and not self.forms.isdisjoint(shortened(word, max(self.most[0], 0)))
-
     def find(self, word: str) -> int:
         """Whether the word is in the lexicon exactly, with edits, or not."""
         if word not in self.seen:
-            found = max(self._run(w) if self.may_be(w) else NONE for w in readings(word))
+            found = max(map(self._run, readings(word)))
             self.seen.add(word)
             if found:
                 self.bad[word] = found
@@ -199,15 +192,6 @@ class Lexicon:
         return best
 
 
-def shortened(word: str, n: int) -> set[str]:
-    """The word with at most ``n`` letters left out, wherever."""
-    out = last = {word}
-    for _ in range(n):
-        last = {w[:k] + w[k + 1 :] for w in last for k in range(len(w))}
-        out = out | last
-    return out
-
-
 def plain(word: str) -> str:
     if word.isascii() and word.isalpha():
         return word
