@@ -68,8 +68,8 @@ def edits_for(term: str) -> int:
 class Lexicon:
     """A trie of terms and stems with its product automaton, built state by state."""
 
-    #: What a worker keeps from batch to batch: some 20 MB of states and words.
-    MAX_STATES, MAX_SEEN = 10_000, 100_000
+    #: What a worker keeps from batch to batch: tens of MB of states and words.
+    MAX_STATES, MAX_SEEN = 60_000, 100_000
 
     def __init__(self, words: list[str], stems: list[str] = ()):
         self.children: list[dict[str, int]] = [{}]
@@ -102,6 +102,9 @@ class Lexicon:
         self.members = [frozenset(), first]
         self.moves: list[dict[str, int]] = [{}, {}]
         self.accepts = [NONE, NONE]
+        self._forget()
+
+    def _forget(self) -> None:
         self.seen: set[str] = set()
         self.bad: dict[str, int] = {}
 
@@ -116,8 +119,10 @@ class Lexicon:
 
     def any_of(self, words: set[str]) -> bool:
         """Whether one of the words is in the lexicon; words met before cost no walk."""
-        if len(self.seen) > self.MAX_SEEN or len(self.states) > self.MAX_STATES:
+        if len(self.states) > self.MAX_STATES:
             self._start()
+        if len(self.seen) > self.MAX_SEEN:
+            self._forget()
         for word in words.difference(self.seen):
             self.find(word)
         return not words.isdisjoint(self.bad)
