@@ -34,7 +34,7 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 CHUNK = 400_000
 """Characters indexed at a time."""
-REMEMBERED = 40_000_000
+REMEMBERED = 80_000_000
 """Bytes of units and their pieces that a worker keeps from batch to batch."""
 ENTRY = 240
 """Bytes of a remembered unit beside its characters and pieces."""
