@@ -3,19 +3,23 @@
 A source's target is its share of the wanted total by weight, stopped at ``CAP`` times its
 size, the excess going to the others by weight (the level is found by sorting sources by the
 level at which they fill up). A document expects target / size copies. The whole part is
-certain: every document gets that many copies. The fraction that is left, f, goes to a sample
-of the source drawn in Pareto order: with a uniform number u for each document and inclusion
-odds p / (1 - p), documents are ranked by u / (1 - u) over those odds and taken in that order
-until the words left for the source are used up, so the size of a sample is fixed in words.
-
-p is f for a document that fits into the words left and 0 for one that does not. Where the next
-document no longer fits, the draw goes on among those that still fit: ``FILLS`` rounds. Of an
-f over one half the documents that stay out are drawn, with odds turned round, as the smaller
-rest can be met more closely.
-
-u is a hash of id, size and seed, so reruns agree. Ranks are cut into ``BINS`` equal bins of
-u; sizes are summed by bin before the shuffle, and only the documents of the one bin in which
-a source runs out are put in order, which splits a source that holds a third of all rows.
+certain: every document gets that many copies. The words that are left of a target go to a
+sample of unequal probabilities: a document is included with p = min(1, c b), where b is its
+size rounded down to a sixteenth and c is solved for each source so that the expected words
+are the words left. Documents of p = 1 are certain. The others are ranked in Pareto order,
+by a uniform number's odds u / (1 - u) over the inclusion odds p / (1 - p), and taken in that
+order until the words left are used up, so the size of a sample is fixed in words.
+
+A document larger than the words left takes no part. Where the next document no longer
+fits, the draw goes on in the same order among those that still fit, until none does; each
+round takes at least one document of every source still open. Where more than half of a
+source's words are left to take, the smaller rest can be met more closely: the documents
+that stay out are drawn, from the far end of the same order.
+
+u is a hash of id, size and seed, so reruns agree. Ranks r are cut into ``BINS`` bins of
+r / (1 + r); sizes are summed by bin before the shuffle, and only the documents of the one bin
+in which a source runs out are put in order, which splits a source that holds a third of all
+rows: a sample runs out near r = 1, where a bin is at most 1 / ``BINS`` wide in u.
 
 Null texts and empty texts have size 0 and are taken as certain copies of 0 words. Null
 sources are one source, the last.
@@ -23,16 +27,18 @@ sources are one source, the last.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddlework.llm.common import WORD
+from heddlework.llm.quality_rules import bucket
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 BINS = 4096
-FILLS = 3
 SEED = "mix"
 
 
@@ -71,18 +77,30 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def odds(u: Column) -> Column:
-    return u / (1 - u)
+def inclusion_scales(rows: DataFrame) -> DataFrame:
+    """(source, scale): inclusion is min(1, scale x step); ``rows``: source, step, size, words_left, stay_out.
+
+    Sizes meet by step, at most sixteen for each power of two, so a source is a small window.
+    """
+    steps = rows.groupBy("source", "words_left", "stay_out", "step").agg(F.sum("size").alias("words"))
+    down = Window.partitionBy("source").orderBy(F.col("step").desc())
+    larger, rest = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(0, Window.unboundedFollowing)
+    # Decimal sums: the same in every order.
+    squares = F.sum(F.col("step").cast("decimal(19,0)") * F.col("words").cast("decimal(19,0)")).over(rest)
+    steps = steps.withColumns({
+        "all_words": F.sum("words").over(Window.partitionBy("source")),
+        "certain_words": F.coalesce(F.sum("words").over(larger), F.lit(0)), "squares": squares.cast("double"),
+    })
+    wanted = F.when(F.col("stay_out"), F.col("all_words") - F.col("words_left")).otherwise(F.col("words_left"))
+    scale = F.when(wanted >= F.col("all_words"), 1.0).when(wanted <= 0, 0.0).otherwise((wanted - F.col("certain_words")) / F.col("squares"))
+    # The largest step that is not certain itself gives the scale; all larger ones are.
+    open_ = steps.withColumn("scale", scale).where(F.col("scale") * F.col("step") <= 1)
+    return open_.groupBy("source").agg(F.max_by("scale", "step").alias("scale"))
 
 
 def _draw(rows: DataFrame, stage, name: str) -> DataFrame:
-    """Mark ``extra`` for the documents of one round; ``left`` is what each source has left."""
-    fits = ~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= F.col("left"))
-    # Every document that fits has the same inclusion odds in its source, so that the rank is
-    # even in u: bins of u are bins of rank.
-    inclusion = F.col("fraction") / (1 - F.col("fraction"))
-    rows = rows.withColumns({"fits": fits, "rank": odds(F.col("u")) / inclusion, "bin": F.floor(F.col("u") * BINS)})
-    by_bin = rows.where("fits").groupBy("source", "left", "bin").agg(F.sum("size").alias("words"))
+    """Mark ``extra`` for the documents of one round; all of ``rows`` fit into ``left`` of their source."""
+    by_bin = rows.groupBy("source", "left", "bin").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     ends = by_bin.withColumn("upto", F.sum("words").over(upto)).where(F.col("upto") > F.col("left"))
     ends = ends.groupBy("source").agg(
@@ -90,16 +108,11 @@ def _draw(rows: DataFrame, stage, name: str) -> DataFrame:
     )
     ends = stage.put(ends, f"{name}-ends").withColumnRenamed("source", "end_source")
     joined = rows.join(ends, F.col("source").eqNullSafe(F.col("end_source")), "left").drop("end_source")
-    whole = F.col("fits") & (F.col("last_bin").isNull() | (F.col("bin") < F.col("last_bin")))
-    at_end = F.col("fits") & F.coalesce(F.col("bin") == F.col("last_bin"), F.lit(False))
-    joined = joined.withColumns({"whole": whole, "at_end": at_end})
+    at_end = F.coalesce(F.col("bin") == F.col("last_bin"), F.lit(False))
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    keep = [c for c in rows.columns if c not in ("fits", "rank", "bin", "left", "extra")]
-    settled = joined.where(~F.col("at_end")).withColumn("extra", F.col("extra") | F.col("whole"))
-    ordered = joined.where("at_end").withColumn(
-        "extra", F.coalesce(F.col("words_before"), F.lit(0)) + F.sum("size").over(order) <= F.col("left")
-    )
-    return settled.select(*keep, "extra", "left").unionByName(ordered.select(*keep, "extra", "left"))
+    settled = joined.where(~at_end).withColumn("extra", F.col("last_bin").isNull() | (F.col("bin") < F.col("last_bin")))
+    ordered = joined.where(at_end).withColumn("extra", F.col("words_before") + F.sum("size").over(order) <= F.col("left"))
+    return settled.unionByName(ordered).select(*rows.columns, "extra")
 
 
 def mix(docs: DataFrame, stage, seed: str = SEED) -> DataFrame:
@@ -116,26 +129,39 @@ def draw(sized: DataFrame, stage, seed: str = SEED) -> DataFrame:
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1)
     rows = rows.withColumn("certain", copies.cast("bigint"))
     left = F.col("target") - F.col("certain") * F.col("source_size")
+    # Of more than half of a source the smaller rest is drawn: those that stay out.
+    rows = rows.withColumn("stay_out", left > 0.5 * F.col("source_size"))
+    rows = rows.withColumn("words_left", F.when(F.col("stay_out"), F.col("source_size") - left).otherwise(left))
+    rows = rows.withColumn("step", F.when((F.col("size") > 0) & (F.col("size") <= F.col("words_left")), bucket(F.col("size"))))
+    scales = inclusion_scales(rows.where("step IS NOT NULL"))
+    scales = stage.put(scales, "scales").withColumnRenamed("source", "s_source")
+    rows = rows.join(scales, F.col("source").eqNullSafe(F.col("s_source")), "left").drop("s_source")
+    # Null for those that take no part.
+    share = F.col("scale") * F.col("step")
+    taken_in, u = F.when(share > 1, 1.0).otherwise(share), uniform(F.col("doc_id"), F.col("size"), seed)
     rows = rows.withColumns({
-        "left": left, "fraction": F.when(F.col("source_size") > 0, left / F.col("source_size")).otherwise(F.lit(0.0))
+        "p": F.when(F.col("stay_out"), 1 - taken_in).otherwise(taken_in), "u": F.when(F.col("stay_out"), 1 - u).otherwise(u),
     })
-    # Of a fraction over one half the smaller rest is drawn: those that stay out, from the far end.
-    out, u = F.col("fraction") > 0.5, uniform(F.col("doc_id"), F.col("size"), seed)
-    rows = rows.withColumns({
-        "stay_out": out, "u": F.when(out, 1 - u).otherwise(u), "extra": F.lit(False),
-        "whole_left": F.when(out, F.col("source_size") - F.col("left")).otherwise(F.col("left")),
-        "fraction": F.when(out, 1 - F.col("fraction")).otherwise(F.col("fraction")),
-    }).withColumn("left", F.col("whole_left"))
-    for k in range(FILLS):
-        if k:
-            used = rows.where("extra").groupBy("source").agg(F.sum("size").alias("used"))
-            used = stage.put(used, f"used-{k}").withColumnRenamed("source", "u_source")
-            rows = rows.join(used, F.col("source").eqNullSafe(F.col("u_source")), "left")
-            rows = rows.withColumn("left", F.col("whole_left") - F.coalesce(F.col("used"), F.lit(0))).drop("u_source", "used")
-        rows = stage.put(_draw(rows, stage, f"round-{k}"), f"round-{k}")
+    ours, others = F.col("u") * (1 - F.col("p")), (1 - F.col("u")) * F.col("p")
+    rows = rows.withColumn("rank", ours / (ours + others))
+    certain_bin = F.when(F.col("p") >= 1, -1).otherwise(F.floor(F.col("rank") * BINS)).cast("bigint")
+    rows = rows.withColumn("bin", certain_bin).drop("step", "scale", "u").withColumnRenamed("words_left", "left")
+    rows = stage.put(rows, "ranked")
+    takes_part = F.coalesce(F.col("p") > 0, F.lit(False))
+    done, open_, k = [rows.where(~takes_part).withColumn("extra", F.lit(False))], rows.where(takes_part), 0
+    while not open_.isEmpty():
+        drawn = stage.put(_draw(open_, stage, f"round-{k}"), f"round-{k}")
+        used = drawn.where("extra").groupBy("source").agg(F.sum("size").alias("used"))
+        used = stage.put(used, f"used-{k}").withColumnRenamed("source", "u_source")
+        after = drawn.join(used, F.col("source").eqNullSafe(F.col("u_source")), "left")
+        after = after.withColumn("left", F.col("left") - F.coalesce("used", F.lit(0))).drop("u_source", "used")
+        goes_on = ~F.col("extra") & (F.col("size") <= F.col("left"))
+        done.append(after.where(~goes_on))
+        open_, k = after.where(goes_on).drop("extra"), k + 1
+    rows = reduce(DataFrame.unionByName, done)
     copies = F.col("certain") + (F.col("extra") != F.col("stay_out")).cast("bigint")
     return rows.withColumns({"copies": copies, "taken": copies * F.col("size")}).drop(
-        "certain", "u", "left", "whole_left", "fraction", "extra", "stay_out"
+        "certain", "left", "extra", "stay_out", "p", "rank", "bin"
     )
 
 

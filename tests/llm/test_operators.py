@@ -1,5 +1,6 @@
 """The ten operators against SQL, brute force, round trips and held-out labels, and on odd rows."""
 
+import hashlib
 import itertools
 import math
 import re
@@ -338,6 +339,73 @@ def test_mixing_meets_its_targets(spark, odd):
     assert sorted(map(repr, rows)) == sorted(map(repr, again))
 
 
+def brute_draw(own, target):
+    """Copies of (doc_id, size) rows of one source, document by document in Pareto order."""
+    total = sum(size for _, size in own)
+    if not total:
+        return [1] * len(own)
+    certain = int(target // total)
+    left = target - certain * total
+    out = left > 0.5 * total
+    left = total - left if out else left
+    step = lambda n: (n >> max(n.bit_length() - 5, 0)) << max(n.bit_length() - 5, 0)
+    part = sorted((k for k, (_, n) in enumerate(own) if 0 < n <= left), key=lambda k: -step(own[k][1]))
+    words = sum(own[k][1] for k in part)
+    want, sure = (words - left if out else left), set()
+    scale = 1.0 if want >= words else 0.0
+    while 0 < want < words:
+        rest = [k for k in part if k not in sure]
+        scale = (want - sum(own[k][1] for k in sure)) / sum(step(own[k][1]) * own[k][1] for k in rest)
+        over = {k for k in rest if scale * step(own[k][1]) > 1}
+        if not over:
+            break
+        sure |= over
+    ranks = []
+    for k in part:
+        doc_id, n = own[k]
+        p = min(1.0, scale * step(n))
+        digest = hashlib.md5(f"{'' if doc_id is None else doc_id}:{n}:{mixing.SEED}".encode()).hexdigest()
+        u = (int(digest[:12], 16) + 0.5) / (1 << 48)
+        p, u = (1 - p, 1 - u) if out else (p, u)
+        if p > 0:
+            ranks.append((u * (1 - p) / ((1 - u) * p), k))
+    extra, ranks = set(), sorted(ranks)
+    while ranks:
+        for at, (_, k) in enumerate(ranks):
+            if own[k][1] > left:
+                break
+            extra.add(k)
+            left -= own[k][1]
+        else:
+            break
+        ranks = [(r, k) for r, k in ranks[at + 1 :] if own[k][1] <= left]
+    return [certain + ((k in extra) != out) for k in range(len(own))]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_against_a_draw_one_by_one(spark, seed):
+    random = np.random.default_rng(seed)
+    sizes = np.concatenate([random.integers(0, 40, 150), random.integers(100, 4000, 25)])
+    rows = [(int(k), [None, "a", "b", "c"][random.integers(4)], int(n)) for k, n in enumerate(sizes)]
+    rows += [(1000, "tiny", 1), (1001, "tiny", 3), (1002, "one", 900), (1003, "empty", 0)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    got = {r.doc_id: r for r in mixing.draw(sized, staging(spark, "t")).collect()}
+    assert len(got) == len(rows)
+    targets = brute_targets({s: sum(n for _, t, n in rows if t == s) for s in {s for _, s, _ in rows}})
+    for source in targets:
+        own = [(k, n) for k, s, n in rows if s == source]
+        assert [got[k].copies for k, _ in own] == brute_draw(own, got[own[0][0]].target), source
+
+
+def test_inclusion_grows_with_size_and_meets_the_words(spark):
+    """Over many seeds a document is drawn about as often as its probability says."""
+    rows = [(k, "a", 10 if k % 2 else 40) for k in range(60)] + [(100 + k, "b", 50) for k in range(10)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint").coalesce(1)
+    seen = [mixing.draw(sized, staging(spark, "t"), f"s{k}").where("source = 'a'").collect() for k in range(3)]
+    often = lambda n: np.mean([r.copies - min(x.copies for x in draw) for draw in seen for r in draw if r.size == n])
+    assert often(40) > 2.5 * often(10)
+
+
 def test_mixed_documents_are_as_many_as_decided(spark, odd):
     stage = staging(spark, "t")
     want = sorted((r.doc_id or 0, r.taken) for r in mixing.mix(odd, stage).collect() if r.copies and r.size)
