@@ -111,23 +111,22 @@ def limits(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
     return found.select(*keys, "measure", cut.cast("bigint").alias(name))
 
 
-def thresholds(sketch: DataFrame, bounded: bool = True) -> DataFrame:
+def thresholds(sketch: DataFrame) -> DataFrame:
     """One row for each language and source with a map of measure to the largest value that passes.
 
     A group of which more than a quarter is bad, or of a few rows, sets no limit of use by
-    itself. So with ``bounded`` its limits are at most those of its language and, for shares,
+    itself. So its limits are at most those of its language and, for shares,
     which do not depend on the language's words, of all rows; these come from the merged sketch.
     """
     keys = ["g_lang", "g_source"]
     own = limits(sketch, keys, "cut")
-    if bounded:
-        by_lang = limits(merge(sketch, ["g_lang"]), ["g_lang"], "lang_cut")
-        by_lang = by_lang.withColumnsRenamed({"g_lang": "l_lang", "measure": "l_measure"})
-        overall = limits(merge(sketch, []), [], "all_cut").withColumnRenamed("measure", "a_measure")
-        own = own.join(by_lang, _same(own, by_lang, {"g_lang": "l_lang", "measure": "l_measure"}))
-        own = own.join(overall, F.col("measure") == F.col("a_measure"))
-        shares = F.when(F.col("measure") != "word_length", F.col("all_cut"))
-        own = own.withColumn("cut", F.least("cut", "lang_cut", shares))
+    by_lang = limits(merge(sketch, ["g_lang"]), ["g_lang"], "lang_cut")
+    by_lang = by_lang.withColumnsRenamed({"g_lang": "l_lang", "measure": "l_measure"})
+    overall = limits(merge(sketch, []), [], "all_cut").withColumnRenamed("measure", "a_measure")
+    own = own.join(by_lang, _same(own, by_lang, {"g_lang": "l_lang", "measure": "l_measure"}))
+    own = own.join(overall, F.col("measure") == F.col("a_measure"))
+    shares = F.when(F.col("measure") != "word_length", F.col("all_cut"))
+    own = own.withColumn("cut", F.least("cut", "lang_cut", shares))
     return own.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("measure", "cut"))).alias("cuts"))
 
 
@@ -148,20 +147,20 @@ def _same(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:
     return condition
 
 
-def quality_table(docs: DataFrame, stage, bounded: bool = True) -> DataFrame:
+def quality_table(docs: DataFrame, stage) -> DataFrame:
     """doc_id, the counts, base_failed, failed_rules and kept, one row for each document.
 
     The counts are written once; sketch and filter read them without the texts.
     """
     counted = with_counts(docs.select("doc_id", "text", "lang", "source"))
     counts = stage.put(counted.select("doc_id", "lang", "source", "counts.*"), "counts")
-    return judged(counts.withColumn("values", measures()), group_cuts(counts, stage, bounded))
+    return judged(counts.withColumn("values", measures()), group_cuts(counts, stage))
 
 
-def group_cuts(counts: DataFrame, stage, bounded: bool = True) -> DataFrame:
+def group_cuts(counts: DataFrame, stage) -> DataFrame:
     values = counts.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.inline(measures()))
     sketch = stage.put(sketches(values, ["g_lang", "g_source"]), "sketches")
-    return stage.put(thresholds(sketch, bounded), "thresholds")
+    return stage.put(thresholds(sketch), "thresholds")
 
 
 def judged(rows: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -98,19 +98,30 @@ bucketed AS (
   SELECT *, (value >> greatest(length(bin(value)) - 5, 0)) << greatest(length(bin(value)) - 5, 0) AS bucket
   FROM measured),
 sketch AS (SELECT lang, source, name, bucket, count(*) AS n FROM bucketed GROUP BY ALL),
+levels AS (
+  SELECT 'own' AS level, * FROM sketch
+  UNION ALL SELECT 'lang', lang, NULL, name, bucket, sum(n) FROM sketch GROUP BY lang, name, bucket
+  UNION ALL SELECT 'all', NULL, NULL, name, bucket, sum(n) FROM sketch GROUP BY name, bucket),
 ranked AS (
-  SELECT *, sum(n) OVER (PARTITION BY lang, source, name ORDER BY bucket) AS upto,
-    sum(n) OVER (PARTITION BY lang, source, name) AS everything FROM sketch),
-cuts AS (
-  SELECT lang, source, name,
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, name ORDER BY bucket) AS upto,
+    sum(n) OVER (PARTITION BY level, lang, source, name) AS everything FROM levels),
+quarters AS (
+  SELECT level, lang, source, name,
     min(CASE WHEN upto >= everything * 0.5 THEN bucket END) AS q50,
     min(CASE WHEN upto >= everything * 0.75 THEN bucket END) AS q75
   FROM ranked GROUP BY ALL),
+limits AS (
+  SELECT level, lang, source, q.name, q50 + {quality_rules.SPREAD} * (q75 - q50) + slack AS cut
+  FROM quarters q JOIN (VALUES {_SLACKS}) s(name, slack) ON s.name = q.name),
+cuts AS (
+  SELECT o.lang, o.source, o.name, least(o.cut, l.cut, CASE WHEN o.name <> 'word_length' THEN a.cut END) AS cut
+  FROM limits o JOIN limits l ON o.level = 'own' AND l.level = 'lang' AND l.lang IS NOT DISTINCT FROM o.lang AND l.name = o.name
+    JOIN limits a ON a.level = 'all' AND a.name = o.name),
 over_ AS (
   SELECT m.r, string_agg(m.name, ',' ORDER BY m.name) AS failed
   FROM measured m JOIN cuts c ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source
-    AND m.name = c.name JOIN (VALUES {_SLACKS}) s(name, slack) ON s.name = m.name
-  WHERE m.value > q50 + {quality_rules.SPREAD} * (q75 - q50) + slack GROUP BY m.r),
+    AND m.name = c.name
+  WHERE m.value > c.cut GROUP BY m.r),
 based AS (
   SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -119,8 +130,7 @@ FROM based LEFT JOIN over_ ON over_.r = based.r
 """,
 )
 def quality_rules_table(spark, folder):
-    # The SQL sets each group's thresholds from its own rows alone.
-    return quality_rules.quality_table(table(spark, folder, "documents"), staging(spark, "quality"), bounded=False)
+    return quality_rules.quality_table(table(spark, folder, "documents"), staging(spark, "quality"))
 
 
 @query("op4_quality_classifier")
