@@ -9,6 +9,10 @@ nothing but a passage in common. The others form a group for each shared n-gram.
 hang together by members are one family, which is searched as one or group by group, whichever
 sends fewer copies of its sets.
 
+In this a class goes by 64 bits of its digest. Classes that share these are searched together, so a
+clash costs a search and loses no link; links and components go by the whole digest. What
+travels to a search is the text of one document of each class, which is packed better than its n-grams.
+
 In a search the sets are stored in a trie, in an order that puts what they share first, without
 what only one of them has and without sets that have too much of that. The trie is walked once for a block of sets: sets under one node share the overlap counted so far,
 and a subtree is left as soon as what remains of its sets and of the block's cannot bring the
@@ -49,6 +53,8 @@ BUCKET_TOKENS = 250_000
 BLOCK_CELLS, BLOCK_SETS = 32_000_000, 512
 FIRST_BLOCK = 64
 FILTER_BITS = 24
+SALTS = 32
+"""Tasks over which the classes of one family are spread where they meet what is known of it."""
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -419,18 +425,22 @@ def places(members: DataFrame, nodes: DataFrame) -> DataFrame:
     groups = groups.withColumn("parts", F.expr(f"1 + tokens DIV {PART_TOKENS}"))
     apart = groups.groupBy("family").agg(F.sum(F.col("n") * F.col("parts")).alias("sent_apart"))
     families = nodes.groupBy("family").agg(tokens, F.count(F.lit(1)).alias("n"))
-    families = families.withColumn("parts", F.expr(f"1 + tokens DIV {PART_TOKENS}")).join(apart, "family")
-    families = families.withColumn("at_once", F.col("n") * F.col("parts") <= F.col("sent_apart"))
-    one = nodes.join(families.where("at_once").select("family", "parts"), "family")
+    families = families.withColumn("parts", F.expr(f"1 + tokens DIV {PART_TOKENS}")).join(apart, "family", "left")
+    at_once = F.coalesce(F.col("n") * F.col("parts") <= F.col("sent_apart"), F.lit(True))
+    families = families.withColumn("at_once", at_once).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = lambda column: F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+    one = nodes.withColumn("salt", salt("node")).join(families.where("at_once").select("family", "salt", "parts"), ["family", "salt"])
     one = one.select(F.lit("family").alias("of"), F.col("family").alias("key"), "parts", "node")
-    many = own.join(groups.select("token", "parts"), "token").join(families.where("NOT at_once").select("family"), "family")
+    # All nodes of an n-gram are of one family, so the n-gram alone names a group.
+    split = groups.withColumn("salt", salt("token")).join(families.where("NOT at_once").select("family", "salt"), ["family", "salt"])
+    many = own.join(split.select("token", "parts"), "token")
     many = many.select(F.lit("group").alias("of"), F.col("token").alias("key"), "parts", "node")
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     pairs = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1),
         lambda k: F.struct(F.least(k, part).alias("x"), F.greatest(k, part).alias("y")),
     )
-    dealt = one.unionByName(many).withColumn("place", F.explode(pairs))
+    dealt = one.unionByName(many).distinct().withColumn("place", F.explode(pairs))
     return dealt.select("of", "key", "place.x", "place.y", "node")
 
 
@@ -443,57 +453,61 @@ def jaccard_classes(docs: DataFrame, stage, n: int = N, percent: int = PERCENT)
     seen = stage.put(outlines(source, n), "outlines")
     rows = seen.where("n_shingles IS NOT NULL").drop("token", "times")
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.first("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id")
+        F.first("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", "text_hash")).alias("shown")
     )
-    classes = stage.put(classes, "classes")
-    size = classes.agg(F.count(F.lit(1)), F.countDistinct("node"), F.sum("n_shingles")).first()
-    if size[0] != size[1]:
-        raise ArithmeticError("two different sets have the same 64-bit name")
+    classes, size = stage.put_measured(classes, "classes", tokens=F.sum("n_shingles"))
     known, rank = frequent_ngrams(seen.where("token IS NOT NULL").select("token", "times"))
-    buckets = 1 + int(size[2] or 0) * head_length(1000, percent) // 1000 // BUCKET_TOKENS
+    buckets = 1 + int(size["tokens"]) * head_length(1000, percent) // 1000 // BUCKET_TOKENS
     members = stage.put(shared_heads(source, known, rank, buckets, n, percent), "shared")
     smallest = F.ceil(F.col("n_shingles") * percent / 100)  # of what may link with the class
     needs = classes.select("node", smallest.alias("k")).select(
         "node", (1 + F.floor((F.col("k") - F.ceil(F.col("k") * percent / 100) + 1) / 2)).alias("need")
-    )
+    ).groupBy("node").agg(F.min("need").alias("need"))
     members = peel(members, needs, stage)
     families = components(members.select("least", "node"), stage, "least", "node", "-family")
-    families = families.select(F.col("node").alias("relative"), F.col("root").alias("family"))
-    nodes = classes.join(families, F.col("node") == F.col("relative")).select("node", "doc_id", "n_shingles", "family")
+    families = families.select("node", F.col("root").alias("family"))
+    clashes = classes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    alone = clashes.join(families, "node", "left_anti").select("node", F.col("node").alias("family"))
+    nodes = classes.join(families.unionByName(alone), "node").select("node", "shown", "n_shingles", "family")
     nodes = stage.put(nodes, "nodes")
-    placed = stage.put(places(members, nodes), "placed").withColumnRenamed("node", "placed")
+    # The places of a class meet its text as one array, so that no text is joined more than once.
+    placed = places(members, nodes).groupBy("node").agg(F.collect_list(F.struct("of", "key", "x", "y")).alias("places"))
+    placed = nodes.select("node", "shown.*").join(placed, "node")
+    placed = stage.put(placed.select(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), "places"), "placed")
 
     # A bit map of fixed size drops most texts that no search asks for; the join drops the rest.
-    wanted = bit_map(nodes.select("doc_id"))
+    wanted = bit_map(placed.select("p_hash"))
 
-    def whole(batches):
+    def asked(batches):
+        seen = set()  # rows that repeat leave a task once
         for batch in batches:
-            asked = wanted[bit_of(batch.column(0))]
-            texts = batch.column(1).filter(pa.array(asked)).to_pylist()
-            sets = [s for s in (shingles(t, n) for t in texts) if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((node_of(set_digest(s)) for s in sets), pa.int64()), pa.array((s.tobytes() for s in sets), pa.binary())],
-                names=["node", "set"],
-            )
-
-    sets = source.select("doc_id", "bytes").mapInArrow(whole, "node bigint, set binary").dropDuplicates(["node"])
-    placed = sets.join(placed, F.col("node") == F.col("placed")).select("of", "key", "x", "y", "node", "set")
+            keep = wanted[bit_of(batch.column(1))]
+            for k in np.flatnonzero(keep).tolist():
+                name = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
+                keep[k] = name not in seen
+                seen.add(name)
+            yield batch.filter(pa.array(keep))
+
+    texts = source.mapInArrow(asked, source.schema)
+    placed = texts.join(placed, F.col("text_hash").eqNullSafe(F.col("p_hash")) & F.col("doc_id").eqNullSafe(F.col("p_id")))
+    placed = placed.select("bytes", F.inline("places"))
     search_key = ["of", "key", "x", "y"]
     dealt = placed.repartition(*search_key).sortWithinPartitions(*search_key)
 
     def search(rows):
         for _, group in groupby(rows, key=lambda r: (r["of"], r["key"], r["x"], r["y"])):
-            nodes, found = [], []
+            found = {}
             for row in group:
-                nodes.append(row["node"])
-                found.append(np.frombuffer(row["set"], dtype=np.uint64))
-            if len(nodes) > 1:
-                yield from ((nodes[i], nodes[j]) for i, j in Trie(found, percent).forest())
+                tokens = shingles(row["bytes"], n)
+                found[set_digest(tokens)] = tokens
+            if len(found) > 1:
+                names = list(found)
+                yield from ((names[i], names[j]) for i, j in Trie(list(found.values()), percent).forest())
 
-    links = map_rows(dealt, search, "a bigint, b bigint")
+    links = map_rows(dealt, search, "a binary, b binary")
     roots = components(links, stage, name="-link").select(F.col("node").alias("linked"), "root")
-    named = classes.join(roots, F.col("node") == F.col("linked"), "left")
-    named = stage.put(named.select(F.col("digest").alias("of"), F.coalesce("root", "node").alias("root")), "named")
+    named = classes.join(roots, F.col("digest") == F.col("linked"), "left")
+    named = stage.put(named.select(F.col("digest").alias("of"), F.coalesce("root", "digest").alias("root")), "named")
     return rows.join(named, F.col("digest") == F.col("of"), "left").select("doc_id", "text_hash", "n_shingles", "digest", "root")
 
 

@@ -494,6 +494,22 @@ def test_components_by_brute_force(spark, odd, monkeypatch, part):
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute_components(rows)
 
 
+def test_classes_of_one_name_lose_no_link(spark, odd, monkeypatch):
+    """Names of two bits: every set shares its name with many others."""
+    monkeypatch.setattr(ngram_join, "node_of", lambda digest: None if digest is None else digest[0] % 4)
+    rows = [(r[0], r[1]) for r in ODD] + [(100 + k, t) for k, t in near_copies(2)] + [(500, "a b c d e"), (501, "A b  c d e")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = ngram_join.jaccard_join(df, staging(spark, "t")).collect()
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute_components(rows)
+
+
+def test_rows_that_repeat_reach_a_search_once_a_task(spark):
+    rows = [(1, "one two three four five six seven")] * 300 + [(2, "one two three four five six seven eight")] * 300
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id bigint, text string").repartition(3)
+    got = ngram_join.jaccard_join(df, staging(spark, "t"), percent=80).collect()
+    assert len(got) == 601 and {r.component_id for r in got} == {1}
+
+
 @pytest.mark.parametrize("seed", range(15))
 def test_trie_by_brute_force(seed, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_CELLS", [50, 5000, 10**7][seed % 3])
