@@ -75,6 +75,37 @@ def ready_steps(nodes: DataFrame, edges: DataFrame, completed: DataFrame) -> Dat
     return nodes.join(done, [G, "step_id"], "left_anti").join(waiting, [G, "step_id"], "left_anti")
 
 
+def met_dependencies(completed: DataFrame, edges: DataFrame) -> DataFrame:
+    """run_id, workflow_id, step_id, n_met: how many dependencies of a step a run has completed.
+
+    Counts of batches of different completions add up, so a stored table of them is brought up
+    to date by the completions that are new: ``add_met(stored, met_dependencies(new, edges))``.
+    """
+    done = completed.select("run_id", G, F.col("step_id").alias("src")).distinct()
+    return done.join(edges, [G, "src"]).groupBy("run_id", G, F.col("dst").alias("step_id")).agg(F.count(F.lit(1)).alias("n_met"))
+
+
+def add_met(stored: DataFrame, new: DataFrame) -> DataFrame:
+    return stored.unionByName(new).groupBy("run_id", G, "step_id").agg(F.sum("n_met").alias("n_met"))
+
+
+def ready_by_run(runs: DataFrame, nodes: DataFrame, edges: DataFrame, completed: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """run_id, workflow_id and step_id of what each run can start: not completed, all dependencies completed.
+
+    ``runs``: run_id, workflow_id. ``completed``: run_id, workflow_id, step_id; rows may repeat, and those
+    of other runs count for nothing. ``met`` holds counts kept by ``add_met``; without it all
+    completions are counted. Only roots and steps with a completed dependency are looked at. A
+    dependency that nobody defines is never completed.
+    """
+    runs = runs.select("run_id", G).distinct()
+    met = met_dependencies(completed, edges) if met is None else met
+    needs = edges.groupBy(G, F.col("dst").alias("step_id")).agg(F.count(F.lit(1)).alias("n_deps"))
+    full = met.join(needs, [G, "step_id"]).where("n_met = n_deps").join(runs, ["run_id", G], "left_semi")
+    starts = runs.join(root_steps(nodes, edges), G).select("run_id", G, "step_id")
+    done = completed.select("run_id", G, "step_id")
+    return starts.unionByName(full.select("run_id", G, "step_id")).join(done, ["run_id", G, "step_id"], "left_anti")
+
+
 # --- waves and order ---------------------------------------------------------
 
 
@@ -552,6 +583,44 @@ def undeclared_references(steps: DataFrame, edges: DataFrame, text: str = "input
 # --- report ----------------------------------------------------------------------
 
 
+# Kinds and texts of faults.
+DUPLICATE, UNDEFINED, CYCLE = "DuplicateStepIds", "InvalidGraphError", "CycleDetectedError"
+DUPLICATE_TEXT = "Duplicate step IDs found in workflow: ['%s']"
+UNDEFINED_TEXT = "Step '%s' depends on undefined step '%s'."
+SELF_TEXT = "Step '%s' directly depends on itself (cycle: %s -> %s)."
+CYCLE_TEXT = "Cycle detected in workflow graph: "
+
+
+def graph_faults(steps: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """All faults of all graphs: workflow_id, error_rank, error_type, step_id, page, message.
+
+    Rank 0 are steps defined twice, 1 undefined and self dependencies, 2 the cycle that a search
+    meets first, with its path; a path of more than ``page_rows`` steps goes on in further
+    pages. Everything else has the one page 0.
+    """
+    stage = Staging(steps.sparkSession, "faults")
+    nodes, edges = stage.put(graph_nodes(steps), "nodes"), stage.put(graph_edges(steps), "edges")
+    step, other = F.col("dst"), F.col("src")
+
+    def rows(df: DataFrame, rank: int, kind: str, step_id, message, page=None) -> DataFrame:
+        page = F.lit(0).cast("bigint") if page is None else page
+        return df.select(
+            G, F.lit(rank).alias("error_rank"), F.lit(kind).alias("error_type"), step_id.alias("step_id"),
+            page.alias("page"), message.alias("message"),
+        )
+
+    path = first_cycle(nodes, edges).withColumn("page", F.expr(f"seq DIV {page_rows}"))
+    pages = path.groupBy(G, "page").agg(F.array_sort(F.collect_list(F.struct("seq", "step_id"))).alias("path"))
+    text = F.concat(F.when(F.col("page") == 0, CYCLE_TEXT).otherwise(" -> "), F.array_join("path.step_id", " -> "))
+    found = [
+        rows(duplicate_steps(steps), 0, DUPLICATE, F.col("step_id"), F.format_string(DUPLICATE_TEXT, "step_id")),
+        rows(undefined_dependencies(nodes, edges), 1, UNDEFINED, step, F.format_string(UNDEFINED_TEXT, step, other)),
+        rows(self_dependencies(edges), 1, CYCLE, step, F.format_string(SELF_TEXT, step, step, step)),
+        rows(pages, 2, CYCLE, F.col("path")[0]["step_id"], text, F.col("page")),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def validation_report(steps: DataFrame) -> DataFrame:
     """One row per graph: counts, whether it is valid and the first kind of error.
 

@@ -142,6 +142,28 @@ def graph_ready(spark, folder):
     return Gr.ready_steps(*_part_graph(spark, folder), completed)
 
 
+@query(
+    "graph_ready_by_run",
+    PART_SQL + """, run AS (SELECT 'run_' || k AS run_id, 12 * k AS upto FROM (VALUES (0), (1), (2), (3)) v(k)),
+    done AS (SELECT run_id, CAST(p_partkey AS VARCHAR) AS step_id FROM part JOIN run ON p_size <= upto)
+    SELECT r.run_id, n.workflow_id, n.step_id FROM run r CROSS JOIN node n
+    ANTI JOIN done d ON r.run_id = d.run_id AND n.step_id = d.step_id
+    ANTI JOIN (SELECT q.run_id, e.dst FROM run q CROSS JOIN edge e ANTI JOIN done d ON q.run_id = d.run_id AND e.src = d.step_id) w
+      ON r.run_id = w.run_id AND n.step_id = w.dst
+    """,
+)
+def graph_ready_by_run(spark, folder):
+    """Four runs of one graph; the second half of what they complete is added to kept counts."""
+    nodes, edges = _part_graph(spark, folder)
+    sizes = table(spark, folder, "part").select("p_size", F.col("p_partkey").cast("string").alias("step_id"))
+    runs = F.filter(F.sequence(F.lit(1), F.lit(3)), lambda k: F.col("p_size") <= 12 * k)
+    done = sizes.select(F.explode(runs).alias("k"), "p_size", "step_id")
+    done = done.select(F.concat(F.lit("run_"), F.col("k").cast("string")).alias("run_id"), F.lit("parts").alias(G), "step_id", "p_size")
+    met = [Gr.met_dependencies(done.where(f"p_size % 2 = {k}"), edges) for k in (0, 1)]
+    all_runs = spark.range(4).select(F.concat(F.lit("run_"), F.col("id").cast("string")).alias("run_id"), F.lit("parts").alias(G))
+    return Gr.ready_by_run(all_runs, nodes, edges, done, Gr.add_met(*met))
+
+
 # A step's key is the list of ids along its latest dependencies, one per wave;
 # comparing such lists compares the steps' places in a first-in-first-out order.
 _ORDER_SQL = """,
@@ -251,9 +273,7 @@ def graph_components(spark, folder):
     return Gr.cycle_components(*_brand_graphs(spark, folder))
 
 
-@query(
-    "graph_first_cycle",
-    BRAND_SQL + """, live AS (
+_RING_SQL = """, live AS (
       SELECT workflow_id, step_id FROM looped
       UNION SELECT r.workflow_id, r.a FROM reach r JOIN looped l ON r.workflow_id = l.workflow_id AND r.z = l.step_id),
     hop AS (
@@ -266,13 +286,36 @@ def graph_components(spark, folder):
       SELECT w.workflow_id, list_append(w.path, h.dst), list_contains(w.path, h.dst) FROM walk w
       JOIN hop h ON w.workflow_id = h.workflow_id AND w.path[-1] = h.src WHERE NOT w.met),
     ring AS (SELECT workflow_id, path[list_position(path, path[-1]):] AS path FROM walk WHERE met)
-    SELECT workflow_id, unnest(range(len(path))) AS seq, unnest(path) AS step_id FROM ring
+"""
+
+
+@query(
+    "graph_first_cycle",
+    BRAND_SQL + _RING_SQL + """SELECT workflow_id, unnest(range(len(path))) AS seq, unnest(path) AS step_id FROM ring
     """,
 )
 def graph_first_cycle(spark, folder):
     return Gr.first_cycle(*_brand_graphs(spark, folder))
 
 
+@query(
+    "graph_faults",
+    BRAND_SQL + _RING_SQL + """
+    SELECT workflow_id, 0 AS error_rank, 'DuplicateStepIds' AS error_type, step_id, CAST(0 AS BIGINT) AS page,
+      'Duplicate step IDs found in workflow: [''' || step_id || ''']' AS message
+    FROM step GROUP BY workflow_id, step_id HAVING count(*) > 1
+    UNION ALL SELECT e.workflow_id, 1, 'InvalidGraphError', dst, 0, 'Step ''' || dst || ''' depends on undefined step ''' || src || '''.'
+    FROM edge e ANTI JOIN node n ON e.workflow_id = n.workflow_id AND e.src = n.step_id
+    UNION ALL SELECT workflow_id, 1, 'CycleDetectedError', dst, 0,
+      'Step ''' || dst || ''' directly depends on itself (cycle: ' || dst || ' -> ' || dst || ').' FROM edge WHERE src = dst
+    UNION ALL SELECT workflow_id, 2, 'CycleDetectedError', path[1], 0,
+      'Cycle detected in workflow graph: ' || array_to_string(path, ' -> ') FROM ring
+    """,
+)
+def graph_faults(spark, folder):
+    return Gr.graph_faults(brand_steps(spark, folder))
+
+
 @query(
     "graph_validation_report",
     BRAND_SQL + """, bad AS (

@@ -69,6 +69,33 @@ def test_lookups(spark):
     assert {r.step_id for r in Gr.ready_steps(nodes, edges, done).collect()} == {"branch_b", "free"}
 
 
+def test_ready_steps_of_each_run(spark):
+    nodes, edges = parts(steps(spark, diamond=FIXTURES["diamond"], undefined=FIXTURES["undefined"]))
+    runs = spark.createDataFrame([("r1", "diamond"), ("r1", "diamond"), ("r2", "diamond"), ("r3", "undefined")], "run_id string, workflow_id string")
+    rows = [("r1", "start"), ("r1", "start"), ("r1", "branch_a"), ("r9", "start"), ("r9", "branch_a"), ("r9", "branch_b")]
+    done = spark.createDataFrame([(r, "diamond", s) for r, s in rows], "run_id string, workflow_id string, step_id string")
+    want = [("r1", "branch_b"), ("r2", "start"), ("r3", "free")]
+    ready = lambda met=None: sorted((r.run_id, r.step_id) for r in Gr.ready_by_run(runs, nodes, edges, done, met).collect())
+    assert ready() == want
+    first, second = (Gr.met_dependencies(done.where(f"step_id {sign} 'start'"), edges) for sign in ("=", "<>"))
+    assert ready(Gr.add_met(first, second)) == want
+    assert Gr.ready_by_run(runs.limit(0), nodes, edges, done).count() == 0
+
+
+def test_faults_name_their_steps(spark):
+    def found(page_rows):
+        return sorted((r.workflow_id, r.error_rank, r.error_type, r.page, r.message) for r in Gr.graph_faults(steps(spark, **FIXTURES), page_rows).collect())
+
+    got = found(1000)
+    assert [g[4].count("directly depends on itself (cycle: ") for g in got if g[0] == "self_loop"] == [1]
+    assert [g[1:4] for g in got if g[0] == "twice"] == [(0, "DuplicateStepIds", 0)]
+    assert ("undefined", 1, "InvalidGraphError", 0, "Step 'step_1' depends on undefined step 'non_existent_step'.") in got
+    cycles = {g[0]: g[4] for g in got if g[1] == 2}
+    assert set(cycles) == {"two_cycle", "tail"} and all(c.startswith(Gr.CYCLE_TEXT) for c in cycles.values())
+    paged = [g[4] for g in found(2) if g[0] == "two_cycle"]
+    assert len(paged) == 2 and "".join(paged) == cycles["two_cycle"]
+
+
 def fifo(defs):
     """First-in-first-out order with sorted ties; None where there is a cycle."""
     deps = {s: set(d) for s, d in defs}
