@@ -81,10 +81,10 @@ def filter_structs(items: Column, key: str, value) -> Column:
         seen = F.transform(
             given["items"], lambda item: F.struct(item.alias("item"), _printed(item[key]).alias("text"))
         )
-        equal = F.filter(seen, lambda s: s["item"].isNotNull() & (comparable(s["text"]) == given["wanted"]))
+        equal = F.filter(seen, lambda s: s["item"].isNotNull() & _same_value(s["text"], given["wanted"]))
         return F.transform(equal, lambda s: s["item"])
 
-    return bind(F.struct(items.alias("items"), bind(_printed(value), comparable).alias("wanted")), keep)
+    return bind(F.struct(items.alias("items"), bind(_printed(value), _sought).alias("wanted")), keep)
 
 
 def _printed(value: Column) -> Column:
@@ -110,13 +110,13 @@ def filter_items(items: Column, key: str, value: Column) -> Column:
         )
         equal = F.filter(
             seen,
-            lambda s: F.when(s["text"].isNotNull(), comparable(s["text"]) == given["wanted"]).otherwise(
-                (given["wanted"] == "null") & _is_object(s["item"])
+            lambda s: F.when(s["text"].isNotNull(), _same_value(s["text"], given["wanted"])).otherwise(
+                (given["wanted"]["text"] == "null") & _is_object(s["item"])
             ),
         )
         return F.transform(equal, lambda s: s["item"])
 
-    wanted = bind(F.coalesce(F.to_json(value), F.lit("null")), comparable)
+    wanted = bind(F.coalesce(F.to_json(value), F.lit("null")), _sought)
     kept = bind(F.struct(listed.alias("listed"), wanted.alias("wanted")), keep)
     return F.coalesce(F.to_variant_object(kept), items)
 
@@ -130,17 +130,40 @@ def comparable(text: Column) -> Column:
     whole = F.regexp_extract(text, r"^-?([0-9]+)", 1)
     part = F.regexp_extract(text, r"\.([0-9]+)", 1)
     power = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    digits = F.regexp_replace(F.concat(whole, part), "^0+", "")
-    short = F.regexp_replace(digits, "0+$", "")
-    power = power - F.length(part) + F.length(digits) - F.length(short)
     sign = F.when(text.startswith("-"), "-").otherwise("")
+
+    def written(number: Column) -> Column:
+        short = F.rtrim(number["digits"], F.lit("0"))
+        zeros = F.length(number["digits"]) - F.length(short)
+        exponent = power - F.length(number["part"]) + zeros
+        return F.when(short == "", "0").otherwise(F.concat(sign, short, F.lit("e"), exponent.cast("string")))
+
+    number = bind(part, lambda p: F.struct(F.ltrim(F.concat(whole, p), F.lit("0")).alias("digits"), p.alias("part")))
     return (
         F.when(text.startswith('"'), text)
         .when(text == "true", "1e0")
         .when(text == "false", "0")
+        .when(text.rlike("^-?[1-9](?:[0-9]*[1-9])?$"), F.concat(text, F.lit("e0")))
         .when(~text.rlike("^-?[0-9]"), text)
-        .when(short == "", "0")
-        .otherwise(F.concat(sign, short, F.lit("e"), power.cast("string")))
+        .otherwise(bind(number, written))
+    )
+
+
+#: JSON texts that no other text of this form equals: texts, arrays, objects, null and whole numbers.
+_SETTLED = r'^(?:["\[{n]|-?[1-9][0-9]*$|0$)'
+
+
+def _sought(text: Column) -> Column:
+    """What ``_same_value`` needs of the value that all items are compared with."""
+    return F.struct(text.alias("text"), text.rlike(_SETTLED).alias("settled"), comparable(text).alias("comparable"))
+
+
+def _same_value(text: Column, sought: Column) -> Column:
+    """Equal by ``comparable``, which is worked out only where the texts leave it open."""
+    return (
+        F.when(text == sought["text"], True)
+        .when(sought["settled"] & text.rlike(_SETTLED), False)
+        .otherwise(bind(text, comparable) == sought["comparable"])
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from heddlework.functions.binding import with_once
 from heddlework.functions.fingerprint import input_key, row_key
 from heddlework.functions.paths import extract, path_error, segments_col
 from heddlework.functions.templates import render_documents as fill_documents
@@ -354,6 +355,8 @@ def filter_items(spark, folder):
     def kept(key: str, value) -> F.Column:
         return F.to_json(P.filter_items(items, key, F.try_parse_json(value)))
 
+    e = with_once(e, {"k": k, "items": items})
+    k, items = F.col("k"), F.col("items")
     return e.select(
         "event_id",
         kept("k", k).alias("by_number"),
