@@ -9,6 +9,7 @@ from heddlework.operators.waits import match_waits, waits_from_steps
 from heddlework.plans.catalog import micros, query, table
 from heddlework.plans.runs import _CACHED_SQL, _LOG_SQL, _square, shape_log, shape_requests
 from heddlework.session import Staging
+from heddlework.sources.callbacks import ingest_callbacks, stream_callbacks, write_callbacks
 from heddlework.streaming.cached import CachedBatches
 from heddlework.streaming.runstate import live_runs
 from heddlework.streaming.waits import STATE_STORE, WaitBatches, match_stream, tagged
@@ -29,11 +30,11 @@ def _name(column: str):
     return F.lpad(F.col(column).cast("string"), 12, "0")
 
 
-def _waits(events):
+def _waits(events, unit=3600):
     hours = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
     return events.filter("event_type = 'signup'").select(
         _name("event_id").alias("wait_id"), F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"),
-        F.lit("s").alias("step_id"), F.col("ts").alias("started_at"), (hours * 3600).alias("timeout_seconds"),
+        F.lit("s").alias("step_id"), F.col("ts").alias("started_at"), (hours * unit).alias("timeout_seconds"),
     )
 
 
@@ -123,6 +124,65 @@ def wait_stream(spark, folder):
     return _shown(spark.read.schema(matched.schema).parquet(f"{stage.root}/out"))
 
 
+# Callbacks of the first twelve minutes of an hour come after the watermark has passed them.
+_LATE_SQL = _WAIT_SQL.replace("to_hours", "to_days").split(",\nwon AS")[0] + """,
+mark AS (SELECT epoch_ms(epoch_ms(max(ts)) - 3600000) AS at FROM events WHERE event_type IN ('signup', 'purchase')),
+known AS (SELECT owned.*, mark.at AS mark, ts <= mark.at AND minute(ts) < 12 AS late FROM owned, mark WHERE ts <= mark.at),
+on_time AS (SELECT * FROM known WHERE NOT late AND ts <= ends QUALIFY row_number() OVER (PARTITION BY wait_id ORDER BY ts, event_id) = 1),
+belated AS (
+  SELECT * FROM known WHERE late AND ts <= ends AND ends > mark AND wait_id NOT IN (SELECT wait_id FROM on_time)
+  QUALIFY row_number() OVER (PARTITION BY wait_id ORDER BY ts, event_id) = 1),
+won AS (SELECT event_id, wait_id FROM on_time UNION ALL SELECT event_id, wait_id FROM belated)
+SELECT 'run_' || w.user_id AS run_id, 'FAILED' AS outcome, lpad(CAST(w.event_id AS VARCHAR), 12, '0') AS row_id, CAST(NULL AS VARCHAR) AS payload
+FROM w ANTI JOIN won ON won.wait_id = w.event_id, mark WHERE w.ends <= mark.at
+UNION ALL
+SELECT 'run_' || c.user_id, CASE WHEN won.event_id IS NOT NULL THEN 'COMPLETED' ELSE 'REJECTED' END, lpad(CAST(c.event_id AS VARCHAR), 12, '0'), c.props
+FROM known c LEFT JOIN won ON won.event_id = c.event_id
+"""
+
+
+@query("wait_late", _LATE_SQL)
+def wait_late(spark, folder):
+    """Two deliveries of callback files; the second is behind the watermark of the first."""
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+    events = table(spark, folder, "events")
+    newest = F.max(F.date_trunc("millisecond", "ts"))
+    mark = events.filter("event_type IN ('signup', 'purchase')").agg(newest).first()[0]
+    late = (F.col("ts") <= F.lit(mark) - F.expr("INTERVAL 1 HOUR")) & (F.minute("ts") < 12) if mark else F.lit(False)
+    stage = Staging(spark, "wait-late")
+    for delivery in (~late, late):
+        write_callbacks(_callbacks(events).filter(delivery), f"{stage.root}/calls")
+        calls = stream_callbacks(spark, f"{stage.root}/calls", 1_000_000)
+        matched = match_stream(_waits(stream_events(spark, folder), 86_400), calls, "1 hour", parts=4)
+        _run(matched.writeStream.format("parquet").option("path", f"{stage.root}/out"), stage, "out")
+    return _shown(spark.read.schema(matched.schema).parquet(f"{stage.root}/out"))
+
+
+@query(
+    "ingest_callbacks",
+    """SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS event, CASE WHEN event_type <> 'click' THEN epoch_us(ts) END AS at_us,
+    CASE event_type WHEN 'click' THEN NULL WHEN 'view' THEN '[1,2]' ELSE props END AS payload,
+    CASE event_type WHEN 'click' THEN 'unreadable' WHEN 'view' THEN 'missing_run_id' ELSE 'accepted' END AS outcome FROM events""",
+)
+def ingested(spark, folder):
+    """Callback files written from all events: clicks as broken lines, views without a run."""
+    kind, stage = F.col("event_type"), Staging(spark, "ingest")
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    run = F.when(kind == "view", "").otherwise(F.concat(F.lit('"run_id":"run_'), F.col("user_id").cast("string"), F.lit('",')))
+    payload = F.when(kind == "view", "[1,2]").otherwise(F.col("props"))
+    line = F.concat(
+        F.lit('{"callback_id":"'), _name("event_id"), F.lit('",'), run, F.lit('"step_id":"s","ts":"'), at, F.lit('","payload":'), payload, F.lit("}")
+    )
+    broken = F.concat(F.lit('{"callback_id":"'), _name("event_id"))
+    events = table(spark, folder, "events")
+    events.select(F.when(kind == "click", broken).otherwise(line)).write.text(f"{stage.root}/calls")
+    found = ingest_callbacks(spark, f"{stage.root}/calls")
+    accepted = found.accepted.select(F.col("callback_id").alias("event"), micros("ts").alias("at_us"), "payload", F.lit("accepted").alias("outcome"))
+    named = F.coalesce("callback_id", F.right("line", F.lit(12)))
+    return accepted.unionByName(found.rejects.select(named.alias("event"), micros("ts").alias("at_us"), "payload", F.col("reason").alias("outcome")))
+
+
 @query("wait_batches", _STREAM_SQL.replace("epoch_ms(epoch_ms(max(ts)) - {delay})", "max(ts) - to_hours(1)"))
 def wait_batches(spark, folder):
     e = stream_events(spark, folder)

@@ -30,7 +30,12 @@ STATE_STORE = {
 OUTCOMES = (
     "run_id string, step_id string, outcome string, wait_id string, callback_id string, at_us long, payload string"
 )
+#: What the first of two steps hands to the second: waits, candidates and rejected callbacks.
+CANDIDATES = (
+    "run_id string, step_id string, part int, kind string, row_id string, at_us long, ends_us long, payload string"
+)
 _CHUNK = 5_000
+_WHOLE = -1
 
 
 def tagged(waits: DataFrame, callbacks: DataFrame) -> DataFrame:
@@ -49,12 +54,20 @@ def tagged(waits: DataFrame, callbacks: DataFrame) -> DataFrame:
 
 
 class WaitProcessor(StatefulProcessor):
-    """State of one (run_id, step_id): its waits and the callbacks not yet decided.
+    """State of one (run_id, step_id, part): waits and the callbacks not yet decided.
+
+    Callbacks lie in the state store until the watermark has passed them. They are read
+    as a stream, decided and removed one by one, so neither a batch nor the callbacks of
+    a key have to fit into the worker's memory; the waits of one key do.
 
-    Callbacks lie in the state store until the watermark has passed them, so
-    neither a batch nor a key has to fit into the worker's memory.
+    With ``settles`` the rows are outcomes. Without, the key holds one part of the
+    callbacks and all waits: the first callback of this part that a wait takes is handed
+    on as a candidate, and what can no longer win is handed on as rejected.
     """
 
+    def __init__(self, settles: bool = True):
+        self._settles = settles
+
     def init(self, handle) -> None:
         self._handle = handle
         self._waits = handle.getMapState("waits", "wait_id string", "began long, ends long, done boolean")
@@ -62,19 +75,26 @@ class WaitProcessor(StatefulProcessor):
         self._next = handle.getValueState("next_timer", "at_ms long")
 
     def handleInputRows(self, key, rows, timerValues):
-        due = []
-        for part in rows:
-            for row in part.itertuples(index=False):
+        due = None
+        for batch in rows:
+            out = []
+            for row in batch.itertuples(index=False):
+                at = int(row.at_us)
+                if row.kind == "reject":
+                    out.append(self._rejected(key, row.row_id, at, row.payload))
+                    continue
                 if row.kind == "wait":
-                    ends = int(row.at_us) + int(row.timeout_seconds) * 1_000_000
-                    self._waits.updateValue((row.row_id,), (int(row.at_us), ends, False))
-                    due.append(ends)
+                    ends = int(row.ends_us)
+                    self._waits.updateValue((row.row_id,), (at, ends, False))
+                    if not self._settles and key[2] == 0:
+                        out.append((*key[:2], _WHOLE, "wait", row.row_id, at, ends, None))
+                    at = ends
                 else:
-                    self._callbacks.updateValue((row.row_id,), (int(row.at_us), row.payload))
-                    due.append(int(row.at_us))
-            due = [min(due)] if due else []
+                    self._callbacks.updateValue((row.row_id,), (at, row.payload))
+                due = at if due is None else min(due, at)
+            if out:
+                yield self._frame(out)
         self._set_timer(due)
-        return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs() * 1000
@@ -86,79 +106,119 @@ class WaitProcessor(StatefulProcessor):
             held = bisect_right(begins, at) - 1
             return waits[held] if held >= 0 and at <= waits[held][2] and not waits[held][3] else None
 
-        first = {}
+        first, due = {}, None
         for (callback_id,), (at, _) in self._callbacks.iterator():
-            wait = taker(at) if at <= now else None
+            if at > now:
+                due = at if due is None else min(due, at)
+                continue
+            wait = taker(at)
             if wait and (at, callback_id) < first.get(wait[1], (at + 1, "")):
                 first[wait[1]] = (at, callback_id)
 
-        out, gone, due = [], [], []
+        out = []
         for (callback_id,), (at, payload) in self._callbacks.iterator():
             if at > now:
-                due.append(at)
-                due = [min(due)]
                 continue
             wait = taker(at)
-            won = wait is not None and first[wait[1]] == (at, callback_id)
-            out.append((*key, "COMPLETED" if won else "REJECTED", wait[1] if won else None, callback_id, at, payload))
-            gone.append(callback_id)
+            if wait and first[wait[1]] == (at, callback_id):
+                out.append(self._taken(key, wait[1], callback_id, at, payload))
+            else:
+                out.append(self._rejected(key, callback_id, at, payload))
+            # The iterator reads the state as it was when it began.
+            self._callbacks.removeKey((callback_id,))
             if len(out) >= _CHUNK:
-                yield _frame(out)
+                yield self._frame(out)
                 out = []
-        for callback_id in gone:
-            self._callbacks.removeKey((callback_id,))
 
         still_open = False
         for began, wait_id, ends, done in waits:
             if wait_id in first:
                 self._waits.updateValue((wait_id,), (began, ends, True))
             elif not done and ends <= now:
-                out.append((*key, "FAILED", wait_id, None, ends, None))
+                if self._settles:
+                    out.append((*key[:2], "FAILED", wait_id, None, ends, None))
                 self._waits.updateValue((wait_id,), (began, ends, True))
             elif not done:
-                due.append(ends)
+                due = ends if due is None else min(due, ends)
                 still_open = True
         # A finished wait hides older ones, so it stays while any is open.
         if waits and not still_open:
             self._waits.clear()
         self._set_timer(due)
         if out:
-            yield _frame(out)
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
 
+    def _taken(self, key, wait_id, callback_id, at, payload):
+        if self._settles:
+            return (*key[:2], "COMPLETED", wait_id, callback_id, at, payload)
+        return (*key[:2], _WHOLE, "callback", callback_id, at, at, payload)
+
+    def _rejected(self, key, callback_id, at, payload):
+        if self._settles:
+            return (*key[:2], "REJECTED", None, callback_id, at, payload)
+        return (*key, "reject", callback_id, at, at, payload)
+
+    def _frame(self, rows) -> pd.DataFrame:
+        fields = OUTCOMES if self._settles else CANDIDATES
+        return pd.DataFrame(rows, columns=[field.split()[0] for field in fields.split(",")])
+
     def _set_timer(self, due) -> None:
-        if not due:
+        if due is None:
             return
-        at_ms = -(-min(due) // 1000)
+        at_ms = -(-due // 1000)
         held = self._next.get()
         if held is None or at_ms < held[0]:
             self._handle.registerTimer(at_ms)
             self._next.update((at_ms,))
 
 
-def _frame(rows) -> pd.DataFrame:
-    columns = ["run_id", "step_id", "outcome", "wait_id", "callback_id", "at_us", "payload"]
-    return pd.DataFrame(rows, columns=columns)
-
-
-def match_stream(waits: DataFrame, callbacks: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def match_stream(waits: DataFrame, callbacks: DataFrame, delay: str = "10 minutes", parts: int = 1) -> DataFrame:
     """Outcome rows (COMPLETED, REJECTED, FAILED) as the watermark passes them.
 
-    Needs the RocksDB state store (``STATE_STORE``). Rows later than ``delay`` are
-    dropped by the watermark. One key is handled by one task; where a key may be
-    very large use ``WaitBatches``.
+    Every callback is answered once each time it is delivered. One that comes more than
+    ``delay`` late is not dropped: it completes its wait if that is still open, and is
+    REJECTED otherwise. A wait that comes late takes what is undecided, or fails.
+
+    ``parts`` above 1 spreads the callbacks of each key by their id over that many keys
+    of a first stateful step, which holds the waits once per part. It hands on at most one
+    candidate per wait and part; the second step decides between these, so a key with a
+    large share of all callbacks is not one task. Needs the RocksDB state store
+    (``STATE_STORE``).
     """
-    # The driver-side state worker does not see shipped packages.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    rows = tagged(waits, callbacks).withWatermark("at", delay).withColumn("at_us", F.unix_micros("at"))
-    matched = rows.groupBy(*KEY).transformWithStateInPandas(
-        WaitProcessor(), outputStructType=OUTCOMES, outputMode="append", timeMode="eventTime"
+    rows = tagged(waits, callbacks).withWatermark("at", delay)
+    micros = F.unix_micros("at")
+    rows = rows.withColumn("at_us", micros).withColumn(
+        "ends_us", micros + F.coalesce("timeout_seconds", F.lit(0)) * 1_000_000
     )
+    # Without the column that bears the watermark no step drops late rows.
+    columns = [*KEY, "part", "kind", "row_id", "at_us", "ends_us", "payload"]
+    if parts > 1:
+        every = F.sequence(F.lit(0), F.lit(parts - 1))
+        own = F.array(F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int"))
+        part = F.explode(F.when(F.col("kind") == "wait", every).otherwise(own))
+        rows = rows.withColumn("part", part).select(*columns)
+        rows = _stateful(rows, WaitProcessor(settles=False), CANDIDATES)
+    else:
+        rows = rows.withColumn("part", F.lit(_WHOLE)).select(*columns)
+    matched = _stateful(rows, WaitProcessor(), OUTCOMES)
     return matched.select(*matched.columns[:5], F.timestamp_micros("at_us").alias("at"), "payload")
 
 
+def _stateful(rows: DataFrame, processor: WaitProcessor, fields: str) -> DataFrame:
+    # The driver-side state worker does not see shipped packages.
+    module = sys.modules[__name__]
+    cloudpickle.register_pickle_by_value(module)
+    try:
+        return rows.groupBy(*KEY, "part").transformWithStateInPandas(
+            processor, outputStructType=fields, outputMode="append", timeMode="eventTime"
+        )
+    finally:
+        cloudpickle.unregister_pickle_by_value(module)
+
+
 class WaitBatches:
     """The same as a ``foreachBatch`` sink, for keys of any size.
 

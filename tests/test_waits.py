@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from heddlework import schemas as S
 from heddlework.operators.runlog import fold_runs
 from heddlework.operators.waits import match_waits, waits_from_steps
-from heddlework.sources.callbacks import read_callbacks, stream_callbacks, stream_waits
+from heddlework.sources.callbacks import ingest_callbacks, read_callbacks, stream_callbacks, stream_waits
 from heddlework.streaming.cached import CachedBatches
 from heddlework.streaming.runstate import live_runs
 from heddlework.streaming.waits import WaitBatches, match_stream, tagged
@@ -118,14 +118,75 @@ def finish(writer, path):
     writer.option("checkpointLocation", str(path)).trigger(availableNow=True).start().awaitTermination()
 
 
-def test_stateful_stream(spark, files, tmp_path):
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stateful_stream(spark, files, tmp_path, parts):
     # A wide delay: the two sources are read file by file, not in step with each other.
     streams, want = files
-    matched = match_stream(*streams, delay="30 minutes")
+    matched = match_stream(*streams, delay="30 minutes", parts=parts)
     finish(matched.writeStream.format("parquet").option("path", str(tmp_path / "out")), tmp_path / "ck")
     assert shown(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(want)
 
 
+def late_case(spark, folder, parts):
+    """Rows of a first delivery move the watermark to 3,000 s; the second comes behind it."""
+    first = [("w_open", "a", 0, 9_000), ("w_over", "b", 0, 10), ("w_done", "c", 0, 9_000)]
+    calls = [("on_time", "c", 5, "p"), ("tick", "clock", 3_600, "")]
+    late = [("late_wins", "a", 50, "p"), ("late_loses", "a", 60, "p"), ("late_over", "b", 5, "p"), ("late_done", "c", 2, "p"),
+            ("late_nobody", "d", 1, "p"), ("tock", "clock", 12_000, "")]
+    waits, calls_in = folder / "waits", folder / "calls"
+    write_files(waits, [dict(wait_id=i, run_id=r, step_id="s", started_at=at(t), timeout_seconds=n) for i, r, t, n in first], 1, "started_at")
+    out = []
+    calls_in.mkdir()
+    for k, rows in enumerate((calls, late)):
+        lines = [json.dumps(dict(callback_id=i, run_id=r, step_id="s", ts=at(t), payload=p), default=str) for i, r, t, p in rows]
+        (calls_in / f"{k}.json").write_text("\n".join(lines))
+        matched = match_stream(stream_waits(spark, str(waits)), stream_callbacks(spark, str(calls_in)), "10 minutes", parts)
+        finish(matched.writeStream.format("parquet").option("path", str(folder / "out")), folder / "ck")
+        out.append(shown(spark.read.schema(matched.schema).parquet(str(folder / "out")).collect()))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_late_callbacks_are_answered(spark, tmp_path, parts):
+    before, after = late_case(spark, tmp_path, parts)
+    assert before == [("COMPLETED", "on_time"), ("FAILED", "w_over")]
+    assert after == sorted(before + [("COMPLETED", "late_wins"), ("REJECTED", "late_loses"), ("REJECTED", "late_over"),
+                                     ("REJECTED", "late_done"), ("REJECTED", "late_nobody"), ("REJECTED", "tick")])
+
+
+def test_many_callbacks_of_one_key(spark, tmp_path):
+    """More than the state store hands out at a time: each is answered once."""
+    n = 25_000
+    waits, calls = tables(spark, [("w", "hot", 0, 9_000)], [("tick", "clock", 20_000, "")])
+    hot = spark.range(n).select(
+        F.format_string("c%05d", "id").alias("callback_id"), F.lit("hot").alias("run_id"), F.lit("s").alias("step_id"),
+        F.timestamp_seconds(F.lit(T0.timestamp()) + 5 + F.col("id") % 100).alias("ts"), F.lit("p").alias("payload"),
+    )
+    waits.write.parquet(str(tmp_path / "w"))
+    hot.unionByName(calls).coalesce(2).write.parquet(str(tmp_path / "c"))
+    streams = [spark.readStream.schema(s).parquet(str(tmp_path / f)) for f, s in (("w", S.WAITS), ("c", S.CALLBACKS))]
+    matched = match_stream(*streams)
+    finish(matched.writeStream.format("parquet").option("path", str(tmp_path / "out")), tmp_path / "ck")
+    got = spark.read.schema(matched.schema).parquet(str(tmp_path / "out"))
+    assert got.filter("outcome = 'COMPLETED'").collect()[0].callback_id == "c00000"
+    assert (got.count(), got.select("callback_id").distinct().count()) == (n, n)
+
+
+def test_ingest_sets_lines_aside(spark, tmp_path):
+    good = '{"callback_id":"c","run_id":"r","step_id":"s","ts":"2024-05-01T00:00:00.000001Z","payload":'
+    lines = [good + '{"a":1}}', good + '"text"}', good + "null}", good.replace("2024-", "never-") + "1}", good, "[1]",
+             '{"callback_id":"c","run_id":"r","ts":"2024-05-01T00:00:00Z"}', "{}"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines))
+    found = ingest_callbacks(spark, str(tmp_path / "in"))
+    assert sorted((r.payload or "") for r in found.accepted.collect()) == ["", "text", '{"a":1}']
+    want = ["missing_callback_id", "missing_step_id", "unreadable", "unreadable", "unreadable"]
+    assert sorted(r.reason for r in found.rejects.collect()) == want
+    stream = ingest_callbacks(spark, str(tmp_path / "in"), stream=True).rejects
+    finish(stream.writeStream.format("parquet").option("path", str(tmp_path / "out")), tmp_path / "ck")
+    assert sorted(r.reason for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+
+
 def test_batch_sink_stream(spark, files, tmp_path):
     streams, want = files
     sink = WaitBatches(str(tmp_path / "state"), delay_seconds=1800)
