@@ -11,7 +11,7 @@ from heddlework.plans.runs import _CACHED_SQL, _LOG_SQL, _square, shape_log, sha
 from heddlework.session import Staging
 from heddlework.sources.callbacks import ingest_callbacks, stream_callbacks, write_callbacks
 from heddlework.streaming.cached import CachedBatches
-from heddlework.streaming.runstate import live_runs
+from heddlework.streaming.runstate import live_runs, live_runs_ending
 from heddlework.streaming.waits import STATE_STORE, WaitBatches, match_stream, tagged
 
 # A signup waits for a purchase of the same user, for as many hours as its k says.
@@ -217,6 +217,51 @@ def live_run_state(spark, folder):
     return newest.select("run_id", "s.status", micros("s.started_at").alias("started_us"), micros("s.completed_at").alias("completed_us"))
 
 
+# Runs that ended three days before the first half's last hour are taken up anew by the second.
+_ENDING_SQL = _LOG_SQL + """, cut AS (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 AS at FROM events),
+halves AS (SELECT sr.*, epoch_us(created_at) >= cut.at AS second FROM sr, cut),
+mark AS (SELECT epoch_ms(epoch_ms(max(created_at)) - 3600000) AS at FROM halves WHERE NOT second),
+gone AS (
+  SELECT run_id FROM (SELECT run_id, arg_max(status, (created_at, id)) AS status, max(created_at) AS last FROM halves WHERE NOT second GROUP BY run_id), mark
+  WHERE status IN ('COMPLETED', 'FAILED', 'CANCELLED') AND last + to_days(3) <= mark.at),
+again AS (SELECT DISTINCT run_id FROM halves WHERE second AND run_id IN (SELECT run_id FROM gone))
+SELECT run_id, arg_max(status, (created_at, id)) AS status,
+epoch_us(min(created_at) FILTER (status = 'RUNNING')) AS started_us,
+epoch_us(max(created_at) FILTER (status IN ('COMPLETED', 'FAILED'))) AS completed_us,
+arg_max(outputs, (created_at, id)) AS outputs, arg_max(error_trace, (created_at, id)) FILTER (error_trace IS NOT NULL) AS error_message
+FROM halves WHERE second OR run_id NOT IN (SELECT run_id FROM again) GROUP BY run_id"""
+
+
+@query("live_runs_ending", _ENDING_SQL)
+def live_runs_that_end(spark, folder):
+    """Two deliveries of all events; the second finds the state of long ended runs gone."""
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+    log = shape_log(table(spark, folder, "events")).select(
+        F.col("id").alias("event_id"), "run_id", F.col("created_at").alias("ts"), "status", "outputs",
+        F.col("error_trace").alias("error_message"),
+    )
+    first, last = log.agg(micros(F.min("ts")), micros(F.max("ts"))).first()
+    second = micros("ts") >= ((first or 0) + (last or 0)) // 2
+    stage = Staging(spark, "live-ending")
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{stage.root}/state/batch={batch_id}")
+
+    for delivery in (~second, second):
+        log.filter(delivery).write.mode("append").parquet(f"{stage.root}/events")
+        events = spark.readStream.schema(log.schema).parquet(f"{stage.root}/events")
+        state = live_runs_ending(events, "1 hour", 3 * 86_400)
+        _run(state.writeStream.outputMode("update").foreachBatch(keep), stage, "state")
+    fields = T.StructType([*state.schema.fields, T.StructField("batch", T.IntegerType())])
+    rows = spark.read.schema(fields).option("basePath", f"{stage.root}/state").parquet(f"{stage.root}/state/batch=*")
+    newest = rows.groupBy("run_id").agg(F.max_by(F.struct(*state.columns[1:]), F.col("batch")).alias("s"))
+    return newest.select(
+        "run_id", "s.status", micros("s.started_at").alias("started_us"), micros("s.completed_at").alias("completed_us"),
+        "s.outputs", "s.error_message",
+    )
+
+
 @query("cached_batches", _CACHED_SQL.replace("old AS (SELECT", "old AS (SELECT * FROM (SELECT").replace(
     "completed_at DESC, id DESC) = 1)", "completed_at DESC, id DESC) = 1) WHERE FALSE)"))
 def cached_batches(spark, folder):

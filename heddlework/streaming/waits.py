@@ -7,11 +7,9 @@ still arrive, so the order in which files come in does not matter.
 
 from __future__ import annotations
 
-import sys
 from bisect import bisect_right
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -19,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from heddlework.operators.waits import KEY, match_waits
 from heddlework.schemas import DEFAULT_TIMEOUT_SECONDS
 from heddlework.session import Staging
+from heddlework.streaming.common import pickled_by_value
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -208,15 +207,10 @@ def match_stream(waits: DataFrame, callbacks: DataFrame, delay: str = "10 minute
 
 
 def _stateful(rows: DataFrame, processor: WaitProcessor, fields: str) -> DataFrame:
-    # The driver-side state worker does not see shipped packages.
-    module = sys.modules[__name__]
-    cloudpickle.register_pickle_by_value(module)
-    try:
+    with pickled_by_value(__name__):
         return rows.groupBy(*KEY, "part").transformWithStateInPandas(
             processor, outputStructType=fields, outputMode="append", timeMode="eventTime"
         )
-    finally:
-        cloudpickle.unregister_pickle_by_value(module)
 
 
 class WaitBatches:

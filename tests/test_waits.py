@@ -13,7 +13,7 @@ from heddlework.operators.runlog import fold_runs
 from heddlework.operators.waits import match_waits, waits_from_steps
 from heddlework.sources.callbacks import ingest_callbacks, read_callbacks, stream_callbacks, stream_waits
 from heddlework.streaming.cached import CachedBatches
-from heddlework.streaming.runstate import live_runs
+from heddlework.streaming.runstate import live_runs, live_runs_ending
 from heddlework.streaming.waits import WaitBatches, match_stream, tagged
 
 T0 = dt.datetime(2024, 5, 1)
@@ -207,6 +207,34 @@ def test_live_runs_equal_the_batch_fold(spark, tmp_path):
     assert state == batch
 
 
+def test_ended_runs_leave_the_state(spark, tmp_path):
+    """Runs end one after the other; the state holds open and lately ended ones only."""
+    schema = "event_id string, run_id string, ts timestamp, status string, outputs string, error_message string"
+    rows = [(f"{i:03d}{s}", f"r{i:03d}", at(100 * i + k), s, None, None) for i in range(60) for k, s in enumerate(("RUNNING", "COMPLETED"))]
+    rows += [("open", "never", at(0), "RUNNING", "o", None), ("again", "r000", at(5_990), "RUNNING", None, None)]
+    fields = schema.replace(" string", "").replace(" timestamp", "").split(", ")
+    write_files(tmp_path / "in", [dict(zip(fields, r, strict=True)) for r in rows], 12, "ts")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+
+    def run(keep_seconds):
+        state = {}
+        writer = live_runs_ending(stream, "1 second", keep_seconds).writeStream.outputMode("update")
+        writer = writer.foreachBatch(lambda df, _: state.update({r.run_id: r for r in df.collect()}))
+        ran = writer.option("checkpointLocation", str(tmp_path / f"ck-{keep_seconds}")).trigger(availableNow=True).start()
+        ran.awaitTermination()
+        return state, max(p.stateOperators[0].numRowsTotal for p in ran.recentProgress if p.stateOperators)
+
+    folded, held = run(600)
+    want = {r.run_id: r for r in fold_runs(spark.createDataFrame(rows[:-1], schema)).collect()}
+    # Taken up again after its state has ended: folded from the events since.
+    want["r000"] = fold_runs(spark.createDataFrame(rows[-1:], schema)).first()
+    assert folded == want
+    folded, all_held = run(10_000_000)
+    assert folded == {r.run_id: r for r in fold_runs(spark.createDataFrame(rows, schema)).collect()}
+    print("state rows", held, all_held)
+    assert held * 2 < all_held
+
+
 def test_cached_batches_read_earlier_ones(spark, tmp_path):
     rows = [dict(id=str(i), run_id="r", step_id="s", action="sq", resolved_inputs=f'{{"n":{n}}}', use=True, created_at=at(i)) for i, n in enumerate([5, 5, 6, 6, 7, 5])]
     write_files(tmp_path / "in", rows, 3, "created_at")
