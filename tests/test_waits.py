@@ -9,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddlework import schemas as S
+from heddlework.operators.cache import newest_completed
 from heddlework.operators.runlog import fold_runs
 from heddlework.operators.waits import match_waits, waits_from_steps
 from heddlework.sources.callbacks import ingest_callbacks, read_callbacks, stream_callbacks, stream_waits
+from heddlework.sources.keyindex import KeyIndex
 from heddlework.streaming.cached import CachedBatches
 from heddlework.streaming.runstate import live_runs, live_runs_ending
 from heddlework.streaming.waits import WaitBatches, match_stream, tagged
@@ -240,9 +242,33 @@ def test_cached_batches_read_earlier_ones(spark, tmp_path):
     write_files(tmp_path / "in", rows, 3, "created_at")
     schema = "id string, run_id string, step_id string, action string, resolved_inputs string, use boolean, created_at timestamp"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    sink = CachedBatches(str(tmp_path / "log"), lambda m: m.select("input_hash", F.sha2("input_hash", 256).alias("outputs")), "use")
+    sink = CachedBatches(
+        str(tmp_path / "log"), lambda m: m.select("input_hash", F.sha2("input_hash", 256).alias("outputs")), "use", compact_every=2
+    )
     finish(stream.writeStream.foreachBatch(sink), tmp_path / "ck")
     got = {r.id: r for r in sink.log(spark).collect()}
     # The two equal requests of a batch are both misses, worked out once.
     assert {i: r.cached for i, r in got.items()} == {"0": False, "1": False, "2": False, "3": False, "4": False, "5": True}
     assert got["5"].outputs == got["0"].outputs and all(r.status == "COMPLETED" for r in got.values())
+
+
+def test_key_index_equals_the_whole_log(spark, tmp_path):
+    """Versions with repeated keys, ties and a version written twice, over two compactions."""
+    rng = random.Random(5)
+    index = KeyIndex(str(tmp_path / "index"), digits=1, compact_every=3)
+    fields = "id string, input_hash string, status string, outputs string, completed_at timestamp"
+    log = []
+    for version in range(8):
+        rows = [(f"{version}-{i}", f"{rng.randrange(40) * 7919 % 256:02x}", rng.choice(["COMPLETED", "FAILED"]), rng.choice([None, f"o{i}"]), at(rng.randrange(30)))
+                for i in range(rng.choice([0, 30]))]
+        frame = spark.createDataFrame(rows, fields)
+        for _ in range(1 + version % 2):
+            index.add(frame, version)
+        log += rows
+        every = newest_completed(spark.createDataFrame(log, fields), columns=["outputs", "id"])
+        asked = spark.createDataFrame([(f"{d:x}0",) for d in range(0, 16, 3)] + [(None,)], "input_hash string")
+        found = index.lookup(asked, version + 1)
+        want = {tuple(r) for r in every.collect() if int(r.input_hash[0], 16) % 3 == 0}
+        assert {tuple(r) for r in found.select("input_hash", "outputs", "id").collect()} == want
+    plan = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [bucket" in plan
