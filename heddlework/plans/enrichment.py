@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import asyncio
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heddlework.functions.expressions import with_expression
+from heddlework.functions.concurrent import apply_async_provider
 from heddlework.functions.registry import FunctionRegistry, apply_provider
 from heddlework.operators import prompts as L
 from heddlework.operators import requests as N
@@ -96,6 +98,25 @@ def provider_rows(spark, folder):
     return apply_provider(rows, _score, T.StructType([T.StructField("score", T.DoubleType())]))
 
 
+async def _score_later(row):
+    await asyncio.sleep(0)
+    if row["p_size"] == 13:
+        raise ValueError("no thirteen")
+    return {"score": row["p_size"] * 10.0}
+
+
+@query(
+    "provider_async",
+    """
+    SELECT p_partkey, p_size, CASE WHEN p_size <> 13 THEN CAST(p_size AS DOUBLE) * 10 END AS score,
+           CASE WHEN p_size = 13 THEN 'no thirteen' END AS error FROM part
+    """,
+)
+def provider_async(spark, folder):
+    rows = table(spark, folder, "part", spread=True).select("p_partkey", "p_size")
+    return apply_async_provider(rows, _score_later, T.StructType([T.StructField("score", T.DoubleType())]))
+
+
 # --- requests and responses --------------------------------------------------------
 
 

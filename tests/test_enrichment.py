@@ -1,12 +1,15 @@
 """Expressions, user functions, requests, responses and prompts."""
 
+import asyncio
 import json
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heddlework.functions.concurrent import apply_async_provider
 from heddlework.functions.expressions import expression_column
 from heddlework.functions.registry import FunctionRegistry, apply_provider
 from heddlework.operators import prompts as L
@@ -122,3 +125,31 @@ def test_first_answer(spark):
     back = F.parse_json(F.lit("1"))
     first, last = one(spark, L.first_answer({"a": nothing, "b": null}, back, F.lit("w")), L.first_answer({"a": nothing}, back, F.lit("w")))
     assert (first.source, first.warning) == ("b", None) and (last.source, last.warning) == ("fallback", "w")
+
+
+def test_async_provider_overlaps_calls_and_calls_each_row_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    async def provider(row):
+        with open(f"{folder}/{row['id']}", "a") as seen:
+            seen.write("x")
+        if row["id"] == 7:
+            await asyncio.sleep(60)
+        await asyncio.sleep(0.2)
+        if row["id"] % 10 == 3:
+            raise ValueError(f"bad {row['id']}")
+        return {"answer": "text"} if row["id"] == 5 else {"answer": row["id"] * 2} if row["id"] else {}
+
+    fields = T.StructType([T.StructField("answer", T.LongType())])
+    began = time.monotonic()
+    rows = apply_async_provider(spark.range(0, 200, 1, 2), provider, fields, concurrency=50, timeout_seconds=2).collect()
+    # 200 calls of 0.2 s one by one in two tasks would take 20 s.
+    assert time.monotonic() - began < 15
+    got = {r.id: (r.answer, r.error) for r in rows}
+    assert [r.id for r in rows] == list(range(200)) and got[0] == (None, None) and got[4] == (8, None)
+    assert got[13] == (None, "bad 13") and got[7] == (None, "TimeoutError") and got[5][0] is None and got[5][1]
+    assert sum(error is not None for _, error in got.values()) == 22
+    assert all((tmp_path / str(i)).read_text() == "x" for i in range(200))
+    with pytest.raises(ValueError):
+        apply_async_provider(spark.range(1), provider, T.StructType([T.StructField("id", T.LongType())]))
+    assert apply_async_provider(spark.range(0), provider, fields).collect() == []
