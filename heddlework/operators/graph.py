@@ -126,7 +126,8 @@ def execution_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     A row (src, dst, n) says that dst comes at least n waves after src, without src that its wave is n
     at least. Each round settles the steps without open dependencies. A row from a settled
     step becomes a number; a row from a step with one open dependency goes over to that
-    dependency. Every round settles some step as long as any can run.
+    dependency. Every round settles some step as long as any can run. All other rows stay as they
+    are and are not shuffled by src. A row that comes to equal another in src and dst stays beside it.
     """
     stage = Staging(nodes.sparkSession, "waves")
     nodes, links = _known(nodes, edges)
@@ -140,9 +141,12 @@ def execution_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     fields, rounds = None, []
     while True:
         state = rows.groupBy(G, F.col("dst").alias("step_id")).agg(
-            F.count("src").alias("n_open"), F.max("src").alias("via"), F.max(F.when(open_, F.col("n"))).alias("more"),
+            F.min("src").alias("low"), F.max("src").alias("via"), F.max(F.when(open_, F.col("n"))).alias("more"),
             F.max(F.when(~open_, F.col("n"))).alias("least"),
         )
+        # None, one or several: how many rows there are does not matter.
+        n_open = F.when(F.col("via").isNull(), 0).when(F.col("low") == F.col("via"), 1).otherwise(2)
+        state = state.withColumn("n_open", n_open).drop("low")
         name = f"round={len(rounds)}"
         state, seen = stage.put_measured(
             state.withColumn("settled", F.col("n_open") == 0), name, ("settled",),
@@ -154,7 +158,7 @@ def execution_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         # A row must not go over to a step that is settled just now: that one is never met again.
         settled = state.filter("settled").select(G, F.col("step_id").alias("via"), F.col("least").alias("via_wave"))
-        source = state.drop("settled").withColumnRenamed("step_id", "src").join(settled, [G, "via"], "left")
+        source = state.filter("n_open < 2").drop("settled").withColumnRenamed("step_id", "src").join(settled, [G, "via"], "left")
         far, sum_ = lambda a: F.least(a, most), F.col("n") + F.col("least")
         row = lambda src, n: F.struct(src.alias("src"), n.alias("n"))
         passed = F.when(F.col("n_open") == 0, F.array(row(none, sum_))).when(
@@ -165,7 +169,7 @@ def execution_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         moved = rows.filter(open_).join(source, [G, "src"], "left").select(G, "dst", F.explode(passed).alias("r"))
         held = state.filter("not settled").select(G, none.alias("src"), F.col("step_id").alias("dst"), F.col("least").alias("n"))
         both = moved.select(G, "r.src", "dst", "r.n").unionByName(held)
-        rows = stage.put(both.groupBy(G, "src", "dst").agg(F.max("n").alias("n")), f"rows-{len(rounds)}")
+        rows = stage.put(both, f"rows-{len(rounds)}")
     done = stage.scan(fields, *rounds).filter("settled")
     return done.select(G, "step_id", F.col("least").cast("int").alias("wave"))
 
