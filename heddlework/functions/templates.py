@@ -204,6 +204,11 @@ def render_documents(document: Column, inputs: Column, outputs: Column, known: f
     ``outputs`` is a ``map<string, variant>``. All work happens in the row.
     """
 
+    row = F.struct(document.alias("document"), inputs.alias("inputs"), outputs.alias("outputs"))
+    return bind(row, lambda r: _filled(r["document"], r["inputs"], r["outputs"], known))
+
+
+def _filled(document: Column, inputs: Column, outputs: Column, known: frozenset[str]) -> Column:
     def value_of(ref: Column) -> Column:
         ours, kind = ref["source"] == WORKFLOW, ref["kind"]
         held = F.when(ours, inputs).otherwise(F.try_element_at(outputs, ref["source"]))
@@ -215,8 +220,8 @@ def render_documents(document: Column, inputs: Column, outputs: Column, known: f
 
     def shown(got: Column) -> Column:
         value = got["at"]["value"]
-        inside = F.to_json(text_of(value).cast("variant"))
-        text = F.when(got["whole"], F.to_json(value)).otherwise(F.substr(inside, F.lit(2), F.length(inside) - 2))
+        inside = bind(F.to_json(text_of(value).cast("variant")), lambda t: F.substr(t, F.lit(2), F.length(t) - 2))
+        text = F.when(got["whole"], F.to_json(value)).otherwise(inside)
         return F.struct(text.alias("text"), F.coalesce(got["early"], got["at"]["error"]).alias("code"))
 
     filled = F.transform(_json_references(document), lambda ref: bind(value_of(ref), shown))
@@ -229,6 +234,6 @@ def render_documents(document: Column, inputs: Column, outputs: Column, known: f
         codes = F.when(F.try_parse_json(document).isNull(), F.array(F.lit(NOT_JSON))).otherwise(codes)
         codes = F.when(document.isNull(), F.array().cast("array<string>")).otherwise(codes)
         whole = F.concat(F.get(literal, F.lit(0)), joined)
-        return F.struct(F.when(F.size(codes) == 0, whole).alias("resolved"), codes.alias("error_codes"))
+        return bind(codes, lambda c: F.struct(F.when(F.size(c) == 0, whole).alias("resolved"), c.alias("error_codes")))
 
     return bind(filled, result)

@@ -13,6 +13,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+#: Rows of a spread table that a task takes at most, about.
+ROWS_A_TASK = 100_000
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query; leave ``sql`` out where SQL cannot say the same."""
@@ -29,13 +32,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
     """A table with its timestamps read as UTC instants.
 
-    ``spread`` is for work that is heavy per row: a table of fewer file splits
-    than cores is dealt out to all of them. Large tables are left as they are.
+    ``spread`` is for work that is heavy per row: the rows are dealt out evenly. File splits say
+    nothing of rows: a group of rows in a file is read by one task, and the splits beside it are empty.
     """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
+    if spread:
+        # The count is read from the files' footers.
+        df = df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK)))
     plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({name: F.col(name).cast("timestamp") for name in plain})
 

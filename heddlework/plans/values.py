@@ -478,7 +478,7 @@ _DOCUMENTS = (
     """,
 )
 def render_documents(spark, folder):
-    c = table(spark, folder, "customer")
+    c = table(spark, folder, "customer", spread=True)
     third = F.col("c_nationkey") % 3
     document = F.when(third == 0, _DOCUMENTS[0]).when(third == 1, _DOCUMENTS[1]).otherwise(_DOCUMENTS[2])
     inputs = F.parse_json(F.concat(F.lit('{"k":'), F.col("c_custkey").cast("string"), F.lit(',"o":{"b":true}}')))
