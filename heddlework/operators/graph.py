@@ -405,33 +405,75 @@ def first_cycle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # --- reachability ----------------------------------------------------------------
 
 
+#: Numbers that meet in one row of the closure, about; more take several rows, at most so many a step.
+MET, ROWS_A_STEP = 1_000_000, 10_000
+
+
 def transitive_dependencies(edges: DataFrame) -> DataFrame:
     """All pairs (workflow_id, ancestor, step_id) where the step depends on the ancestor.
 
-    Each round doubles the distance that is known. A shortest way of up to twice
-    ``reach`` steps passes a step at distance ``reach`` exactly, so only the pairs
-    at that distance are joined with the known pairs. Ends on cyclic graphs too.
+    Steps go by numbers, and the ancestors of a step are two arrays: ``near`` holds those less than ``reach`` steps
+    away, ``far`` those at that distance exactly. Each round doubles ``reach``: a shortest way of up to twice
+    as many steps passes a step of ``far``, which hands its own ancestors on. Arrays that might outgrow a row
+    are dealt over several by hash. Ends on cyclic graphs too. A dependency without an id is
+    an ancestor like others; nothing depends on a step without an id or graph.
     """
     stage = Staging(edges.sparkSession, "reach")
-    one = F.lit(1).cast("long")
-    start = edges.select(G, F.col("src").alias("ancestor"), F.col("dst").alias("step_id"), one.alias("distance")).distinct()
-    fields = T.StructType(start.schema.fields)
-    fresh, seen = stage.put_measured(start, "round=0", n_far=F.count(F.lit(1)))
-    rounds, reach = ["round=0"], 1
-    while seen["n_far"]:
-        known = stage.scan(fields, *rounds).drop("round")
-        onward = known.select(G, F.col("ancestor").alias("step_id"), F.col("step_id").alias("end"), F.col("distance").alias("more"))
-        longer = (
-            fresh.filter(F.col("distance") == reach)
-            .join(onward, [G, "step_id"])
-            .groupBy(G, "ancestor", F.col("end").alias("step_id"))
-            .agg(F.min(F.col("distance") + F.col("more")).alias("distance"))
+    links = stage.put(edges.select(G, "src", "dst").distinct(), "links")
+    ends = [links.select(G, F.col(end).alias("step_id"), F.lit(0).alias("all")) for end in ("src", "dst")]
+    names = positions_within(ends[0].unionByName(ends[1]).distinct(), ["all"], [G, "step_id"], "id").drop("all")
+    names, seen = stage.put_measured(names, "names", n=F.count(F.lit(1)))
+    kind = "int" if seen["n"] < 2**31 else "long"
+    names = names.withColumn("id", F.col("id").cast(kind))
+    none = F.array().cast(f"array<{kind}>")
+
+    def numbered(df: DataFrame, end: str, to: str) -> DataFrame:
+        named = names.select(F.col(G).alias("g"), F.col("step_id").alias("s"), F.col("id").alias(to))
+        return df.join(named, F.col(G).eqNullSafe(F.col("g")) & F.col(end).eqNullSafe(F.col("s"))).drop("g", "s")
+
+    sound = F.col(G).isNotNull() & F.col("dst").isNotNull()
+    pairs = stage.put(numbered(numbered(links, "src", "a"), "dst", "id").select("a", "id", sound.alias("sound")), "pairs")
+    fed = pairs.select(F.col("a").alias("id"), F.lit(True).alias("fed")).distinct()
+    direct = pairs.groupBy("id").agg(F.collect_list("a").alias("far"), F.every("sound").alias("sound")).join(fed, ["id"], "left")
+    gives = F.col("sound") & F.coalesce("fed", F.lit(False))
+    state = direct.select("id", F.lit(0).alias("page"), F.lit(1).alias("pages"), gives.alias("gives"), none.alias("near"), "far")
+
+    k = 0
+    while True:
+        held = (F.col("pages") * (F.size("near") + F.size("far"))).cast("long")
+        state, seen = stage.put_measured(
+            state, f"round-{k}", n_far=F.sum(F.size("far")), far=F.max(F.size("far")), pages=F.max("pages"), held=F.max(F.when(F.col("gives"), held)),
         )
-        found = longer.join(known, [G, "ancestor", "step_id"], "left_anti")
-        reach *= 2
-        rounds.append(f"round={len(rounds)}")
-        fresh, seen = stage.put_measured(found, rounds[-1], n_far=F.count_if(F.col("distance") == reach))
-    return stage.scan(fields, *rounds).select(G, "ancestor", "step_id")
+        if not seen["n_far"]:
+            break
+        # What may meet for a step; the same for all of its rows.
+        n_far = F.when(F.col("pages") > 1, F.col("pages") * F.lit(float(seen["far"]))).otherwise(F.size("far"))
+        wanted = F.least(F.ceil(n_far * F.lit(seen["held"] / MET)), F.lit(ROWS_A_STEP)).cast("int")
+        step = ["id", "pages", "gives"]
+        asking = state.withColumn("pages", F.greatest("pages", wanted))
+        given = state.filter("gives").select(F.col("id").alias("at"), "near", "far")
+        met = asking.select(*step, F.explode("far").alias("at")).join(given, "at").select(*step, "near", "far")
+        met = met.unionByName(asking.select(*step, F.concat("near", "far").alias("near"), none.alias("far")))
+        if seen["pages"] > 1 or seen["far"] * seen["held"] > MET:
+            page = lambda x: F.pmod(F.xxhash64(x), F.col("pages")).cast("int").alias("page")
+            one = lambda x: F.array(x)
+            apart = F.concat(
+                F.transform("near", lambda x: F.struct(page(x), one(x).alias("near"), none.alias("far"))),
+                F.transform("far", lambda x: F.struct(page(x), none.alias("near"), one(x).alias("far"))),
+            )
+            whole = F.array(F.struct(F.lit(0).alias("page"), "near", "far"))
+            met = met.select(*step, F.inline(F.when(F.col("pages") == 1, whole).otherwise(apart)))
+        else:
+            met = met.withColumn("page", F.lit(0))
+        union = lambda x: F.array_distinct(F.flatten(F.collect_list(x))).alias(x)
+        grown = met.groupBy("id", "page").agg(F.max("pages").alias("pages"), F.every("gives").alias("gives"), union("near"), union("far"))
+        state = grown.withColumn("far", F.array_except("far", "near"))
+        k += 1
+    steps = names.select("id", "step_id")
+    above = names.select(F.col("id").alias("a"), G, F.col("step_id").alias("ancestor"))
+    # Pairs need no sort for this: what a task holds is its share of the names.
+    named = state.join(steps, "id").select("step_id", F.explode("near").alias("a")).join(above.hint("shuffle_hash"), "a")
+    return named.select(G, "ancestor", "step_id")
 
 
 def _doubled(hops: DataFrame, stage: Staging, name: str) -> list[DataFrame]:
