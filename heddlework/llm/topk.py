@@ -3,7 +3,8 @@
 A vector becomes whole weights, floor(64 x). The candidates of a block are held as postings,
 for each component (term) the positions and weights of the candidates that have it. A query
 is a sparse row of terms; each of its terms scatters weight times posting into a dense row of
-scores. The k best of a row are selected by partition, and the selections of blocks merge.
+scores, for a block of queries at once; long posting lists are taken several terms together.
+The k best of a row are selected by partition, and the selections of blocks merge.
 
 All queries meet all candidates, in blocks dealt over the cluster; nothing is skipped. Every row is
 a candidate of every query but its own row, whatever its vec_id; rows of one vec_id that are queries are
@@ -25,6 +26,9 @@ QUERY_EVERY = 20
 K = 20
 QUERY_BLOCK = 256
 CANDIDATE_BLOCK = 4096
+FULL = 8
+"""A posting list of this share of the candidates, one in so many, is laid out in full."""
+EXACT = 1 << 53
 
 
 def weights(df: DataFrame) -> DataFrame:
@@ -70,27 +74,36 @@ class Postings:
         rows = dense(flat, widths)
         term, at = np.nonzero(rows.T)
         cuts = np.searchsorted(term, np.arange(rows.shape[1] + 1))
-        self.terms = [(at[a:b], rows[at[a:b], t]) for t, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-
-    def scores(self, query: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.ids), dtype=np.int64)
-        for term in np.flatnonzero(query[: len(self.terms)]):
-            at, weight = self.terms[term]
-            if len(at) == len(out):
-                out += weight * query[term]
-            else:
-                out[at] += weight * query[term]
+        self.n_terms, self.largest = rows.shape[1], int(np.abs(rows).max(initial=0))
+        # Postings of many candidates are laid out in full, so that several terms are taken at once.
+        full = np.diff(cuts) * FULL >= len(self.ids)
+        self.full = np.flatnonzero(full)
+        self.laid_out = rows.T[self.full].astype(np.float64)
+        self.terms = {int(t): (at[cuts[t] : cuts[t + 1]], rows[at[cuts[t] : cuts[t + 1]], t]) for t in np.flatnonzero(~full)}
+
+    def scores(self, queries: np.ndarray) -> np.ndarray:
+        """A row of scores for each query: term after term, or block of terms, adds to all rows."""
+        queries = queries[:, : self.n_terms]
+        known = self.full[self.full < queries.shape[1]]
+        largest = int(np.abs(queries).max(initial=0))
+        if self.largest * largest * max(len(known), 1) < EXACT:  # whole numbers below 2^53 are exact
+            out = (queries[:, known].astype(np.float64) @ self.laid_out[: len(known)]).astype(np.int64)
+        else:
+            out = queries[:, known] @ self.laid_out[: len(known)].astype(np.int64)
+        for term, (at, weight) in self.terms.items():
+            having = np.flatnonzero(queries[:, term]) if term < queries.shape[1] else ()
+            if len(having) and len(at):
+                out[np.ix_(having, at)] += np.outer(queries[having, term], weight)
         return out
 
 
-def select(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest scores, ties to the smaller id."""
-    if len(ids) > k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= cut)
-        ids, scores = ids[keep], scores[keep]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+def select_rows(ids: np.ndarray, scores: np.ndarray, k: int):
+    """For each row of scores the places of its k largest, ties to the smaller id."""
+    n = len(ids)
+    cuts = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else scores.min(axis=1)
+    for row, cut in zip(scores, cuts, strict=True):
+        keep = np.flatnonzero(row >= cut)
+        yield keep[np.lexsort((ids[keep], -row[keep]))[:k]]
 
 
 def top_k(df: DataFrame, stage, k: int = K, every: int = QUERY_EVERY) -> DataFrame:
@@ -114,10 +127,12 @@ def top_k(df: DataFrame, stage, k: int = K, every: int = QUERY_EVERY) -> DataFra
         for row in rows:
             postings = Postings(row["ids"], row["flat"], row["widths"])
             places = np.asarray(row["rows"])
-            for place, query_id, query in zip(row["q_rows"], row["q_ids"], dense(row["q_flat"], row["q_widths"]), strict=True):
-                scores = postings.scores(query)
-                others = places != place
-                for vec_id, score in zip(*(x.tolist() for x in select(postings.ids[others], scores[others], k)), strict=True):
+            scores = postings.scores(dense(row["q_flat"], row["q_widths"]))
+            # One more than wanted, as the query itself may be among the best.
+            best = select_rows(postings.ids, scores, k + 1)
+            for place, query_id, of, chosen in zip(row["q_rows"], row["q_ids"], scores, best, strict=True):
+                chosen = chosen[places[chosen] != place][:k]
+                for vec_id, score in zip(postings.ids[chosen].tolist(), of[chosen].tolist(), strict=True):
                     yield place, query_id, vec_id, score
 
     found = map_rows(met, search, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
