@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,6 +29,32 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+_HELD: dict = {}
+
+
+def resident(owner: str, key, build: Callable):
+    """What an operator keeps in a worker from batch to batch, built when first asked for.
+
+    Workers outlive a stage, so that the models of a pipeline's stages would add up. A worker
+    holds one owner's things, those of one ``key``; whatever else it held is let go before ``build``.
+    """
+    if (owner, key) not in _HELD:
+        let_go()
+        _HELD[owner, key] = build()
+    return _HELD[owner, key]
+
+
+def let_go() -> None:
+    """A worker's models end; freed memory goes back to the system where the C library can do so."""
+    if not _HELD:
+        return
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def staging(spark: SparkSession, label: str) -> Staging:
     prepare(spark)
     return Staging(spark, label)
@@ -69,6 +98,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[tuple]], sch
     arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in kind.fields])
 
     def run(batches):
+        let_go()
         rows = (row for batch in batches for row in batch.to_pylist())
         block = []
         for out in fn(rows):

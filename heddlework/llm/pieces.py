@@ -22,13 +22,12 @@ from __future__ import annotations
 import re
 import zlib
 from heapq import heapify, heappop, heappush
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddlework.llm.common import per_row
+from heddlework.llm.common import per_row, resident
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
@@ -311,14 +310,6 @@ def _search(keys, array, wanted, strict: bool) -> np.ndarray:
     return low
 
 
-@lru_cache(2)
-def _matcher(token: str) -> Matcher:
-    return Matcher(_VOCABULARIES[token])
-
-
-_VOCABULARIES: dict[str, Vocabulary] = {}
-
-
 class Tokenizer:
     """A vocabulary that tasks turn into a matcher once for each worker."""
 
@@ -327,8 +318,7 @@ class Tokenizer:
         self.token = f"{vocabulary.kind}:{zlib.crc32(repr((vocabulary.pieces, vocabulary.scores.tolist())).encode()):08x}"
 
     def matcher(self) -> Matcher:
-        _VOCABULARIES.setdefault(self.token, self.vocabulary)
-        return _matcher(self.token)
+        return resident("pieces", self.token, lambda: Matcher(self.vocabulary))
 
 
 def with_ids(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", into: str = "ids") -> DataFrame:

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddlework.llm.common import map_rows, per_row
+from heddlework.llm.common import map_rows, per_row, resident
 
 # Terms known without any label.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting", "imbecile", "asshole", "bastard")
@@ -375,9 +375,7 @@ class Model:
     def lexicon(self) -> Lexicon:
         """The automaton of this process; it is not sent along with the model."""
         key = (tuple(self.words), tuple(self.stems))
-        if _BUILT.get("key") != key:
-            _BUILT.update(key=key, lexicon=Lexicon(self.words, self.stems))
-        return _BUILT["lexicon"]
+        return resident("toxicity", key, lambda: Lexicon(self.words, self.stems))
 
     def count(self, texts: list[str | None]):
         lexicon = self.lexicon()
@@ -390,9 +388,6 @@ class Model:
             yield round(1 / (1 + math.exp(-max(-30.0, min(30.0, m)))), 9), e, f, q
 
 
-_BUILT: dict = {}
-
-
 def train(docs: DataFrame, labels: DataFrame, stage) -> Model:
     training = training_rows(docs, labels, stage)
     model = Model(*learn_lexicon(training, stage))
