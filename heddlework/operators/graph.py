@@ -492,55 +492,108 @@ def _doubled(hops: DataFrame, stage: Staging, name: str) -> list[DataFrame]:
     return tables
 
 
+#: Marks that travel together, as the bits of one number.
+MARKS = 64
+
+
+def carried(marks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(workflow_id, step_id, mark): the marks of all steps that a step depends on at any distance.
+
+    ``marks``: workflow_id, step_id, mark, a number from 0 on. Steps go by numbers, and the marks of a step by the bits
+    of one number for each page of ``MARKS``, so what travels grows with steps rather than pairs where marks are few.
+    Steps with one dependency are passed over: by doubling, each gets the marks up to the first step above
+    that has several or none. Rounds only lead between steps with several dependencies and send what is new
+    there. Ends on cyclic graphs too; a mark on a cycle comes back to its own step.
+    """
+    stage = Staging(edges.sparkSession, "carried")
+    links = stage.put(edges.filter(f"{G} is not null and src is not null").select(G, "src", "dst").distinct(), "links")
+    ends = links.select(G, F.col("src").alias("step_id")).unionByName(links.select(G, F.col("dst").alias("step_id")))
+    names = positions_within(ends.distinct().withColumn("all", F.lit(0)), ["all"], [G, "step_id"], "id").drop("all")
+    names = stage.put(names, "names")
+    source = names.select(G, F.col("step_id").alias("src"), F.col("id").alias("a"))
+    target = names.select(F.col(G).alias("g"), F.col("step_id").alias("s"), "id")
+    # A dependent without an id is a step like others, on which nothing depends.
+    pairs = links.join(source, [G, "src"]).join(target, (F.col(G) == F.col("g")) & F.col("dst").eqNullSafe(F.col("s")))
+    pairs = stage.put(pairs.select("a", "id"), "pairs")
+
+    page, bit = F.floor(F.col("mark") / MARKS).cast("long"), F.expr(f"shiftleft(1L, cast(mark % {MARKS} as int))")
+    met = lambda df: df.groupBy("id", "page").agg(F.bit_or("bits").alias("bits"))
+    own = marks.join(names, [G, "step_id"]).select("id", page.alias("page"), bit.alias("bits"))
+    own = stage.put(met(own), "own")
+    handed = lambda to, of: to.join(of.withColumnRenamed("id", "a"), "a").select("id", "page", "bits")
+
+    degree = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("a").alias("a"))
+    degree = stage.put(degree, "degree")
+    up, seen = stage.put_measured(degree.filter("n = 1").select("id", "a"), "up-0", n=F.count(F.lit(1)))
+    above, k = stage.put(met(handed(up, own)), "above-0"), 0
+    # Past so many steps as there are, a way has gone round a ring, and all of its marks are met.
+    while 2**k <= 2 * seen["n"]:
+        k += 1
+        further = up.join(up.select(F.col("id").alias("a"), F.col("a").alias("top")), "a", "left")
+        longer, moved = stage.put_measured(further, f"longer-{k}", n=F.count("top"))
+        if not moved["n"]:
+            break
+        above = stage.put(met(above.unionByName(handed(longer.filter("top is not null").select("id", "a"), above))), f"above-{k}")
+        up = longer.select("id", F.coalesce("top", "a").alias("a"))
+
+    several = degree.filter("n > 1").select("id")
+    branches = stage.put(pairs.join(several, "id", "left_semi"), "branches")
+    top = up.select(F.col("id").alias("a"), F.col("a").alias("top"))
+    between = branches.join(top, "a", "left").select(F.coalesce("top", "a").alias("a"), "id").distinct()
+    between = stage.put(between.join(several.withColumnRenamed("id", "a"), "a", "left_semi"), "between")
+    start = met(handed(branches, own.unionByName(above)))
+    state, seen = stage.put_measured(start.withColumn("fresh", F.col("bits")), "round-0", n=F.count(F.lit(1)))
+    k, none = 0, F.lit(0).cast("long")
+    while seen["n"]:
+        k += 1
+        sent = handed(between, state.filter("fresh <> 0").select("id", "page", F.col("fresh").alias("bits")))
+        both = state.select("id", "page", "bits", none.alias("got")).unionByName(sent.select("id", "page", none.alias("bits"), F.col("bits").alias("got")))
+        both = both.groupBy("id", "page").agg(F.bit_or("bits").alias("bits"), F.bit_or("got").alias("got"))
+        fresh = F.col("got").bitwiseAND(F.bitwise_not("bits"))
+        both = both.select("id", "page", F.col("bits").bitwiseOR(F.col("got")).alias("bits"), fresh.alias("fresh"))
+        state, seen = stage.put_measured(both, f"round-{k}", n=F.count_if(F.col("fresh") != 0))
+    state = state.select("id", "page", "bits")
+    found = state.unionByName(met(above.unionByName(handed(up, state)))).join(names, "id")
+    each = F.expr(f"filter(sequence(0, {MARKS - 1}), b -> getbit(bits, b) = 1)")
+    return found.select(G, "step_id", "page", F.explode(each).alias("b")).select(G, "step_id", (F.col("page") * MARKS + F.col("b")).alias("mark"))
+
+
 def reached_from(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(workflow_id, step_id, at): all steps ``at`` that can be reached from a seed step.
 
-    ``seeds``: workflow_id, step_id. Steps with one dependency form trees; all that hangs below a
-    step in its tree is found by doubling, what is less than 2k below and then what is k times 2 further
-    down. Rounds only lead from trees into steps with several dependencies. Ends on cyclic graphs too; a seed
-    on a cycle reaches itself.
+    ``seeds``: workflow_id, step_id. Each seed is a mark of its own (``carried``); one on a cycle reaches itself.
     """
     stage = Staging(edges.sparkSession, "seeded")
-    links = stage.put(edges.select(G, F.col("src").alias("at"), F.col("dst").alias("onto")).distinct(), "links")
-    degree = links.groupBy(G, "onto").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("up"))
-    degree = stage.put(degree, "degree")
-    trees = _doubled(degree.filter("n = 1").select(G, F.col("onto").alias("step_id"), "up"), stage, "below")
-    branches = links.join(degree.filter("n > 1").select(G, "onto"), [G, "onto"], "left_semi")
-    branches = stage.put(branches, "branches")
-    start = seeds.select(G, "step_id", F.col("step_id").alias("at")).distinct()
-    fields, rounds, links_to = T.StructType(start.schema.fields), [], links
-    fresh = start
-    while True:
-        front = fresh.join(links_to, [G, "at"]).select(G, "step_id", F.col("onto").alias("at")).distinct()
-        if rounds:
-            known = stage.scan(fields, *rounds).select(G, "step_id", "at")
-            front = front.join(known, [G, "step_id", "at"], "left_anti")
-        name = f"front={len(rounds)}"
-        front, seen = stage.put_measured(front, f"{name}-0", n=F.count(F.lit(1)))
-        if not seen["n"]:
-            break
-        for k, table in enumerate(trees):
-            below = table.select(G, F.col("up").alias("at"), F.col("step_id").alias("under"))
-            down = front.join(below, [G, "at"]).select(G, "step_id", F.col("under").alias("at"))
-            front = stage.put(front.unionByName(down).distinct(), f"{name}-{k + 1}")
-        if rounds:
-            front = front.join(known, [G, "step_id", "at"], "left_anti")
-        rounds.append(f"round={len(rounds)}")
-        fresh = stage.put(front, rounds[-1])
-        links_to = branches
-    if not rounds:
-        return start.limit(0)
-    return stage.scan(fields, *rounds).select(G, "step_id", "at")
+    known = seeds.filter(f"{G} is not null and step_id is not null").select(G, "step_id").distinct()
+    marked = stage.put(positions_within(known, [G], ["step_id"], "mark"), "marks")
+    down = carried(marked, edges).withColumnRenamed("step_id", "at")
+    return down.join(marked, [G, "mark"]).select(G, "step_id", "at")
 
 
 def blocked_steps(failed: DataFrame, edges: DataFrame) -> DataFrame:
     """Steps that cannot start because a step they depend on failed.
 
-    ``failed``: run_id, workflow_id, step_id. What a failed step blocks is found once
-    per definition, however many runs there are; steps that never fail cost nothing.
+    ``failed``: run_id, workflow_id, step_id. What goes down a definition are its runs or its failed steps, whichever
+    are fewer: many runs of a few failed steps cost no more than these steps, many failed steps of a few runs no more than these runs.
     """
-    down = reached_from(failed.select(G, "step_id"), edges)
-    return failed.join(down, [G, "step_id"]).select("run_id", G, F.col("at").alias("step_id")).distinct()
+    stage = Staging(edges.sparkSession, "blocked")
+    failed = failed.filter(f"{G} is not null and step_id is not null").select("run_id", G, "step_id").distinct()
+    failed = stage.put(failed, "failed")
+    fewer = failed.groupBy(G).agg((F.count_distinct("run_id") <= F.count_distinct("step_id")).alias("by_run"))
+    mine = [F.when(F.col("by_run"), F.col("run_id")).alias("run"), F.when(~F.col("by_run"), F.col("step_id")).alias("step")]
+    kept, seen = stage.put_measured(failed.join(fewer, G).select("*", *mine), "kept", n_by_step=F.count_if(~F.col("by_run")))
+    marks = positions_within(kept.select(G, "run", "step").distinct(), [G], ["run", "step"], "mark")
+    marks = marks.select(F.col(G).alias("g"), F.col("run").alias("r"), F.col("step").alias("s"), "mark")
+    same = (F.col(G) == F.col("g")) & F.col("run").eqNullSafe(F.col("r")) & F.col("step").eqNullSafe(F.col("s"))
+    marked = stage.put(kept.join(marks, same).select("run_id", G, "step_id", "by_run", "mark"), "marked")
+    runs = stage.put(marked.select("run_id", G, "by_run", "mark").distinct(), "runs")
+    down = carried(marked.select(G, "step_id", "mark"), edges)
+    row = ["run_id", G, "step_id"]
+    found = down.join(runs.filter("by_run").drop("by_run"), [G, "mark"]).select(*row)
+    if not seen["n_by_step"]:
+        return found
+    # Several failed steps of a run may block the same step.
+    return found.unionByName(down.join(runs.filter("not by_run").drop("by_run"), [G, "mark"]).select(*row).distinct())
 
 
 def reaching_pairs(asked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
