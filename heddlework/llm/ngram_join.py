@@ -9,8 +9,9 @@ nothing but a passage in common. The others form a group for each shared n-gram.
 hang together by members are one family, which is searched as one or group by group, whichever
 sends fewer copies of its sets.
 
-In this a class goes by 64 bits of its digest. Classes that share these are searched together, so a
-clash costs a search and loses no link; links and components go by the whole digest. What
+In this a class goes by 48 bits of its digest, and an n-gram of a head by its bucket and 32 bits of
+its hash. Classes that share theirs are searched together, and n-grams that do are one, which counts as
+often as a class has it; so a clash costs a search and loses no link; links and components go by the whole digest. What
 travels to a search is the text of one document of each class, which is packed better than its n-grams.
 
 In a search the sets are stored in a trie, in an order that puts what they share first, without
@@ -31,6 +32,7 @@ known id.
 
 from __future__ import annotations
 
+import zlib
 from itertools import groupby
 
 import numpy as np
@@ -53,6 +55,7 @@ BUCKET_TOKENS = 250_000
 BLOCK_CELLS, BLOCK_SETS = 32_000_000, 512
 FIRST_BLOCK = 64
 FILTER_BITS = 24
+NODE_BYTES = 6
 SALTS = 32
 """Tasks over which the classes of one family are spread where they meet what is known of it."""
 
@@ -202,56 +205,66 @@ def frequent_ngrams(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_heads(source: DataFrame, known, rank, buckets: int, n: int, percent: int) -> DataFrame:
-    """(token, node): n-grams of heads that at least two classes have.
+    """(token, node): n-grams of heads that at least two classes have, as numbers of their own.
 
-    Heads travel as packed arrays, one for each task and bucket of n-grams.
+    Heads travel as packed arrays, one for each task and bucket of n-grams: 32 bits of each n-gram in ascending order, byte
+    by byte, as the higher ones hardly differ, and the bytes of the classes. A task packs each class once.
     """
 
     def deal(batches):
-        tokens, nodes, held = [], [], 0
+        tokens, nodes, seen, held = [], [], set(), 0
 
         def packed():
             token, node = np.concatenate(tokens), np.concatenate(nodes)
-            bucket = (token % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, token, node = bucket[order], token[order], node[order]
+            place = ((token % np.uint64(buckets)) << np.uint64(32)) | (token >> np.uint64(32))
+            order = np.lexsort((node, place))
+            place, node = place[order], node[order]
+            bucket, prints = (place >> np.uint64(32)).astype(np.int64), place.astype(np.uint32)
             heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             ends = np.append(heads[1:], len(bucket))
-            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())
+            cut = lambda pack, x: pa.array([pack(x[a:b]) for a, b in zip(heads, ends, strict=True)], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array(bucket[heads]), cut(token), cut(node)], names=["bucket", "tokens", "nodes"]
+                [pa.array(bucket[heads]), cut(lambda x: x.view(np.uint8).reshape(-1, 4).T.tobytes(), prints), cut(pack_nodes, node)],
+                names=["bucket", "tokens", "nodes"],
             )
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 found = shingles(text, n)
-                if len(found):
+                digest = set_digest(found)
+                if len(found) and digest not in seen:
+                    seen.add(digest)
                     head = first_of(found, known, rank, percent)
                     tokens.append(head)
-                    nodes.append(np.full(len(head), node_of(set_digest(found))))
+                    nodes.append(np.full(len(head), node_of(digest)))
                     held += len(head)
             if held > COUNTED_TOKENS // 4:
                 yield packed()
-                tokens, nodes, held = [], [], 0
+                tokens, nodes, seen, held = [], [], set(), 0
         if held:
             yield packed()
 
     def meet(batches):
         rows = (row for batch in batches for row in batch.to_pylist())
-        for _, group in groupby(rows, key=lambda r: r["bucket"]):
-            token, node = [], []
+        for bucket, group in groupby(rows, key=lambda r: r["bucket"]):
+            token, node, nth = [], [], []
             for row in group:
-                token.append(np.frombuffer(row["tokens"], dtype=np.int64))
-                node.append(np.frombuffer(row["nodes"], dtype=np.int64))
-            token, node = np.concatenate(token), np.concatenate(node)
-            order = np.lexsort((node, token))
-            token, node = token[order], node[order]
+                token.append(np.ascontiguousarray(np.frombuffer(row["tokens"], dtype=np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0])
+                node.append(unpack_nodes(row["nodes"]))
+                # A class has an n-gram more than once where several share their 32 bits.
+                first = np.concatenate([[True], (token[-1][1:] != token[-1][:-1]) | (node[-1][1:] != node[-1][:-1])])
+                at = np.arange(len(first), dtype=np.int32)
+                nth.append(at - np.maximum.accumulate(np.where(first, at, 0)))
+            token, node, nth = np.concatenate(token), np.concatenate(node), np.concatenate(nth)
+            order = np.lexsort((nth, node, token))
+            token, node, nth = token[order], node[order], nth[order]
             same = token[1:] == token[:-1]
-            fresh = np.concatenate([[True], ~(same & (node[1:] == node[:-1]))])  # copies of a class
+            fresh = np.concatenate([[True], ~(same & (node[1:] == node[:-1]) & (nth[1:] == nth[:-1]))])  # copies of a class
             token, node = token[fresh], node[fresh]
             same = token[1:] == token[:-1]
             several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            yield pa.RecordBatch.from_arrays([pa.array(token[several]), pa.array(node[several])], names=["token", "node"])
+            number = np.cumsum(np.concatenate([[0], token[several][1:] != token[several][:-1]])[: several.sum()])
+            yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) + number), pa.array(node[several])], names=["token", "node"])
 
     blocks = source.select("bytes").mapInArrow(deal, "bucket bigint, tokens binary, nodes binary")
     dealt = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -259,18 +272,26 @@ def shared_heads(source: DataFrame, known, rank, buckets: int, n: int, percent:
 
 
 def peel(members: DataFrame, needs: DataFrame, stage) -> DataFrame:
-    """Members without classes that share too little, until a round drops less than a tenth."""
+    """Members without classes that share too little, until a round would drop less than a tenth.
+
+    ``needs``: node, need, and the classes of the node and their n-grams. Rows (token, node, least, classes, tokens):
+    beside its smallest node each row of an n-gram holds how many classes it has, and how many n-grams these have.
+    """
     rows, k = members.select("token", "node"), 0
     while True:
-        k += 1
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("has"))
-        enough = counts.join(needs, "node").where("has >= need").select("node")
-        left = rows.select("token", "node").join(stage.put(enough, f"enough-{k}"), "node")
-        several = left.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-        before = rows.count()
-        rows = stage.put(left.join(several.select("token", "least"), "token").select("token", "node", "least"), f"members-{k}")
-        if rows.count() >= 0.9 * before:
+        enough = F.col("has") >= F.col("need")
+        counts = counts.join(needs, "node").select("node", "has", "classes", "tokens", enough.alias("enough"))
+        counts, seen = stage.put_measured(counts, f"counts-{k}", all=F.sum("has"), kept=F.sum(F.when(F.col("enough"), F.col("has"))))
+        if k and seen["kept"] >= 0.9 * seen["all"]:
             return rows
+        k += 1
+        left = rows.select("token", "node").join(counts.where("enough").select("node", "classes", "tokens"), "node")
+        several = left.groupBy("token").agg(
+            F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum("classes").alias("classes"), F.sum("tokens").alias("tokens")
+        )
+        rows = left.select("token", "node").join(several.where("n > 1").drop("n"), "token")
+        rows = stage.put(rows.select("token", "node", "least", "classes", "tokens"), f"members-{k}")
 
 
 def set_digest(tokens: np.ndarray) -> bytes:
@@ -278,7 +299,17 @@ def set_digest(tokens: np.ndarray) -> bytes:
 
 
 def node_of(digest: bytes | None) -> int | None:
-    return None if digest is None else int.from_bytes(digest[:8], "little", signed=True)
+    return None if digest is None else int.from_bytes(digest[:NODE_BYTES], "little")
+
+
+def pack_nodes(nodes: np.ndarray) -> bytes:
+    return nodes.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :NODE_BYTES].tobytes()
+
+
+def unpack_nodes(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // NODE_BYTES, 8), dtype=np.uint8)
+    out[:, :NODE_BYTES] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, NODE_BYTES)
+    return out.view("<i8")[:, 0]
 
 
 class Trie:
@@ -412,7 +443,7 @@ def bit_map(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out).astype(bool)
 
 
-def places(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def places(members: DataFrame, nodes: DataFrame, stage) -> DataFrame:
     """(of, key, x, y, node): the searches that each class takes part in.
 
     A family, and a group, of more than ``PART_TOKENS`` n-grams is cut into parts by a hash, and
@@ -420,9 +451,10 @@ def places(members: DataFrame, nodes: DataFrame) -> DataFrame:
     sends fewer copies of its sets.
     """
     tokens = F.sum("n_shingles").alias("tokens")
-    own = members.select("token", "node").join(nodes.select("node", "n_shingles", "family"), "node")
-    groups = own.groupBy("family", "token").agg(tokens, F.count(F.lit(1)).alias("n"))
-    groups = groups.withColumn("parts", F.expr(f"1 + tokens DIV {PART_TOKENS}"))
+    # All nodes of an n-gram are of one family, so that of its smallest is its own, and the n-gram alone names a group.
+    of_node = nodes.select(F.col("node").alias("least"), "family").distinct()
+    groups = members.where("node = least").join(of_node, "least").select("family", "token", "tokens", F.col("classes").alias("n"))
+    groups = stage.put(groups.select("family", "token", F.expr(f"1 + tokens DIV {PART_TOKENS}").alias("parts"), "n"), "groups")
     apart = groups.groupBy("family").agg(F.sum(F.col("n") * F.col("parts")).alias("sent_apart"))
     families = nodes.groupBy("family").agg(tokens, F.count(F.lit(1)).alias("n"))
     families = families.withColumn("parts", F.expr(f"1 + tokens DIV {PART_TOKENS}")).join(apart, "family", "left")
@@ -431,16 +463,15 @@ def places(members: DataFrame, nodes: DataFrame) -> DataFrame:
     salt = lambda column: F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
     one = nodes.withColumn("salt", salt("node")).join(families.where("at_once").select("family", "salt", "parts"), ["family", "salt"])
     one = one.select(F.lit("family").alias("of"), F.col("family").alias("key"), "parts", "node")
-    # All nodes of an n-gram are of one family, so the n-gram alone names a group.
     split = groups.withColumn("salt", salt("token")).join(families.where("NOT at_once").select("family", "salt"), ["family", "salt"])
-    many = own.join(split.select("token", "parts"), "token")
+    many = members.select("token", "node").join(split.select("token", "parts"), "token")
     many = many.select(F.lit("group").alias("of"), F.col("token").alias("key"), "parts", "node")
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     pairs = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1),
         lambda k: F.struct(F.least(k, part).alias("x"), F.greatest(k, part).alias("y")),
     )
-    dealt = one.unionByName(many).distinct().withColumn("place", F.explode(pairs))
+    dealt = one.distinct().unionByName(many).withColumn("place", F.explode(pairs))
     return dealt.select("of", "key", "place.x", "place.y", "node")
 
 
@@ -460,10 +491,10 @@ def jaccard_classes(docs: DataFrame, stage, n: int = N, percent: int = PERCENT)
     buckets = 1 + int(size["tokens"]) * head_length(1000, percent) // 1000 // BUCKET_TOKENS
     members = stage.put(shared_heads(source, known, rank, buckets, n, percent), "shared")
     smallest = F.ceil(F.col("n_shingles") * percent / 100)  # of what may link with the class
-    needs = classes.select("node", smallest.alias("k")).select(
-        "node", (1 + F.floor((F.col("k") - F.ceil(F.col("k") * percent / 100) + 1) / 2)).alias("need")
-    ).groupBy("node").agg(F.min("need").alias("need"))
-    members = peel(members, needs, stage)
+    needs = classes.select("node", "n_shingles", smallest.alias("k")).select(
+        "node", "n_shingles", (1 + F.floor((F.col("k") - F.ceil(F.col("k") * percent / 100) + 1) / 2)).alias("need")
+    ).groupBy("node").agg(F.min("need").alias("need"), F.count(F.lit(1)).alias("classes"), F.sum("n_shingles").alias("tokens"))
+    members = peel(members, stage.put(needs, "needs"), stage)
     families = components(members.select("least", "node"), stage, "least", "node", "-family")
     families = families.select("node", F.col("root").alias("family"))
     clashes = classes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
@@ -471,7 +502,7 @@ def jaccard_classes(docs: DataFrame, stage, n: int = N, percent: int = PERCENT)
     nodes = classes.join(families.unionByName(alone), "node").select("node", "shown", "n_shingles", "family")
     nodes = stage.put(nodes, "nodes")
     # The places of a class meet its text as one array, so that no text is joined more than once.
-    placed = places(members, nodes).groupBy("node").agg(F.collect_list(F.struct("of", "key", "x", "y")).alias("places"))
+    placed = places(members, nodes, stage).groupBy("node").agg(F.collect_list(F.struct("of", "key", "x", "y")).alias("places"))
     placed = nodes.select("node", "shown.*").join(placed, "node")
     placed = stage.put(placed.select(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), "places"), "placed")
 
@@ -486,7 +517,9 @@ def jaccard_classes(docs: DataFrame, stage, n: int = N, percent: int = PERCENT)
                 name = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
                 keep[k] = name not in seen
                 seen.add(name)
-            yield batch.filter(pa.array(keep))
+            batch = batch.filter(pa.array(keep))
+            tight = pa.array([zlib.compress(text) for text in batch.column(2).to_pylist()], batch.schema.field(2).type)
+            yield batch.set_column(2, batch.schema.field(2), tight)
 
     texts = source.mapInArrow(asked, source.schema)
     placed = texts.join(placed, F.col("text_hash").eqNullSafe(F.col("p_hash")) & F.col("doc_id").eqNullSafe(F.col("p_id")))
@@ -498,7 +531,7 @@ def jaccard_classes(docs: DataFrame, stage, n: int = N, percent: int = PERCENT)
         for _, group in groupby(rows, key=lambda r: (r["of"], r["key"], r["x"], r["y"])):
             found = {}
             for row in group:
-                tokens = shingles(row["bytes"], n)
+                tokens = shingles(zlib.decompress(row["bytes"]), n)
                 found[set_digest(tokens)] = tokens
             if len(found) > 1:
                 names = list(found)
