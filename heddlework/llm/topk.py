@@ -6,7 +6,8 @@ is a sparse row of terms; each of its terms scatters weight times posting into a
 scores, for a block of queries at once; long posting lists are taken several terms together.
 The k best of a row are selected by partition, and the selections of blocks merge.
 
-All queries meet all candidates, in blocks dealt over the cluster; nothing is skipped. Every row is
+All queries meet all candidates, in blocks dealt over the cluster; nothing is skipped. A block of candidates is laid
+out once, and blocks of queries, of which there are fewer rows, travel to each. Every row is
 a candidate of every query but its own row, whatever its vec_id; rows of one vec_id that are queries are
 queries of their own, each with its ranks. Vectors that are null or empty or hold a null or
 non-finite component, and null ids, take no part. A component that one vector lacks counts as
@@ -16,10 +17,11 @@ non-finite component, and null ids, take no part. A component that one vector la
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddlework.llm.common import map_rows
+from heddlework.llm.common import let_go, map_rows
 
 SCALE = 64
 QUERY_EVERY = 20
@@ -109,33 +111,40 @@ def select_rows(ids: np.ndarray, scores: np.ndarray, k: int):
 def top_k(df: DataFrame, stage, k: int = K, every: int = QUERY_EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best among all other vectors."""
     vectors = stage.put(weights(df), "weights")
-    queries = _blocks(vectors.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0), QUERY_BLOCK)
-    queries = stage.put(queries.withColumn("block", F.monotonically_increasing_id()), "queries")
+    queries = stage.put(_blocks(vectors.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0), QUERY_BLOCK), "queries")
+    candidates = stage.put(_blocks(vectors, CANDIDATE_BLOCK).withColumn("block", F.monotonically_increasing_id()), "candidates")
     numbers = Window.orderBy("block")
-    names = stage.put(queries.select("block", (F.row_number().over(numbers) - 1).alias("no")), "names")
+    names = stage.put(candidates.select("block", (F.row_number().over(numbers) - 1).alias("no")), "names")
     n_blocks = names.count()
     if not n_blocks:
         return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    left = queries.join(names, "block").select(
-        "no", F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.col("widths").alias("q_widths")
-    )
-    candidates = stage.put(_blocks(vectors, CANDIDATE_BLOCK), "candidates")
-    right = candidates.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    met = right.join(left, "no")
-
-    def search(rows):
-        for row in rows:
-            postings = Postings(row["ids"], row["flat"], row["widths"])
-            places = np.asarray(row["rows"])
-            scores = postings.scores(dense(row["q_flat"], row["q_widths"]))
-            # One more than wanted, as the query itself may be among the best.
-            best = select_rows(postings.ids, scores, k + 1)
-            for place, query_id, of, chosen in zip(row["q_rows"], row["q_ids"], scores, best, strict=True):
-                chosen = chosen[places[chosen] != place][:k]
-                for vec_id, score in zip(postings.ids[chosen].tolist(), of[chosen].tolist(), strict=True):
-                    yield place, query_id, vec_id, score
-
-    found = map_rows(met, search, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
+    columns = [F.col(c) for c in ("no", "asks", "rows", "ids", "flat", "widths")]
+    asked = candidates.join(names, "block").withColumn("asks", F.lit(False)).select(columns)
+    # The smaller side is repeated, and no join meets it: Spark sizes repeated rows as if there were one of each, and would broadcast them.
+    asking = queries.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("asks", F.lit(True))
+    met = asked.unionByName(asking.select(columns)).repartition("no").sortWithinPartitions("no", "asks")
+
+    def search(batches):
+        let_go()
+        postings = None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                asks = batch.column(1)[row].as_py()
+                places, ids, flat, widths = (column[row].values.to_numpy() for column in batch.columns[2:])
+                if not asks:
+                    postings, at = Postings(ids, flat, widths), places
+                    continue
+                scores = postings.scores(dense(flat, widths))
+                # One more than wanted, as the query itself may be among the best.
+                best = [chosen[at[chosen] != place][:k] for place, chosen in zip(places, select_rows(postings.ids, scores, k + 1), strict=True)]
+                sizes, chosen = [len(x) for x in best], np.concatenate(best)
+                of = np.repeat(np.arange(len(best)), sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (places[of], ids[of], postings.ids[chosen], scores[of, chosen])],
+                    names=["query_row", "query_id", "vec_id", "score"],
+                )
+
+    found = met.mapInArrow(search, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
