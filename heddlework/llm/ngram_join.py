@@ -5,7 +5,9 @@ are one class (equal 128-bit digests). All sets are put in one global order, n-g
 many documents last. With p = n - ceil(PERCENT n / 100) + 1, two sets that link share at least
 l n-grams of the first p + l - 1 of each; l is about half of p. So a class stays in the search
 only while enough n-grams of its head are in other heads too, which drops documents that have
-nothing but a passage in common. The others form a group for each shared n-gram. Groups that
+nothing but a passage in common. Of its n-grams that are left, those of the fewest classes first, a
+class then goes by all but the last l - 1: classes that link still meet in the first n-gram that they share.
+Each n-gram forms a group, groups of the same classes are one. Groups that
 hang together by members are one family, which is searched as one or group by group, whichever
 sends fewer copies of its sets.
 
@@ -38,7 +40,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddlework.llm.common import map_rows, text_bytes
@@ -294,6 +296,30 @@ def peel(members: DataFrame, needs: DataFrame, stage) -> DataFrame:
         rows = stage.put(rows.select("token", "node", "least", "classes", "tokens"), f"members-{k}")
 
 
+def thin(members: DataFrame, needs: DataFrame, stage) -> DataFrame:
+    """Members of as few groups as find every link: (token, node, least, classes, tokens), each row once.
+
+    In one order of the n-grams, by how many classes have them, a class keeps all but the last need - 1 of its own. Two that
+    share ``need`` have the first of these before the last need - 1 of either. One n-gram stays for all that have the same nodes.
+    """
+    of_node = Window.partitionBy("node")
+    own = needs.select("node", "need", F.col("classes").alias("of_classes"), F.col("tokens").alias("of_tokens"))
+    rows = members.join(own, "node").withColumns({
+        "place": F.row_number().over(of_node.orderBy("classes", "token")), "has": F.count(F.lit(1)).over(of_node),
+    })
+    rows = rows.where(F.col("place") <= F.col("has") - F.col("need") + 1).select("token", "node", "of_classes", "of_tokens").distinct()
+    rows = stage.put(rows, "first")
+    groups = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum("of_classes").alias("classes"), F.sum("of_tokens").alias("tokens"),
+        F.bit_xor(F.xxhash64("node")).alias("mark"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("mark_2"),
+    )
+    groups = groups.where("n > 1").groupBy("n", "least", "mark", "mark_2").agg(
+        F.min("token").alias("token"), F.first("classes").alias("classes"), F.first("tokens").alias("tokens")
+    )
+    rows = rows.select("token", "node").join(groups.select("token", "least", "classes", "tokens"), "token")
+    return stage.put(rows, "thinned")
+
+
 def set_digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
@@ -494,7 +520,8 @@ def jaccard_classes(docs: DataFrame, stage, n: int = N, percent: int = PERCENT)
     needs = classes.select("node", "n_shingles", smallest.alias("k")).select(
         "node", "n_shingles", (1 + F.floor((F.col("k") - F.ceil(F.col("k") * percent / 100) + 1) / 2)).alias("need")
     ).groupBy("node").agg(F.min("need").alias("need"), F.count(F.lit(1)).alias("classes"), F.sum("n_shingles").alias("tokens"))
-    members = peel(members, stage.put(needs, "needs"), stage)
+    needs = stage.put(needs, "needs")
+    members = thin(peel(members, needs, stage), needs, stage)
     families = components(members.select("least", "node"), stage, "least", "node", "-family")
     families = families.select("node", F.col("root").alias("family"))
     clashes = classes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
