@@ -184,7 +184,8 @@ def mixed_documents(docs: DataFrame, stage, seed: str = SEED) -> DataFrame:
     same = F.lit(True)
     for k in key:
         same &= F.col(k).eqNullSafe(F.col(f"d_{k}"))
-    joined = keyed.join(decided, same)
+    # In memory a row takes many times what its file tells, so this is not for a broadcast.
+    joined = keyed.join(decided.hint("merge"), same)
     # Copies of a key beyond an even share go to its first rows by hash of the text.
     single = joined.where("rows = 1").select("row", "copies")
     order = Window.partitionBy(*[f"d_{k}" for k in key]).orderBy(F.xxhash64("row.text"))

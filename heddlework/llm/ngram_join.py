@@ -487,9 +487,12 @@ def places(members: DataFrame, nodes: DataFrame, stage) -> DataFrame:
     at_once = F.coalesce(F.col("n") * F.col("parts") <= F.col("sent_apart"), F.lit(True))
     families = families.withColumn("at_once", at_once).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = lambda column: F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
-    one = nodes.withColumn("salt", salt("node")).join(families.where("at_once").select("family", "salt", "parts"), ["family", "salt"])
+    # Spark sizes salted rows as one of each, so these are not for a broadcast.
+    salted = families.where("at_once").select("family", "salt", "parts").hint("merge")
+    one = nodes.withColumn("salt", salt("node")).join(salted, ["family", "salt"])
     one = one.select(F.lit("family").alias("of"), F.col("family").alias("key"), "parts", "node")
-    split = groups.withColumn("salt", salt("token")).join(families.where("NOT at_once").select("family", "salt"), ["family", "salt"])
+    salted = families.where("NOT at_once").select("family", "salt").hint("merge")
+    split = groups.withColumn("salt", salt("token")).join(salted, ["family", "salt"])
     many = members.select("token", "node").join(split.select("token", "parts"), "token")
     many = many.select(F.lit("group").alias("of"), F.col("token").alias("key"), "parts", "node")
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
@@ -549,7 +552,8 @@ def jaccard_classes(docs: DataFrame, stage, n: int = N, percent: int = PERCENT)
             yield batch.set_column(2, batch.schema.field(2), tight)
 
     texts = source.mapInArrow(asked, source.schema)
-    placed = texts.join(placed, F.col("text_hash").eqNullSafe(F.col("p_hash")) & F.col("doc_id").eqNullSafe(F.col("p_id")))
+    # The arrays take far more memory than their files tell, so they are not for a broadcast.
+    placed = texts.join(placed.hint("merge"), F.col("text_hash").eqNullSafe(F.col("p_hash")) & F.col("doc_id").eqNullSafe(F.col("p_id")))
     placed = placed.select("bytes", F.inline("places"))
     search_key = ["of", "key", "x", "y"]
     dealt = placed.repartition(*search_key).sortWithinPartitions(*search_key)
